@@ -152,13 +152,16 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str] | None =
     """doc_id (or the `keep` columns), lang_pred, score, ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = keep or ["doc_id"]
-    source = docs.select(*names, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    # The text goes over once; where it isn't kept it comes last and is dropped.
+    own = "text" in names and dict(docs.dtypes)["text"] == "string"
+    at = names.index("text") if own else len(names)
+    source = docs.select(*names, *([] if own else [F.col("text").cast("string").alias("__text")]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(names)])
 
     def run(batches):
         for batch in batches:
-            found, scores, unsure = shared.value.predict(batch.column(len(names)).to_pylist())
-            columns = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
+            found, scores, unsure = shared.value.predict(batch.column(at).to_pylist())
+            columns = [*batch.columns[: len(names)], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score", "ambiguous"])
 
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from tonewright.llm import bestfit_packing, byte_bpe, chat_format, jpeg_dc, line_runs, simhash_pivot
+from tonewright.llm import (
+    ann_forest,
+    bestfit_packing,
+    byte_bpe,
+    chat_format,
+    html_tree,
+    jpeg_dc,
+    langid_ecoc,
+    line_runs,
+    simhash_pivot,
+    toxicity_cnn,
+)
 
 QUERIES = {
+    "op1_ann": ann_forest.op1_ann,
+    "op2_toxicity": toxicity_cnn.op2_toxicity,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_language_id": langid_ecoc.op4_language_id,
     "op5_simhash": simhash_pivot.op5_simhash,
     "op6_line_dedup": line_runs.op6_line_dedup,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_html": html_tree.op8_html,
     "op9_media": jpeg_dc.op9_media,
     "op10_packing": bestfit_packing.op10_packing,
 }

@@ -265,13 +265,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, keep: list[str] |
     """doc_id (or the `keep` columns), score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = keep or ["doc_id"]
-    source = docs.select(*names, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    # The text goes over once; where it isn't kept it comes last and is dropped.
+    own = "text" in names and dict(docs.dtypes)["text"] == "string"
+    at = names.index("text") if own else len(names)
+    source = docs.select(*names, *([] if own else [F.col("text").cast("string").alias("__text")]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(names)])
 
     def run(batches):
         for batch in batches:
-            scores = shared.value.score(batch.column(len(names)).to_pylist())
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
+            scores = shared.value.score(batch.column(at).to_pylist())
+            columns = [*batch.columns[: len(names)], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted"])
 
     return source.mapInArrow(run, f"{schema}, score double, predicted int")

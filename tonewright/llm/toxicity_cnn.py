@@ -38,7 +38,7 @@ FILTERS = 6  # of each width
 SAMPLE = 2500
 WORD = re.compile(r"[^\W_]+")
 CACHE_WORDS = 150_000
-EMPTY_POOL = -1e9
+LEAN = 40
 
 
 def buckets(word: str) -> tuple[int, int, int]:
@@ -241,7 +241,12 @@ def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int
     share = min(max(toxic_share, 1e-3), 1 - 1e-3)
     natural = np.where(labels == 1, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
     whole = best_threshold(raw[judged], labels[judged], natural[judged], 0.0)
-    thresholds = [best_threshold(raw[judged & (spoken == k)], labels[judged & (spoken == k)], natural[judged & (spoken == k)], whole) for k in range(len(languages))]
+    thresholds = []
+    for k in range(len(languages)):
+        own = judged & (spoken == k)
+        toxic = labels[own].sum()
+        # A language with few toxic rows leans on the threshold of all.
+        thresholds.append((toxic * best_threshold(raw[own], labels[own], natural[own], whole) + LEAN * whole) / (toxic + LEAN))
     model.thresholds = np.array([*thresholds, whole])
     return model
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,9 @@ from tonewright.llm.shared import read_table, text_blocks
 NO_RANK = np.int32(2**31 - 1)
 #: Unicode White_Space, as the library's regex engine has it (Python's own classes also hold U+001C..U+001F).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of white space and the run of other characters after it. No match of the split pattern crosses its end.
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Longer pieces merge through a heap, as a matrix round costs the row's length.
 MATRIX_WIDTH = 2048
-CACHE_CHUNKS = 200_000
+CACHE_PIECES = 250_000
 
 
 def split_pattern(pattern: str) -> regex.Pattern:
@@ -99,30 +96,38 @@ class ByteBpe:
         self.pattern = split_pattern(pattern)
         self.text_of: dict[str, str] = {}
         self.bytes_of: dict[str, bytes] = {}
-
-    def merge_rows(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of pieces of two bytes or more."""
-        done: list = [None] * len(pieces)
-        buckets: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            if len(piece) > MATRIX_WIDTH:
-                done[i] = self.merge_long(piece)
-            else:
-                buckets.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
-        for width, members in buckets.items():
-            step = max(1, 1_000_000 // width)
+        self.old_text: dict[str, str] = {}
+        self.old_bytes: dict[str, bytes] = {}
+
+    def merge_rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pieces of two bytes or more, one after another, and how many each has."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # pieces' numbers, counts, ids
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for i in np.flatnonzero(sizes > MATRIX_WIDTH).tolist():
+            ids = self.merge_long(pieces[i])
+            done.append((np.array([i]), np.array([len(ids)]), ids))
+        bucket = np.where(sizes > MATRIX_WIDTH, 0, (np.maximum(sizes, 2) + 3) // 4)
+        for width in np.unique(bucket[bucket > 0]).tolist():
+            members = np.flatnonzero(bucket == width)
+            step = max(1, 250_000 // width)
             for start in range(0, len(members), step):
                 rows = members[start : start + step]
-                self._merge_matrix([pieces[i] for i in rows], rows, width, done)
-        return done
-
-    def _merge_matrix(self, pieces: list[bytes], rows: list[int], width: int, done: list) -> None:
+                self._merge_matrix([pieces[i] for i in rows.tolist()], rows, 4 * width, done)
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        names, counts, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(names)
+        starts = (np.cumsum(counts) - counts)[order]
+        counts = counts[order]
+        inner = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return ids[np.repeat(starts, counts) + inner], counts
+
+    def _merge_matrix(self, pieces: list[bytes], names: np.ndarray, width: int, done: list) -> None:
         lengths = np.array([len(p) for p in pieces])
         ids = np.full((len(pieces), width), -1, np.int32)
         inside = np.arange(width) < lengths[:, None]
         ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         ranks = self.pairs.ranks(ids[:, :-1], ids[:, 1:])
-        names = np.array(rows)
         columns = np.arange(width)
         while len(ids):
             at = ranks.argmin(axis=1)
@@ -130,23 +135,27 @@ class ByteBpe:
             best = ranks[every, at]
             live = best < NO_RANK
             if not live.all():
-                for i in np.flatnonzero(~live):
-                    done[names[i]] = ids[i][ids[i] >= 0]
+                ended = ids[~live]
+                real = ended >= 0
+                done.append((names[~live], real.sum(1), ended[real]))
                 ids, ranks, names, at, best = ids[live], ranks[live], names[live], at[live], best[live]
                 every = np.arange(len(ids))
                 if not len(ids):
                     return
+                # Rows of the matrix only get shorter: columns that no row uses any more go too.
+                used = max(2, int((ids >= 0).sum(1).max()))
+                if used < width:
+                    width = used
+                    ids, ranks, columns = ids[:, :width], ranks[:, : width - 1], columns[:width]
             ids[every, at] = best
             source = np.minimum(columns + (columns > at[:, None]), width - 1)
             ids = np.take_along_axis(ids, source, 1)
             ids[:, -1] = -1
             ranks = np.take_along_axis(ranks, source[:, :-1].clip(max=width - 2), 1)
             ranks[:, -1] = NO_RANK
-            right = np.where(at + 1 < width, ids[every, np.minimum(at + 1, width - 1)], -1)
-            inner = at < width - 1
-            ranks[every[inner], at[inner]] = self.pairs.ranks(ids[every, at], right)[inner]
+            ranks[every, at] = self.pairs.ranks(ids[every, at], ids[every, at + 1])
             before = at > 0
-            ranks[every[before], at[before] - 1] = self.pairs.ranks(ids[every, np.maximum(at - 1, 0)], ids[every, at])[before]
+            ranks[every[before], at[before] - 1] = self.pairs.ranks(ids[every[before], at[before] - 1], ids[every[before], at[before]])
 
     def merge_long(self, piece: bytes) -> np.ndarray:
         """The same merges for a very long piece: a heap of (rank, place) over a linked list."""
@@ -170,39 +179,49 @@ class ByteBpe:
                     heapq.heappush(heap, (new, k, ids[k], ids[after[k]]))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks not met before and keep their ids as text and their decoded bytes."""
-        split = {c: [p.encode("utf-8") for p in self.pattern.findall(c)] for c in chunks}
-        ids_of: dict[bytes, np.ndarray] = {}
-        new = []
-        for piece in {p for pieces in split.values() for p in pieces}:
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                ids_of[piece] = np.array([whole], np.int32)
-            else:
-                new.append(piece)
-        ids_of.update(zip(new, self.merge_rows(new), strict=True))
-        text_of = {p: ",".join(map(str, ids.tolist())) for p, ids in ids_of.items()}
-        bytes_of = {p: self.decode(ids) for p, ids in ids_of.items()}
-        for chunk, pieces in split.items():
-            self.text_of[chunk] = ",".join(map(text_of.__getitem__, pieces))
-            self.bytes_of[chunk] = b"".join(map(bytes_of.__getitem__, pieces))
-
-    def decode(self, ids) -> bytes:
-        return b"".join(self.tokens[int(i)] for i in ids)
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces not met before; keep their ids as text and the bytes that the ids decode to."""
+        raw = [p.encode("utf-8") for p in pieces]
+        whole = np.fromiter((self.ranks.get(r, -1) for r in raw), np.int64, len(raw))
+        merged = np.flatnonzero(whole < 0).tolist()
+        ids, counts = self.merge_rows([raw[i] for i in merged])
+        pieces = [*(pieces[i] for i in merged), *(pieces[i] for i in np.flatnonzero(whole >= 0).tolist())]
+        ids = np.concatenate([ids, whole[whole >= 0]]).tolist()
+        counts = [*counts.tolist(), *[1] * (len(pieces) - len(merged))]
+        written, decoded = list(map(str, ids)), list(map(self.tokens.__getitem__, ids))
+        at = 0
+        for piece, n in zip(pieces, counts, strict=True):
+            end = at + n
+            self.text_of[piece] = ",".join(written[at:end])
+            self.bytes_of[piece] = b"".join(decoded[at:end])
+            at = end
+
+    def meet(self, pieces: set[str]) -> None:
+        """See that pieces are known. Of two generations of known pieces the older is forgotten when the newer is full."""
+        missing = pieces - self.text_of.keys()
+        if len(self.text_of) + len(missing) > CACHE_PIECES:
+            self.old_text, self.old_bytes, self.text_of, self.bytes_of = self.text_of, self.bytes_of, {}, {}
+            missing = pieces
+        again = missing & self.old_text.keys()
+        for piece in again:
+            self.text_of[piece] = self.old_text[piece]
+            self.bytes_of[piece] = self.old_bytes[piece]
+        new = missing - again
+        if new:
+            self.learn(list(new))
 
     def encode_texts(self, texts: list):
         """For each text: decimal ids joined by commas, and the bytes they decode to."""
+        find = self.pattern.findall
         for start, end in text_blocks(texts):
-            chunked = [CHUNK.findall(t) if t else [] for t in texts[start:end]]
-            new = set().union(*chunked)
-            if len(self.text_of) + len(new) > CACHE_CHUNKS:
-                self.text_of.clear()
-                self.bytes_of.clear()
-            self.learn(new - self.text_of.keys())
+            split = [find(t) if t else [] for t in texts[start:end]]
+            self.meet(set().union(*split))
             ids, raw = self.text_of.__getitem__, self.bytes_of.__getitem__
-            for chunks in chunked:
-                yield ",".join(map(ids, chunks)), b"".join(map(raw, chunks))
+            for pieces in split:
+                yield ",".join(map(ids, pieces)), b"".join(map(raw, pieces))
+
+    def decode(self, ids) -> bytes:
+        return b"".join(self.tokens[int(i)] for i in ids)
 
     def encode(self, text: str | None) -> list[int]:
         joined = next(self.encode_texts([text]))[0]

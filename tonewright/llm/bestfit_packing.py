@@ -13,18 +13,20 @@ rows are packed like any others; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import cut, read_table, shuffle_partitions
+from tonewright.llm.shared import cut, read_table, shuffle_partitions, text_blocks
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -68,28 +70,89 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return plan
 
 
+class Recent:
+    """A dictionary that forgets: of two generations the older goes when the newer is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Keys that neither generation has; those of the older come over. Call before reading `new`."""
+        absent = keys - self.new.keys()
+        if len(self.new) + len(absent) > self.limit:
+            self.old, self.new, absent = self.new, {}, keys
+        again = absent & self.old.keys()
+        for key in again:
+            self.new[key] = self.old[key]
+        return absent - again
+
+
 class WordIds:
-    """Token ids of white-space separated words, as little-endian bytes, encoded once a worker."""
+    """Token ids of white-space separated words, as little-endian bytes, each word encoded once while remembered.
+
+    The tokenizer drops white space, and no token, normal form or case rule reaches across it. Words of ASCII and
+    Latin-1 letters that end in ASCII marks other than an apostrophe are two pieces for it, letters (lowered) and
+    marks, so they share what is known of their pieces. New pieces go to the tokenizer in one text with a divider
+    between them, whose id no piece without that character has.
+    """
+
+    PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+    DIVIDER = "|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def of(self, text: bytes) -> bytes:
-        """The tokenizer drops white space and no token, normal form or case rule reaches across it."""
-        words = text.split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        (self.divider,) = self.tokenizer.encode(self.DIVIDER, add_special_tokens=False).ids
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        mark = self.DIVIDER.encode()
+        alone = [i for i, p in enumerate(pieces) if mark in p]
+        together = [i for i, p in enumerate(pieces) if mark not in p]
+        out: list = [b""] * len(pieces)
+        for i in alone:
+            ids = self.tokenizer.encode(pieces[i].decode("utf-8"), add_special_tokens=False).ids
+            out[i] = np.array(ids, "<u4").tobytes()
+        if together:
+            text = f" {self.DIVIDER} ".join(pieces[i].decode("utf-8") for i in together)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.divider)).tolist()
+            raw = ids.tobytes()
+            for i, start, end in zip(together, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
+                out[i] = raw[start:end]
+        return out
+
+    def meet(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all words of a block."""
+        new = self.words.missing(words)
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-                known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return b"".join(map(known.__getitem__, words))
+            plain, split = self.PLAIN.fullmatch, {}
+            for word in new:
+                found = plain(word)
+                if found:
+                    letters, marks = found.groups()
+                    letters = letters.lower() if letters.isascii() else letters.decode("utf-8").lower().encode("utf-8")
+                    split[word] = (letters, marks) if marks else (letters,)
+                else:
+                    split[word] = (word,)
+            unknown = list(self.pieces.missing({p for pieces in split.values() for p in pieces}))
+            for start in range(0, len(unknown), 50_000):
+                part = unknown[start : start + 50_000]
+                self.pieces.new.update(zip(part, self.encode(part), strict=True))
+            known = self.pieces.new
+            for word, pieces in split.items():
+                self.words.new[word] = known[pieces[0]] + known[pieces[1]] if len(pieces) == 2 else known[pieces[0]]
+        return self.words.new
+
+    def of_texts(self, texts: list[bytes | None]):
+        """Ids of each text."""
+        for start, end in text_blocks(texts):
+            split = [t.split() if t else [] for t in texts[start:end]]
+            known = self.meet(set().union(*split)).__getitem__
+            for words in split:
+                yield b"".join(map(known, words))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -111,8 +174,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPAC
         words = word_ids(tokenizer_file)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = words.of(text or b"") + end
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for name, ids in zip(batch.column(0).to_pylist(), words.of_texts(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for column, value in zip(rows, (name, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -64,10 +64,10 @@ class LevelledRuns:
         writer.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).saveAsTable(name)
         return name
 
-    def add(self, rows: DataFrame) -> None:
+    def add(self, rows: DataFrame, compact: bool = True) -> None:
         self.levels[0].append(self.write(rows))
         level = 0
-        while len(self.levels[level]) >= self.fanout:
+        while compact and len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
             merged = self.spark.table(old[0])
             for name in old[1:]:
@@ -100,13 +100,15 @@ def doomed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BAT
     hashed = keyed.select("did", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), number.alias("batch"))
     name = fresh_name("line_hashes")
     hashed.write.format("parquet").partitionBy("batch").saveAsTable(name)
-    runs = LevelledRuns(spark, min(parts, 64), fanout)
+    # As many buckets as shuffle partitions: a write deals its rows to one file a bucket.
+    runs = LevelledRuns(spark, parts, fanout)
     try:
         held = spark.table(name)
         total = held.count()
-        for k in range(len(set(cuts)) + 1):
+        last = len(set(cuts))
+        for k in range(last + 1):
             first = held.filter(F.col("batch") == k).groupBy(*HASHES).agg(F.min("did").alias("owner"))
-            runs.add(runs.unseen(first))
+            runs.add(runs.unseen(first), compact=k < last)
         every = runs.runs()[0]
         for run in runs.runs()[1:]:
             every = every.unionByName(run)

@@ -240,7 +240,9 @@ def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int
     raw, spoken = model.logits([t for t, _, _ in rows])
     share = min(max(toxic_share, 1e-3), 1 - 1e-3)
     natural = np.where(labels == 1, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
-    whole = best_threshold(raw[judged], labels[judged], natural[judged], 0.0)
+    whole = best_threshold(raw[judged], labels[judged], natural[judged], np.nan)
+    if np.isnan(whole):  # too few to calibrate on: no clean row kept apart may fall
+        whole = max(best_threshold(raw, labels, natural, 0.0), float(raw[judged & (labels == 0)].max(initial=0.0)) + 1e-6)
     thresholds = []
     for k in range(len(languages)):
         own = judged & (spoken == k)

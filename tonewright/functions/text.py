@@ -6,6 +6,8 @@ stopping at line feeds only. Every pattern is a literal: a pattern in a column w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,12 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern in Java's dialect, with the flags all patterns have."""
     if pattern.startswith(LAZY_HEAD):
         pattern = SENTENCE_START + pattern
-    return ("(?iUd)" if ignore_case else "(?Ud)") + pattern
+    # Only the flags that can make a difference: folding case or classes costs time at every character.
+    plain = re.sub(r"\\(?:x\{[0-9a-fA-F]+\}|.)", "", pattern)
+    flags = ("i" if ignore_case and re.search("[A-Za-zäöüßéèàçñ]", plain) else "") + ("U" if re.search(r"\\[sSdDwWbB]", pattern) else "") + ("d" if re.search(r"[.^$]", plain) else "")
+    if "i" in flags and "U" not in flags:
+        flags += "u"
+    return f"(?{flags})" + pattern if flags else pattern
 
 
 def find_all(text: Column, pattern: str, ignore_case: bool = False, group: int = 0) -> Column:

@@ -1,0 +1,123 @@
+"""Rewriting by a language model: chunks, prompts, replies. The call itself is an injected function.
+
+A transport takes a list of messages ({role, content}) and returns the reply's text. Nothing here opens a
+connection; whatever a transport raises leaves the text as it was.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+Transport = Callable[[list[dict]], str]
+MAX_CHARS = 1700
+INSTRUCTIONS = "Rewrite the text in plain words. Keep facts, numbers, names, code and addresses as they are. Answer with the text alone."
+#: Additions to the instructions by scene.
+SCENE_NOTES = {
+    "social-note": "First person, short spoken sentences; keep every personal detail; no headings, lists or closing remarks; keep the length within a tenth.",
+    "health-content": "Describe experience, conclude no diagnosis; claim no effect; keep every advice to see a doctor word by word; keep uncertainty uncertain.",
+}
+EMPTY_REPLY_TRIES = 3
+
+
+def pack_greedily(parts: list[str], limit: int, join: str, overhead: int) -> list[str]:
+    """Parts joined as long as they stay within the limit; every part costs its overhead too."""
+    out: list[list[str]] = []
+    size = 0
+    for part in parts:
+        if out and size + len(part) + overhead <= limit:
+            out[-1].append(part)
+            size += len(part) + overhead
+        else:
+            out.append([part])
+            size = len(part) if len(out) > 1 else len(part) + overhead
+    return [join.join(x) for x in out]
+
+
+def chunks(text: str, limit: int = MAX_CHARS) -> list[str]:
+    """Paragraphs packed up to the limit; longer paragraphs by sentences of their own."""
+    out: list[str] = []
+    run: list[str] = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        if len(paragraph) <= limit:
+            run.append(paragraph)
+            continue
+        out += pack_greedily(run, limit, "\n\n", 2)
+        out += pack_greedily(re.split(r"(?<=[。！？!?])\s*", paragraph), limit, "", 0)
+        run = []
+    return out + pack_greedily(run, limit, "\n\n", 2)
+
+
+def without_thinking(reply: Column) -> Column:
+    return F.trim(F.regexp_replace(reply, F.lit(r"(?s)<think>.*?</think>\s*"), F.lit("")))
+
+
+def messages(text: str, scene: str = "base", context: str | None = None, sections: dict[str, str] | None = None) -> list[dict]:
+    """System and user message of one chunk."""
+    system = "\n\n".join(filter(None, (INSTRUCTIONS, SCENE_NOTES.get(scene))))
+    parts = [f"---\n{text}\n---"]
+    if context:
+        parts.append(f"Background: {context}")
+    parts += [f"- {title}: {detail}" for title, detail in (sections or {}).items()]
+    return [{"role": "system", "content": system}, {"role": "user", "content": "\n".join(parts)}]
+
+
+def ask(transport: Transport, request: list[dict], tries: int = EMPTY_REPLY_TRIES) -> str:
+    """The reply without its thinking; a reply of nothing else is asked for again."""
+    for _ in range(tries):
+        reply = re.sub(r"<think>.*?</think>\s*", "", transport(request) or "", flags=re.S).strip()
+        if reply:
+            return reply
+    raise RuntimeError("the model answered with nothing but thinking")
+
+
+def rewrite_with_model(df: DataFrame, transport: Transport, text: str = "text", scene: str = "base", limit: int = MAX_CHARS) -> DataFrame:
+    """Adds model_text and model_error; a failed text stays as it was. Filter first: every row is sent."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made, errors = [], []
+            for whole in rows[text]:
+                try:
+                    made.append("\n\n".join(ask(transport, messages(c, scene)) for c in chunks(whole or "", limit)))
+                    errors.append(None)
+                except Exception as error:  # the contract of the gate: any failure keeps the text
+                    made.append(whole)
+                    errors.append(str(error))
+            yield rows.assign(model_text=made, model_error=errors)
+
+    return df.mapInPandas(run, f"{fields}, model_text string, model_error string")
+
+
+def mock_transport(request: list[dict]) -> str:
+    """Answers with the text it was given, as a model that has nothing to change."""
+    return "<think>nothing to do</think>\n" + request[-1]["content"].strip("-\n")
+
+
+def parse_detections(reply: Column) -> Column:
+    """Detections of a model's reply: a JSON list, or an object with detections, results or items; fences are dropped."""
+    item = "array<struct<pattern_id:string,pattern_name:string,confidence:double,matched_text:string,suggestion:string>>"
+    bare = F.trim(F.regexp_replace(reply, F.lit(r"(?m)^```\w*\s*$"), F.lit("")))
+    nested = F.from_json(bare, f"struct<detections:{item},results:{item},items:{item}>")
+    return F.coalesce(F.from_json(bare, item), nested["detections"], nested["results"], nested["items"], F.expr(f"cast(array() as {item})"))
+
+
+MOCK_WORD = "值得注意的是"
+
+
+def mock_detections(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(MOCK_WORD)), F.array(F.lit(MOCK_WORD))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def create_detector(enabled: bool, provider: str = "mock"):
+    """A detector Column function, or None; only the mock needs no transport."""
+    if not enabled:
+        return None
+    if provider != "mock":
+        raise ValueError(f"provider {provider} needs a transport: send prompts with rewrite_with_model and read replies with parse_detections")
+    return mock_detections

@@ -434,3 +434,91 @@ def notes_sql() -> str:
 def exact_copies_sql() -> str:
     form = chain("lower(coalesce(text, ''))", [("[#*`>-]", ""), ("\\s", ""), ("[、，,/|·:：;；()（）\\[\\]【】.\"'" + "]", "")])
     return f"SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS first_id, count(*) OVER (PARTITION BY form) AS copies FROM (SELECT doc_id, {form} AS form FROM documents)"
+
+
+# --- rule rewriting, gates ---
+
+
+def deleted_sql(pattern_id: str) -> str:
+    from tonewright.functions import rewrite_values as R
+
+    flags = "(?is)" if pattern_id == "p22" else "(?i)"
+    pattern = flags + "|".join(sorted(R.DELETED[pattern_id], key=len, reverse=True))
+    return f"WITH {SEEDED_SQL} SELECT doc_id, length(o) AS n, md5(o) AS md5 FROM (SELECT doc_id, regexp_replace(text, {q(pattern)}, '', 'g') AS o FROM seeded)"
+
+
+def tier1_deleted_sql() -> str:
+    expression = "text"
+    for w in V.TIER1_ZH:
+        expression = f"replace({expression}, {q(w)}, '')"
+    return f"WITH {SEEDED_SQL} SELECT doc_id, length(o) AS n, md5(o) AS md5 FROM (SELECT doc_id, {expression} AS o FROM seeded)"
+
+
+def gate_sql() -> str:
+    return (
+        f"SELECT doc_id, CASE WHEN compliance_hit = 1 OR action = 'block' THEN 2 WHEN action = 'warn' THEN 1 ELSE 0 END AS gated, compliance_hit * 2 AS ungated FROM ({score_sql('base')})"
+    )
+
+
+def strategy_sql() -> str:
+    return f"SELECT doc_id, (score < 70)::INT AS auto_llm, 0 AS rules, 1 AS rules_llm FROM ({score_sql('base')})"
+
+
+def strict_sql() -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, CASE WHEN len({words('text', V.TIER1_ZH + V.TIER1_EN)}) > 0 THEN 3 ELSE 0 END AS code FROM seeded"
+
+
+def eligible_sql() -> str:
+    stripped = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+    return (
+        f"WITH {SEEDED_SQL}, t AS (SELECT doc_id, {stripped} AS t FROM seeded) SELECT doc_id, (length(t) >= 40 AND NOT contains(t, 'MEDIA:') AND NOT contains(t, '[[as_document]]') AND NOT contains(t, '[[audio_as_voice]]') "
+        "AND NOT regexp_matches(t, '(?i)!\\[[^\\]]*\\]\\([^)]*\\)|<img\\s') AND len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) >= greatest(20, trunc(length(t) * 0.01)))::INT AS eligible FROM t"
+    )
+
+
+def structured_sql() -> str:
+    url = r"(?:https?://|www\.)[^\s\x{4e00}-\x{9fff}\x{ff0c}\x{3002}\x{ff01}\x{ff1f}\x{ff1b}\x{ff1a}\x{3001}\x{ff08}\x{ff09}\x{3010}\x{3011}\x{300c}\x{300d}\x{300e}\x{300f}]+"
+    return f"WITH {SEEDED_SQL} SELECT doc_id, regexp_matches(text, {q('(?s)```.*?```|`[^`' + chr(10) + ']+`|' + url + '|[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+')})::INT AS structured FROM seeded"
+
+
+def thinking_sql() -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, md5(trim(regexp_replace(text, '(?s)<think>.*?</think>\\s*', '', 'g'))) AS md5 FROM seeded"
+
+
+def report_sql() -> str:
+    return f"SELECT doc_id, '{{\"score\":' || score || ',\"action\":\"' || action || '\"}}' AS report FROM ({score_sql('base')})"
+
+
+def acceptance_sql() -> str:
+    scored = score_sql("base")
+    return f"SELECT (doc_id % 70 < 35)::INT AS half, count(*) AS n, count(*) FILTER (WHERE raw > 0 OR compliance_hit = 1) AS dirty, min(score) AS least, max(score) AS most FROM ({scored}) GROUP BY 1"
+
+
+# --- implicit relational operators ---
+
+
+def anti_sql() -> str:
+    a, b = ", ".join(f"({q(w)})" for w in V.RESIDUAL_WORDS), ", ".join(f"({q(w)})" for w in V.TIER1_ZH)
+    return f"SELECT w FROM (VALUES {a}) r(w) ANTI JOIN (VALUES {b}) t(w) USING (w)"
+
+
+def domain_sql() -> str:
+    rows = ", ".join(f"({q(s)}, {q(w)})" for s, p in V.PROFILES.items() for w in p.get("domain", []))
+    return f"WITH {SEEDED_SQL} SELECT profile, word, count(*) AS docs FROM seeded JOIN (VALUES {rows}) d(profile, word) ON contains(text, word) GROUP BY 1, 2"
+
+
+def having_sql() -> str:
+    scored = score_sql("base")
+    return f"{scored[: scored.index(', crossed AS')]} SELECT doc_id, category, count(*) AS n FROM found GROUP BY 1, 2 HAVING count(*) >= 2"
+
+
+def covered_sql() -> str:
+    return f"{WITH}{MASKED_SQL} SELECT doc_id, t AS word, count(*) AS n FROM ({slang_rows(V.HARD_SLANG)}) GROUP BY 1, 2"
+
+
+def distinct_sql() -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z]{{2,}}'))), '|') AS acronyms FROM seeded"
+
+
+def preview_sql() -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, substr(text, 1, 50) AS preview FROM seeded"

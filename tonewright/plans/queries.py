@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.operators import detect, paragraphs, phrases, professional, punctuation, scene, score, watermark
+from tonewright.operators import detect, gate, model, paragraphs, phrases, professional, punctuation, rewrite, scene, score, watermark
 from tonewright.operators import hits as H
 from tonewright.plans import checks as C
 from tonewright.plans.seeds import seeded
+from tonewright.sources import files
+from tonewright.sources.files import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,3 +275,94 @@ register(
     lambda spark, sf_dir: paragraphs.with_dedup(seeded(spark, sf_dir)).select("doc_id", "removed_exact", "removed_near", "paragraphs_before", "paragraphs_after", "after_chars", F.md5(F.col("deduped").cast("binary")).alias("md5")),
 )
 register("dd06_exact_copies", lambda spark, sf_dir: paragraphs.exact_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")), C.exact_copies_sql())
+
+# --- rule rewriting ---
+
+
+def digest(make: Callable[[Column], Column]) -> Query:
+    """doc_id, length and digest of a text made from the seeded one."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = seeded(spark, sf_dir).select("doc_id", make(F.col("text")).alias("o"))
+        return df.select("doc_id", F.length("o").cast("long").alias("n"), F.md5(F.col("o").cast("binary")).alias("md5"))
+    return run
+
+
+_NUMBERS = {"p02": "rw04", "p03": "rw05", "p04": "rw06", "p06": "rw08", "p08": "rw10", "p09": "rw11", "p11": "rw13", "p12": "rw14", "p13": "rw15", "p15": "rw17", "p16": "rw18", "p19": "rw21", "p21": "rw23", "p22": "rw24", "p24": "rw26"}
+for _p, _no in _NUMBERS.items():
+    register(f"{_no}_delete_{_p}", digest(lambda t, p=_p: rewrite.deleted(t, p)), C.deleted_sql(_p))
+
+
+def without_tier1(text: Column) -> Column:
+    for w in V.TIER1_ZH:
+        text = F.replace(text, F.lit(w), F.lit(""))
+    return text
+
+
+register("rw30_tier1_deletion", digest(without_tier1), C.tier1_deleted_sql())
+register("rw01_rewrite", digest(lambda t: rewrite.rewritten(t)))
+
+
+def report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores before and after the rules."""
+    df = score.with_score(rewrite.with_rewrite(seeded(spark, sf_dir))).select("doc_id", "rewritten", "changed", F.col("score").alias("score_before"))
+    df = score.with_score(df, text="rewritten")
+    return df.select("doc_id", F.col("changed").cast("int"), "score_before", F.col("score").alias("score_after"))
+
+
+register("rw12_report", report_query)
+
+# --- gates and the model ---
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.with_score(seeded(spark, sf_dir))
+
+
+register(
+    "gt01_exit_codes",
+    lambda spark, sf_dir: scored(spark, sf_dir).select("doc_id", gate.exit_code(F.col("action"), F.col("compliance_hit"), True).alias("gated"), gate.exit_code(F.col("action"), F.col("compliance_hit"), False).alias("ungated")),
+    C.gate_sql(),
+)
+register(
+    "gt02_strategies",
+    lambda spark, sf_dir: scored(spark, sf_dir).select("doc_id", *[gate.needs_model(s, F.col("score")).cast("int").alias(n) for s, n in (("auto", "auto_llm"), ("rules", "rules"), ("rules+llm", "rules_llm"))]),
+    C.strategy_sql(),
+)
+register("gt03_strict", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", gate.strict_code(F.col("text")).alias("code")), C.strict_sql())
+register("gt07_structured", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", gate.structured(F.col("text")).cast("int").alias("structured")), C.structured_sql())
+register("gt06_eligible", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", gate.eligible(F.col("text"), 40, 0.01).cast("int").alias("eligible")), C.eligible_sql())
+register("gt08_delivery", lambda spark, sf_dir: gate.with_delivery(seeded(spark, sf_dir)).select("doc_id", "route", "candidate_score", F.md5(F.col("delivered").cast("binary")).alias("md5")))
+register("lm02_strip_thinking", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(model.without_thinking(F.col("text")).cast("binary")).alias("md5")), C.thinking_sql())
+register(
+    "lm04_model_rewrite",
+    lambda spark, sf_dir: model.rewrite_with_model(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")), model.mock_transport).select("conv_id", "turn", F.length("model_text").alias("n")),
+)
+register("io07_json_report", lambda spark, sf_dir: files.json_reports(scored(spark, sf_dir), "score", "action").select("doc_id", "report"), C.report_sql())
+register(
+    "ac01_acceptance",
+    lambda spark, sf_dir: scored(spark, sf_dir).groupBy((F.col("doc_id") % 70 < 35).cast("int").alias("half")).agg(
+        F.count("*").alias("n"), F.count_if((F.col("raw") > 0) | F.col("compliance_hit")).alias("dirty"), F.min("score").alias("least"), F.max("score").alias("most")
+    ),
+    C.acceptance_sql(),
+)
+
+# --- implicit relational operators ---
+
+
+def words_frame(spark: SparkSession, words: list[str]) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in words], "w string")
+
+
+def domain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by profile and domain word: the words are a fixed small table."""
+    rows = [(s, w) for s, p in V.PROFILES.items() for w in p.get("domain", [])]
+    domain = F.broadcast(spark.createDataFrame(rows, "profile string, word string"))
+    return seeded(spark, sf_dir).join(domain, F.contains("text", "word")).groupBy("profile", "word").agg(F.count("*").alias("docs"))
+
+
+register("im01_anti_join", lambda spark, sf_dir: words_frame(spark, V.RESIDUAL_WORDS).join(words_frame(spark, V.TIER1_ZH), "w", "left_anti"), C.anti_sql())
+register("im02_domain_join", domain_query, C.domain_sql())
+register("im03_span_cover", lambda spark, sf_dir: score.with_body(seeded(spark, sf_dir)).select("doc_id", F.explode(H.word_spans(H.unquoted(F.col("body")), V.HARD_SLANG)).alias("s")).groupBy("doc_id", F.col("s.t").alias("word")).agg(F.count("*").alias("n")), C.covered_sql())
+register("im04_having", lambda spark, sf_dir: score.hit_rows(scored(spark, sf_dir)).groupBy("doc_id", "category").agg(F.count("*").alias("n")).filter("n >= 2"), C.having_sql())
+register("im06_ordered_distinct", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z]{2,}"), 0))), "|").alias("acronyms")), C.distinct_sql())
+register("im09_preview", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.substring("text", 1, 50).alias("preview")), C.preview_sql())

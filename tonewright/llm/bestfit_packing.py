@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from operator import concat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from tonewright.llm.shared import cut, read_table, shuffle_partitions, text_bloc
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+BLOCK_BYTES = 5_000_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -96,7 +98,8 @@ class WordIds:
     between them, whose id no piece without that character has.
     """
 
-    PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+    #: A line: letters and marks of a plain word, or whatever else it is.
+    PLAIN = re.compile(rb"^(?:((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-&(-/:-@\[-`{-~]*+)$|(.+)$)", re.M)
     DIVIDER = "|"
 
     def __init__(self, path: str):
@@ -126,29 +129,23 @@ class WordIds:
 
     def meet(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of all words of a block."""
-        new = self.words.missing(words)
+        new = list(self.words.missing(words))
         if new:
-            plain, split = self.PLAIN.fullmatch, {}
-            for word in new:
-                found = plain(word)
-                if found:
-                    letters, marks = found.groups()
-                    letters = letters.lower() if letters.isascii() else letters.decode("utf-8").lower().encode("utf-8")
-                    split[word] = (letters, marks) if marks else (letters,)
-                else:
-                    split[word] = (word,)
-            unknown = list(self.pieces.missing({p for pieces in split.values() for p in pieces}))
+            rows = self.PLAIN.findall(b"\n".join(new))
+            letters = b"\n".join([r[0] for r in rows]).decode("utf-8").lower().encode("utf-8").split(b"\n")
+            first = [a or r[2] for a, r in zip(letters, rows, strict=True)]
+            marks = [r[1] for r in rows]
+            unknown = list(self.pieces.missing({*first, *marks}))
             for start in range(0, len(unknown), 50_000):
                 part = unknown[start : start + 50_000]
                 self.pieces.new.update(zip(part, self.encode(part), strict=True))
-            known = self.pieces.new
-            for word, pieces in split.items():
-                self.words.new[word] = known[pieces[0]] + known[pieces[1]] if len(pieces) == 2 else known[pieces[0]]
+            known = self.pieces.new.__getitem__
+            self.words.new.update(zip(new, map(concat, map(known, first), map(known, marks)), strict=True))
         return self.words.new
 
     def of_texts(self, texts: list[bytes | None]):
         """Ids of each text."""
-        for start, end in text_blocks(texts):
+        for start, end in text_blocks(texts, BLOCK_BYTES):
             split = [t.split() if t else [] for t in texts[start:end]]
             known = self.meet(set().union(*split)).__getitem__
             for words in split:

@@ -138,7 +138,7 @@ def test_search_is_exact_when_all_leaves_are_visited(spark):
     rows += [(1000 + 20 * i, rows[40][1]) for i in range(40)]  # many copies
     rows += [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [1.0, None] + [0.0] * 6), (480, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
-    found = ann_forest.nearest(df, F.col("vec_id") % 20 == 0, 20, trees=3, leaf_rows=16, visits=1000, slice_rows=32).collect()
+    found = ann_forest.nearest(df, F.col("vec_id") % 20 == 0, 20, trees=3, leaf_rows=16, target=1.0, slice_rows=32).collect()
     want = brute_nearest(rows, 20)
     got = {}
     for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):

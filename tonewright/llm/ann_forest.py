@@ -4,9 +4,13 @@ The trees are fitted on a bounded sample of distinct vectors (`sample` rows, by
 through pairs of sampled points, cut at the median. To search by inner product, vectors are lifted by one
 coordinate that gives all the same norm (queries get zero there), so large products mean small angles. Every
 distinct vector is sent down every tree to a leaf. A query walks all trees at once through one priority queue
-ordered by the worst margin on the way, and takes leaves until they hold `visits` leaves' worth of rows and
-enough candidates. Leaves and their queries meet by a join on (tree, leaf, slice); slices keep a leaf of any
-size in bounded pieces. Candidates are reranked by the exact product in double precision.
+ordered by the worst margin on the way, and takes leaves until they hold a share of all rows. That share is
+measured: probes of the sample are searched exactly within it, and the share is what finds `target` of their
+neighbours. Clustered vectors need little of the table; for vectors without structure no tree can say where
+to look, and the share becomes large. Leaves and their queries meet on (tree, leaf, slice); slices keep a leaf
+of any size in bounded pieces. Candidates are reranked by the exact product in double precision. Each query
+is also compared with `BOUND_ROWS` sampled vectors: their best are candidates, and what is worse than the
+last of them need not be sent on.
 
 Copies: of equal vectors only the `k` + 1 smallest ids can be among a query's nearest, so rows are first
 brought to distinct vectors with those ids, within each batch and then across the table. Equal queries are
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 from tonewright.llm.shared import cut, read_table, shuffle_partitions
 
 K = 20
-TREES = 12
+TREES = 4
 SAMPLE = 40_000
-LEAF_ROWS = 96  # of the sample
-VISITS = 160
+LEAF_ROWS = 256  # of the sample
+TARGET = 0.97  # of the sample's neighbours to be found, when the share of rows to visit is chosen
+PROBES = 96
+BOUND_ROWS = 4096
 SLICE_ROWS = 4096
 
 
@@ -106,36 +112,52 @@ class Forest:
         rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", scaled, scaled)))
         return np.concatenate([scaled, rest[:, None]], axis=1)
 
-    def visit(self, point: np.ndarray, held: list[np.ndarray], visits: int, least: int) -> list[tuple[int, int]]:
-        """Leaves (tree, leaf) taken by one queue over all trees, until they hold enough rows."""
+    def visit(self, point: np.ndarray, held: list[np.ndarray], rows_wanted: float) -> list[tuple[int, int]]:
+        """Leaves (tree, leaf) with rows, in the order of one queue over all trees, until they hold enough."""
         queue = [(-np.inf, t, 0 if len(tree.left) else -1) for t, tree in enumerate(self.trees)]
         heapq.heapify(queue)
-        shown = [tree.directions @ point - tree.offsets for tree in self.trees]
+        shown = [(tree.directions @ point - tree.offsets).tolist() for tree in self.trees]
         found, rows = [], 0
-        mean = sum(int(h.sum()) for h in held) / max(1, sum(len(h) for h in held))
-        while queue and (rows < visits * mean or rows < least * len(self.trees)):
+        while queue and rows < rows_wanted:
             bound, t, node = heapq.heappop(queue)
-            tree, margins = self.trees[t], shown[t]
+            left, right, margins = self.trees[t].left, self.trees[t].right, shown[t]
             while node >= 0:
                 m = margins[node]
-                near, far = (tree.right[node], tree.left[node]) if m > 0 else (tree.left[node], tree.right[node])
+                near, far = (int(right[node]), int(left[node])) if m > 0 else (int(left[node]), int(right[node]))
                 heapq.heappush(queue, (max(bound, abs(m)), t, far))
                 node = near
-            leaf = -1 - node
-            if held[t][leaf]:
-                found.append((t, int(leaf)))
-                rows += int(held[t][leaf])
+            if held[t][-1 - node]:
+                found.append((t, -1 - node))
+                rows += int(held[t][-1 - node])
         return found
 
+    def share_for(self, points: np.ndarray, k: int, target: float) -> float:
+        """Share of all rows to visit so that `target` of the k nearest of sampled probes are found within the sample."""
+        if len(points) <= k + 1:
+            return 1.0
+        lifted = self.lift(points, query=False)
+        where = [tree.leaf_of(lifted) for tree in self.trees]
+        held = [np.bincount(w, minlength=tree.leaves) for w, tree in zip(where, self.trees, strict=True)]
+        needed = []
+        for i in range(0, len(points), max(1, len(points) // PROBES)):
+            scores = points @ points[i]
+            scores[i] = -np.inf
+            first = [np.full(tree.leaves, np.inf) for tree in self.trees]
+            rows = 0
+            for t, leaf in self.visit(self.lift(points[i : i + 1], query=True)[0], held, np.inf):
+                rows += held[t][leaf]
+                first[t][leaf] = rows
+            for j in np.argpartition(-scores, k)[:k]:
+                needed.append(min(first[t][where[t][j]] for t in range(len(self.trees))))
+        return min(1.0, float(np.quantile(needed, target)) / (len(points) * len(self.trees)))
+
 
 def usable(rows: DataFrame) -> DataFrame:
     """vec_id and v (array of doubles) of the rows that take part, an id once."""
     v = F.col("embedding").cast("array<double>")
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     fit = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     fit = fit.filter(F.forall("v", lambda x: x.isNotNull())).filter(F.exists("v", lambda x: x != 0))
     fit = fit.filter(F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))))
-    del sound
     return fit.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -164,15 +186,39 @@ def gathered(ids: DataFrame, keep: int | None) -> DataFrame:
     return whole if keep is None else whole.withColumn("ids", F.slice("ids", 1, keep))
 
 
-def fit_forest(distinct: DataFrame, trees: int, sample: int, leaf_rows: int) -> Forest:
-    """Trees from at most `sample` distinct vectors, the smallest by hash."""
-    held = distinct.select("v", "k1").orderBy("k1").limit(sample).collect()
+def fit_forest(distinct: DataFrame, trees: int, sample: int, leaf_rows: int) -> tuple[Forest, np.ndarray, list[list[int]]]:
+    """Trees from at most `sample` distinct vectors, the smallest by hash; also these vectors and their ids."""
+    held = distinct.select("v", "ids", "k1").orderBy("k1").limit(sample).collect()
     norms = distinct.select("v").mapInArrow(_norms, "norm double").agg(F.max("norm")).first()[0] or 1.0
     points = np.array([np.frombuffer(r["v"]) for r in held])
     forest = Forest([], norms)
     lifted = forest.lift(points, query=False)
     forest.trees = [grow(lifted, leaf_rows, seed) for seed in range(trees)]
-    return forest
+    return forest, points, [r["ids"] for r in held]
+
+
+def best_of(points: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best rows of `base` for each point (all, if fewer), and their exact products."""
+    scores = points @ base.T
+    take = min(k, scores.shape[1])
+    top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+    return top, np.einsum("ij,ikj->ik", points, base[top])
+
+
+def lists_of(rows: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """Values as lists, by ascending row number."""
+    offsets = np.zeros(n + 1, np.int32)
+    np.cumsum(np.bincount(rows, minlength=n), out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def expanded(rows: np.ndarray, places: np.ndarray, scores: np.ndarray, names: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and score of every id of the places."""
+    counts = np.fromiter(map(len, names), np.int64, len(names))
+    flat = np.fromiter((i for x in names for i in x), np.int64, int(counts.sum()))
+    starts, own = (np.cumsum(counts) - counts)[places], counts[places]
+    inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    return np.repeat(rows, own), flat[np.repeat(starts, own) + inner], np.repeat(scores, own)
 
 
 def _norms(batches):
@@ -181,7 +227,7 @@ def _norms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(r)) for r in rows], pa.float64())], names=["norm"])
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TREES, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, visits: int = VISITS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TREES, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, target: float = TARGET, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found among all other rows."""
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
@@ -192,7 +238,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
         return spark.createDataFrame([], out)
     rows = rows.filter(F.size("v") == length["n"])
     distinct = cut(gathered(rows, k + 1))
-    forest = spark.sparkContext.broadcast(fit_forest(distinct, trees, sample, leaf_rows))
+    fitted, points, names = fit_forest(distinct, trees, sample, leaf_rows)
+    share = fitted.share_for(points, k, target) if target < 1 else 1.0
+    # Bounded by `sample` and BOUND_ROWS, whatever the table.
+    forest = spark.sparkContext.broadcast(fitted)
+    bounds = spark.sparkContext.broadcast((points[:BOUND_ROWS], names[:BOUND_ROWS]))
 
     def place(batches):
         for batch in batches:
@@ -212,6 +262,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
     for r in leaves:
         held[r["tree"]][r["leaf"]] = r["n"]
     slices = [np.maximum(1, -(-h // slice_rows)) for h in held]
+    wanted = share * sum(int(h.sum()) for h in held)
     shared = spark.sparkContext.broadcast((held, slices))
 
     def walk(batches):
@@ -219,15 +270,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
             raw = batch.column(2).to_pylist()
             if not raw:
                 continue
-            lifted = forest.value.lift(np.frombuffer(b"".join(raw)).reshape(len(raw), -1), query=True)
+            own = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
             held_, slices_ = shared.value
-            found = [(t, leaf, s, i) for i, point in enumerate(lifted) for t, leaf in forest.value.visit(point, held_, visits, k + 1) for s in range(slices_[t][leaf])]
+            _, scores = best_of(own, bounds.value[0], k + 1)
+            least = scores.min(axis=1) if scores.shape[1] > k else np.full(len(raw), -np.inf)
+            found = [(t, leaf, s, i) for i, point in enumerate(forest.value.lift(own, query=True)) for t, leaf in forest.value.visit(point, held_, wanted) for s in range(slices_[t][leaf])]
             at = pa.array([f[3] for f in found], pa.int64())
-            columns = [*(pa.array([f[j] for f in found], pa.int32()) for j in range(3)), *(batch.column(j).take(at) for j in (0, 1, 2))]
-            yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "q1", "q2", "q"])
+            columns = [*(pa.array([f[j] for f in found], pa.int32()) for j in range(3)), *(batch.column(j).take(at) for j in (0, 1, 2)), pa.array(least).take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "q1", "q2", "q", "least"])
+
+    def sampled(batches):
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            if raw:
+                base, names_ = bounds.value
+                top, scores = best_of(np.frombuffer(b"".join(raw)).reshape(len(raw), -1), base, k + 1)
+                rows_, ids, values = expanded(np.repeat(np.arange(len(raw)), top.shape[1]), top.ravel(), scores.ravel(), names_)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists_of(rows_, ids, len(raw)), lists_of(rows_, values, len(raw))], names=["q1", "q2", "ids", "scores"])
 
     queries = cut(gathered_keys(rows.filter(is_query)))
-    asked = queries.select("k1", "k2", "v").distinct().mapInArrow(walk, "tree int, leaf int, slice int, q1 long, q2 long, q binary")
+    asking = queries.select("k1", "k2", "v").distinct()
+    asked = asking.mapInArrow(walk, "tree int, leaf int, slice int, q1 long, q2 long, q binary, least double")
+    at_least = asking.mapInArrow(sampled, "q1 long, q2 long, ids array<long>, scores array<double>")
 
     def sliced(batches):
         for batch in batches:
@@ -238,8 +302,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
             yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "v", "ids"])
 
     side = placed.mapInArrow(sliced, "tree int, leaf int, slice int, v binary, ids array<long>")
-    both = side.select("tree", "leaf", "slice", "v", "ids", F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q2"))
-    both = both.unionByName(asked.select("tree", "leaf", "slice", F.col("q").alias("v"), F.lit(None).cast("array<long>").alias("ids"), "q1", "q2"))
+    both = side.select("tree", "leaf", "slice", "v", "ids", F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q2"), F.lit(None).cast("double").alias("least"))
+    both = both.unionByName(asked.select("tree", "leaf", "slice", F.col("q").alias("v"), F.lit(None).cast("array<long>").alias("ids"), "q1", "q2", "least"))
     # A slice's candidates come first (its queries have q1), so one pass over sorted rows serves both.
     met = both.repartition(parts * 2, "tree", "leaf", "slice").sortWithinPartitions("tree", "leaf", "slice", F.col("q1").isNotNull())
 
@@ -250,25 +314,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
             if not waiting or not stored:
                 return None
             base = np.frombuffer(b"".join(stored)).reshape(len(stored), -1)
-            points = np.frombuffer(b"".join(w[2] for w in waiting)).reshape(len(waiting), -1)
-            scores = points @ base.T
-            rows_: list[list] = [[], [], [], []]
-            take = min(k + 1, scores.shape[1])
-            for (q1, q2, _), line, point in zip(waiting, scores, points, strict=True):
-                kth = np.partition(line, len(line) - take)[len(line) - take]
-                top = np.flatnonzero(line >= kth - 1e-9 * max(1.0, abs(kth)))
-                exact = [float(np.dot(point, base[i])) for i in top]
-                pairs = sorted((-s, i) for s, at in zip(exact, top, strict=True) for i in names[at])[: k + 1]
-                rows_[0].append(q1)
-                rows_[1].append(q2)
-                rows_[2].append([p[1] for p in pairs])
-                rows_[3].append([-p[0] for p in pairs])
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows_, kinds, strict=True)], names=["q1", "q2", "ids", "scores"])
+            own = np.frombuffer(b"".join(w[2] for w in waiting)).reshape(len(waiting), -1)
+            top, scores = best_of(own, base, k + 1)
+            good = scores >= np.array([w[3] for w in waiting])[:, None] - 1e-9
+            rows_, at = np.nonzero(good)
+            rows_, ids, values = expanded(rows_, top[rows_, at], scores[rows_, at], names)
+            keys = (pa.array([w[j] for w in waiting], pa.int64()) for j in (0, 1))
+            return pa.RecordBatch.from_arrays([*keys, lists_of(rows_, ids, len(waiting)), lists_of(rows_, values, len(waiting))], names=["q1", "q2", "ids", "scores"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for t, leaf, s, v, ids, q1, q2 in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for t, leaf, s, v, ids, q1, q2, least in zip(*columns, strict=True):
                 if (t, leaf, s) != where:
                     if (out_ := flush()) is not None:
                         yield out_
@@ -277,7 +333,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
                     stored.append(v)
                     names.append(ids)
                 else:
-                    waiting.append((q1, q2, v))
+                    waiting.append((q1, q2, v, least))
                     if len(waiting) >= 256:
                         if (out_ := flush()) is not None:
                             yield out_
@@ -285,16 +341,30 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
         if (out_ := flush()) is not None:
             yield out_
 
-    scored = met.mapInArrow(rerank, "q1 long, q2 long, ids array<long>, scores array<double>")
+    scored = met.mapInArrow(rerank, "q1 long, q2 long, ids array<long>, scores array<double>").filter(F.size("ids") > 0).unionByName(at_least)
 
     # A query's lists, one a visited slice, are merged to its k + 1 best, ties to the smaller id.
-    merged = scored.groupBy("q1", "q2").agg(F.collect_list(F.arrays_zip("scores", "ids")).alias("lists"))
-    flat = F.array_distinct(F.transform(F.flatten("lists"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i"))))
-    best = merged.select("q1", "q2", F.slice(F.array_sort(flat), 1, k + 1).alias("best"))
+    def merge(batches):
+        for batch in batches:
+            best_ids, best_scores = [], []
+            for ids, scores in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                names, values = np.concatenate(ids), np.concatenate(scores)
+                names, first = np.unique(names, return_index=True)
+                values = values[first]
+                order = np.lexsort((names, -values))[: k + 1]
+                best_ids.append(names[order].tolist())
+                best_scores.append(values[order].tolist())
+            columns = [batch.column(0), batch.column(1), pa.array(best_ids, pa.list_(pa.int64())), pa.array(best_scores, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["q1", "q2", "ids", "scores"])
+
+    lists = scored.groupBy("q1", "q2").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
+    merged = lists.mapInArrow(merge, "q1 long, q2 long, ids array<long>, scores array<double>")
+    pairs = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct(x["scores"].alias("s"), x["ids"].alias("i")))
+    best = merged.select("q1", "q2", pairs.alias("best"))
     each = queries.select("k1", "k2", F.explode("ids").alias("query_id")).join(best, (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")))
     own = F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, k)
     ranked = each.select("query_id", F.posexplode(own).alias("at", "hit"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.i").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.i").alias("vec_id"), F.col("hit.s").alias("score"))
 
 
 def gathered_keys(rows: DataFrame) -> DataFrame:

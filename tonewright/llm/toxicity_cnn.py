@@ -151,11 +151,10 @@ def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int
     filters = [np.zeros((k, WIDTH, FILTERS), np.float32) for k in KERNELS]
     if len(rows) < 10 or len(set(labels.tolist())) < 2:
         return ToxicityModel(np.zeros((BUCKETS, WIDTH), np.float32), filters, np.zeros(size), np.zeros(size), 0.0, trained=False)
-    texts = [WORD.findall((t or "").lower()) for t, _, _ in rows]
-    words = sorted(set().union(*texts))
-    place = {w: i for i, w in enumerate(words)}
-    ids = np.array([buckets(w) for w in words]).reshape(len(words), 3)
-    sequences = [np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in texts]
+    place: dict[str, int] = {}
+    sequences = [np.array([place.setdefault(w, len(place)) for w in WORD.findall((t or "").lower())], np.int32) for t, _, _ in rows]
+    ids = np.array([buckets(w) for w in place], np.int32).reshape(len(place), 3)
+    place.clear()
     judged = np.arange(len(rows)) % 5 == 4
     learned = np.flatnonzero(~judged)
 

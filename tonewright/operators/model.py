@@ -104,7 +104,9 @@ def parse_detections(reply: Column) -> Column:
     item = "array<struct<pattern_id:string,pattern_name:string,confidence:double,matched_text:string,suggestion:string>>"
     bare = F.trim(F.regexp_replace(reply, F.lit(r"(?m)^```\w*\s*$"), F.lit("")))
     nested = F.from_json(bare, f"struct<detections:{item},results:{item},items:{item}>")
-    return F.coalesce(F.from_json(bare, item), nested["detections"], nested["results"], nested["items"], F.expr(f"cast(array() as {item})"))
+    # An object read as a list would be one item without fields.
+    listed = F.when(F.startswith(bare, F.lit("[")), F.from_json(bare, item))
+    return F.coalesce(listed, nested["detections"], nested["results"], nested["items"], F.expr(f"cast(array() as {item})"))
 
 
 MOCK_WORD = "值得注意的是"

@@ -68,7 +68,7 @@ SNIPPETS = [
     "我家猫😀😀😀 #养猫 #日常 我拍了照啊吧呢嘛哈诶！我去买菜，我摸它。",
     "```python\nprint('赋能')\n```\n用 `git` 和 `make`，见 https://a.example/b/ 与 /usr/bin/ 。v1.0.2 的 P99 延迟 3 ms。\n- a\n- b\n1. c",
     "你好,世界!真的吗?是的...好( 括号 )吧;对:完. 版本1.2,数字 a,b 。。你 好 世 界 ！！",
-    "零宽​字‌符﻿，全角ＡＢＣ１２３，兼容豈。",
+    "零宽\u200b字\u200c符\ufeff，全角ＡＢＣ１２３，兼容\uf900。",
     "的的的的的的的的的的的的的的的的的的的的的的很多。",
     "<think>Let me analyze this draft.</think>\n正文在此。\n✓ 已检查\nLet me re-check the strict rules now.\n正文在此。",
     "全面赋能核心业务，打造数智化新生态，夯实底层基座，为核心业务提供战略支撑，助力业务价值最大化落地。",

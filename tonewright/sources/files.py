@@ -5,6 +5,9 @@ Sources are never overwritten: what the command line calls in-place repair write
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +55,6 @@ def json_reports(df: DataFrame, *columns: str) -> DataFrame:
 
 def unified_diff(before: str, after: str):
     """Column: unified diff of two text columns, line by line."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         lines = lambda t: (t or "").splitlines(keepends=True)

@@ -222,3 +222,57 @@ def with_rewrite(df: DataFrame, text: str = "text", scene: str = "base") -> Data
     del scene
     df = df.withColumn("rewritten", rewritten(F.coalesce(F.col(text), F.lit(""))))
     return df.withColumn("changed", F.col("rewritten") != F.coalesce(F.col(text), F.lit("")))
+
+
+# --- single patterns as Columns ---
+
+
+def ordinals_deleted(text: Column) -> Column:
+    """p10: Chinese ordinals go; English ones go but for a comma after them."""
+    text = F.regexp_replace(text, F.lit(longest_first(R.ORDINALS_ZH)), F.lit(""))
+    text = F.regexp_replace(text, F.lit(java(f"(?:{longest_first(R.ORDINALS_EN)})[,，]", True)), F.lit(","))
+    # A marker keeps commas just left behind from being looked at again: the second pass takes bare ordinals only.
+    return F.regexp_replace(text, F.lit(java(f"(?:{longest_first(R.ORDINALS_EN)})", True)), F.lit(""))
+
+
+def verbs_freed(text: Column) -> Column:
+    """p14 in Chinese: the light verb goes, the verb stays."""
+    for light, verbs in R.VERBS.items():
+        text = F.regexp_replace(text, F.lit(f"{light}({verbs})"), F.lit("$1"))
+    return text
+
+
+def plain_words(text: Column) -> Column:
+    """p17: formal words by plain ones."""
+    for formal, plain in R.PLAIN_ZH.items():
+        text = F.replace(text, F.lit(formal), F.lit(plain))
+    for formal, plain in R.PLAIN_EN.items():
+        text = F.regexp_replace(text, F.lit(java(rf"\b{formal}\b", True)), F.lit(plain))
+    return text
+
+
+def subjects_replaced(text: Column) -> Column:
+    """p26: an English subject of a Chinese sentence becomes a Chinese one."""
+    return F.regexp_replace(text, F.lit(java(rf"(?:{R.ENGLISH_SUBJECTS})\s+([^。]*?[。！])", True)), F.lit("系统$1"))
+
+
+def chain_deleted(text: Column, patterns: list[str]) -> Column:
+    """Patterns deleted one after another, case counts."""
+    for p in patterns:
+        text = F.regexp_replace(text, F.lit(java(p)), F.lit(""))
+    return text
+
+
+LISTED_DELETIONS = V.CLOSERS + V.CLOSERS_EN + V.ABSTRACT_SUBJECTS + V.ABSTRACT_SUBJECTS_EN + V.CONNECTORS_EN + V.IDIOMS + V.DENSITY + V.MODIFIERS
+
+
+def leftovers_cleaned(text: Column) -> Column:
+    for pattern, by in R.LEFTOVERS:
+        text = F.regexp_replace(text, F.lit(java(pattern)), F.lit(by))
+    return text
+
+
+def finally_cleaned(text: Column) -> Column:
+    for pattern, by in (("。{2,}", "。"), (r"\.{2,}", "."), (r"\A[，,。！？\s]+", "")):
+        text = F.regexp_replace(text, F.lit(java(pattern)), F.lit(by))
+    return text

@@ -522,3 +522,89 @@ def distinct_sql() -> str:
 
 def preview_sql() -> str:
     return f"WITH {SEEDED_SQL} SELECT doc_id, substr(text, 1, 50) AS preview FROM seeded"
+
+
+# --- single rewriting patterns and the rest ---
+
+
+def digest_sql(expression: str) -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, length(o) AS n, md5(o) AS md5 FROM (SELECT doc_id, {expression} AS o FROM seeded)"
+
+
+def rewriting_sql() -> dict[str, str]:
+    from tonewright.functions import rewrite_values as R
+
+    longest = lambda listed: "|".join(sorted(listed, key=len, reverse=True))
+    plain = "text"
+    for a, b in R.PLAIN_ZH.items():
+        plain = f"replace({plain}, {q(a)}, {q(b)})"
+    plain = chain(plain, [(rf"(?i)\b{a}\b", b) for a, b in R.PLAIN_EN.items()])
+    from tonewright.operators.rewrite import LISTED_DELETIONS
+
+    return {
+        "rw12_delete_p10": digest_sql(chain("text", [(longest(R.ORDINALS_ZH), ""), (f"(?i)(?:{longest(R.ORDINALS_EN)})[,，]", ","), (f"(?i)(?:{longest(R.ORDINALS_EN)})", "")])),
+        "rw16_verbs_p14": digest_sql(chain("text", [(f"{light}({verbs})", r"\1") for light, verbs in R.VERBS.items()])),
+        "rw19_plain_p17": digest_sql(plain),
+        "rw28_subjects_p26": digest_sql(chain("text", [(rf"(?i)(?:{R.ENGLISH_SUBJECTS})\s+([^。]*?[。！])", r"系统\1")])),
+        "rw31_mechanical": digest_sql(chain("text", [(p, "") for p in V.MECHANICAL])),
+        "rw35_listed": digest_sql(chain("text", [(p, "") for p in LISTED_DELETIONS])),
+        "rw36_leftovers": digest_sql(chain("text", R.LEFTOVERS)),
+        "rw39_final": digest_sql(chain("text", [("。{2,}", "。"), (r"\.{2,}", "."), (r"^[，,。！？\s]+", "")])),
+    }
+
+
+def keyword_sql(listed: list[str]) -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, array_to_string({words('text', listed)}, '|') AS found FROM seeded"
+
+
+def counts_sql() -> str:
+    abstract = " + ".join(f"(length(text) - length(replace(text, {q(w)}, ''))) // {len(w)}" for w in V.ABSTRACT_WORDS)
+    specific = " + ".join(f"len(regexp_extract_all(text, {q(p)}))" for p in V.SPECIFIC)
+    return f"WITH {SEEDED_SQL} SELECT doc_id, ({abstract})::BIGINT AS abstract_words, ({specific})::BIGINT AS specifics FROM seeded"
+
+
+def accessor_sql() -> str:
+    rows = ", ".join(f"({q(s)}, {q(k)}, {v})" for s, p in V.PROFILES.items() for k, v in p.get("penalties", {}).items())
+    off = ", ".join(f"({q(s)}, {q(c)})" for s, p in V.PROFILES.items() for c in p.get("off", []))
+    scenes = ", ".join(f"({q(s)})" for s in V.PROFILES)
+    keys = ", ".join(f"({q(k)})" for k in ACCESSOR_KEYS)
+    return (
+        f"SELECT s AS scene, k AS key, coalesce(v, 9) AS penalty, (o.c IS NOT NULL)::INT AS off FROM (VALUES {scenes}) a(s) CROSS JOIN (VALUES {keys}) b(k) "
+        f"LEFT JOIN (VALUES {rows}) p(ps, pk, v) ON ps = s AND pk = k LEFT JOIN (VALUES {off}) o(os, c) ON os = s AND c = k"
+    )
+
+
+ACCESSOR_KEYS = ["p27_over_colloquial", "p28_body_reaction", "mechanical_ordering", "symmetry_fillers", "tier1_zh"]
+WHITELIST = ["今天天气不错，我们去河边走了走。", "总之就是这样。总之算了！"]
+
+
+def whitelist_sql() -> str:
+    listed = ", ".join(map(q, WHITELIST))
+    return f"WITH {SEEDED_SQL} SELECT doc_id FROM seeded WHERE string_split(text, chr(10))[1] IN ({listed})"
+
+
+def top_scenes_sql() -> str:
+    inner = scene_sql(["score_social-note", "score_health-content", "score_tech-doc"])
+    return (
+        f"SELECT doc_id, name, score, rank FROM (SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord)::INT AS rank FROM ("
+        f"SELECT doc_id, unnest([score_social_note, score_health_content, score_tech_doc]) AS score, unnest(['social-note', 'health-content', 'tech-doc']) AS name, unnest([0, 1, 2]) AS ord FROM ({inner}))) WHERE rank <= 2"
+    )
+
+
+def gate_density_sql() -> str:
+    return f"SELECT doc_id, should_rewrite AS code FROM ({density_sql()})"
+
+
+def preview_scene_sql() -> str:
+    rows = ", ".join(f"({q(s)}, {q(p['label'])}, {p['policy'][0]}, {p['policy'][1]}, {p['policy'][2]}, {q(','.join(p.get('compliance', [])))})" for s, p in V.PROFILES.items())
+    return f"SELECT doc_id, x.scene, label, warn_at, rewrite_at, block_at, compliance FROM ({scene_sql(['scene'])}) x JOIN (VALUES {rows}) p(scene, label, warn_at, rewrite_at, block_at, compliance) ON p.scene = x.scene"
+
+
+def prompt_sql() -> str:
+    from tonewright.operators.model import INSTRUCTIONS
+
+    return f"WITH {SEEDED_SQL} SELECT doc_id, {q(INSTRUCTIONS)} AS system, md5('---' || chr(10) || text || chr(10) || '---') AS user_md5 FROM seeded"
+
+
+def item_length_sql() -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, max(length(regexp_replace(s, {q(f'^{V.WRAPPERS}+|{V.WRAPPERS}+$')}, '', 'g')))::BIGINT AS longest FROM (SELECT doc_id, unnest(string_split_regex(text, '[、，,]')) AS s FROM seeded) GROUP BY 1"

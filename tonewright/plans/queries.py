@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tonewright.functions import fixed_values as V
+from tonewright.functions.text import present
 from tonewright.operators import detect, gate, model, paragraphs, phrases, professional, punctuation, rewrite, scene, score, watermark
 from tonewright.operators import hits as H
 from tonewright.plans import checks as C
@@ -366,3 +369,107 @@ register("im03_span_cover", lambda spark, sf_dir: score.with_body(seeded(spark,
 register("im04_having", lambda spark, sf_dir: score.hit_rows(scored(spark, sf_dir)).groupBy("doc_id", "category").agg(F.count("*").alias("n")).filter("n >= 2"), C.having_sql())
 register("im06_ordered_distinct", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z]{2,}"), 0))), "|").alias("acronyms")), C.distinct_sql())
 register("im09_preview", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.substring("text", 1, 50).alias("preview")), C.preview_sql())
+
+# --- single rewriting patterns and the rest of the inventory ---
+
+_REWRITING = {
+    "rw12_delete_p10": rewrite.ordinals_deleted, "rw16_verbs_p14": rewrite.verbs_freed, "rw19_plain_p17": rewrite.plain_words, "rw28_subjects_p26": rewrite.subjects_replaced,
+    "rw31_mechanical": lambda t: rewrite.chain_deleted(t, V.MECHANICAL), "rw35_listed": lambda t: rewrite.chain_deleted(t, rewrite.LISTED_DELETIONS),
+    "rw36_leftovers": rewrite.leftovers_cleaned, "rw39_final": rewrite.finally_cleaned,
+}
+for _name, _make in _REWRITING.items():
+    register(_name, digest(_make), C.rewriting_sql()[_name])
+
+
+@F.pandas_udf(StringType())
+def markdown_column(texts: pd.Series) -> pd.Series:
+    return texts.map(rewrite.rewrite_markdown)
+
+
+def keyword_query(listed: list[str]) -> Query:
+    return lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.array_join(present(F.col("text"), listed), "|").alias("found"))
+
+
+register("rl12_strong_keywords", keyword_query(V.STRONG_KEYWORDS), C.keyword_sql(V.STRONG_KEYWORDS))
+register("rl13_weak_keywords", keyword_query(V.WEAK_KEYWORDS), C.keyword_sql(V.WEAK_KEYWORDS))
+
+
+def counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = professional.with_counts(seeded(spark, sf_dir))
+    return df.select("doc_id", F.col("__abstract").cast("long").alias("abstract_words"), F.col("__specific").cast("long").alias("specifics"))
+
+
+register("rl15_rl16_counts", counts_query, C.counts_sql())
+
+
+def accessor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(s, k, p.get("penalties", {}).get(k, 9), int(k in p.get("off", []))) for s, p in V.PROFILES.items() for k in C.ACCESSOR_KEYS]
+    return spark.createDataFrame(rows, "scene string, key string, penalty int, off int")
+
+
+register("sn13_accessors", accessor_query, C.accessor_sql())
+
+
+def whitelist_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose first line is a golden input: a semi-join with a fixed small table."""
+    golden = F.broadcast(spark.createDataFrame([(w,) for w in C.WHITELIST], "line string"))
+    df = seeded(spark, sf_dir).withColumn("line", F.element_at(F.split("text", "\n"), 1))
+    return df.join(golden, "line", "left_semi").select("doc_id")
+
+
+register("im07_whitelist", whitelist_query, C.whitelist_sql())
+
+
+def top_scenes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = scene.with_scene(seeded(spark, sf_dir))
+    each = F.array(*[F.struct((-F.col(f"score_{s}")).alias("back"), F.lit(i).alias("no"), F.lit(s).alias("name")) for i, s in enumerate(scene.SCENES)])
+    top = df.select("doc_id", F.posexplode(F.slice(F.array_sort(each), 1, 2)).alias("at", "x"))
+    return top.select("doc_id", F.col("x.name").alias("name"), F.round(-F.col("x.back"), 6).alias("score"), (F.col("at") + 1).cast("int").alias("rank"))
+
+
+register("im05_top_scenes", top_scenes_query, C.top_scenes_sql())
+register("gt04_density_code", lambda spark, sf_dir: density_query(spark, sf_dir).select("doc_id", F.col("should_rewrite").alias("code")), C.gate_density_sql())
+
+
+def preview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(s, p["label"], *p["policy"], ",".join(p.get("compliance", []))) for s, p in V.PROFILES.items()]
+    profiles = F.broadcast(spark.createDataFrame(rows, "scene string, label string, warn_at int, rewrite_at int, block_at int, compliance string"))
+    return scene.with_scene(seeded(spark, sf_dir)).select("doc_id", "scene").join(profiles, "scene")
+
+
+register("gt05_scene_preview", preview_query, C.preview_scene_sql())
+
+
+def prepared_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sent at once and whether an edit is to follow (async mode)."""
+    df = seeded(spark, sf_dir)
+    return df.select("doc_id", F.length("text").cast("long").alias("sent_chars"), gate.eligible(F.col("text"), 40, 0.01).cast("int").alias("edit_follows"))
+
+
+register("gt09_prepare_send", prepared_query, f"WITH {C.SEEDED_SQL}, e AS ({C.eligible_sql()}) SELECT s.doc_id, length(text) AS sent_chars, eligible AS edit_follows FROM seeded s JOIN e USING (doc_id)")
+
+
+def prompt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.concat(F.lit("---\n"), F.col("text"), F.lit("\n---"))
+    return seeded(spark, sf_dir).select("doc_id", F.lit(model.INSTRUCTIONS).alias("system"), F.md5(user.cast("binary")).alias("user_md5"))
+
+
+register("lm03_prompts", prompt_query, C.prompt_sql())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def chunked(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: model.chunks(t or ""))
+
+
+register("lm01_chunks", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.posexplode(chunked("text")).alias("no", "chunk")).select("doc_id", "no", F.length("chunk").alias("n")))
+register("rw43_markdown", digest(lambda t: markdown_column(t)))
+
+
+def items_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = seeded(spark, sf_dir).select("doc_id", F.explode(F.split("text", "[、，,]", -1)).alias("s"))
+    bare = F.regexp_replace("s", F.lit(f"(?U)^{V.WRAPPERS}+|{V.WRAPPERS}+$"), F.lit(""))
+    return parts.groupBy("doc_id").agg(F.max(F.length(bare)).cast("long").alias("longest"))
+
+
+register("sc13_item_length", items_query, C.item_length_sql())

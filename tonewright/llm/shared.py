@@ -43,6 +43,17 @@ def crc32_mod(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+_HELD: dict = {}
+
+
+def worker_state(key, make=lambda: None):
+    """What an operator keeps in a worker process from task to task. Workers outlive a stage; another operator's state goes first."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def text_blocks(texts: list, limit: int = 2_000_000):
     """Ranges of a list that hold about `limit` characters each, to bound a worker's memory."""
     start, held = 0, 0

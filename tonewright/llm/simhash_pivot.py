@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import cut, read_table, shuffle_partitions
+from tonewright.llm.shared import cut, read_table, shuffle_partitions, worker_state
 
 SEED = 42
 BITS = 64
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, words_a_shingle: int = 3) -> DataFrame:
     """doc_id and signed 64-bit fp of every whole text."""
 
     def run(batches):
+        worker_state("simhash")
         for batch in batches:
             found = [fingerprint(t or b"", words_a_shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
@@ -121,13 +122,16 @@ def pivot_table(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> D
     return fps.select("fp").mapInArrow(run, "choice int, key long, fp long, coordinates binary")
 
 
-def group_links(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning set of the links of one group: (member, smallest member of its component)."""
-    n = len(fps)
+def group_links(names: np.ndarray, table: np.ndarray, radius: int, near) -> list[tuple[int, int]]:
+    """A spanning set of the links of one group: (member, smallest member of its component).
+
+    table: distances to the pivots; near(left, right): the pairs of places that pass verification.
+    """
+    n = len(names)
     if n < 2:
         return []
     order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order].astype(np.int16)
+    table = table[order].astype(np.int16)
     parent = list(range(n))
 
     def root(i: int) -> int:
@@ -146,16 +150,22 @@ def group_links(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[i
         for low in range(1, table.shape[1], 8):  # the largest coordinate difference, a few pivots at a time
             keep = np.abs(table[left, low : low + 8] - table[right, low : low + 8]).max(axis=1, initial=0) <= radius
             left, right = left[keep], right[keep]
-        near = np.bitwise_count(fps[left].view(np.uint64) ^ fps[right].view(np.uint64)) <= radius
-        for i, j in zip(left[near].tolist(), right[near].tolist(), strict=True):
+        left, right = order[left], order[right]
+        passed = near(left, right)
+        for i, j in zip(left[passed].tolist(), right[passed].tolist(), strict=True):
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
     least: dict[int, int] = {}
     for i in range(n):
         r = root(i)
-        least[r] = min(least.get(r, fps[i]), fps[i])
-    return [(int(fps[i]), int(least[root(i)])) for i in range(n) if fps[i] != least[root(i)]]
+        least[r] = min(least.get(r, names[i]), names[i])
+    return [(int(names[i]), int(least[root(i)])) for i in range(n) if names[i] != least[root(i)]]
+
+
+def within(fps: np.ndarray, radius: int):
+    bits = fps.view(np.uint64)
+    return lambda left, right: np.bitwise_count(bits[left] ^ bits[right]) <= radius
 
 
 def meeting_links(keyed: DataFrame, radius: int) -> DataFrame:
@@ -165,7 +175,7 @@ def meeting_links(keyed: DataFrame, radius: int) -> DataFrame:
         held: list[tuple] = []
 
         def flush(groups):
-            found = [x for fps, table in groups for x in group_links(fps, table, radius)]
+            found = [x for fps, table in groups for x in group_links(fps, table, radius, within(fps, radius))]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
@@ -251,5 +261,120 @@ def near_duplicates(docs: DataFrame, words_a_shingle: int = 3, radius: int = RAD
     )
 
 
+# --- documents alike by estimated similarity ---
+
+WORDS = 4  # 64-bit words of a sketch
+WIDE_BLOCKS, WIDE_RADIUS = 9, 7
+WIDE_REACH = 14  # bits of the first word that a pair may differ in
+SLICE = 2048
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def sketch(text: bytes, words_a_shingle: int) -> bytes:
+    """256 majority bits over the set of shingles: XXH64 of each, mixed into four words."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WORDS)
+    shingles = {b" ".join(words[i : i + words_a_shingle]) for i in range(max(1, len(words) - words_a_shingle + 1))}
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles))
+    mixed = hashes[:, None] * MIX[None, :]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= MIX[1]
+    mixed ^= mixed >> np.uint64(32)
+    raw = mixed.view(np.uint8).reshape(len(hashes), 8 * WORDS)
+    counts = np.zeros(BITS * WORDS, np.int64)
+    for k in range(0, len(raw), 255):
+        counts += np.add.reduce(np.unpackbits(raw[k : k + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(raw), bitorder="little").tobytes()
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits of a sketch in which two sets of this Jaccard similarity differ, and one standard deviation more.
+
+    Sets of one size have cosine 2 s / (1 + s), and sign bits differ with the angle's share of a half turn.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    total = BITS * WORDS
+    return int(total * share + np.sqrt(total * share * (1 - share)))
+
+
+def wide_links(nodes: DataFrame, limit: int, slice_rows: int = SLICE) -> DataFrame:
+    """Links (u, v) spanning the components of nodes (node, sketch) whose sketches differ in at most `limit` bits.
+
+    Keys are every two of nine blocks of the first word; a pair up to seven bits apart there shares one for certain,
+    and most pairs up to fourteen do. Groups of over `slice_rows` meet slice by slice, every pair of slices once.
+    """
+    references = pivots(WIDE_BLOCKS)
+    edges = block_edges(WIDE_BLOCKS)
+    choices = list(combinations(range(WIDE_BLOCKS), WIDE_BLOCKS - WIDE_RADIUS))
+    starts = np.cumsum([1, *(b - a for a, b in edges)])
+    parts = shuffle_partitions(nodes.sparkSession)
+
+    def key(batches):
+        for batch in batches:
+            sketches = batch.column(1).to_pylist()
+            if not sketches:
+                continue
+            first = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), WORDS)[:, 0]
+            table = distances(first, references).astype(np.int16)
+            local = np.ascontiguousarray((table - table[:, :1]).astype(np.int8))
+            for number, chosen in enumerate(choices):
+                part = np.ascontiguousarray(local[:, np.concatenate([np.arange(starts[b], starts[b + 1]) for b in chosen])])
+                keys = np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), number) for r in part), np.uint64, len(part)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), batch.column(1)], names=["key", "node", "sketch"])
+
+    keyed = nodes.select("node", "sketch").mapInArrow(key, "key long, node long, sketch binary")
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows)
+    marked = keyed.join(crowds, "key", "left").withColumn("slices", F.coalesce(F.ceil(F.col("n") / slice_rows), F.lit(1)).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    other = marked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = other.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "sketch")
+    dealt = cells.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def link(batches):
+        where, names, held = None, [], []
+
+        def flush():
+            if len(names) < 2:
+                return []
+            bits = np.frombuffer(b"".join(held), np.uint64).reshape(len(held), WORDS)
+            near = lambda left, right: np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= limit
+            return group_links(np.array(names, np.int64), distances(bits[:, 0], references), WIDE_REACH, near)
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for k, low, high, node, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (k, low, high) != where:
+                    found += flush()
+                    where, names, held = (k, low, high), [], []
+                names.append(node)
+                held.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+        found = flush()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+
+    return dealt.mapInArrow(link, "u long, v long").distinct()
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
+    """doc_id and component_id of documents whose shingle sets have an estimated Jaccard similarity of `similarity` or more.
+
+    Rows with a null doc_id are left out; texts without words are alike.
+    """
+
+    def run(batches):
+        worker_state("simhash")
+        for batch in batches:
+            found = [sketch(t or b"", words_a_shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
+    base = cut(rows.mapInArrow(run, "doc_id long, sketch binary"))
+    nodes = base.groupBy("sketch").agg(F.min("doc_id").alias("node"))
+    roots = components(wide_links(nodes, bits_apart(similarity)))
+    classes = nodes.join(roots, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
+    return base.join(classes, "sketch").select("doc_id", "component_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -43,6 +43,17 @@ def crc32_mod(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """For functions over whole texts: at most 2000 rows an Arrow batch, as the usual 10,000 take tens of MB on both sides."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
 _HELD: dict = {}
 
 

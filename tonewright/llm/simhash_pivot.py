@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import cut, read_table, shuffle_partitions, worker_state
+from tonewright.llm.shared import cut, read_table, shuffle_partitions, whole_texts, worker_state
 
 SEED = 42
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words_a_shingle: int = 3) -> DataFrame:
             found = [fingerprint(t or b"", words_a_shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def block_edges(blocks: int) -> list[tuple[int, int]]:
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, words_a_shingle: int = 3, radius: int = RAD
 WORDS = 4  # 64-bit words of a sketch
 WIDE_BLOCKS, WIDE_RADIUS = 9, 7
 WIDE_REACH = 14  # bits of the first word that a pair may differ in
-SLICE = 2048
+SLICE = 1024
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -289,17 +289,49 @@ def sketch(text: bytes, words_a_shingle: int) -> bytes:
 
 
 def bits_apart(similarity: float) -> int:
-    """Bits of a sketch in which two sets of this Jaccard similarity differ, and one standard deviation more.
+    """Bits of a sketch in which two sets of this Jaccard similarity differ, and two standard deviations more.
 
     Sets of one size have cosine 2 s / (1 + s), and sign bits differ with the angle's share of a half turn.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     total = BITS * WORDS
-    return int(total * share + np.sqrt(total * share * (1 - share)))
+    return int(total * share + 2 * np.sqrt(total * share * (1 - share)))
+
+
+def nearest_tree(names: np.ndarray, table: np.ndarray, radius: int, apart, limit: int) -> list[tuple[int, int]]:
+    """Pairs (member, member) of a minimum spanning forest of one group, by bits apart, none over the limit."""
+    pairs: list[np.ndarray] = []
+
+    def near(left, right):
+        bits = apart(left, right)
+        good = bits <= limit
+        if good.any():
+            pairs.append(np.stack([bits[good], left[good], right[good]]))
+        return np.zeros(len(left), bool)  # nothing is united before all pairs of the group are known
+
+    group_links(names, table, radius, near)
+    if not pairs:
+        return []
+    every = np.concatenate(pairs, axis=1)
+    every = every[:, np.lexsort((every[2], every[1], every[0]))]
+    parent = list(range(len(names)))
+    out = []
+    for _, i, j in every.T.tolist():
+        a, b = i, j
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(names[i]), int(names[j])))
+    return out
 
 
 def wide_links(nodes: DataFrame, limit: int, slice_rows: int = SLICE) -> DataFrame:
-    """Links (u, v) spanning the components of nodes (node, sketch) whose sketches differ in at most `limit` bits.
+    """Pairs (u, v) that span, nearest first, the components of nodes (node, sketch) at most `limit` bits apart.
 
     Keys are every two of nine blocks of the first word; a pair up to seven bits apart there shares one for certain,
     and most pairs up to fourteen do. Groups of over `slice_rows` meet slice by slice, every pair of slices once.
@@ -338,8 +370,8 @@ def wide_links(nodes: DataFrame, limit: int, slice_rows: int = SLICE) -> DataFra
             if len(names) < 2:
                 return []
             bits = np.frombuffer(b"".join(held), np.uint64).reshape(len(held), WORDS)
-            near = lambda left, right: np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= limit
-            return group_links(np.array(names, np.int64), distances(bits[:, 0], references), WIDE_REACH, near)
+            apart = lambda left, right: np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
+            return nearest_tree(np.array(names, np.int64), distances(bits[:, 0], references), WIDE_REACH, apart, limit)
 
         for batch in batches:
             found: list[tuple[int, int]] = []
@@ -356,10 +388,31 @@ def wide_links(nodes: DataFrame, limit: int, slice_rows: int = SLICE) -> DataFra
     return dealt.mapInArrow(link, "u long, v long").distinct()
 
 
+def alike(links: DataFrame, rows: DataFrame, similarity: float, words_a_shingle: int) -> DataFrame:
+    """The links (u, v) whose documents' shingle sets have that exact Jaccard similarity. rows: doc_id, text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                words = (text or b"").lower().split()
+                shingles = {xxhash.xxh64_intdigest(b" ".join(words[i : i + words_a_shingle]), SEED) for i in range(max(1, len(words) - words_a_shingle + 1))}
+                sets.append(np.fromiter(shingles, np.uint64, len(shingles)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    ends = links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = rows.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, shingles array<long>")
+    sets = cut(sets)
+    both = links.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
-    """doc_id and component_id of documents whose shingle sets have an estimated Jaccard similarity of `similarity` or more.
+    """doc_id and component_id of documents linked by a Jaccard similarity of `similarity` or more of their shingle sets.
 
-    Rows with a null doc_id are left out; texts without words are alike.
+    Sketches find the pairs, nearest first; each link is then checked on the texts' shingles themselves. Rows with a
+    null doc_id are left out; texts without words are alike. Of repeated ids with other texts one text is checked.
     """
 
     def run(batches):
@@ -368,10 +421,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle:
             found = [sketch(t or b"", words_a_shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
     base = cut(rows.mapInArrow(run, "doc_id long, sketch binary"))
     nodes = base.groupBy("sketch").agg(F.min("doc_id").alias("node"))
-    roots = components(wide_links(nodes, bits_apart(similarity)))
+    links = cut(wide_links(nodes, bits_apart(similarity)))
+    roots = components(alike(links, rows, similarity, words_a_shingle))
     classes = nodes.join(roots, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
     return base.join(classes, "sketch").select("doc_id", "component_id")
 

@@ -15,7 +15,6 @@ in the result; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,18 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import crc32_mod, read_table
+from tonewright.llm.shared import crc32_mod, read_table, whole_texts, worker_state
 
 UNDETERMINED = "und"
 FEATURES = 4096
 SAMPLE = 400
 CODE_BITS = 15
 AMBIGUOUS_GAP = 0.02
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes other than letters become spaces; bytes of other characters stay.
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def features(text: str) -> np.ndarray:
     """Unit vector of square roots of hashed byte 2- and 3-gram counts."""
     raw = b" ".join(text.lower().encode("utf-8", "replace").translate(LETTERS_ONLY).split())
@@ -88,7 +90,7 @@ class LanguageModel:
         if not self.languages:
             return names, scores, unsure
         for start in range(0, len(texts), 512):
-            at = [i for i in range(start, min(start + 512, len(texts))) if texts[i] and LETTER.search(texts[i])]
+            at = [i for i in range(start, min(start + 512, len(texts))) if has_letter(texts[i])]
             if not at:
                 continue
             away = self.distances(np.stack([features(texts[i]) for i in at]))
@@ -117,7 +119,7 @@ def fit_bits(x: np.ndarray, targets: np.ndarray, rounds: int = 150, penalty: flo
 
 def train(rows: list[tuple[str, str]]) -> LanguageModel:
     """A model from (text, language) rows, in a given order."""
-    rows = [(t, name) for t, name in rows if t and LETTER.search(t)]
+    rows = [(t, name) for t, name in rows if has_letter(t)]
     languages = sorted({name for _, name in rows})
     code = codewords(len(languages))
     if not rows:
@@ -155,10 +157,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str] | None =
     # The text goes over once; where it isn't kept it comes last and is dropped.
     own = "text" in names and dict(docs.dtypes)["text"] == "string"
     at = names.index("text") if own else len(names)
-    source = docs.select(*names, *([] if own else [F.col("text").cast("string").alias("__text")]))
+    source = whole_texts(docs).select(*names, *([] if own else [F.col("text").cast("string").alias("__text")]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(names)])
 
     def run(batches):
+        worker_state("language")
         for batch in batches:
             found, scores, unsure = shared.value.predict(batch.column(at).to_pylist())
             columns = [*batch.columns[: len(names)], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]

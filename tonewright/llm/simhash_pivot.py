@@ -12,6 +12,9 @@ exact other way: each member is sent to the centres one flipped free bit away, a
 two bits share such a centre, so every centre links its members to its smallest one (radius 2 at most).
 Components come from alternating star contractions, cut by checkpoints.
 
+`similar_documents` links by similarity of shingle sets instead: sketches of 256 bits meet under keys of the same
+kind of table, and every link that a nearest-first spanning tree keeps is checked on the texts' shingles.
+
 Defined cases: null or empty text has fingerprint zero and is linked like any other; rows with a null
 doc_id get a fingerprint and a null component; repeated rows and ids are repeated in the result; an empty
 table gives an empty result; other columns are ignored.

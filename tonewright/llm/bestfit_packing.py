@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import cut, read_table, shuffle_partitions, text_blocks
+from tonewright.llm.shared import cut, read_table, shuffle_partitions, text_blocks, whole_texts, worker_state
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 500_000
-BLOCK_BYTES = 5_000_000
+CACHE_WORDS = 350_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -145,20 +144,15 @@ class WordIds:
 
     def of_texts(self, texts: list[bytes | None]):
         """Ids of each text."""
-        for start, end in text_blocks(texts, BLOCK_BYTES):
+        for start, end in text_blocks(texts):
             split = [t.split() if t else [] for t in texts[start:end]]
             known = self.meet(set().union(*split)).__getitem__
             for words in split:
                 yield b"".join(map(known, words))
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    return worker_state(("words", path), lambda: WordIds(path))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
@@ -181,7 +175,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPAC
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

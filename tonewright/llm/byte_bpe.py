@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewright.llm.shared import read_table, text_blocks
+from tonewright.llm.shared import read_table, text_blocks, whole_texts, worker_state
 
 NO_RANK = np.int32(2**31 - 1)
 #: Unicode White_Space, as the library's regex engine has it (Python's own classes also hold U+001C..U+001F).
@@ -228,15 +228,9 @@ class ByteBpe:
         return [int(x) for x in joined.split(",")] if joined else []
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
-
-
 def codec(rank_file: str, pattern: str) -> ByteBpe:
     """One codec a worker process."""
-    key = (rank_file, pattern)
-    if key not in _LOADED:
-        _LOADED[key] = ByteBpe(rank_file, pattern)
-    return _LOADED[key]
+    return worker_state(("bpe", rank_file, pattern), lambda: ByteBpe(rank_file, pattern))
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, keep_ids: bool = False) -> DataFrame:
@@ -260,7 +254,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, keep_ids: bo
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
+    return whole_texts(docs).select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import read_table
+from tonewright.llm.shared import read_table, whole_texts
 
 UNIT = 576  # blocks of a restart interval, 24 x 24
 ROW_BLOCKS = 24
@@ -352,7 +352,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 media = encode_payload([padded(t) for t in texts[a:b]])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, media binary")
+    return whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:

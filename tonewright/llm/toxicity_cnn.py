@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import crc32_mod, read_table, text_blocks
+from tonewright.llm.shared import crc32_mod, read_table, text_blocks, whole_texts, worker_state
 
 BUCKETS = 1 << 15
 WIDTH = 12  # of embeddings
@@ -274,10 +274,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, keep: list[str] |
     # The text goes over once; where it isn't kept it comes last and is dropped.
     own = "text" in names and dict(docs.dtypes)["text"] == "string"
     at = names.index("text") if own else len(names)
-    source = docs.select(*names, *([] if own else [F.col("text").cast("string").alias("__text")]))
+    source = whole_texts(docs).select(*names, *([] if own else [F.col("text").cast("string").alias("__text")]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(names)])
 
     def run(batches):
+        worker_state("toxicity")
         for batch in batches:
             scores = shared.value.score(batch.column(at).to_pylist())
             columns = [*batch.columns[: len(names)], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]

@@ -296,6 +296,24 @@ def test_similar_documents(spark, slice_rows, monkeypatch):
     assert simhash_pivot.similar_documents(df.limit(0)).count() == 0
 
 
+def edited(rng, text, edits, apart=6):
+    """The text with so many words replaced, at least `apart` words from each other and from both ends."""
+    words_ = text.split()
+    for k in rng.sample(range(1, len(words_) // apart - 1), edits):
+        words_[k * apart] = "e%d" % rng.randrange(10**9)
+    return " ".join(words_)
+
+
+@pytest.mark.parametrize("length,edits", [(100, 2), (304, 6), (304, 5), (604, 13)])
+def test_similar_pairs_all_meet(spark, length, edits):
+    rng = random.Random(length + edits)
+    base = [" ".join("w%d" % rng.randrange(30000) for _ in range(length)) for _ in range(100)]
+    rows = [x for i, t in enumerate(base) for x in ((i, t), (1000 + i, edited(rng, t, edits)))]
+    assert all(0.8 <= jaccard(shingle_set(a), shingle_set(b)) < 0.85 for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    found = {r.doc_id: r.component_id for r in simhash_pivot.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

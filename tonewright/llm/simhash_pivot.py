@@ -12,8 +12,8 @@ exact other way: each member is sent to the centres one flipped free bit away, a
 two bits share such a centre, so every centre links its members to its smallest one (radius 2 at most).
 Components come from alternating star contractions, cut by checkpoints.
 
-`similar_documents` links by similarity of shingle sets instead: sketches of 256 bits meet under keys of the same
-kind of table, and every link that a nearest-first spanning tree keeps is checked on the texts' shingles.
+`similar_documents` links by similarity of shingle sets instead: each set's rarest shingles are its keys, as many as
+make it certain that two alike sets share one, and every pair is checked on the sets before it unites anything.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other; rows with a null
 doc_id get a fingerprint and a null component; repeated rows and ids are repeated in the result; an empty
@@ -264,173 +264,227 @@ def near_duplicates(docs: DataFrame, words_a_shingle: int = 3, radius: int = RAD
     )
 
 
-# --- documents alike by estimated similarity ---
+# --- documents alike by similarity of their shingle sets ---
 
-WORDS = 4  # 64-bit words of a sketch
-WIDE_BLOCKS, WIDE_RADIUS = 9, 7
-WIDE_REACH = 14  # bits of the first word that a pair may differ in
 SLICE = 1024
-MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+SAMPLED_ROWS = 8000  # rows whose shingles are counted to order shingles by rarity
+COMMON, COMMON_LEAST = 20_000, 3  # shingles held as common, and how often the sample must show them
+PARITY_BITS = 1024
+EPSILON = 1e-9
 
 
-def sketch(text: bytes, words_a_shingle: int) -> bytes:
-    """256 majority bits over the set of shingles: XXH64 of each, mixed into four words."""
+def shingle_hashes(text: bytes, words_a_shingle: int) -> np.ndarray:
+    """Ascending XXH64 of the set of shingles; a text of fewer words is one shingle."""
     words = text.lower().split()
-    if not words:
-        return bytes(8 * WORDS)
-    shingles = {b" ".join(words[i : i + words_a_shingle]) for i in range(max(1, len(words) - words_a_shingle + 1))}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles))
-    mixed = hashes[:, None] * MIX[None, :]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= MIX[1]
-    mixed ^= mixed >> np.uint64(32)
-    raw = mixed.view(np.uint8).reshape(len(hashes), 8 * WORDS)
-    counts = np.zeros(BITS * WORDS, np.int64)
-    for k in range(0, len(raw), 255):
-        counts += np.add.reduce(np.unpackbits(raw[k : k + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(raw), bitorder="little").tobytes()
+    joined = b" ".join(words)
+    if len(words) <= words_a_shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[: len(words) - words_a_shingle].tolist()]
+    stops = (ends[words_a_shingle - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
 
 
-def bits_apart(similarity: float) -> int:
-    """Bits of a sketch in which two sets of this Jaccard similarity differ, and two standard deviations more.
+def prefix_length(size: int, similarity: float) -> int:
+    """Two sets of this Jaccard similarity share one of so many first members of each, in any one order of all members.
 
-    Sets of one size have cosine 2 s / (1 + s), and sign bits differ with the angle's share of a half turn.
+    They share at least similarity * size members of a set, so all of them can't lie behind its first ones.
     """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    total = BITS * WORDS
-    return int(total * share + 2 * np.sqrt(total * share * (1 - share)))
+    return size - int(np.ceil(similarity * size - EPSILON)) + 1
 
 
-def nearest_tree(names: np.ndarray, table: np.ndarray, radius: int, apart, limit: int) -> list[tuple[int, int]]:
-    """Pairs (member, member) of a minimum spanning forest of one group, by bits apart, none over the limit."""
-    pairs: list[np.ndarray] = []
+def parities(hashes: np.ndarray) -> bytes:
+    """Parity of the members of a set in each of 1024 classes: two sets differ in at least as many members as these in bits."""
+    return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
 
-    def near(left, right):
-        bits = apart(left, right)
-        good = bits <= limit
-        if good.any():
-            pairs.append(np.stack([bits[good], left[good], right[good]]))
-        return np.zeros(len(left), bool)  # nothing is united before all pairs of the group are known
 
-    group_links(names, table, radius, near)
-    if not pairs:
-        return []
-    every = np.concatenate(pairs, axis=1)
-    every = every[:, np.lexsort((every[2], every[1], every[0]))]
-    parent = list(range(len(names)))
-    out = []
-    for _, i, j in every.T.tolist():
-        a, b = i, j
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        while parent[b] != b:
-            parent[b] = parent[parent[b]]
-            b = parent[b]
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(names[i]), int(names[j])))
-    return out
-
-
-def wide_links(nodes: DataFrame, limit: int, slice_rows: int = SLICE) -> DataFrame:
-    """Pairs (u, v) that span, nearest first, the components of nodes (node, sketch) at most `limit` bits apart.
-
-    Keys are every two of nine blocks of the first word; a pair up to seven bits apart there shares one for certain,
-    and most pairs up to fourteen do. Groups of over `slice_rows` meet slice by slice, every pair of slices once.
+def common_shingles(rows: DataFrame, words_a_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of shingles that are frequent in a sample of rows, and their counts. Only the order of keys depends on it."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_hashes(t or b"", words_a_shingle) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            names, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], names=["key", "n"])
+
+    share = -(-rows.count() // SAMPLED_ROWS)
+    shown = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, share))) == 0).select("text").mapInArrow(run, "key long, n long")
+    held = shown.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    keys, counts = np.array([r["key"] for r in held], np.int64).view(np.uint64), np.array([r["n"] for r in held], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def rarest(hashes: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n of a set in the order of all keys: by frequency in the sample, then by hash."""
+    if not len(common[0]):
+        return hashes[:n]
+    at = np.searchsorted(common[0], hashes).clip(max=len(common[0]) - 1)
+    return hashes[np.argsort(np.where(common[0][at] == hashes, common[1][at], 0), kind="stable")[:n]]
+
+
+def can_be_alike(size, other_size, place, other_place, similarity: float, least):
+    """Can two sets that share the key at these places of theirs be alike? Columns or arrays; the first set is not the larger.
+
+    Shared members lie before both places, at the key, or behind both.
     """
-    references = pivots(WIDE_BLOCKS)
-    edges = block_edges(WIDE_BLOCKS)
-    choices = list(combinations(range(WIDE_BLOCKS), WIDE_BLOCKS - WIDE_RADIUS))
-    starts = np.cumsum([1, *(b - a for a, b in edges)])
-    parts = shuffle_partitions(nodes.sparkSession)
+    most = least(place, other_place) + 1 + least(size - place, other_size - other_place) - 1
+    return (size >= similarity * other_size - EPSILON) & (most >= similarity / (1 + similarity) * (size + other_size) - EPSILON)
+
+
+def may_differ(differ, size, other_size, similarity: float):
+    """Can two sets whose parities differ in so many bits be alike? Columns or arrays."""
+    return differ <= (1 - similarity) / (1 + similarity) * (size + other_size) + EPSILON
+
+
+def neighbour_pairs(met: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of each key's members that can be alike: the next one by size, and the first one. nodes: node, size, parity."""
+    by_size = Window.partitionBy("key").orderBy("size", "node")
+    own = F.struct("node", "size", "place")
+    near = met.withColumns({"before": F.lag(own).over(by_size), "head": F.first(own).over(by_size.rowsBetween(Window.unboundedPreceding, 0))})
+    near = near.withColumn("other", F.explode(F.array_distinct(F.array("before", "head")))).filter(F.col("other.node") != F.col("node"))
+    near = near.filter(can_be_alike(F.col("other.size"), F.col("size"), F.col("other.place"), F.col("place"), similarity, F.least))
+    pairs = near.select(F.greatest("node", "other.node").alias("u"), F.least("node", "other.node").alias("v")).distinct()
+    left, right = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}")) for n in "uv")
 
-    def key(batches):
+    def run(batches):
         for batch in batches:
-            sketches = batch.column(1).to_pylist()
-            if not sketches:
-                continue
-            first = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), WORDS)[:, 0]
-            table = distances(first, references).astype(np.int16)
-            local = np.ascontiguousarray((table - table[:, :1]).astype(np.int8))
-            for number, chosen in enumerate(choices):
-                part = np.ascontiguousarray(local[:, np.concatenate([np.arange(starts[b], starts[b + 1]) for b in chosen])])
-                keys = np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), number) for r in part), np.uint64, len(part)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), batch.column(1)], names=["key", "node", "sketch"])
-
-    keyed = nodes.select("node", "sketch").mapInArrow(key, "key long, node long, sketch binary")
-    crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows)
-    marked = keyed.join(crowds, "key", "left").withColumn("slices", F.coalesce(F.ceil(F.col("n") / slice_rows), F.lit(1)).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    other = marked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    cells = other.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "sketch")
-    dealt = cells.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-
-    def link(batches):
-        where, names, held = None, [], []
-
-        def flush():
-            if len(names) < 2:
-                return []
-            bits = np.frombuffer(b"".join(held), np.uint64).reshape(len(held), WORDS)
-            apart = lambda left, right: np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
-            return nearest_tree(np.array(names, np.int64), distances(bits[:, 0], references), WIDE_REACH, apart, limit)
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), -1) for i in (3, 5))
+            sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+            good = pa.array(may_differ(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64), *sizes, similarity)) if len(batch) else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["u", "v"])
+
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "size_u", "parity_u", "size_v", "parity_v")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def meeting_nodes(base: DataFrame) -> DataFrame:
+    """key, node, size, place of the keys that several nodes have. base: node, size, prefix, a node in any number of rows."""
+    keys = base.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    by_size = Window.partitionBy("key").orderBy("size", "node")
+    once = keys.withColumn("before", F.lag("node").over(by_size)).filter(F.col("before").isNull() | (F.col("before") != F.col("node")))
+    met = once.withColumn("after", F.lead("node").over(by_size)).filter(F.col("before").isNotNull() | F.col("after").isNotNull())
+    return met.select("key", "node", "size", "place")
 
+
+def shingle_sets(rows: DataFrame, reps: DataFrame, words_a_shingle: int) -> DataFrame:
+    """node and shingles (ascending hashes) of the nodes of reps; rows: doc_id, text_hash, text."""
+
+    def run(batches):
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for k, low, high, node, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (k, low, high) != where:
-                    found += flush()
-                    where, names, held = (k, low, high), [], []
-                names.append(node)
-                held.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
-        found = flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
+            found = [shingle_hashes(t or b"", words_a_shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "shingles"])
 
-    return dealt.mapInArrow(link, "u long, v long").distinct()
+    chosen = rows.join(reps.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    return chosen.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def alike(links: DataFrame, rows: DataFrame, similarity: float, words_a_shingle: int) -> DataFrame:
-    """The links (u, v) whose documents' shingle sets have that exact Jaccard similarity. rows: doc_id, text."""
+def alike(pairs: DataFrame, rows: DataFrame, reps: DataFrame, similarity: float, words_a_shingle: int) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have that exact Jaccard similarity. reps: node, and doc_id and text_hash of one of its rows."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = cut(shingle_sets(rows, reps.join(ends, "node", "left_semi"), words_a_shingle))
 
     def run(batches):
         for batch in batches:
-            sets = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = (text or b"").lower().split()
-                shingles = {xxhash.xxh64_intdigest(b" ".join(words[i : i + words_a_shingle]), SEED) for i in range(max(1, len(words) - words_a_shingle + 1))}
-                sets.append(np.fromiter(shingles, np.uint64, len(shingles)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            good = np.zeros(len(batch), bool)
+            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                good[i] = shared >= similarity * (len(one) + len(two) - shared) - EPSILON
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["u", "v"])
 
-    ends = links.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = rows.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, shingles array<long>")
-    sets = cut(sets)
-    both = links.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def wide_links(met: DataFrame, similarity: float, slice_rows: int = SLICE) -> DataFrame:
+    """All pairs (u, v) of different roots that share a key and can be alike. met: key, node, size, place, root, parity.
+
+    Keys of over `slice_rows` nodes meet slice by slice, every pair of slices once.
+    """
+    parts = shuffle_partitions(met.sparkSession)
+    mixed = met.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n")
+    marked = met.join(mixed, "key").withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("int"))
+    own = marked.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cells = other.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "size", "place", "root", "parity")
+    dealt = cells.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "size")
+
+    def pairs_of(cell):
+        _, low, high, own, node, size, place, root, parity = cell
+        bits = np.frombuffer(b"".join(parity), np.uint64).reshape(len(node), -1)
+        reach = np.searchsorted(size, size / similarity + EPSILON, side="right")
+        step = max(1, PAIR_CHUNK // 16 // len(node))
+        for start in range(0, len(node), step):
+            rows = np.arange(start, min(len(node), start + step))
+            counts = reach[rows] - rows - 1
+            left = np.repeat(rows, counts)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts) + left + 1
+            good = root[left] != root[right]
+            if low[0] != high[0]:
+                good &= own[left] != own[right]
+            left, right = left[good], right[good]
+            good = can_be_alike(size[left], size[right], place[left], place[right], similarity, np.minimum)
+            left, right = left[good], right[good]
+            differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
+            good = may_differ(differ, size[left], size[right], similarity)
+            a, b = node[left[good]], node[right[good]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+    def meet(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            edge = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])) + 1
+            cuts = [0, *edge.tolist()]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield from pairs_of([x[a:b] for x in now])
+            held = [x[cuts[-1] :] for x in now]
+        if held is not None:
+            yield from pairs_of(held)
+
+    return dealt.mapInArrow(meet, "u long, v long").distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
-    """doc_id and component_id of documents linked by a Jaccard similarity of `similarity` or more of their shingle sets.
+    """doc_id, text_hash and component_id of documents linked by a Jaccard similarity of `similarity` or more of their shingle sets.
 
-    Sketches find the pairs, nearest first; each link is then checked on the texts' shingles themselves. Rows with a
-    null doc_id are left out; texts without words are alike. Of repeated ids with other texts one text is checked.
+    A node is a shingle set; a document is a doc_id with a text. Nodes meet under each of the rarest shingles of theirs,
+    as many as make it certain that two alike share one. Neighbours under a key are compared exactly and united. Rows with a null doc_id are left out; texts without words are alike.
     """
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words_a_shingle))
 
     def run(batches):
-        worker_state("simhash")
+        worker_state("shingles")
         for batch in batches:
-            found = [sketch(t or b"", words_a_shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
-
-    rows = whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
-    base = cut(rows.mapInArrow(run, "doc_id long, sketch binary"))
-    nodes = base.groupBy("sketch").agg(F.min("doc_id").alias("node"))
-    links = cut(wide_links(nodes, bits_apart(similarity)))
-    roots = components(alike(links, rows, similarity, words_a_shingle))
-    classes = nodes.join(roots, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
-    return base.join(classes, "sketch").select("doc_id", "component_id")
+            nodes, sizes, parity, prefixes = [], [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(text or b"", words_a_shingle)
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                sizes.append(len(hashes))
+                parity.append(parities(hashes))
+                prefixes.append(rarest(hashes, prefix_length(len(hashes), similarity), common.value).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "parity", "prefix"])
+
+    found = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, size int, parity binary, prefix array<long>")
+    base = cut(found)
+    reps = base.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("size").alias("size"), F.min("parity").alias("parity"))
+    reps = cut(reps.select("node", "row.doc_id", "row.text_hash", "size", "parity"))
+    met = cut(meeting_nodes(base))
+    tried = cut(neighbour_pairs(met, reps, similarity))
+    links = cut(alike(tried, rows, reps, similarity, words_a_shingle))
+    roots = components(links)
+    owned = base.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    owners = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return owned.join(owners, "root").select("doc_id", "text_hash", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,6 +314,26 @@ def test_similar_pairs_all_meet(spark, length, edits):
     assert found == {i: i % 1000 for i, _ in rows}
 
 
+@pytest.mark.parametrize("slice_rows", [1024, 7])
+def test_similar_groups_of_variants(spark, slice_rows, monkeypatch):
+    monkeypatch.setattr(simhash_pivot.wide_links, "__defaults__", (slice_rows,))
+    rng = random.Random(5)
+    rows = []
+    for _ in range(15):
+        text = " ".join("w%d" % rng.randrange(30000) for _ in range(304))
+        rows += [(len(rows) + k, edited(rng, text, rng.choice([3, 4, 5]))) for k in range(30)]
+    sets = [shingle_set(t) for _, t in rows]
+    want = list(range(len(rows)))  # every root is the smallest of its component
+    for a in range(len(rows)):
+        for b in range(a - a % 30, a):
+            if want[a] != want[b] and jaccard(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert 15 < len(set(want)) < len(rows)
+    found = {r.doc_id: r.component_id for r in simhash_pivot.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(want))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -455,7 +455,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle:
     """doc_id, text_hash and component_id of documents linked by a Jaccard similarity of `similarity` or more of their shingle sets.
 
     A node is a shingle set; a document is a doc_id with a text. Nodes meet under each of the rarest shingles of theirs,
-    as many as make it certain that two alike share one. Neighbours under a key are compared exactly and united. Rows with a null doc_id are left out; texts without words are alike.
+    as many as make it certain that two alike share one. Neighbours under a key are compared exactly and united; then all
+    pairs under a key whose ends are still apart are. Rows with a null doc_id are left out; texts without words are alike.
     """
     rows = whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -482,6 +483,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle:
     tried = cut(neighbour_pairs(met, reps, similarity))
     links = cut(alike(tried, rows, reps, similarity, words_a_shingle))
     roots = components(links)
+    apart = met.join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    apart = apart.join(reps.select("node", "parity"), "node")
+    rest = cut(wide_links(apart, similarity).join(tried, ["u", "v"], "left_anti"))
+    roots = components(links.unionByName(alike(rest, rows, reps, similarity, words_a_shingle)))
     owned = base.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owners = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return owned.join(owners, "root").select("doc_id", "text_hash", "component_id")

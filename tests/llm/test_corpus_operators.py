@@ -334,6 +334,16 @@ def test_similar_groups_of_variants(spark, slice_rows, monkeypatch):
     assert found == dict(enumerate(want))
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    a, b, c = (" ".join("w%d" % rng.randrange(3000) for _ in range(100)) for _ in range(3))
+    rows = [(1, a), (5, edited(rng, a, 1)), (5, b), (5, b), (7, c), (8, edited(rng, b, 1)), (None, a)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(repr, kept)) == sorted(repr(r) for r in spark.createDataFrame([rows[i] for i in (0, 2, 3, 4, 6)], "doc_id long, text string").collect())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

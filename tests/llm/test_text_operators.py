@@ -11,6 +11,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tonewright.llm import bestfit_packing, byte_bpe, chat_format, jpeg_dc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -205,3 +207,12 @@ def test_chat_round_trip(spark):
         loss = "".join(text for _, role, text in own if role == "assistant")
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat_format.digests(chat_format.format_conversations(df.limit(0))).count() == 0
+
+
+def test_loss_digest_follows_the_mask(spark):
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "a</turn>\\ ###"), (1, 2, "assistant", "second")]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    wrong = out.withColumn("loss_spans", F.slice("loss_spans", 1, 1))
+    for df, loss in ((out, rows[1][3] + "second"), (wrong, rows[1][3])):
+        (r,) = chat_format.digests(df).collect()
+        assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()

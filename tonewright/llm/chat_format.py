@@ -66,8 +66,8 @@ def recovers(role: Column, text: Column, body: Column) -> Column:
     return F.coalesce(whole & (parsed_role(first) == role) & (unescaped(parsed_body(first)) == text), F.lit(False))
 
 
-def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (role, text, body as parsed back), round_trip, loss_spans."""
+def format_conversations(rows: DataFrame, role: str = ASSISTANT) -> DataFrame:
+    """conv_id, formatted, turns (role, text, body as parsed back), cuts (turns as written), round_trip, loss_spans."""
     src = rows.select(
         F.col("conv_id").cast("long"),
         F.col("turn").cast("long"),
@@ -87,7 +87,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     read = read.withColumn("turns", F.transform("cuts", lambda c: F.struct(parsed_role(c).alias("role"), unescaped(parsed_body(c)).alias("text"), parsed_body(c).alias("body"))))
     same = F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))) == F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     read = read.withColumn("round_trip", F.coalesce(same, F.lit(False)))
-    return read.select("conv_id", "formatted", "turns", "cuts", "round_trip")
+    return read.select("conv_id", "formatted", "turns", "cuts", "round_trip", loss_spans(F.col("cuts"), role).alias("loss_spans"))
 
 
 def loss_spans(cuts: Column, role: str = ASSISTANT) -> Column:
@@ -105,10 +105,10 @@ def loss_spans(cuts: Column, role: str = ASSISTANT) -> Column:
     return F.aggregate(cuts, zero, step, lambda s: s["spans"])
 
 
-def digests(formatted: DataFrame, role: str = ASSISTANT) -> DataFrame:
+def digests(formatted: DataFrame) -> DataFrame:
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.filter("turns", lambda t: t["role"] == F.lit(role))
-    loss = F.array_join(F.transform(masked, lambda t: t["text"]), "")
+    masked = F.transform("loss_spans", lambda s: unescaped(F.substr("formatted", (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int"))))
+    loss = F.array_join(masked, "")
     return formatted.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -153,6 +153,17 @@ def test_search_is_exact_when_all_leaves_are_visited(spark):
     assert ann_forest.nearest(df.filter("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_search_ties_of_different_vectors(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i), rng.integers(0, 3, 8).astype(float).tolist()) for i in rng.permutation(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = ann_forest.nearest(df, F.col("vec_id") % 20 == 0, 5, trees=3, leaf_rows=2000, target=1.0).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [j for _, j in hits] for q, hits in brute_nearest(rows, 5).items()}
+
+
 def test_search_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]

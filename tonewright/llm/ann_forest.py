@@ -43,6 +43,7 @@ TARGET = 0.97  # of the sample's neighbours to be found, when the share of rows
 PROBES = 96
 BOUND_ROWS = 4096
 SLICE_ROWS = 4096
+TIE = 1e-12  # products this near may be equal
 
 
 @dataclass
@@ -197,11 +198,17 @@ def fit_forest(distinct: DataFrame, trees: int, sample: int, leaf_rows: int) ->
     return forest, points, [r["ids"] for r in held]
 
 
-def best_of(points: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the k best rows of `base` for each point (all, if fewer), and their exact products."""
+def best_of(points: np.ndarray, base: np.ndarray, k: int, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best rows of `base` for each point (all, if fewer), and their exact products; ties to the smaller of `ids`."""
     scores = points @ base.T
     take = min(k, scores.shape[1])
     top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+    if ids is not None and take < scores.shape[1]:
+        level = np.take_along_axis(scores, top, 1).min(axis=1, keepdims=True)
+        level = level - TIE * np.maximum(1, np.abs(level))
+        for i in np.flatnonzero((scores >= level).sum(axis=1) > take).tolist():  # a tie across the cut
+            tied = np.flatnonzero(scores[i] >= level[i])
+            top[i] = tied[np.lexsort((ids[tied], -np.einsum("j,kj->k", points[i], base[tied])))[:take]]
     return top, np.einsum("ij,ikj->ik", points, base[top])
 
 
@@ -284,7 +291,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
             raw = batch.column(2).to_pylist()
             if raw:
                 base, names_ = bounds.value
-                top, scores = best_of(np.frombuffer(b"".join(raw)).reshape(len(raw), -1), base, k + 1)
+                top, scores = best_of(np.frombuffer(b"".join(raw)).reshape(len(raw), -1), base, k + 1, np.array([x[0] for x in names_], np.int64))
                 rows_, ids, values = expanded(np.repeat(np.arange(len(raw)), top.shape[1]), top.ravel(), scores.ravel(), names_)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists_of(rows_, ids, len(raw)), lists_of(rows_, values, len(raw))], names=["q1", "q2", "ids", "scores"])
 
@@ -315,7 +322,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
                 return None
             base = np.frombuffer(b"".join(stored)).reshape(len(stored), -1)
             own = np.frombuffer(b"".join(w[2] for w in waiting)).reshape(len(waiting), -1)
-            top, scores = best_of(own, base, k + 1)
+            top, scores = best_of(own, base, k + 1, np.array([x[0] for x in names], np.int64))
             good = scores >= np.array([w[3] for w in waiting])[:, None] - 1e-9
             rows_, at = np.nonzero(good)
             rows_, ids, values = expanded(rows_, top[rows_, at], scores[rows_, at], names)

@@ -1,6 +1,10 @@
 """Registered queries: names match, results are not constant, checks agree with Spark on a few of them."""
 
 import collections
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -16,6 +20,22 @@ def test_checks_have_queries():
     assert len(__spark_entry__.queries()) > 120
 
 
+@pytest.mark.parametrize("gone", [["tonewright/llm", "tests/llm"], ["tonewright/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_queries_without_the_training_data_operators(tmp_path, gone):
+    """The rest registers its queries whichever of the optional parts are deleted."""
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    for path in gone:
+        shutil.rmtree(copy / path) if (copy / path).is_dir() else (copy / path).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(len(q), 'pipeline' in q, any(n.startswith('op1_') for n in q))"
+    env = os.environ | {"PYTHONPATH": str(copy)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    count, pipeline, operators = done.stdout.split()
+    assert int(count) > 120 and pipeline == "False"
+    assert operators == str((copy / "tonewright/llm").exists())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

@@ -1,12 +1,14 @@
 """BPE, JPEG media, packing, chat formatting: round trips and brute force, with awkward rows."""
 
 import base64
+import collections
 import hashlib
 import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,8 +187,31 @@ def test_word_ids_any_text(text):
 
     library = Tokenizer.from_file(WORDS)
     library.encode_special_tokens = True
-    (found,) = bestfit_packing.word_ids(WORDS).of_texts([text.encode()])
-    assert np.frombuffer(found, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = pa.array(["before", text, None, "", text[::-1], f" {text}\x0b"])
+    found = bestfit_packing.word_ids(WORDS).of_texts(texts.slice(1))
+    for ids, own in zip(found, texts.to_pylist()[1:], strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(own or "", add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_are_refused():
+    with pytest.raises(ValueError, match="another way"):
+        bestfit_packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=120))
+def test_plan_is_best_fit_decreasing(lengths):
+    """As many bins as best-fit-decreasing over single pieces makes."""
+    rooms: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        fitting = [i for i, room in enumerate(rooms) if room >= length]
+        if fitting:
+            rooms[min(fitting, key=rooms.__getitem__)] -= length
+        else:
+            rooms.append(64 - length)
+    plan = bestfit_packing.plan_best_fit(dict(collections.Counter(lengths)), 64)
+    bins = {start + (rank - first) // each for _, first, last, start, each, _ in plan for rank in range(first, last)}
+    assert len(bins) == len(rooms)
 
 
 def test_chat_round_trip(spark):

@@ -13,21 +13,24 @@ rows are packed like any others; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
-from operator import concat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import cut, read_table, shuffle_partitions, text_blocks, whole_texts, worker_state
+from tonewright.llm.shared import byte_blocks, cut, read_table, shuffle_partitions, whole_texts, worker_state
 
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 350_000
+PIECES_A_CALL = 50_000
+BLOCK_BYTES = 4_000_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -77,15 +80,21 @@ class Recent:
     def __init__(self, limit: int):
         self.limit, self.new, self.old = limit, {}, {}
 
-    def missing(self, keys: set) -> set:
-        """Keys that neither generation has; those of the older come over. Call before reading `new`."""
-        absent = keys - self.new.keys()
-        if len(self.new) + len(absent) > self.limit:
-            self.old, self.new, absent = self.new, {}, keys
-        again = absent & self.old.keys()
-        for key in again:
-            self.new[key] = self.old[key]
-        return absent - again
+    def of(self, keys: list, make) -> list:
+        """What is held for distinct keys; for those that neither generation has, make(their list)."""
+        found = list(map(self.new.get, keys))
+        absent = [i for i, value in enumerate(found) if value is None]
+        if absent:
+            again = list(map(self.old.get, (keys[i] for i in absent)))
+            unknown = [i for i, value in zip(absent, again, strict=True) if value is None]
+            if len(self.new) + len(absent) > self.limit:
+                self.old, self.new = self.new, {}
+            for i, value in zip(absent, again, strict=True):
+                found[i] = value
+            for i, value in zip(unknown, make([keys[i] for i in unknown]) if unknown else (), strict=True):
+                found[i] = value
+            self.new.update((keys[i], found[i]) for i in absent)
+        return found
 
 
 class WordIds:
@@ -93,62 +102,110 @@ class WordIds:
 
     The tokenizer drops white space, and no token, normal form or case rule reaches across it. Words of ASCII and
     Latin-1 letters that end in ASCII marks other than an apostrophe are two pieces for it, letters (lowered) and
-    marks, so they share what is known of their pieces. New pieces go to the tokenizer in one text with a divider
-    between them, whose id no piece without that character has.
+    marks, so they share what is known of their pieces. Letters go to the tokenizer's merges alone, many words in one
+    text: they have their normal form, and a word's last token, and no other, holds the end of a word. What is not
+    plain goes through the whole tokenizer, a divider between pieces, whose id no piece without that character has.
+
+    This leans on how the file lowers and splits; a file that does so otherwise is refused.
     """
 
     #: A line: letters and marks of a plain word, or whatever else it is.
     PLAIN = re.compile(rb"^(?:((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-&(-/:-@\[-`{-~]*+)$|(.+)$)", re.M)
-    DIVIDER = "|"
+    DIVIDER, WORD_END = "|", "</w>"
+    #: What a file must say of its steps (fixed values).
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        steps = json.loads(self.tokenizer.to_str())
+        self.check(steps)
+        letters = steps | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(letters))
+        self.words, self.letters, self.others = Recent(CACHE_WORDS), Recent(CACHE_WORDS), Recent(CACHE_WORDS // 8)
         (self.divider,) = self.tokenizer.encode(self.DIVIDER, add_special_tokens=False).ids
+        vocabulary = steps["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+        # Bytes as the characters that stand for them: printable ones are their own, the others follow from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.characters = {b: b for b in own} | {b: 256 + n for n, b in enumerate(rest)} | {32: 32}
+
+    def check(self, steps: dict) -> None:
+        split = [p for p in (steps["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        model = steps["model"]
+        known = (steps["normalizer"] or {}).get("normalizers") == self.NORMALIZERS and len(split) == 1
+        known = known and split[0]["pattern"] == {"Regex": self.SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        if not known or model["type"] != "BPE" or model["end_of_word_suffix"] != self.WORD_END or model["dropout"] or not any(p["type"] == "ByteLevel" for p in steps["pre_tokenizer"]["pretokenizers"]):
+            raise ValueError("a tokenizer file that lowers, splits or ends words in another way")
+
+    def cut_up(self, n: int, text: str, tokenizer, ends) -> list[bytes]:
+        """Ids of one text of n pieces, cut after its ends or (none given) at the dividers."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        raw, keep = ids.tobytes(), 0 if ends is None else 4
+        cuts = (4 * np.flatnonzero(ids == self.divider if ends is None else ends[ids])).tolist()
+        cuts = [*cuts, len(raw)] if ends is None else cuts
+        return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts[: n - 1]]], [c + keep for c in cuts], strict=True)]
+
+    def of_letters(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces of lowered letters."""
+        out: list[bytes] = []
+        for start in range(0, len(pieces), PIECES_A_CALL):
+            part = pieces[start : start + PIECES_A_CALL]
+            out += self.cut_up(len(part), b" ".join(part).decode("latin-1").translate(self.characters), self.merges, self.ends)
+        return out
 
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        mark = self.DIVIDER.encode()
-        alone = [i for i, p in enumerate(pieces) if mark in p]
-        together = [i for i, p in enumerate(pieces) if mark not in p]
+    def of_others(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces of any kind."""
         out: list = [b""] * len(pieces)
-        for i in alone:
-            ids = self.tokenizer.encode(pieces[i].decode("utf-8"), add_special_tokens=False).ids
-            out[i] = np.array(ids, "<u4").tobytes()
-        if together:
-            text = f" {self.DIVIDER} ".join(pieces[i].decode("utf-8") for i in together)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.divider)).tolist()
-            raw = ids.tobytes()
-            for i, start, end in zip(together, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
-                out[i] = raw[start:end]
+        mark = self.DIVIDER.encode()
+        for i in (i for i, p in enumerate(pieces) if mark in p):
+            out[i] = np.array(self.tokenizer.encode(pieces[i].decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        rest = [i for i, p in enumerate(pieces) if mark not in p]
+        for start in range(0, len(rest), PIECES_A_CALL):
+            part = rest[start : start + PIECES_A_CALL]
+            text = f" {self.DIVIDER} ".join([pieces[i].decode("utf-8") for i in part])
+            for i, ids in zip(part, self.cut_up(len(part), text, self.tokenizer, None), strict=True):
+                out[i] = ids
         return out
 
-    def meet(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all words of a block."""
-        new = list(self.words.missing(words))
-        if new:
-            rows = self.PLAIN.findall(b"\n".join(new))
-            letters = b"\n".join([r[0] for r in rows]).decode("utf-8").lower().encode("utf-8").split(b"\n")
-            first = [a or r[2] for a, r in zip(letters, rows, strict=True)]
-            marks = [r[1] for r in rows]
-            unknown = list(self.pieces.missing({*first, *marks}))
-            for start in range(0, len(unknown), 50_000):
-                part = unknown[start : start + 50_000]
-                self.pieces.new.update(zip(part, self.encode(part), strict=True))
-            known = self.pieces.new.__getitem__
-            self.words.new.update(zip(new, map(concat, map(known, first), map(known, marks)), strict=True))
-        return self.words.new
-
-    def of_texts(self, texts: list[bytes | None]):
-        """Ids of each text."""
-        for start, end in text_blocks(texts):
-            split = [t.split() if t else [] for t in texts[start:end]]
-            known = self.meet(set().union(*split)).__getitem__
-            for words in split:
-                yield b"".join(map(known, words))
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words without white space."""
+        parts = self.PLAIN.sub(rb"\1\n\2\n\3", b"\n".join(words)).split(b"\n")
+        letters = b"\n".join(parts[::3]).decode("utf-8").lower().encode("utf-8").split(b"\n")
+        of: dict[bytes, bytes] = {b"": b""}
+        for kept, make, pieces in ((self.letters, self.of_letters, letters), (self.others, self.of_others, [*parts[1::3], *parts[2::3]])):
+            distinct = list({*pieces} - {b""})
+            of.update(zip(distinct, kept.of(distinct, make), strict=True))
+        known = of.__getitem__
+        return [a + b + c for a, b, c in zip(map(known, letters), map(known, parts[1::3]), map(known, parts[2::3]), strict=True)]
+
+    def of_texts(self, texts: pa.StringArray):
+        """Ids of each text, as little-endian bytes."""
+        for start, end in byte_blocks(texts, BLOCK_BYTES):
+            # Words are told apart and numbered by Arrow; only distinct ones become Python's.
+            lists = pc.ascii_split_whitespace(texts.slice(start, end - start).fill_null(""))
+            numbered = lists.flatten().dictionary_encode()
+            words = numbered.dictionary.cast(pa.binary()).to_pylist()
+            empty = words.index(b"") if b"" in words else None  # white space at an end of a text
+            asked = [w for w in words if w]
+            ids = self.words.of(asked, self.of_words)
+            if empty is not None:
+                ids.insert(empty, b"")
+            held, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            codes = numbered.indices.to_numpy(zero_copy_only=False)
+            own = sizes[codes]
+            ends = np.cumsum(own)
+            places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - own), own)
+            places += np.arange(len(places))
+            raw = memoryview(held[places]).cast("B")
+            edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield raw[a:b]
 
 
 def word_ids(path: str) -> WordIds:
@@ -165,9 +222,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPAC
         words = word_ids(tokenizer_file)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for name, ids in zip(batch.column(0).to_pylist(), words.of_texts(texts), strict=True):
-                ids += end
+            for name, own in zip(batch.column(0).to_pylist(), words.of_texts(batch.column(1)), strict=True):
+                ids = bytes(own) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for column, value in zip(rows, (name, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +77,13 @@ def text_blocks(texts: list, limit: int = 2_000_000):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def byte_blocks(texts, limit: int):
+    """Ranges of an Arrow array of strings that hold about `limit` bytes each (one text at least)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if texts.type == pa.large_string() else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    start = 0
+    while start < len(texts):
+        end = min(len(texts), max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1))
+        yield start, end
+        start = end

@@ -107,7 +107,7 @@ SENTENCES = {
     "p15_abstract_subjects": "(?:该技术的应用|该技术的实现|这一举措)[^。]*?[。！]",
     "p16_formulaic_closers": "(?:综上所述|总之|简而言之)[^。]*?[。！]",
     "p17_forced_formality": r"(?:利用|运用|鉴于|遵照)\s*[^。]*?[。！]",
-    "p18_repetition_rhythm": "[^。]*?(?:高效|稳定|可扩展|fast|reliable|scalable)[^。]*?(?:、[^。]*?){2,}[。！]",
+    "p18_repetition_rhythm": "[^。]*?(?:高效|稳定|可扩展|fast|reliable|scalable)[^。]*?、[^。]*?、[^。]*?[。！]",
     "p19_over_qualification": r"(?:极为|极其|非常| highly|extremely|quite)\s*[^。]*?[。！]",
     "p20_stilted_coordination": r"既[^。]*?[，,][\s]*又[^。]*?[。！]",
     "p21_unnecessary_clarifications": r"(?:换句话说|换言之|in\s+other\s+words|that\s+is\s+to\s+say)[^。]*?[。！]",

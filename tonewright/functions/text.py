@@ -2,11 +2,17 @@
 
 Patterns are written once (`fixed_values`) and run by Java with Unicode classes (`\\s`, `\\d`, `\\w`) and with `.`
 stopping at line feeds only. Every pattern is a literal: a pattern in a column would be compiled again a row.
+
+Most texts hold nothing of what most patterns look for. Every match of a pattern holds one of a few literals, which
+`needed` reads from the pattern; a search for bytes tells whether the pattern has to be run at all.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import re._constants as kinds
+import re._parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +23,15 @@ SENTENCE_START = r"(?:\G|(?<=。))"
 LAZY_HEAD = "[^。]*?"
 
 
+#: Java recurses a level for each turn of a group, and a text of thousands of turns ends in a stack overflow. It turns
+#: possessive groups in a loop. No group that is repeated without end here can give back a turn that what follows takes.
+ENDLESS_GROUP = re.compile(r"(?<=(?<!\\)\))([*+])(?![*+?])")
+MOST_LITERALS = 24
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern in Java's dialect, with the flags all patterns have."""
+    pattern = ENDLESS_GROUP.sub(r"\1+", pattern)
     if pattern.startswith(LAZY_HEAD):
         pattern = SENTENCE_START + pattern
     # Only the flags that can make a difference: folding case or classes costs time at every character.
@@ -29,9 +42,68 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return f"(?{flags})" + pattern if flags else pattern
 
 
+def best(choices: list[set[str] | None]) -> set[str] | None:
+    """The set whose words are longest, few words counting as long ones."""
+    known = [c for c in choices if c and all(c) and len(c) <= MOST_LITERALS]
+    return max(known, key=lambda c: min(len(w.encode()) for w in c) - 0.1 * len(c), default=None)
+
+
+def literals(items, folded: bool) -> set[str] | None:
+    """Words of which every match of a parsed pattern holds one; None if there are no such words."""
+    choices: list[set[str] | None] = []
+    run = ""
+    for kind, value in [*items, (None, None)]:
+        if kind is kinds.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            # Letters that more than one other character folds to are no part of a folded word.
+            parts = re.split("[iksIKS]", run) if folded else [run]
+            choices.append({max(parts, key=len).lower() if folded else run})
+            run = ""
+        if kind is kinds.SUBPATTERN:
+            choices.append(literals(value[3], folded))
+        elif kind is kinds.BRANCH:
+            each = [literals(x, folded) for x in value[1]]
+            choices.append(None if None in each else set().union(*each))
+        elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT) and value[0]:
+            choices.append(literals(value[2], folded))
+        elif kind is kinds.IN and not folded and all(k is kinds.LITERAL for k, _ in value):
+            choices.append({chr(c) for _, c in value})
+    return best(choices)
+
+
+@functools.cache
+def needed(pattern: str, ignore_case: bool = False) -> tuple[str, ...]:
+    """Words of which every match holds one, in lower case if case is ignored; none if there are no such words."""
+    plain = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)
+    folded = "i" in java(pattern, ignore_case).partition(")")[0] if java(pattern, ignore_case).startswith("(?") else False
+    return tuple(sorted(literals(parser.parse(plain), folded) or ()))
+
+
+def holds_one(text: Column, words) -> Column:
+    """Does the text hold one of the words, byte by byte?"""
+    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def can_match(text: Column, pattern: str, ignore_case: bool = False) -> Column | None:
+    """A quick condition that every text with a match meets, if there is one."""
+    words = needed(pattern, ignore_case)
+    if not words:
+        return None
+    folded = java(pattern, ignore_case) != java(pattern, False)
+    return holds_one(F.lower(text) if folded else text, words)
+
+
+NO_TEXTS = "cast(array() as array<string>)"
+NO_SPANS = "cast(array() as array<struct<s:int,e:int,t:string>>)"
+
+
 def find_all(text: Column, pattern: str, ignore_case: bool = False, group: int = 0) -> Column:
     """All matches, left to right."""
-    return F.regexp_extract_all(text, F.lit(java(pattern, ignore_case)), group)
+    found = F.regexp_extract_all(text, F.lit(java(pattern, ignore_case)), group)
+    able = can_match(text, pattern, ignore_case)
+    return found if able is None else F.when(able, found).otherwise(F.expr(NO_TEXTS))
 
 
 def count_matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
@@ -39,7 +111,9 @@ def count_matches(text: Column, pattern: str, ignore_case: bool = False) -> Colu
 
 
 def has(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return F.rlike(text, F.lit(java(pattern, ignore_case)))
+    able = can_match(text, pattern, ignore_case)
+    found = F.rlike(text, F.lit(java(pattern, ignore_case)))
+    return found if able is None else able & found
 
 
 def replace_all(text: Column, pattern: str, by: str, ignore_case: bool = False) -> Column:
@@ -48,8 +122,8 @@ def replace_all(text: Column, pattern: str, by: str, ignore_case: bool = False)
 
 
 def any_of(text: Column, words: list[str]) -> Column:
-    """Does the text hold one of the words? Matched literally, in one pass."""
-    return F.rlike(text, F.lit("|".join(f"\\Q{w}\\E" for w in words)))
+    """Does the text hold one of the words? Matched literally; a word that holds a shorter one is not looked for."""
+    return holds_one(text, [w for w in words if not any(v != w and v in w for v in words)])
 
 
 def present(text: Column, words: list[str]) -> Column:
@@ -82,7 +156,7 @@ def spans(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     """
     regex = java(pattern, ignore_case)
     pieces, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), 0)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
         first = state["at"] + F.length(pair["p"])
@@ -93,7 +167,7 @@ def spans(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("f"))
     pairs = F.transform(pairs, lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f")))
     # Most texts have no match; one search tells.
-    return F.when(~F.rlike(text, F.lit(regex)), F.expr("cast(array() as array<struct<s:int,e:int,t:string>>)")).otherwise(F.aggregate(pairs, start, step, lambda s: s["out"]))
+    return F.when(has(text, pattern, ignore_case), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.expr(NO_SPANS))
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import any_of, computed_once, find_all, has, present, replace_all, spans, without_space
+from tonewright.functions.text import NO_SPANS, NO_TEXTS, any_of, computed_once, find_all, holds_one, present, replace_all, spans, without_space
 
-NO_SPANS = "cast(array() as array<struct<s:int,e:int,t:string>>)"
 HIT = "array<struct<category:string,pattern_id:string,matched:string,penalty:int>>"
 SLANG = "p27_over_colloquial"
 UNDUE = "p06_undue_caution"
@@ -25,10 +24,6 @@ UNDUE_PATTERNS = [
 COVERED = {"玩意儿": "这那", "动嘴": "动"}
 
 
-#: What a text must hold for a pattern to match at all, where that is far quicker to see than the pattern.
-NEEDED = {V.JUDGED["p29_maxim_golden_line"][2][0]: r"的[，,]\s*比"}
-
-
 def as_hits(texts: Column, category: str, pattern_id: str | None, penalty: int) -> Column:
     """Hits from an array of matched texts."""
     return F.transform(texts, lambda t: F.struct(F.lit(category).alias("category"), F.lit(pattern_id).cast("string").alias("pattern_id"), t.alias("matched"), F.lit(penalty).alias("penalty")))
@@ -90,7 +85,9 @@ def parallel_items(body: Column, pattern: str, items: int) -> Column:
             all_known = all_known & any_of(part, V.STRONG_KEYWORDS + V.WEAK_KEYWORDS)
         return short & (strong | all_known)
 
-    return F.transform(F.filter(rows, hollow), lambda r: r["g0"])
+    # Whatever its items, an enumeration without a keyword in it is none.
+    some = any_of(body, V.STRONG_KEYWORDS + V.WEAK_KEYWORDS)
+    return F.when(some, F.transform(F.filter(rows, hollow), lambda r: r["g0"])).otherwise(F.expr(NO_TEXTS))
 
 
 def sentence(body: Column, pattern_id: str) -> Column:
@@ -112,7 +109,7 @@ def unquoted(body: Column) -> Column:
     """Code and quoted lines blanked out."""
     masked = replace_all(body, "(?s)```.*?```", " ")
     masked = replace_all(masked, r"`[^`\n]+`", " ")
-    return replace_all(masked, r"(?m)^\s*>.*$", " ")
+    return F.when(holds_one(body, "`>"), replace_all(masked, r"(?m)^\s*>.*$", " ")).otherwise(body)
 
 
 def word_spans(masked: Column, words: list[str]) -> Column:
@@ -123,9 +120,7 @@ def word_spans(masked: Column, words: list[str]) -> Column:
             found.append(spans(masked, f"(?<![A-Za-z]){w}(?![A-Za-z])", True))
         else:
             found.append(spans(masked, (f"(?<![{COVERED[w]}])" if w in COVERED else "") + w))
-    # One pass over all words spares most texts the search for each.
-    some = F.rlike(masked, F.lit("(?i)" + "|".join(words)))
-    return F.when(some, F.array_sort(F.flatten(F.array(*found)))).otherwise(F.expr(NO_SPANS))
+    return F.array_sort(F.flatten(F.array(*found)))
 
 
 def slang(body: Column, masked: Column) -> Column:
@@ -153,12 +148,11 @@ def slang_hits(found: Column, hard_penalty: int = 3, light_penalty: int = 1) ->
 def judged(body: Column, pattern_id: str, penalty: int | None = None) -> Column:
     """Hits of a judged pattern: distinct spans of its expressions, none below its least number."""
     own, least, patterns = V.JUDGED[pattern_id]
-    guarded = lambda p: F.when(has(body, NEEDED[p]), spans(body, p)).otherwise(F.expr(NO_SPANS)) if p in NEEDED else spans(body, p)
-    found = F.array_distinct(F.array_sort(F.flatten(F.array(*[guarded(p) for p in patterns]))))
+    found = F.array_distinct(F.array_sort(F.flatten(F.array(*[spans(body, p) for p in patterns]))))
     found = F.filter(found, lambda s: F.rlike(s["t"], F.lit(r"(?U)\S")))
     texts = F.transform(found, lambda s: s["t"])
     if least > 1:
-        texts = F.when(F.size(found) >= least, texts).otherwise(F.expr("cast(array() as array<string>)"))
+        texts = F.when(F.size(found) >= least, texts).otherwise(F.expr(NO_TEXTS))
     return as_hits(texts, "pattern", pattern_id, own if penalty is None else penalty)
 
 

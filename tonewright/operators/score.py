@@ -15,7 +15,7 @@ CLEAN = "未检测到明显 AI 味特征"
 
 def without_code(text: Column) -> Column:
     """Fenced blocks and inline code removed."""
-    return replace_all(replace_all(text, "(?s)```.*?```", ""), r"`[^`\n]+`", "")
+    return F.when(F.contains(text, F.lit("`")), replace_all(replace_all(text, "(?s)```.*?```", ""), r"`[^`\n]+`", "")).otherwise(text)
 
 
 def with_body(df: DataFrame, text: str = "text", body: str = "body") -> DataFrame:

@@ -290,7 +290,7 @@ def jaccard(a, b):
 
 @pytest.mark.parametrize("slice_rows", [2048, 3])
 def test_similar_documents(spark, slice_rows, monkeypatch):
-    monkeypatch.setattr(simhash_pivot.wide_links, "__defaults__", (slice_rows,))
+    monkeypatch.setattr(simhash_pivot.wide_pairs, "__defaults__", (slice_rows,))
     rng = random.Random(9)
     base = [" ".join("w%d" % rng.randrange(3000) for _ in range(300)) for _ in range(40)]
     rows = [(i, t) for i, t in enumerate(base)] + [(900, None), (901, ""), (902, "one two"), (903, "one two"), (None, base[0])]
@@ -327,7 +327,7 @@ def test_similar_pairs_all_meet(spark, length, edits):
 
 @pytest.mark.parametrize("slice_rows", [1024, 7])
 def test_similar_groups_of_variants(spark, slice_rows, monkeypatch):
-    monkeypatch.setattr(simhash_pivot.wide_links, "__defaults__", (slice_rows,))
+    monkeypatch.setattr(simhash_pivot.wide_pairs, "__defaults__", (slice_rows,))
     rng = random.Random(5)
     rows = []
     for _ in range(15):
@@ -345,6 +345,35 @@ def test_similar_groups_of_variants(spark, slice_rows, monkeypatch):
     assert found == dict(enumerate(want))
 
 
+def test_sets_differ_at_least_as_their_fingerprints_and_pivots_do():
+    rng = np.random.default_rng(8)
+    for n, edits in [(3, 1), (200, 30), (900, 200), (5000, 700)]:
+        one = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        two = np.unique(np.concatenate([one[edits:], rng.integers(0, 2**63, edits * 2, dtype=np.uint64)]))
+        members = len(np.setxor1d(one, two))
+        a, b = (np.frombuffer(simhash_pivot.parities(x), np.uint64) for x in (one, two))
+        words = min(len(a), len(b))
+        bits = [int(np.bitwise_count(simhash_pivot.folded(a, w) ^ simhash_pivot.folded(b, w)).sum()) for w in (words, 16)]
+        assert members >= bits[0] >= bits[1] >= int(simhash_pivot.pivot_differences(simhash_pivot.folded(a, 16), simhash_pivot.folded(b, 16)))
+        far = rng.integers(0, 2**63, 16, dtype=np.uint64)
+        assert simhash_pivot.pivot_differences(simhash_pivot.folded(a, 16), far) <= np.bitwise_count(simhash_pivot.folded(a, 16) ^ far).sum()
+
+
+@pytest.mark.parametrize("size,rare", [(1, 1), (5, 0), (30, 30), (30, 4), (500, 500), (500, 150), (500, 90), (20000, 20000)])
+def test_first_members_are_enough(size, rare):
+    """The least favourable pair: all that differs is rare. Its chance of sharing no first member, by the ratio of each draw."""
+    n = simhash_pivot.prefix_length(size, rare, 0.8)
+    certain = size - -(-4 * size // 5) + 1
+    assert 1 <= n <= certain
+    if n < certain:
+        differ, union = int(0.25 * size), rare
+        chance = 1.0
+        for k in range(n):
+            chance *= max(0, differ - k) / (union - k)
+        assert n <= rare and chance <= 1e-15
+    assert simhash_pivot.prefix_length(20000, 20000, 0.8) < 30
+
+
 def test_near_dedup_of_repeated_ids(spark):
     import corpus_pipeline
 

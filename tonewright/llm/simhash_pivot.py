@@ -7,13 +7,14 @@ block's bits, so of `blocks` blocks at least blocks - r have equal coordinates i
 choice of that many blocks gives a join key. Pairs that meet under a key are discarded by their maximum
 coordinate difference, and survivors are verified by counting bits.
 
-Only a spanning set of links leaves a group, never all pairs. Groups over `bin_limit` fingerprints take an
-exact other way: each member is sent to the centres one flipped free bit away, and two fingerprints within
-two bits share such a centre, so every centre links its members to its smallest one (radius 2 at most).
-Components come from alternating star contractions, cut by checkpoints.
+Only a spanning set of links leaves a group, never all pairs. Groups of over `bin_limit` fingerprints are split
+by the same table: the blocks that their key leaves free are cut into blocks in turn, whose coordinates make
+finer keys, until groups are small or no bits are left to cut. Components come from alternating star
+contractions, cut by checkpoints.
 
-`similar_documents` links by similarity of shingle sets instead: each set's rarest shingles are its keys, as many as
-make it certain that two alike sets share one, and every pair is checked on the sets before it unites anything.
+`similar_documents` links by similarity of shingle sets instead. A set's fingerprint holds the parity of its members
+in each of many classes, so fingerprints differ in no more bits than sets differ in members. Sets meet under their
+rarest shingles; distances of the fingerprints to pivots, the fingerprints, and at last the sets themselves decide.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other; rows with a null
 doc_id get a fingerprint and a null component; repeated rows and ids are repeated in the result; an empty
@@ -36,7 +37,7 @@ SEED = 42
 BITS = 64
 RADIUS = 2
 BLOCKS = 4
-BIN_LIMIT = 512
+BIN_LIMIT = 512  # fingerprints under one key, above which it is split into finer keys
 PAIR_CHUNK = 1 << 21
 
 
@@ -207,28 +208,41 @@ def meeting_links(keyed: DataFrame, radius: int) -> DataFrame:
     return dealt.select("choice", "key", "fp", "coordinates").mapInArrow(run, "u long, v long")
 
 
-def centre_links(crowded: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """Links among members of crowded groups: through centres one flipped bit (of the free blocks) away."""
-    if radius > 2:
-        raise ValueError("crowded groups are linked through centres, which reach radius 2")
-    edges = block_edges(blocks)
-    choices = list(combinations(range(blocks), blocks - radius))
-    free = [[1 << i for b in range(blocks) if b not in chosen for i in range(*edges[b])] for chosen in choices]
-    masks = F.array(*[F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in [0, *own]]) for own in free])
-    spread = crowded.select("choice", "key", "fp", F.explode(F.element_at(masks, F.col("choice") + 1)).alias("mask"))
-    at = spread.select("choice", "key", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"))
-    least = F.min("fp").over(Window.partitionBy("choice", "key", "centre"))
-    return at.select(F.col("fp").alias("u"), least.alias("v")).filter("u <> v").distinct()
+def refined(crowded: DataFrame, free: list[list[int]], radius: int, blocks: int) -> tuple[DataFrame, list[list[int]]]:
+    """Finer keys of crowded groups, and the bits that these leave free.
+
+    The members of a group differ in its free bits alone. These are cut into blocks in turn, and a linked pair agrees in
+    the coordinates of at least blocks - radius of them.
+    """
+    picks, masks, left = list(combinations(range(blocks), blocks - radius)), [], []
+    for bits in free:
+        parts = [bits[len(bits) * k // blocks : len(bits) * (k + 1) // blocks] for k in range(blocks)]
+        own = [sum(1 << i for b in pick for i in parts[b]) for pick in picks]
+        masks.append(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in own]))
+        left += [[i for b in range(blocks) if b not in pick for i in parts[b]] for pick in picks]
+    spread = crowded.select("choice", "key", "fp", "coordinates", F.posexplode(F.element_at(F.array(*masks), F.col("choice") + 1)).alias("pick", "mask"))
+    number = (F.col("choice") * len(picks) + F.col("pick")).cast("int")
+    return spread.select(number.alias("choice"), F.xxhash64("key", "pick", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "coordinates"), left
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bin_limit: int = BIN_LIMIT) -> DataFrame:
     """Links (u, v), spanning every component of fingerprints within `radius` bits. fps: distinct, column fp."""
     keyed = cut(pivot_table(fps, radius, blocks))
-    crowds = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bin_limit).select("choice", "key", F.lit(True).alias("crowded"))
-    marked = keyed.join(crowds, ["choice", "key"], "left")
-    met = meeting_links(marked.filter("crowded is null"), radius)
-    through = centre_links(marked.filter("crowded"), radius, blocks)
-    return met.unionByName(through)
+    edges = block_edges(blocks)
+    free = [[i for b in range(blocks) if b not in chosen for i in range(*edges[b])] for chosen in combinations(range(blocks), blocks - radius)]
+    found = None
+    while True:
+        crowds = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bin_limit).select("choice", "key", F.lit(True).alias("crowded"))
+        crowds = cut(crowds)
+        # A group with so few free bits that they can't be cut has 2 ** (blocks - 1) fingerprints at most.
+        last = len(free[0]) < blocks or crowds.isEmpty()
+        marked = keyed if last else keyed.join(crowds, ["choice", "key"], "left")
+        met = meeting_links(marked if last else marked.filter("crowded is null"), radius)
+        found = met if found is None else found.unionByName(met)
+        if last:
+            return found
+        finer, free = refined(marked.filter("crowded"), free, radius, blocks)
+        keyed = cut(finer)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,7 +283,11 @@ def near_duplicates(docs: DataFrame, words_a_shingle: int = 3, radius: int = RAD
 SLICE = 1024
 SAMPLED_ROWS = 8000  # rows whose shingles are counted to order shingles by rarity
 COMMON, COMMON_LEAST = 20_000, 3  # shingles held as common, and how often the sample must show them
-PARITY_BITS = 1024
+LEAST_BITS = 1024  # of a parity fingerprint
+SET_PIVOTS = 8  # of each 64 bits of it
+PIVOT_ROWS = 500  # pairs whose tables are held at once
+MISS = 1e-15
+BROADCAST_ROWS = 2_000_000  # ids (8 bytes each) that may be broadcast to pick the rows whose sets are needed
 EPSILON = 1e-9
 
 
@@ -286,17 +304,47 @@ def shingle_hashes(text: bytes, words_a_shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
 
 
-def prefix_length(size: int, similarity: float) -> int:
-    """Two sets of this Jaccard similarity share one of so many first members of each, in any one order of all members.
+def prefix_length(size: int, rare: int, similarity: float) -> int:
+    """How many first members of each of two sets of this Jaccard similarity are sure to share one.
 
-    They share at least similarity * size members of a set, so all of them can't lie behind its first ones.
+    In any one order of all members, size - similarity * size + 1 are enough: the shared ones can't all lie behind them.
+    Far fewer are enough where the order is one of hashes. The members that are not common (`rare` of them, which come
+    first) are in such an order. Of the union's, at most differ = (1 / similarity - 1) * size are not shared, so the first
+    n of them all are with a probability of at most (differ / rare) ** n. n makes that MISS; for sets of unlike sizes,
+    whose n differ by a fifth at most, it is 1e-12.
     """
-    return size - int(np.ceil(similarity * size - EPSILON)) + 1
+    certain = size - int(np.ceil(similarity * size - EPSILON)) + 1
+    differ = (1 / similarity - 1) * size
+    if rare <= differ:
+        return certain
+    enough = int(np.ceil(np.log(MISS) / np.log(differ / rare)))
+    return min(certain, enough) if enough <= rare else certain
 
 
 def parities(hashes: np.ndarray) -> bytes:
-    """Parity of the members of a set in each of 1024 classes: two sets differ in at least as many members as these in bits."""
-    return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
+    """Parity of a set's members in each of 2 to 4 classes a member (1024 at least, a power of two).
+
+    Two sets differ in at least as many members as these differ in bits.
+    """
+    bits = max(LEAST_BITS, 1 << int(2 * len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A parity fingerprint (its 64-bit words) over fewer classes: halves fold on one another."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def pivot_differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most as many bits as fingerprints (rows of 64-bit words) differ in: the largest difference of the distances of
+
+    each pair of words to the pivots, summed over the words.
+    """
+    references = pivots(1)[:SET_PIVOTS]
+    gap = np.abs(np.bitwise_count(a[..., None] ^ references).astype(np.int8) - np.bitwise_count(b[..., None] ^ references).astype(np.int8))
+    return gap.max(axis=-1).sum(axis=-1, dtype=np.int64)
 
 
 def common_shingles(rows: DataFrame, words_a_shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -316,12 +364,14 @@ def common_shingles(rows: DataFrame, words_a_shingle: int) -> tuple[np.ndarray,
     return keys[order], counts[order]
 
 
-def rarest(hashes: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first n of a set in the order of all keys: by frequency in the sample, then by hash."""
-    if not len(common[0]):
-        return hashes[:n]
-    at = np.searchsorted(common[0], hashes).clip(max=len(common[0]) - 1)
-    return hashes[np.argsort(np.where(common[0][at] == hashes, common[1][at], 0), kind="stable")[:n]]
+def rarest(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set in the order of all keys, as many as are needed: by frequency in the sample, then by hash."""
+    counts = np.zeros(len(hashes), np.int64)
+    if len(common[0]):
+        at = np.searchsorted(common[0], hashes).clip(max=len(common[0]) - 1)
+        counts = np.where(common[0][at] == hashes, common[1][at], 0)
+    n = prefix_length(len(hashes), int((counts == 0).sum()), similarity)
+    return hashes[np.argsort(counts, kind="stable")[:n]]
 
 
 def can_be_alike(size, other_size, place, other_place, similarity: float, least):
@@ -333,64 +383,94 @@ def can_be_alike(size, other_size, place, other_place, similarity: float, least)
     return (size >= similarity * other_size - EPSILON) & (most >= similarity / (1 + similarity) * (size + other_size) - EPSILON)
 
 
-def may_differ(differ, size, other_size, similarity: float):
-    """Can two sets whose parities differ in so many bits be alike? Columns or arrays."""
-    return differ <= (1 - similarity) / (1 + similarity) * (size + other_size) + EPSILON
+def most_differ(size, other_size, similarity: float):
+    """In how many members two sets that are alike can differ. Columns or arrays."""
+    return (1 - similarity) / (1 + similarity) * (size + other_size) + EPSILON
+
+
+def meeting_nodes(base: DataFrame) -> DataFrame:
+    """key, node, size, place of the keys that several nodes have. base: node, size, prefix, a node in any number of rows."""
+    keys = base.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    by_size = Window.partitionBy("key").orderBy("size", "node")
+    once = keys.withColumn("before", F.lag("node").over(by_size)).filter(F.col("before").isNull() | (F.col("before") != F.col("node")))
+    met = once.withColumn("after", F.lead("node").over(by_size)).filter(F.col("before").isNotNull() | F.col("after").isNotNull())
+    return met.select("key", "node", "size", "place")
 
 
-def neighbour_pairs(met: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of each key's members that can be alike: the next one by size, and the first one. nodes: node, size, parity."""
+def neighbour_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of each key's members that can be alike: the next one by size, and the first one."""
     by_size = Window.partitionBy("key").orderBy("size", "node")
     own = F.struct("node", "size", "place")
     near = met.withColumns({"before": F.lag(own).over(by_size), "head": F.first(own).over(by_size.rowsBetween(Window.unboundedPreceding, 0))})
     near = near.withColumn("other", F.explode(F.array_distinct(F.array("before", "head")))).filter(F.col("other.node") != F.col("node"))
     near = near.filter(can_be_alike(F.col("other.size"), F.col("size"), F.col("other.place"), F.col("place"), similarity, F.least))
-    pairs = near.select(F.greatest("node", "other.node").alias("u"), F.least("node", "other.node").alias("v")).distinct()
+    return near.select(F.greatest("node", "other.node").alias("u"), F.least("node", "other.node").alias("v")).distinct()
+
+
+def not_discarded(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """u, v and the differing bits of the pairs whose fingerprints do not tell that they differ too much. nodes: node, size, parity."""
     left, right = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}")) for n in "uv")
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(batch), -1) for i in (3, 5))
-            sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-            good = pa.array(may_differ(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64), *sizes, similarity)) if len(batch) else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["u", "v"])
+            limits = most_differ(*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4)), similarity)
+            one, two = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (3, 5))
+            # The table of distances to pivots first, over the least number of classes; then bits, over as many as there are.
+            least = LEAST_BITS // 64
+            a, b = (np.array([folded(x, least) for x in side], np.uint64).reshape(-1, least) for side in (one, two))
+            differ = np.full(len(batch), -1, np.int64)
+            for start in range(0, len(batch), PIVOT_ROWS):
+                at = slice(start, start + PIVOT_ROWS)
+                places = start + np.flatnonzero(pivot_differences(a[at], b[at]) <= limits[at])
+                places = places[np.bitwise_count(a[places] ^ b[places]).sum(axis=1, dtype=np.int64) <= limits[places]]
+                for i in places.tolist():
+                    words = min(len(one[i]), len(two[i]))
+                    bits = int(np.bitwise_count(folded(one[i], words) ^ folded(two[i], words)).sum(dtype=np.int64))
+                    differ[i] = bits if bits <= limits[i] else -1
+            good = pa.array(differ >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(differ[differ >= 0])], names=["u", "v", "differ"])
 
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "size_u", "parity_u", "size_v", "parity_v")
-    return both.mapInArrow(run, "u long, v long")
-
-
-def meeting_nodes(base: DataFrame) -> DataFrame:
-    """key, node, size, place of the keys that several nodes have. base: node, size, prefix, a node in any number of rows."""
-    keys = base.select("node", "size", F.posexplode("prefix").alias("place", "key"))
-    by_size = Window.partitionBy("key").orderBy("size", "node")
-    once = keys.withColumn("before", F.lag("node").over(by_size)).filter(F.col("before").isNull() | (F.col("before") != F.col("node")))
-    met = once.withColumn("after", F.lead("node").over(by_size)).filter(F.col("before").isNotNull() | F.col("after").isNotNull())
-    return met.select("key", "node", "size", "place")
+    return both.mapInArrow(run, "u long, v long, differ long")
 
 
 def shingle_sets(rows: DataFrame, reps: DataFrame, words_a_shingle: int) -> DataFrame:
-    """node and shingles (ascending hashes) of the nodes of reps; rows: doc_id, text_hash, text."""
+    """node and shingles (ascending hashes, the upper 48 bits) of the nodes of reps, dealt out by node.
+
+    rows: doc_id, text_hash, text; reps: node, and doc_id and text_hash of one of its rows. Rows are picked by one id
+    each, which is broadcast where there are no more than BROADCAST_ROWS; beyond that, rows and ids are shuffled.
+    """
 
     def run(batches):
         for batch in batches:
-            found = [shingle_hashes(t or b"", words_a_shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "shingles"])
+            found = [shingle_hashes(t or b"", words_a_shingle) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64)
+            sets = [x.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    chosen = rows.join(reps.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    return chosen.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    wanted = reps.select(F.xxhash64("doc_id", "text_hash").alias("row")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    chosen = rows.withColumn("row", F.xxhash64("doc_id", "text_hash")).join(wanted, "row", "left_semi")
+    made = chosen.select("text").mapInArrow(run, "node long, shingles binary")
+    # A row may be there several times.
+    once = made.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return once.repartition(shuffle_partitions(rows.sparkSession), "node")
 
 
-def alike(pairs: DataFrame, rows: DataFrame, reps: DataFrame, similarity: float, words_a_shingle: int) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have that exact Jaccard similarity. reps: node, and doc_id and text_hash of one of its rows."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = cut(shingle_sets(rows, reps.join(ends, "node", "left_semi"), words_a_shingle))
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have that Jaccard similarity."""
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // 6, 8), np.uint8)
+        out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        return out.view(np.uint64).ravel()
 
     def run(batches):
         for batch in batches:
             good = np.zeros(len(batch), bool)
             for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                shared = len(np.intersect1d(one, two, assume_unique=True))
+                one, two = unpacked(a), unpacked(b)
+                shared = len(np.intersect1d(one, two))
                 good[i] = shared >= similarity * (len(one) + len(two) - shared) - EPSILON
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["u", "v"])
 
@@ -398,22 +478,61 @@ def alike(pairs: DataFrame, rows: DataFrame, reps: DataFrame, similarity: float,
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def wide_links(met: DataFrame, similarity: float, slice_rows: int = SLICE) -> DataFrame:
-    """All pairs (u, v) of different roots that share a key and can be alike. met: key, node, size, place, root, parity.
+def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends have different roots, with these (ru, rv). roots: node, root; a node that is not there is its own."""
+    for end in "uv":
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+        pairs = pairs.join(own, end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    return pairs.filter("ru <> rv")
+
+
+def spanning_links(pairs: DataFrame, roots: DataFrame | None, rows: DataFrame, reps: DataFrame, similarity: float, words_a_shingle: int) -> DataFrame | None:
+    """Verified links that unite all that the pairs (u, v, differ) can unite; None if there are no pairs.
+
+    Each round compares the sets of every component's most promising pairs to others, one at first and four times as many
+    a round, and unites what passes. A pair is dropped when it fails or when its ends are one component.
+    """
+    if pairs.isEmpty():
+        return None
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = cut(shingle_sets(rows, reps.join(ends, "node", "left_semi"), words_a_shingle))
+    left = pairs if roots is None else cut(rooted(pairs, roots).select("u", "v", "differ"))
+    links, width = None, 1
+    while not left.isEmpty():
+        known = left.withColumns({"ru": F.col("u"), "rv": F.col("v")}) if roots is None else rooted(left, roots)
+        if width <= 1000:
+            order = [F.col("differ"), F.col("u"), F.col("v")]
+            best = [known.withColumn("at", F.row_number().over(Window.partitionBy(r).orderBy(*order))).filter(F.col("at") <= width).select("u", "v") for r in ("ru", "rv")]
+            now = cut(best[0].unionByName(best[1]).distinct())
+        else:
+            now = cut(known.select("u", "v"))
+        passed = alike(now, sets, similarity)
+        links = cut(passed if links is None else links.unionByName(passed))
+        both = links if roots is None else links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        merged = components(both)
+        left = cut(rooted(left.join(now, ["u", "v"], "left_anti"), merged).select("u", "v", "differ"))
+        width *= 4
+        roots = merged
+    return links
+
+
+def wide_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, slice_rows: int = SLICE) -> DataFrame:
+    """All pairs (u, v) of different roots that share a key and can be alike. met: key, node, size, place; nodes: node, parity.
 
     Keys of over `slice_rows` nodes meet slice by slice, every pair of slices once.
     """
     parts = shuffle_partitions(met.sparkSession)
-    mixed = met.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n")
-    marked = met.join(mixed, "key").withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("int"))
+    apart = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = apart.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "n")
+    # Only what meets another root needs its fingerprint, folded to the least size.
+    marked = apart.join(mixed, "key").join(nodes.select("node", "parity"), "node").withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("int"))
     own = marked.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     cells = other.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "size", "place", "root", "parity")
     dealt = cells.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "size")
 
     def pairs_of(cell):
-        _, low, high, own, node, size, place, root, parity = cell
-        bits = np.frombuffer(b"".join(parity), np.uint64).reshape(len(node), -1)
+        _, low, high, own, node, size, place, root, bits = cell
         reach = np.searchsorted(size, size / similarity + EPSILON, side="right")
         step = max(1, PAIR_CHUNK // 16 // len(node))
         for start in range(0, len(node), step):
@@ -427,8 +546,8 @@ def wide_links(met: DataFrame, similarity: float, slice_rows: int = SLICE) -> Da
             left, right = left[good], right[good]
             good = can_be_alike(size[left], size[right], place[left], place[right], similarity, np.minimum)
             left, right = left[good], right[good]
-            differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
-            good = may_differ(differ, size[left], size[right], similarity)
+            limits = most_differ(size[left], size[right], similarity)
+            good = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= limits
             a, b = node[left[good]], node[right[good]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
@@ -436,7 +555,9 @@ def wide_links(met: DataFrame, similarity: float, slice_rows: int = SLICE) -> Da
     def meet(batches):
         held = None
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            words = LEAST_BITS // 64
+            now.append(np.array([folded(np.frombuffer(x, np.uint64), words) for x in batch.column(8).to_pylist()], np.uint64).reshape(-1, words))
             now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
@@ -454,9 +575,10 @@ def wide_links(met: DataFrame, similarity: float, slice_rows: int = SLICE) -> Da
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
     """doc_id, text_hash and component_id of documents linked by a Jaccard similarity of `similarity` or more of their shingle sets.
 
-    A node is a shingle set; a document is a doc_id with a text. Nodes meet under each of the rarest shingles of theirs,
-    as many as make it certain that two alike share one. Neighbours under a key are compared exactly and united; then all
-    pairs under a key whose ends are still apart are. Rows with a null doc_id are left out; texts without words are alike.
+    A node is a shingle set; a document is a doc_id with a text. Nodes meet under the rarest shingles of theirs, as many
+    as `prefix_length` says. Neighbours under a key are compared and united first; then all pairs under a key whose ends
+    are still apart are. Rows with a null doc_id are left out; texts without words are alike; an empty table gives an
+    empty result; other columns are ignored.
     """
     rows = whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -471,22 +593,25 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle:
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
                 parity.append(parities(hashes))
-                prefixes.append(rarest(hashes, prefix_length(len(hashes), similarity), common.value).view(np.int64))
+                prefixes.append(rarest(hashes, similarity, common.value).view(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "parity", "prefix"])
 
     found = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, size int, parity binary, prefix array<long>")
     base = cut(found)
-    reps = base.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("size").alias("size"), F.min("parity").alias("parity"))
-    reps = cut(reps.select("node", "row.doc_id", "row.text_hash", "size", "parity"))
     met = cut(meeting_nodes(base))
-    tried = cut(neighbour_pairs(met, reps, similarity))
-    links = cut(alike(tried, rows, reps, similarity, words_a_shingle))
-    roots = components(links)
-    apart = met.join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    apart = apart.join(reps.select("node", "parity"), "node")
-    rest = cut(wide_links(apart, similarity).join(tried, ["u", "v"], "left_anti"))
-    roots = components(links.unionByName(alike(rest, rows, reps, similarity, words_a_shingle)))
+    # Of nodes that meet no other, nothing but the id is needed on.
+    meeting = base.join(met.select("node").distinct(), "node", "left_semi")
+    reps = meeting.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("size").alias("size"), F.min("parity").alias("parity"))
+    reps = cut(reps.select("node", "row.doc_id", "row.text_hash", "size", "parity"))
+    tried = cut(not_discarded(neighbour_pairs(met, similarity), reps, similarity))
+    links = spanning_links(tried, None, rows, reps, similarity, words_a_shingle)
+    roots = met.sparkSession.createDataFrame([], "node long, root long") if links is None else components(links)
+    wide = wide_pairs(met, reps, roots, similarity).join(tried, ["u", "v"], "left_anti")
+    rest = cut(not_discarded(wide, reps, similarity))
+    more = spanning_links(rest, roots, rows, reps, similarity, words_a_shingle)
+    if more is not None:
+        roots = components(links.unionByName(more) if links is not None else more)
     owned = base.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owners = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return owned.join(owners, "root").select("doc_id", "text_hash", "component_id")

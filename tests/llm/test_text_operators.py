@@ -38,6 +38,13 @@ def docs(spark):
     return spark.createDataFrame(AWKWARD, SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """The rows with columns named as the operators name theirs."""
+    names = ["piece", "start", "length", "sequence_id", "fp", "n_tokens", "payload", "media", "ids_crc32", "salt", "row"]
+    return docs.select("*", *[F.lit("x").alias(n) for n in names])
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -77,6 +84,30 @@ def reference_bpe_cached():
     return _LIBRARY[0]
 
 
+@pytest.mark.parametrize("alphabet", ["a", "ab", "aeinst", " \n", "the of and", "漢字かな", "0123456789", "=-_"])
+def test_bpe_of_long_pieces(alphabet):
+    """Pieces of one row a matrix, with repeats that overlap, touch, and make pairs of lower ranks."""
+    import random
+
+    bpe, library = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN), reference_bpe()
+    rng = random.Random(len(alphabet))
+    for n in [*range(2, 40), 300, 3000]:
+        piece = "".join(rng.choice(alphabet) for _ in range(n))
+        assert bpe.merge_one(piece.encode()).tolist() == library._core_bpe.encode_single_piece(piece.encode()), piece[:80]
+    piece = alphabet * (60_000 // len(alphabet))
+    assert bpe.merge_one(piece.encode()).tolist() == library._core_bpe.encode_single_piece(piece.encode())
+
+
+def test_clashing_columns(docs, clashing):
+    order = lambda df: sorted(map(repr, df.collect()))
+    for run in (
+        lambda d: byte_bpe.encode_decode(d, RANKS, public_tokenizers.PATTERN),
+        lambda d: bestfit_packing.pack_documents(d, WORDS).drop("sequence_id", "offset"),
+        lambda d: jpeg_dc.digest_media(jpeg_dc.encode_media(d)),
+    ):
+        assert order(run(clashing)) == order(run(docs))
+
+
 def test_media_round_trip(docs, empty):
     rows = {(r.doc_id, r.n_bytes): r for r in jpeg_dc.digest_media(jpeg_dc.encode_media(docs)).collect()}
     for name, text, *_ in AWKWARD:

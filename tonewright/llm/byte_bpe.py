@@ -3,7 +3,9 @@
 Pieces of text (matches of the split pattern) that a worker has not met yet are put in matrices of
 token ids, one row a piece, rows of like length together. In each round every row looks up the ranks
 of its neighbouring pairs in an open-addressing hash table, merges its leftmost pair of minimum rank,
-and closes the gap; finished rows leave the matrix. Texts are then put together from the pieces.
+and closes the gap; finished rows leave the matrix. A matrix of one row merges all places of that pair in a
+round, from the left, unless one of the pairs that come about has a lower rank, which has to go first. Texts are
+then put together from the pieces, and decoded from their ids.
 
 Defined cases: null text counts as empty; an empty text has no token (digests of the empty string);
 repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -13,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from tonewright.llm.shared import read_table, text_blocks, whole_texts, worker_s
 NO_RANK = np.int32(2**31 - 1)
 #: Unicode White_Space, as the library's regex engine has it (Python's own classes also hold U+001C..U+001F).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Longer pieces merge through a heap, as a matrix round costs the row's length.
+#: Longer pieces have a matrix of their own.
 MATRIX_WIDTH = 2048
 CACHE_PIECES = 250_000
 
@@ -94,17 +95,22 @@ class ByteBpe:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(self.ranks)
         self.pattern = split_pattern(pattern)
+        #: A piece's ids as decimal text and as bytes of 32-bit integers.
         self.text_of: dict[str, str] = {}
-        self.bytes_of: dict[str, bytes] = {}
+        self.ids_of: dict[str, bytes] = {}
         self.old_text: dict[str, str] = {}
-        self.old_bytes: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
+        known = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        self.spelt = np.frombuffer(b"".join(known), np.uint8)
+        self.spelt_sizes = np.fromiter(map(len, known), np.int64, len(known))
+        self.spelt_starts = np.cumsum(self.spelt_sizes) - self.spelt_sizes
 
     def merge_rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of pieces of two bytes or more, one after another, and how many each has."""
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # pieces' numbers, counts, ids
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         for i in np.flatnonzero(sizes > MATRIX_WIDTH).tolist():
-            ids = self.merge_long(pieces[i])
+            ids = self.merge_one(pieces[i])
             done.append((np.array([i]), np.array([len(ids)]), ids))
         bucket = np.where(sizes > MATRIX_WIDTH, 0, (np.maximum(sizes, 2) + 3) // 4)
         for width in np.unique(bucket[bucket > 0]).tolist():
@@ -157,75 +163,90 @@ class ByteBpe:
             before = at > 0
             ranks[every[before], at[before] - 1] = self.pairs.ranks(ids[every[before], at[before] - 1], ids[every[before], at[before]])
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for a very long piece: a heap of (rank, place) over a linked list."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair_bytes = lambda i: self.ranks.get(self.tokens[ids[i]] + self.tokens[ids[after[i]]]) if after[i] < n else None
-        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := pair_bytes(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i] if ids[i] == left else n
-            if j >= n or ids[j] != right:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (new := pair_bytes(k)) is not None:
-                    heapq.heappush(heap, (new, k, ids[k], ids[after[k]]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def merge_one(self, piece: bytes) -> np.ndarray:
+        """The same merges for a matrix of one row. A round costs the row's length, and there is hardly more than one a token."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.ranks(ids[:-1], ids[1:])
+        while len(ranks):
+            best = ranks.min()
+            if best == NO_RANK:
+                break
+            at = np.flatnonzero(ranks == best)
+            # Of places that overlap (a run of one token) every other one, counted from the run's first.
+            run = np.cumsum(np.concatenate([[True], np.diff(at) > 1]))
+            first = at[np.searchsorted(run, run)]
+            every = at[(at - first) % 2 == 0]
+            # Beside a place merged just now, the next one's left token makes a pair of its own until it is merged too.
+            between = self.pairs.ranks(best.reshape(1), ids[every[:1]])[0] < best and bool((np.diff(every) == 2).any())
+            for at in (every[:1],) if between else (every, every[:1]):
+                keep = np.ones(len(ids), bool)
+                keep[at + 1] = False
+                merged = ids.copy()
+                merged[at] = best
+                merged = merged[keep]
+                # Only pairs beside a merged one are new.
+                places = at - np.arange(len(at))
+                touched = np.unique(np.concatenate([places, places - 1]))
+                touched = touched[(touched >= 0) & (touched < len(merged) - 1)]
+                new = self.pairs.ranks(merged[touched], merged[touched + 1])
+                if len(at) == 1 or not len(new) or new.min() > best:
+                    break
+            ids, ranks = merged, ranks[keep[1:]][: len(merged) - 1]
+            ranks[touched] = new
+        return ids
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode pieces not met before; keep their ids as text and the bytes that the ids decode to."""
+        """Encode pieces not met before; keep their ids as text and as integers."""
         raw = [p.encode("utf-8") for p in pieces]
         whole = np.fromiter((self.ranks.get(r, -1) for r in raw), np.int64, len(raw))
         merged = np.flatnonzero(whole < 0).tolist()
         ids, counts = self.merge_rows([raw[i] for i in merged])
         pieces = [*(pieces[i] for i in merged), *(pieces[i] for i in np.flatnonzero(whole >= 0).tolist())]
-        ids = np.concatenate([ids, whole[whole >= 0]]).tolist()
+        ids = np.concatenate([ids, whole[whole >= 0]]).astype("<i4")
         counts = [*counts.tolist(), *[1] * (len(pieces) - len(merged))]
-        written, decoded = list(map(str, ids)), list(map(self.tokens.__getitem__, ids))
+        written, held = list(map(str, ids.tolist())), ids.tobytes()
         at = 0
         for piece, n in zip(pieces, counts, strict=True):
             end = at + n
             self.text_of[piece] = ",".join(written[at:end])
-            self.bytes_of[piece] = b"".join(decoded[at:end])
+            self.ids_of[piece] = held[4 * at : 4 * end]
             at = end
 
     def meet(self, pieces: set[str]) -> None:
         """See that pieces are known. Of two generations of known pieces the older is forgotten when the newer is full."""
         missing = pieces - self.text_of.keys()
         if len(self.text_of) + len(missing) > CACHE_PIECES:
-            self.old_text, self.old_bytes, self.text_of, self.bytes_of = self.text_of, self.bytes_of, {}, {}
+            self.old_text, self.old_ids, self.text_of, self.ids_of = self.text_of, self.ids_of, {}, {}
             missing = pieces
         again = missing & self.old_text.keys()
         for piece in again:
             self.text_of[piece] = self.old_text[piece]
-            self.bytes_of[piece] = self.old_bytes[piece]
+            self.ids_of[piece] = self.old_ids[piece]
         new = missing - again
         if new:
             self.learn(list(new))
 
     def encode_texts(self, texts: list):
-        """For each text: decimal ids joined by commas, and the bytes they decode to."""
+        """For each text: its ids, decimal and joined by commas, and as integers."""
         find = self.pattern.findall
         for start, end in text_blocks(texts):
             split = [find(t) if t else [] for t in texts[start:end]]
             self.meet(set().union(*split))
-            ids, raw = self.text_of.__getitem__, self.bytes_of.__getitem__
+            written, ids = self.text_of.__getitem__, self.ids_of.__getitem__
             for pieces in split:
-                yield ",".join(map(ids, pieces)), b"".join(map(raw, pieces))
+                yield ",".join(map(written, pieces)), np.frombuffer(b"".join(map(ids, pieces)), "<i4")
 
     def decode(self, ids) -> bytes:
-        return b"".join(self.tokens[int(i)] for i in ids)
+        """The bytes that ids stand for."""
+        ids = np.asarray(ids, np.int64)
+        sizes = self.spelt_sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.spelt_starts[ids] - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        return self.spelt[places].tobytes()
 
     def encode(self, text: str | None) -> list[int]:
-        joined = next(self.encode_texts([text]))[0]
-        return [int(x) for x in joined.split(",")] if joined else []
+        return next(self.encode_texts([text]))[1].tolist()
 
 
 def codec(rank_file: str, pattern: str) -> ByteBpe:
@@ -241,12 +262,12 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, *, keep_ids: bo
         bpe = codec(rank_file, pattern)
         for batch in batches:
             n, ids_digest, raw_digest, ids = [], [], [], []
-            for joined, raw in bpe.encode_texts(batch.column(1).to_pylist()):
-                n.append(joined.count(",") + 1 if joined else 0)
-                ids_digest.append(hashlib.sha256(joined.encode()).hexdigest())
-                raw_digest.append(hashlib.sha256(raw).hexdigest())
+            for written, own in bpe.encode_texts(batch.column(1).to_pylist()):
+                n.append(len(own))
+                ids_digest.append(hashlib.sha256(written.encode()).hexdigest())
+                raw_digest.append(hashlib.sha256(bpe.decode(own)).hexdigest())
                 if keep_ids:
-                    ids.append([int(x) for x in joined.split(",")] if joined else [])
+                    ids.append(own)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(raw_digest, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:

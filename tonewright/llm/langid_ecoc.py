@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import crc32_mod, read_table, whole_texts, worker_state
+from tonewright.llm.shared import crc32_mod, read_table, unused, whole_texts, worker_state
 
 UNDETERMINED = "und"
 FEATURES = 4096
@@ -142,18 +142,18 @@ def training_rows(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> list[
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     grid = 1 << 30
-    share = F.lit(0)
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == name, min(grid, int(grid * sample / n) + 1)).otherwise(share)
+    limits = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(grid, int(grid * sample / n) + 1))]) if counts else None
+    share = F.element_at(limits, F.col("lang")) if counts else F.lit(0)
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < share)
     held = drawn.select("lang", "text", F.xxhash64("doc_id").alias("order")).limit(2 * sample * max(1, len(counts))).collect()
     return [(r["text"], r["lang"]) for r in sorted(held, key=lambda r: (r["order"], r["lang"], r["text"] or ""))]
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the `keep` columns), lang_pred, score, ambiguous."""
+    """doc_id (or the `keep` columns), lang_pred, score, ambiguous; where a kept column has such a name, the new one gets underscores before it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = keep or ["doc_id"]
+    made = [unused(n, names) for n in ("lang_pred", "score", "ambiguous")]
     # The text goes over once; where it isn't kept it comes last and is dropped.
     own = "text" in names and dict(docs.dtypes)["text"] == "string"
     at = names.index("text") if own else len(names)
@@ -165,9 +165,9 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str] | None =
         for batch in batches:
             found, scores, unsure = shared.value.predict(batch.column(at).to_pylist())
             columns = [*batch.columns[: len(names)], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(run, f"{schema}, {made[0]} string, {made[1]} double, {made[2]} boolean")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,12 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is named (tests)."""
+    """Use the cluster's shared checkpoint folder. Where none is named, a master in this process alone gets a local one (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
+    if sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    if not configured and not sc.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tonewright-checkpoint-"))
 
 
@@ -32,6 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, in any case: the name, or it with underscores before it."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store; Spark's own file systems reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex}"
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import crc32_mod, read_table, text_blocks, whole_texts, worker_state
+from tonewright.llm.shared import crc32_mod, read_table, text_blocks, unused, whole_texts, worker_state
 
 BUCKETS = 1 << 15
 WIDTH = 12  # of embeddings
@@ -143,8 +143,11 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray,
     return float(max(gaps)[1]) if gaps else fallback
 
 
-def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int = 11, epochs: int = 8) -> ToxicityModel:
-    """rows: (text, language or None, label) in a fixed order; toxic_share: that of all labelled rows."""
+def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int = 11, epochs: int = 8, log_odds: bool = True) -> ToxicityModel:
+    """rows: (text, language or None, label) in a fixed order; toxic_share: that of all labelled rows.
+
+    log_odds: do embeddings start with the log odds of their buckets in one coordinate, or with noise alone?
+    """
     rng = np.random.default_rng(seed)
     labels = np.array([y for _, _, y in rows], np.float64)
     size = len(KERNELS) * FILTERS
@@ -166,11 +169,13 @@ def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int
     odds = np.log((seen[1] + 0.3) / (per_label[1] + 1)) - np.log((seen[0] + 0.3) / (per_label[0] + 1))
     odds[seen.sum(0) < 3] = 0
     embedding = rng.normal(0, 0.05, (BUCKETS, WIDTH))
-    embedding[:, 0] = odds / 3
     weights = [rng.normal(0, 0.1, (k, WIDTH, FILTERS)) for k in KERNELS]
-    for w in weights:
-        w[:, 0, : FILTERS // 2] += 1.0 / len(w)
-    bias, out, shift = np.zeros(size), np.where(np.arange(size) % FILTERS < FILTERS // 2, 0.6, rng.normal(0, 0.1, size)), -1.5
+    bias, out, shift = np.zeros(size), rng.normal(0, 0.1 if log_odds else 0.3, size), 0.0
+    if log_odds:
+        embedding[:, 0] = odds / 3
+        for w in weights:
+            w[:, 0, : FILTERS // 2] += 1.0 / len(w)
+        out, shift = np.where(np.arange(size) % FILTERS < FILTERS // 2, 0.6, out), -1.5
     # Adam over all of them; gradients of embeddings touch the buckets of winning windows only.
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, *weights, bias, out, np.zeros(1))]
     turn = 0
@@ -268,9 +273,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, sample: int
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, *, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the `keep` columns), score, predicted."""
+    """doc_id (or the `keep` columns), score, predicted; where a kept column has such a name, the new one gets underscores before it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = keep or ["doc_id"]
+    made = [unused(n, names) for n in ("score", "predicted")]
     # The text goes over once; where it isn't kept it comes last and is dropped.
     own = "text" in names and dict(docs.dtypes)["text"] == "string"
     at = names.index("text") if own else len(names)
@@ -282,9 +288,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, keep: list[str] |
         for batch in batches:
             scores = shared.value.score(batch.column(at).to_pylist())
             columns = [*batch.columns[: len(names)], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *made])
 
-    return source.mapInArrow(run, f"{schema}, score double, predicted int")
+    return source.mapInArrow(run, f"{schema}, {made[0]} double, {made[1]} int")
 
 
 def held_out(doc_id: Column) -> Column:

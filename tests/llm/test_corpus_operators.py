@@ -164,8 +164,33 @@ def test_search_ties_of_different_vectors(spark):
     assert got == {q: [j for _, j in hits] for q, hits in brute_nearest(rows, 5).items()}
 
 
+@pytest.mark.parametrize("kind", ["clustered", "uniform", "long and short"])
+def test_search_recall_of_the_forest(spark, kind, monkeypatch):
+    """The forest alone finds 9 in 10 of the nearest without visiting the whole table."""
+    rng = np.random.default_rng(17)
+    n, dims = 12_000, 24
+    vectors = rng.normal(size=(n, dims))
+    if kind == "clustered":
+        vectors = rng.normal(size=(60, dims))[rng.integers(0, 60, n)] + 0.15 * vectors
+    if kind == "long and short":
+        vectors *= rng.lognormal(0, 0.5, (n, 1))
+    vectors = vectors.astype(np.float32).astype(float)
+    shares, own = [], ann_forest.Forest.share_for
+    monkeypatch.setattr(ann_forest.Forest, "share_for", lambda self, *a: shares.append(own(self, *a)) or shares[-1])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    found = ann_forest.nearest(df, F.col("vec_id") % 200 == 0, 20).groupBy("query_id").agg(F.collect_list("vec_id").alias("v"), F.max("rank").alias("n")).collect()
+    assert len(found) == n // 200 and all(r.n == 20 == len(set(r.v)) for r in found)
+    hits = 0
+    for r in found:
+        scores = vectors @ vectors[r.query_id]
+        scores[r.query_id] = -np.inf
+        hits += len(set(np.argsort(-scores, kind="stable")[:20].tolist()) & set(r.v))
+    assert hits >= 0.9 * 20 * len(found)
+    assert shares[0] < {"clustered": 0.1, "uniform": 0.5, "long and short": 0.5}[kind]
+
+
 def test_search_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
     vectors, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
     found = ann_forest.nearest(df, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
@@ -179,6 +204,13 @@ def test_search_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_search_ignores_clashing_columns(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").limit(60)
+    clashing = df.select("*", *[F.lit("x").alias(c) for c in ("v", "ids", "k1", "query_id", "rank", "score", "tree", "leaf")])
+    search = lambda d: sorted(map(tuple, ann_forest.nearest(d, F.col("vec_id") % 20 == 0, 5, target=1.0).collect()))
+    assert search(clashing) == search(df) != []
+
+
 def words(rng, stems, n):
     return " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 3))) for _ in range(n))
 

@@ -8,9 +8,8 @@ ordered by the worst margin on the way, and takes leaves until they hold a share
 measured: probes of the sample are searched exactly within it, and the share is what finds `target` of their
 neighbours. Clustered vectors need little of the table; for vectors without structure no tree can say where
 to look, and the share becomes large. Leaves and their queries meet on (tree, leaf, slice); slices keep a leaf
-of any size in bounded pieces. Candidates are reranked by the exact product in double precision. Each query
-is also compared with `BOUND_ROWS` sampled vectors: their best are candidates, and what is worse than the
-last of them need not be sent on.
+of any size in bounded pieces. Candidates are reranked by the exact product in double precision; nothing but the
+leaves that the queue visits yields candidates. A query's lists, one a slice, are merged `FAN_IN` at a time.
 
 Copies: of equal vectors only the `k` + 1 smallest ids can be among a query's nearest, so rows are first
 brought to distinct vectors with those ids, within each batch and then across the table. Equal queries are
@@ -39,9 +38,11 @@ K = 20
 TREES = 4
 SAMPLE = 40_000
 LEAF_ROWS = 256  # of the sample
-TARGET = 0.97  # of the sample's neighbours to be found, when the share of rows to visit is chosen
+TARGET = 0.94  # of the sample's neighbours to be found, when the share of rows to visit is chosen
 PROBES = 96
-BOUND_ROWS = 4096
+FAN_IN = 64  # lists of a query that are merged at once
+HELD_VECTORS = 50_000  # distinct vectors brought together before they are sent on
+HELD_FLOORS = 200_000  # queries of which a task remembers how good its hits have to be
 SLICE_ROWS = 4096
 TIE = 1e-12  # products this near may be equal
 
@@ -168,34 +169,46 @@ def key_of(raw: bytes) -> tuple[int, int]:
 
 
 def gathered(ids: DataFrame, keep: int | None) -> DataFrame:
-    """k1, k2 (hash of the vector), v (bytes of doubles), ids (ascending; the `keep` smallest, or all)."""
+    """k1, k2 (hash of the vector), v (bytes of doubles), ids (ascending; the `keep` smallest). keep None: all ids, in lists a batch long."""
     schema = "k1 long, k2 long, v binary, ids array<long>"
 
+    def sent(held):
+        keys = [key_of(raw) for raw in held]
+        names = [sorted(x)[:keep] for x in held.values()]
+        columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(held), pa.binary()), pa.array(names, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "v", "ids"])
+
     def local(batches):
+        held: dict[bytes, list[int]] = {}
         for batch in batches:
-            held: dict[bytes, list[int]] = {}
             vectors = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(batch), -1) + 0.0
             for raw, name in zip((row.tobytes() for row in vectors), batch.column(0).to_pylist(), strict=True):
-                held.setdefault(raw, []).append(name)
-            keys = [key_of(raw) for raw in held]
-            names = [sorted(x)[:keep] for x in held.values()]
-            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(held), pa.binary()), pa.array(names, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "v", "ids"])
+                own = held.setdefault(raw, [])
+                own.append(name)
+                if keep and len(own) >= 8 * keep:
+                    own[:] = sorted(own)[:keep]
+            if len(held) >= HELD_VECTORS or keep is None:
+                yield sent(held)
+                held = {}
+        if held:
+            yield sent(held)
 
     part = ids.select("vec_id", "v").mapInArrow(local, schema)
+    if keep is None:
+        return part
     whole = part.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
-    return whole if keep is None else whole.withColumn("ids", F.slice("ids", 1, keep))
+    return whole.withColumn("ids", F.slice("ids", 1, keep))
 
 
-def fit_forest(distinct: DataFrame, trees: int, sample: int, leaf_rows: int) -> tuple[Forest, np.ndarray, list[list[int]]]:
-    """Trees from at most `sample` distinct vectors, the smallest by hash; also these vectors and their ids."""
-    held = distinct.select("v", "ids", "k1").orderBy("k1").limit(sample).collect()
+def fit_forest(distinct: DataFrame, trees: int, sample: int, leaf_rows: int) -> tuple[Forest, np.ndarray]:
+    """Trees from at most `sample` distinct vectors, the smallest by hash; also these vectors."""
+    held = distinct.select("v", "k1").orderBy("k1").limit(sample).collect()
     norms = distinct.select("v").mapInArrow(_norms, "norm double").agg(F.max("norm")).first()[0] or 1.0
     points = np.array([np.frombuffer(r["v"]) for r in held])
     forest = Forest([], norms)
     lifted = forest.lift(points, query=False)
     forest.trees = [grow(lifted, leaf_rows, seed) for seed in range(trees)]
-    return forest, points, [r["ids"] for r in held]
+    return forest, points
 
 
 def best_of(points: np.ndarray, base: np.ndarray, k: int, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -245,11 +258,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
         return spark.createDataFrame([], out)
     rows = rows.filter(F.size("v") == length["n"])
     distinct = cut(gathered(rows, k + 1))
-    fitted, points, names = fit_forest(distinct, trees, sample, leaf_rows)
+    fitted, points = fit_forest(distinct, trees, sample, leaf_rows)
     share = fitted.share_for(points, k, target) if target < 1 else 1.0
-    # Bounded by `sample` and BOUND_ROWS, whatever the table.
+    # Bounded by `sample`, whatever the table.
     forest = spark.sparkContext.broadcast(fitted)
-    bounds = spark.sparkContext.broadcast((points[:BOUND_ROWS], names[:BOUND_ROWS]))
 
     def place(batches):
         for batch in batches:
@@ -269,7 +281,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
     for r in leaves:
         held[r["tree"]][r["leaf"]] = r["n"]
     slices = [np.maximum(1, -(-h // slice_rows)) for h in held]
-    wanted = share * sum(int(h.sum()) for h in held)
+    # Enough for k others, even if every tree shows the same ones.
+    wanted = max(share * sum(int(h.sum()) for h in held), trees * (k + 1))
     shared = spark.sparkContext.broadcast((held, slices))
 
     def walk(batches):
@@ -279,26 +292,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
                 continue
             own = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
             held_, slices_ = shared.value
-            _, scores = best_of(own, bounds.value[0], k + 1)
-            least = scores.min(axis=1) if scores.shape[1] > k else np.full(len(raw), -np.inf)
             found = [(t, leaf, s, i) for i, point in enumerate(forest.value.lift(own, query=True)) for t, leaf in forest.value.visit(point, held_, wanted) for s in range(slices_[t][leaf])]
             at = pa.array([f[3] for f in found], pa.int64())
-            columns = [*(pa.array([f[j] for f in found], pa.int32()) for j in range(3)), *(batch.column(j).take(at) for j in (0, 1, 2)), pa.array(least).take(at)]
-            yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "q1", "q2", "q", "least"])
-
-    def sampled(batches):
-        for batch in batches:
-            raw = batch.column(2).to_pylist()
-            if raw:
-                base, names_ = bounds.value
-                top, scores = best_of(np.frombuffer(b"".join(raw)).reshape(len(raw), -1), base, k + 1, np.array([x[0] for x in names_], np.int64))
-                rows_, ids, values = expanded(np.repeat(np.arange(len(raw)), top.shape[1]), top.ravel(), scores.ravel(), names_)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists_of(rows_, ids, len(raw)), lists_of(rows_, values, len(raw))], names=["q1", "q2", "ids", "scores"])
+            columns = [*(pa.array([f[j] for f in found], pa.int32()) for j in range(3)), *(batch.column(j).take(at) for j in (0, 1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "q1", "q2", "q"])
 
-    queries = cut(gathered_keys(rows.filter(is_query)))
+    queries = cut(gathered(rows.filter(is_query), None))
     asking = queries.select("k1", "k2", "v").distinct()
-    asked = asking.mapInArrow(walk, "tree int, leaf int, slice int, q1 long, q2 long, q binary, least double")
-    at_least = asking.mapInArrow(sampled, "q1 long, q2 long, ids array<long>, scores array<double>")
+    asked = asking.mapInArrow(walk, "tree int, leaf int, slice int, q1 long, q2 long, q binary")
 
     def sliced(batches):
         for batch in batches:
@@ -309,29 +310,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
             yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "v", "ids"])
 
     side = placed.mapInArrow(sliced, "tree int, leaf int, slice int, v binary, ids array<long>")
-    both = side.select("tree", "leaf", "slice", "v", "ids", F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q2"), F.lit(None).cast("double").alias("least"))
-    both = both.unionByName(asked.select("tree", "leaf", "slice", F.col("q").alias("v"), F.lit(None).cast("array<long>").alias("ids"), "q1", "q2", "least"))
+    both = side.select("tree", "leaf", "slice", "v", "ids", F.lit(None).cast("long").alias("q1"), F.lit(None).cast("long").alias("q2"))
+    both = both.unionByName(asked.select("tree", "leaf", "slice", F.col("q").alias("v"), F.lit(None).cast("array<long>").alias("ids"), "q1", "q2"))
     # A slice's candidates come first (its queries have q1), so one pass over sorted rows serves both.
     met = both.repartition(parts * 2, "tree", "leaf", "slice").sortWithinPartitions("tree", "leaf", "slice", F.col("q1").isNotNull())
 
     def rerank(batches):
         where, stored, names, waiting = None, [], [], []
+        # What a query's hits that have been sent on from here are worth at least: k + 1 of them are there.
+        floors: dict[tuple[int, int], float] = {}
 
         def flush():
             if not waiting or not stored:
                 return None
+            if len(floors) > HELD_FLOORS:
+                floors.clear()
             base = np.frombuffer(b"".join(stored)).reshape(len(stored), -1)
             own = np.frombuffer(b"".join(w[2] for w in waiting)).reshape(len(waiting), -1)
             top, scores = best_of(own, base, k + 1, np.array([x[0] for x in names], np.int64))
-            good = scores >= np.array([w[3] for w in waiting])[:, None] - 1e-9
+            least = np.array([floors.get(w[:2], -np.inf) for w in waiting])
+            good = scores >= least[:, None] - TIE * np.maximum(1, np.abs(least, where=np.isfinite(least), out=np.ones(len(least))))[:, None]
+            if scores.shape[1] > k:
+                floors.update(zip((w[:2] for w in waiting), np.maximum(least, scores.min(axis=1)).tolist(), strict=True))
             rows_, at = np.nonzero(good)
             rows_, ids, values = expanded(rows_, top[rows_, at], scores[rows_, at], names)
             keys = (pa.array([w[j] for w in waiting], pa.int64()) for j in (0, 1))
             return pa.RecordBatch.from_arrays([*keys, lists_of(rows_, ids, len(waiting)), lists_of(rows_, values, len(waiting))], names=["q1", "q2", "ids", "scores"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for t, leaf, s, v, ids, q1, q2, least in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for t, leaf, s, v, ids, q1, q2 in zip(*columns, strict=True):
                 if (t, leaf, s) != where:
                     if (out_ := flush()) is not None:
                         yield out_
@@ -340,7 +348,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
                     stored.append(v)
                     names.append(ids)
                 else:
-                    waiting.append((q1, q2, v, least))
+                    waiting.append((q1, q2, v))
                     if len(waiting) >= 256:
                         if (out_ := flush()) is not None:
                             yield out_
@@ -348,7 +356,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
         if (out_ := flush()) is not None:
             yield out_
 
-    scored = met.mapInArrow(rerank, "q1 long, q2 long, ids array<long>, scores array<double>").filter(F.size("ids") > 0).unionByName(at_least)
+    scored = met.mapInArrow(rerank, "q1 long, q2 long, ids array<long>, scores array<double>").filter(F.size("ids") > 0)
 
     # A query's lists, one a visited slice, are merged to its k + 1 best, ties to the smaller id.
     def merge(batches):
@@ -364,8 +372,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
             columns = [batch.column(0), batch.column(1), pa.array(best_ids, pa.list_(pa.int64())), pa.array(best_scores, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["q1", "q2", "ids", "scores"])
 
-    lists = scored.groupBy("q1", "q2").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
-    merged = lists.mapInArrow(merge, "q1 long, q2 long, ids array<long>, scores array<double>")
+    merged, groups = scored, sum(int(n.sum()) for n in slices)
+    while groups:
+        groups = -(-groups // FAN_IN) if groups > FAN_IN else 1
+        dealt = merged.withColumn("part", F.pmod(F.xxhash64("ids", "scores"), F.lit(groups)))
+        lists = dealt.groupBy("q1", "q2", "part").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
+        merged = lists.select("q1", "q2", "ids", "scores").mapInArrow(merge, "q1 long, q2 long, ids array<long>, scores array<double>")
+        groups = 0 if groups == 1 else groups
     pairs = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct(x["scores"].alias("s"), x["ids"].alias("i")))
     best = merged.select("q1", "q2", pairs.alias("best"))
     each = queries.select("k1", "k2", F.explode("ids").alias("query_id")).join(best, (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")))
@@ -374,23 +387,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.i").alias("vec_id"), F.col("hit.s").alias("score"))
 
 
-def gathered_keys(rows: DataFrame) -> DataFrame:
-    """k1, k2, v, ids of query vectors, ids in lists a batch long (equal vectors may have several rows)."""
-    schema = "k1 long, k2 long, v binary, ids array<long>"
-
-    def local(batches):
-        for batch in batches:
-            held: dict[bytes, list[int]] = {}
-            vectors = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(batch), -1) + 0.0
-            for raw, name in zip((row.tobytes() for row in vectors), batch.column(0).to_pylist(), strict=True):
-                held.setdefault(raw, []).append(name)
-            keys = [key_of(raw) for raw in held]
-            columns = [pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "v", "ids"])
-
-    return rows.select("vec_id", "v").mapInArrow(local, schema)
-
-
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, F.col("vec_id") % 20 == 0)

@@ -28,9 +28,9 @@ from tonewright.llm.shared import byte_blocks, cut, read_table, shuffle_partitio
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 350_000
-PIECES_A_CALL = 50_000
-BLOCK_BYTES = 4_000_000
+CACHE_WORDS, CACHE_LETTERS, CACHE_OTHERS = 100_000, 200_000, 40_000
+PIECES_A_CALL = 20_000
+BLOCK_BYTES = 2_000_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -125,7 +125,7 @@ class WordIds:
         self.check(steps)
         letters = steps | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.merges = Tokenizer.from_str(json.dumps(letters))
-        self.words, self.letters, self.others = Recent(CACHE_WORDS), Recent(CACHE_WORDS), Recent(CACHE_WORDS // 8)
+        self.words, self.letters, self.others = Recent(CACHE_WORDS), Recent(CACHE_LETTERS), Recent(CACHE_OTHERS)
         (self.divider,) = self.tokenizer.encode(self.DIVIDER, add_special_tokens=False).ids
         vocabulary = steps["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tonewright.functions import fixed_values as V
 from tonewright.functions.text import SENTENCE_START, java, spans
 from tonewright.operators import hits as H
-from tonewright.operators import score
+from tonewright.operators import scene, score
 from tonewright.sources.files import from_strings
 
 
@@ -141,3 +141,69 @@ def test_length_does_not_matter(spark):
     one, ten = run(spark, [text * 3, text * 30])
     assert abs(one.norm_penalty - ten.norm_penalty) >= 0
     assert 0 <= ten.score <= 100
+
+
+SCENES_OF = {
+    "social-note": "我家猫😀😀😀 #养猫 #日常\n我拍了照啊吧呢！我去买菜。我摸它。说实话这三件事要记住，神器。",
+    "tech-doc": "```\nx\n```\n用 `a` 和 `b`，P99 延迟，v1.2.3，https://a.b /usr/bin/ 。\n- a\n- b\n- c\n首先看引擎，100% 可用。",
+    "base": "首先，值得注意的是，这个闭环赋能生态，头皮发麻。一方面好，另一方面也好。",
+}
+
+
+def test_scene_of_each_row(spark):
+    """A scene by row gives what that scene gives alone; names may be aliases, unknown ones are base, auto is the text's own."""
+    texts = list(SCENES_OF.values())
+    names = ["social-note", "tech-doc", "health-content", "base", "auto"]
+    rows = [(len(texts) * k + i, t, name) for k, name in enumerate(names) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, asked string")
+    got = {r.doc_id: r for r in score.with_score(df, F.col("asked")).collect()}
+    alone = {name: run(spark, texts, name) for name in names[:4]}
+    fields = ["scene", "score", "raw", "hit_count", "summary", "action", "compliance_hit"]
+    for i, text, name in rows:
+        want = alone[list(SCENES_OF)[i % 3] if name == "auto" else name][i % 3]
+        assert [got[i][f] for f in fields] == [want[f] for f in fields], (name, text)
+        assert [tuple(h) for h in got[i].hits] == [tuple(h) for h in want.hits]
+
+
+def test_scene_names(spark):
+    text = SCENES_OF["social-note"]
+    assert [scene.known(n) for n in ("xiaohongshu", " Social Note ", "coder_pr", None, "default")] == ["social-note", "social-note", "tech-doc", "base", "base"]
+    with pytest.warns(RuntimeWarning, match="unknown scene"):
+        assert scene.known("no such scene") == "base"
+    names = spark.createDataFrame([(0, text, "coder_pr"), (1, text, "???"), (2, text, None), (3, text, "自动")], "doc_id long, text string, scene string")
+    assert [r.s for r in scene.with_chosen(names, F.col("scene"), "s").orderBy("doc_id").collect()] == ["tech-doc", "base", "base", "social-note"]
+
+
+def test_red_line_alone(spark):
+    texts = ["这药能根治猫癣。", "根治线上抖动。", "今天天晴。", None]
+    df = from_strings(spark, texts)
+    for name in ("base", "auto"):
+        alone = [r.red_line for r in score.with_red_line(df, name).orderBy("doc_id").collect()]
+        assert alone == [r.compliance_hit for r in run(spark, texts, name)]
+
+
+def test_long_enumerations_and_runs(spark):
+    """Texts whose matches repeat a group thousands of times; no search may recurse a level a time."""
+    long = ["高效" + "、甲" * 10_000 + "。", "深度全面" * 5_000 + "赋能业务", "AbCd" * 10_000, "不仅" + "，" * 20_000, "`a" * 5_000, "1,000" * 4_000, "首先，" * 8_000]
+    rows = run(spark, long)
+    assert any(h.pattern_id == "p18_repetition_rhythm" and len(h.matched) == 20_003 for h in rows[0].hits)
+    from tonewright.operators import gate, professional
+
+    df = from_strings(spark, long)
+    assert professional.with_professionalism(df).count() == len(long) == scene.with_scene(df).count()
+    assert {r.route for r in gate.with_delivery(df).collect()} <= {"rules", "model", "original"}
+
+
+def test_guards_never_hide_a_match(spark):
+    """Every match of every pattern holds one of the pattern's necessary literals, in any case where case is ignored."""
+    import re
+
+    from tonewright.functions.text import needed
+
+    shown = [*SCENES_OF.values(), *(x for case in CASES for x in case[1:]), "IN CONCLUSION it is. On This Basis, ok. ULTIMATELY so. This Initiative Helps us. \u212aelvin \u017fo"]
+    for pattern, ignore in [*((p, False) for p in V.SENTENCES.values()), *((p, True) for p in V.CLOSERS_EN + V.ABSTRACT_SUBJECTS_EN + V.CONNECTORS_EN + V.SYMMETRY_EN), *((p, False) for x in V.JUDGED.values() for p in x[2])]:
+        written = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: chr(int(m[1], 16)), pattern)
+        for text in shown:
+            for m in re.finditer(written, text, re.I if ignore else 0):
+                words = needed(pattern, ignore)
+                assert not words or any(w in (m[0].lower() if ignore else m[0]) for w in words), (pattern, m[0])

@@ -24,7 +24,22 @@ UNDUE_PATTERNS = [
 COVERED = {"玩意儿": "这那", "动嘴": "动"}
 
 
-def as_hits(texts: Column, category: str, pattern_id: str | None, penalty: int) -> Column:
+Scenes = dict[str, Column] | str
+
+
+def each_scene(scene: Scenes, value_of) -> Column:
+    """What `value_of` says of a scene's name, as a Column. scene: a name, or {name: condition that a row is of this scene}."""
+    if isinstance(scene, str):
+        return F.lit(value_of(scene))
+    values = {name: value_of(name) for name in scene}
+    if len({repr(v) for v in values.values()}) == 1:
+        return F.lit(next(iter(values.values())))
+    base = values.get("base", next(iter(values.values())))
+    chosen = [F.when(scene[name], F.lit(v)) for name, v in values.items() if v != base]
+    return F.coalesce(*chosen, F.lit(base))
+
+
+def as_hits(texts: Column, category: str, pattern_id: str | None, penalty: int | Column) -> Column:
     """Hits from an array of matched texts."""
     return F.transform(texts, lambda t: F.struct(F.lit(category).alias("category"), F.lit(pattern_id).cast("string").alias("pattern_id"), t.alias("matched"), F.lit(penalty).alias("penalty")))
 
@@ -56,13 +71,17 @@ LISTED = {
 }
 
 
-def listed(body: Column, rule: str) -> Column:
+def listed(body: Column, rule: str, scene: Scenes = "base") -> Column:
     category, penalty, patterns, ignore_case = LISTED[rule]
-    return as_hits(every(body, patterns, ignore_case), category, None, penalty)
+    return as_hits(every(body, patterns, ignore_case), category, None, each_scene(scene, lambda s: penalties(s).get(category, penalty)))
+
 
+def idioms(body: Column, scene: Scenes = "base") -> Column:
+    return as_hits(present(body, V.IDIOMS), "idiom_fillers", None, each_scene(scene, lambda s: penalties(s).get("idiom_fillers", 3)))
 
-def idioms(body: Column) -> Column:
-    return as_hits(present(body, V.IDIOMS), "idiom_fillers", None, 3)
+
+def penalties(scene: str) -> dict[str, int]:
+    return V.PROFILES[scene].get("penalties", {})
 
 
 def residual(body: Column) -> Column:
@@ -137,15 +156,13 @@ def slang_severity(found: Column) -> Column:
     return F.when(worst, "rewrite").when((n >= 3) & (density > 0.25), "warn").otherwise("pass")
 
 
-def slang_hits(found: Column, hard_penalty: int = 3, light_penalty: int = 1) -> Column:
-    hard = as_hits(found["hard"], "pattern", SLANG, hard_penalty)
-    if light_penalty <= 0:
-        return hard
-    light = as_hits(found["light"], "pattern", SLANG, light_penalty)
-    return F.concat(hard, F.when(slang_severity(found) != "pass", light).otherwise(F.expr(f"cast(array() as {HIT})")))
+def slang_hits(found: Column, scene: Scenes = "base") -> Column:
+    hard_penalty, light_penalty = (each_scene(scene, lambda s, own=own: penalties(s).get(SLANG, own)) for own in (3, 1))
+    hard, light = (as_hits(found[kind], "pattern", SLANG, cost) for kind, cost in (("hard", hard_penalty), ("light", light_penalty)))
+    return F.concat(hard, F.when((slang_severity(found) != "pass") & (light_penalty > 0), light).otherwise(F.expr(f"cast(array() as {HIT})")))
 
 
-def judged(body: Column, pattern_id: str, penalty: int | None = None) -> Column:
+def judged(body: Column, pattern_id: str, penalty: int | Column | None = None) -> Column:
     """Hits of a judged pattern: distinct spans of its expressions, none below its least number."""
     own, least, patterns = V.JUDGED[pattern_id]
     found = F.array_distinct(F.array_sort(F.flatten(F.array(*[spans(body, p) for p in patterns]))))
@@ -161,35 +178,44 @@ def active(scene: str) -> list[str]:
     return V.BASE_JUDGED + V.PROFILES[scene].get("extra", [])
 
 
-def scene_hits(df: DataFrame, scene: str, body: str = "body") -> DataFrame:
-    """Adds `hits`: all hits of a scene, its penalties, exemptions and closed categories applied."""
-    profile = V.PROFILES[scene]
-    penalties, exempt, off = profile.get("penalties", {}), profile.get("exempt", {}), profile.get("off", [])
+def price(scene: str, pattern_id: str) -> int:
+    """What a hit of a judged pattern costs in a scene; 0 if the pattern is not active there."""
+    return penalties(scene).get(pattern_id, V.JUDGED[pattern_id][0]) if pattern_id in active(scene) else 0
+
+
+def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
+    """Adds `hits`: all hits of a scene, its penalties, exemptions and closed categories applied.
+
+    The patterns run once, whatever the number of scenes; only prices and exemptions differ by row.
+    """
+    names = [scene] if isinstance(scene, str) else list(scene)
     b = F.col(body)
     df = computed_once(df, __slang=slang(b, unquoted(b)))
-    parts = [tier1_zh(b), tier1_en(b)]
-    legacy = [*(listed(b, r) for r in list(LISTED)[:5]), idioms(b), *(listed(b, r) for r in list(LISTED)[5:])]
-    parts += [reprice(x, penalties) for x in legacy] + [residual(b)]
-    parts += [sentence(b, p) for p in V.SENTENCES] + [undue_caution(b)]
-    parts += [slang_hits(F.col("__slang"), penalties.get(SLANG, 3), penalties.get(SLANG, 1))]
-    parts += [judged(b, p, cost) for p in active(scene) if (cost := penalties.get(p, V.JUDGED[p][0])) > 0]
+    rules = list(LISTED)
+    parts = [tier1_zh(b), tier1_en(b), *(listed(b, r, scene) for r in rules[:5]), idioms(b, scene), *(listed(b, r, scene) for r in rules[5:]), residual(b)]
+    parts += [sentence(b, p) for p in V.SENTENCES] + [undue_caution(b), slang_hits(F.col("__slang"), scene)]
+    for p in dict.fromkeys(p for name in names for p in active(name)):
+        cost = each_scene(scene, lambda s, p=p: price(s, p))
+        costs = {price(name, p) for name in names}
+        if costs == {0}:
+            continue
+        found = judged(b, p, cost)
+        parts.append(F.when(cost > 0, found).otherwise(F.expr(f"cast(array() as {HIT})")) if 0 in costs else found)
     hits = F.flatten(F.array(*parts))
-    if off:
-        hits = F.filter(hits, lambda h: ~h["category"].isin(off))
-    for key, words in exempt.items():
-        hits = F.filter(hits, spared(key, words))
+    for name in names:
+        here = F.lit(True) if isinstance(scene, str) else scene[name]
+        if V.PROFILES[name].get("off"):
+            hits = F.filter(hits, counted(V.PROFILES[name]["off"], here))
+        for key, words in V.PROFILES[name].get("exempt", {}).items():
+            hits = F.filter(hits, spared(key, words, here))
     return computed_once(df, hits=hits).drop("__slang")
 
 
-def spared(key: str, words: list[str]):
-    """A condition on hits: not an exempt word of this rule."""
-    return lambda h: ~((F.coalesce(h["pattern_id"], h["category"]) == key) & any_of(h["matched"], words))
+def counted(off: list[str], here: Column):
+    """A condition on hits: not of a category that this scene leaves out."""
+    return lambda h: ~(here & h["category"].isin(off))
 
 
-def reprice(hits: Column, penalties: dict[str, int]) -> Column:
-    """Penalties of a profile for categories."""
-    changed = {c: p for c, p in penalties.items() if not c.startswith("p")}
-    if not changed:
-        return hits
-    price = lambda h: F.coalesce(*[F.when(h["category"] == c, F.lit(p)) for c, p in changed.items()], h["penalty"])
-    return F.transform(hits, lambda h: F.struct(h["category"].alias("category"), h["pattern_id"].alias("pattern_id"), h["matched"].alias("matched"), price(h).alias("penalty")))
+def spared(key: str, words: list[str], here: Column):
+    """A condition on hits: not an exempt word of this rule in this scene."""
+    return lambda h: ~(here & (F.coalesce(h["pattern_id"], h["category"]) == key) & any_of(h["matched"], words))

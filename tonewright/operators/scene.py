@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,8 @@ def signals(t: Column, f: Column) -> dict[str, list[tuple[str, float, Column]]]:
     }
 
 
-def with_scene(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Adds scene, confidence, guessed_scene, needs_confirmation, evidence and a score a scene."""
+def with_guess(df: DataFrame, into: str, text: str = "text", path: str | None = None) -> DataFrame:
+    """Adds one struct of scene, confidence, guessed_scene, needs_confirmation, evidence and a score a scene."""
     keep = df.columns
     df = with_features(df, text)
     t = F.col("__t")
@@ -63,9 +65,9 @@ def with_scene(df: DataFrame, text: str = "text", path: str | None = None) -> Da
         parts = [F.when(c, F.struct(F.lit(w).alias("w"), F.lit(f"{name}:{label}(+{w})").alias("why"))) for label, w, c in own + hinted]
         evidence.append(F.array_compact(F.array(*parts)).alias(f"__{name}"))
     df = df.select("*", *evidence)
-    df = df.select("*", *[F.aggregate(f"__{s}", F.lit(0.0), lambda a, x: a + x["w"]).alias(f"score_{s}") for s in SCENES])
+    df = df.select("*", *[F.aggregate(f"__{s}", F.lit(0.0), lambda a, x: a + x["w"]).alias(f"__score_{s}") for s in SCENES])
     # Of equal scores the scene listed first wins: its number is lower.
-    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"score_{s}")).alias("back"), F.lit(i).alias("no"), F.lit(s).alias("name"), F.lit(V.SCENE_TARGET[s]).alias("target")) for i, s in enumerate(SCENES)]))
+    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"__score_{s}")).alias("back"), F.lit(i).alias("no"), F.lit(s).alias("name"), F.lit(V.SCENE_TARGET[s]).alias("target")) for i, s in enumerate(SCENES)]))
     df = df.withColumn("__r", ranked)
     top, second = -F.col("__r")[0]["back"], -F.col("__r")[1]["back"]
     blank, little = ~has(t, r"\S"), top < V.LEAST_EVIDENCE
@@ -73,15 +75,48 @@ def with_scene(df: DataFrame, text: str = "text", path: str | None = None) -> Da
     sure = (confidence >= V.CONFIDENT_AT) & ((top - second) / (top + 1.0) >= V.MARGIN_AT)
     name = F.col("__r")[0]["name"]
     why = F.concat(*[F.transform(f"__{s}", lambda x: x["why"]) for s in SCENES])
-    return df.select(
-        *keep,
+    guess = F.struct(
         F.when(blank | little, "base").when(sure, name).otherwise("base").alias("scene"),
         F.when(blank | little, 0.0).otherwise(confidence).alias("confidence"),
         F.when(~blank & ~little, name).alias("guessed_scene"),
         F.when(blank, False).when(little, True).otherwise(~sure).alias("needs_confirmation"),
         F.when(blank, F.array(F.lit("空文本"))).when(little, F.array(F.lit("无足够特征判定场景"))).otherwise(why).alias("evidence"),
-        *[F.when(~blank, F.col(f"score_{s}")).alias(f"score_{s}") for s in SCENES],
+        *[F.when(~blank, F.col(f"__score_{s}")).alias(f"score_{s}") for s in SCENES],
     )
+    return computed_once(df, **{into: guess}).select(*keep, into)
+
+
+def with_scene(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """Adds scene, confidence, guessed_scene, needs_confirmation, evidence and a score a scene."""
+    return with_guess(df, "__guess", text, path).select(*df.columns, "__guess.*")
+
+
+AUTO = ["auto", "自动"]
+
+
+def known(name: str | None) -> str:
+    """Profile of a name or alias, as `resolved`, for a name that is at hand; an unknown one is reported."""
+    key = (name or "base").strip().lower().replace(" ", "-")
+    aliases = {a: scene for scene, profile in reversed(V.PROFILES.items()) for a in (scene, *profile["aliases"])}
+    found = aliases.get(key) or aliases.get(key.replace("_", "-"))
+    if found is None:
+        warnings.warn(f"unknown scene {name!r}: base is used; scenes are {', '.join(V.PROFILES)}", RuntimeWarning, stacklevel=3)
+    return found or "base"
+
+
+def with_chosen(df: DataFrame, scene: str | Column | None, into: str, text: str = "text", path: str | None = None) -> DataFrame:
+    """Adds the scene to judge each row by: of a name or alias, or of the text where that is `auto`; base where neither is known.
+
+    scene: one name for all rows, or a Column of names.
+    """
+    if not isinstance(scene, Column):
+        if (scene or "").strip().lower() not in AUTO:
+            return df.withColumn(into, F.lit(known(scene)))
+        return with_guess(df, into, text, path).withColumn(into, F.col(into)["scene"])
+    keep = df.columns
+    asked = F.trim(F.lower(scene))
+    df = with_guess(df.withColumn("__asked", asked).withColumn("__named", resolved(scene)), "__guess", text, path)
+    return df.select(*keep, F.when(F.col("__asked").isin(AUTO), F.col("__guess.scene")).otherwise(F.col("__named")).alias(into))
 
 
 def canonical(name: Column) -> Column:

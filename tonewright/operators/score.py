@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import any_of, computed_once, replace_all, stripped
-from tonewright.operators.hits import judged, scene_hits
+from tonewright.functions.text import NO_TEXTS, any_of, computed_once, replace_all, stripped
+from tonewright.operators.hits import Scenes, each_scene, judged, scene_hits
+from tonewright.operators.scene import AUTO, known, with_chosen
 
 LEAST_BODY = 200
 CLEAN = "未检测到明显 AI 味特征"
@@ -39,8 +40,8 @@ def score_of(raw: Column, norm: Column) -> Column:
     return F.when(raw <= 5, F.greatest(F.lit(85), base)).otherwise(base)
 
 
-def action_of(score: Column, compliance: Column, scene: str) -> Column:
-    warn_at, rewrite_at, block_at = V.PROFILES[scene]["policy"]
+def action_of(score: Column, compliance: Column, scene: Scenes) -> Column:
+    warn_at, rewrite_at, block_at = (each_scene(scene, lambda s, i=i: V.PROFILES[s]["policy"][i]) for i in range(3))
     return F.when(compliance | (score <= block_at), "block").when(score < rewrite_at, "rewrite").when(score < warn_at, "warn").otherwise("pass")
 
 
@@ -59,30 +60,71 @@ def categories_of(hits: Column) -> Column:
     return F.array_join(F.transform(names, lambda c: F.concat(c, F.lit("="), last(c))), "|")
 
 
-def cross_compliance(text: Column, scene: str) -> Column:
+def red_lines(text: Column, patterns: list[str], asked: Column) -> list[Column]:
+    """The ids of the patterns that the text matches, null for others; none is tried unless `asked`."""
+    return [F.when(asked & (F.size(judged(text, p)) > 0), F.lit(p)) for p in patterns]
+
+
+def cross_compliance(text: Column, scene: Scenes) -> Column:
     """Red-line patterns of other scenes whose domain the whole text touches, as an array of ids."""
     found = []
     for name, profile in V.PROFILES.items():
         if name != scene and profile.get("compliance"):
             inside = any_of(text, profile["domain"])
-            found += [F.when(inside & (F.size(judged(text, p)) > 0), F.lit(p)) for p in profile["compliance"]]
-    return F.array_compact(F.array(*found)) if found else F.expr("cast(array() as array<string>)")
+            found += red_lines(text, profile["compliance"], inside if isinstance(scene, str) or name not in scene else inside & ~scene[name])
+    return F.array_compact(F.array(*found)) if found else F.expr(f"{NO_TEXTS}")
+
+
+def own_compliance(body: Column, scene: Scenes) -> Column:
+    """Red-line patterns of the row's own scene that its body matches, as an array of ids."""
+    names = [scene] if isinstance(scene, str) else list(scene)
+    found = [x for name in names for x in red_lines(body, V.PROFILES[name].get("compliance", []), F.lit(True) if isinstance(scene, str) else scene[name])]
+    return F.array_compact(F.array(*found)) if found else F.expr(f"{NO_TEXTS}")
+
+
+def of_patterns(ids: list[str]):
+    """A condition on hits: of one of these patterns."""
+    return lambda h: F.coalesce(h["pattern_id"].isin(ids), F.lit(False))
+
+
+def by_row(scene: Column) -> dict[str, Column]:
+    return {name: scene == name for name in V.PROFILES}
+
+
+def with_red_line(df: DataFrame, scene: str | Column = "base", text: str = "text", into: str = "red_line") -> DataFrame:
+    """Adds whether the text crosses a red line, and nothing else of the score is computed."""
+    keep = df.columns
+    df = with_body(with_chosen(df, scene, "__scene", text), text, "__body")
+    which = by_row(F.col("__scene")) if isinstance(scene, Column) or (scene or "").strip().lower() in AUTO else known(scene)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    crossed = (F.size(own_compliance(F.col("__body"), which)) > 0) | (F.size(cross_compliance(whole, which)) > 0)
+    return df.select(*keep, crossed.alias(into))
+
 
+def with_score(df: DataFrame, scene: str | Column | None = "base", text: str = "text") -> DataFrame:
+    """Adds scene, body, hits, raw, norm_penalty, score, summary, hit_count, hits_per_1k, char_count, compliance_cross_scene, compliance_hit, action.
 
-def with_score(df: DataFrame, scene: str = "base", text: str = "text") -> DataFrame:
-    """Adds body, hits, raw, norm_penalty, score, summary, hit_count, hits_per_1k, char_count, compliance_cross_scene, compliance_hit, action."""
-    df = scene_hits(with_body(df, text), scene)
+    scene: a name or alias, `auto` (each text's own), or a Column of these; base for what is unknown.
+    """
+    fixed = None if isinstance(scene, Column) or (scene or "").strip().lower() in AUTO else known(scene)
+    df = with_chosen(df, scene, "__scene", text)
+    which: Scenes = fixed or by_row(F.col("__scene"))
+    df = scene_hits(with_body(df, text), which)
     hits, size = F.col("hits"), F.greatest(F.length("body"), F.lit(1))
     df = df.withColumn("raw", raw_penalty(hits)).withColumn("char_count", size)
     df = df.withColumn("norm_penalty", norm_penalty(F.col("raw"), F.col("char_count")))
     df = df.withColumn("score", score_of(F.col("raw"), F.col("norm_penalty")))
     df = df.withColumn("hit_count", F.size(hits)).withColumn("hits_per_1k", F.col("hit_count") * 1000.0 / F.col("char_count"))
-    red = V.PROFILES[scene].get("compliance", [])
-    own = F.exists(hits, lambda h: F.coalesce(h["pattern_id"].isin(red), F.lit(False))) if red else F.lit(False)
+    own = F.lit(False)
+    for name in [fixed] if fixed else list(which):
+        if red := V.PROFILES[name].get("compliance"):
+            here = F.lit(True) if fixed else which[name]
+            own = own | (here & F.exists(hits, of_patterns(red)))
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("compliance_cross_scene", F.when(~own, cross_compliance(whole, scene)))
+    df = df.withColumn("compliance_cross_scene", F.when(~own, cross_compliance(whole, which)))
     df = df.withColumn("compliance_hit", own | F.coalesce(F.size("compliance_cross_scene") > 0, F.lit(False)))
-    return df.withColumn("summary", summary_of(hits)).withColumn("action", action_of(F.col("score"), F.col("compliance_hit"), scene)).withColumn("scene", F.lit(scene))
+    df = df.withColumn("summary", summary_of(hits)).withColumn("action", action_of(F.col("score"), F.col("compliance_hit"), which))
+    return df.withColumn("scene", F.col("__scene")).drop("__scene")
 
 
 def hit_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:

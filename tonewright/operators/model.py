@@ -1,20 +1,29 @@
 """Rewriting by a language model: chunks, prompts, replies. The call itself is an injected function.
 
-A transport takes a list of messages ({role, content}) and returns the reply's text. Nothing here opens a
-connection; whatever a transport raises leaves the text as it was.
+A transport takes a list of messages ({role, content}) and returns the reply's text, or an awaitable of it. Nothing
+here opens a connection; whatever a transport raises, and a text that takes too long, leaves the text as it was.
 """
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Transport = Callable[[list[dict]], str]
+from tonewright.operators import paragraphs, rewrite
+from tonewright.operators import scene as scenes
+
+Transport = Callable[[list[dict]], str | Awaitable[str]]
 MAX_CHARS = 1700
+CHUNK_CHARS = 1500  # of a delivery
+TIMEOUT = 90.0  # seconds a text
+CALLS = 8  # texts of a batch that are with the model at once
 INSTRUCTIONS = "Rewrite the text in plain words. Keep facts, numbers, names, code and addresses as they are. Answer with the text alone."
 #: Additions to the instructions by scene.
 SCENE_NOTES = {
@@ -66,37 +75,73 @@ def messages(text: str, scene: str = "base", context: str | None = None, section
     return [{"role": "system", "content": system}, {"role": "user", "content": "\n".join(parts)}]
 
 
+def reply_of(transport: Transport, request: list[dict]) -> str:
+    """The transport's answer, awaited if it has to be."""
+    answer = transport(request)
+    return (asyncio.run(awaited(answer)) if inspect.isawaitable(answer) else answer) or ""
+
+
+async def awaited(answer: Awaitable[str]) -> str:
+    return await answer
+
+
 def ask(transport: Transport, request: list[dict], tries: int = EMPTY_REPLY_TRIES) -> str:
     """The reply without its thinking; a reply of nothing else is asked for again."""
     for _ in range(tries):
-        reply = re.sub(r"<think>.*?</think>\s*", "", transport(request) or "", flags=re.S).strip()
+        reply = re.sub(r"<think>.*?</think>\s*", "", reply_of(transport, request), flags=re.S).strip()
         if reply:
             return reply
     raise RuntimeError("the model answered with nothing but thinking")
 
 
-def rewrite_with_model(df: DataFrame, transport: Transport, text: str = "text", scene: str = "base", limit: int = MAX_CHARS) -> DataFrame:
-    """Adds model_text and model_error; a failed text stays as it was. Filter first: every row is sent."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def prepared(df: DataFrame, into: str, text: str = "text", dedup: bool = True) -> DataFrame:
+    """Adds what a model is given of a text: without repeated paragraphs, and rewritten by the rules."""
+    keep = df.columns
+    df = df.withColumn("__source", F.coalesce(F.col(text), F.lit("")))
+    if dedup:
+        df = paragraphs.with_dedup(df.select(*keep, "__source"), "__source").withColumn("__source", F.col("deduped"))
+    return df.select(*keep, rewrite.rewritten(F.col("__source")).alias(into))
+
+
+def rewrite_with_model(
+    df: DataFrame, transport: Transport, text: str = "text", scene: str | Column = "base", limit: int = CHUNK_CHARS,
+    *, only: Column | None = None, timeout: float = TIMEOUT, dedup: bool = True, context: str | None = None, sections: dict[str, str] | None = None,
+) -> DataFrame:
+    """Adds model_text and model_error. Of the rows that `only` picks (all, if it is not given) each text is prepared, cut into
+
+    chunks and sent; one that fails or takes longer than `timeout` seconds stays as it was. Other rows get null in both.
+    """
+    keep = df.columns
+    df = scenes.with_chosen(df.withColumn("__asked", F.lit(True) if only is None else F.coalesce(only, F.lit(False))), scene, "__scene", text)
+    # Rows that are not asked for carry no text to prepare.
+    df = prepared(df.withColumn("__sent", F.when(F.col("__asked"), F.col(text))), "__clean", "__sent", dedup)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
+
+    def one(whole: str | None, clean: str, name: str) -> str:
+        return "\n\n".join(ask(transport, messages(c, name, context, sections)) for c in chunks(clean or "", limit))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            made, errors = [], []
-            for whole in rows[text]:
+            made: list[str | None] = [None] * len(rows)
+            errors: list[str | None] = [None] * len(rows)
+            pool = ThreadPoolExecutor(CALLS)
+            columns = enumerate(zip(rows["__asked"], rows[text], rows["__clean"], rows["__scene"], strict=True))
+            sent = [(i, whole, pool.submit(one, whole, clean, name)) for i, (asked, whole, clean, name) in columns if asked]
+            for i, whole, answer in sent:
                 try:
-                    made.append("\n\n".join(ask(transport, messages(c, scene)) for c in chunks(whole or "", limit)))
-                    errors.append(None)
+                    made[i] = answer.result(timeout)
                 except Exception as error:  # the contract of the gate: any failure keeps the text
-                    made.append(whole)
-                    errors.append(str(error))
-            yield rows.assign(model_text=made, model_error=errors)
+                    made[i], errors[i] = whole, str(error) or type(error).__name__
+            pool.shutdown(wait=False, cancel_futures=True)
+            yield rows[keep].assign(model_text=made, model_error=errors)
 
-    return df.mapInPandas(run, f"{fields}, model_text string, model_error string")
+    return df.select(*keep, *[c for c in ("__asked", "__clean", "__scene") if c not in keep]).mapInPandas(run, f"{fields}, model_text string, model_error string")
 
 
 def mock_transport(request: list[dict]) -> str:
     """Answers with the text it was given, as a model that has nothing to change."""
-    return "<think>nothing to do</think>\n" + request[-1]["content"].strip("-\n")
+    text = request[-1]["content"].split("\n---", 1)[0]
+    return "<think>nothing to do</think>\n" + text.removeprefix("---\n")
 
 
 def parse_detections(reply: Column) -> Column:
@@ -116,10 +161,40 @@ def mock_detections(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MOCK_WORD)), F.array(F.lit(MOCK_WORD))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def create_detector(enabled: bool, provider: str = "mock"):
-    """A detector Column function, or None; only the mock needs no transport."""
+DETECT = (
+    "Check the text for formulaic writing; change nothing. Answer with a JSON list of objects with pattern_id, pattern_name, confidence (0 to 1), "
+    "matched_text (word by word from the text) and suggestion, or with [] if there is none."
+)
+
+
+def with_detections(df: DataFrame, transport: Transport, text: str = "text", timeout: float = 30.0) -> DataFrame:
+    """Adds detections, what a model's reply lists; none where the call fails or the reply can't be read."""
+    keep = df.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            pool = ThreadPoolExecutor(CALLS)
+            sent = [pool.submit(reply_of, transport, [{"role": "system", "content": DETECT}, {"role": "user", "content": t or ""}]) for t in rows[text]]
+            replies = []
+            for answer in sent:
+                try:
+                    replies.append(answer.result(timeout))
+                except Exception:  # a detector that can't be reached finds nothing
+                    replies.append("[]")
+            pool.shutdown(wait=False, cancel_futures=True)
+            yield rows.assign(__reply=replies)
+
+    asked = df.mapInPandas(run, f"{fields}, __reply string")
+    return asked.select(*keep, parse_detections(F.col("__reply")).alias("detections"))
+
+
+def create_detector(enabled: bool, provider: str = "mock", transport: Transport | None = None):
+    """A function that adds detections to a frame, or None if it is not enabled; only the mock needs no transport."""
     if not enabled:
         return None
-    if provider != "mock":
-        raise ValueError(f"provider {provider} needs a transport: send prompts with rewrite_with_model and read replies with parse_detections")
-    return mock_detections
+    if provider == "mock":
+        return lambda df, text="text": df.withColumn("detections", mock_detections(F.col(text)))
+    if transport is None:
+        raise ValueError(f"provider {provider} needs a transport")
+    return lambda df, text="text": with_detections(df, transport, text)

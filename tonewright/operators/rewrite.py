@@ -15,7 +15,8 @@ from pyspark.sql.types import StringType
 
 from tonewright.functions import fixed_values as V
 from tonewright.functions import rewrite_values as R
-from tonewright.functions.text import java
+from tonewright.functions.text import computed_once, java, stripped
+from tonewright.operators.scene import with_guess
 
 PARAGRAPH, LINE = "\ue000", "\ue001"
 ANY_CASE, WHOLE = re.I, re.I | re.S
@@ -188,8 +189,8 @@ def rewritten(texts: pd.Series) -> pd.Series:
 
 
 def whitelisted(text: Column, golden: list[str]) -> Column:
-    """Is the trimmed text one of the golden inputs?"""
-    return F.trim(text).isin([g.strip() for g in golden])
+    """Is the text, without white space at its ends, one of the golden inputs?"""
+    return F.coalesce(stripped(text).isin([g.strip() for g in golden]), F.lit(False))
 
 
 MARKDOWN_KEPT = re.compile(r"\s*(?:#{1,6}\s|\||!\[[^\]]*\]\([^)]*\)\s*$|(?:[-*_]\s*){3,}$)|\s*$")
@@ -217,11 +218,27 @@ def rewrite_markdown(text: str | None) -> str:
     return "\n".join(out)
 
 
-def with_rewrite(df: DataFrame, text: str = "text", scene: str = "base") -> DataFrame:
-    """Adds rewritten and changed. The scene is kept for the interface; rules do not depend on it."""
+def with_rewrite(df: DataFrame, text: str = "text", scene: str = "base", golden: list[str] | None = None) -> DataFrame:
+    """Adds rewritten and changed. The scene is kept for the interface; rules do not depend on it.
+
+    golden: inputs that alone may be rewritten (the strict whitelist); all may, if it is not given.
+    """
     del scene
-    df = df.withColumn("rewritten", rewritten(F.coalesce(F.col(text), F.lit(""))))
-    return df.withColumn("changed", F.col("rewritten") != F.coalesce(F.col(text), F.lit("")))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    out = rewritten(whole if golden is None else F.when(whitelisted(whole, golden), whole).otherwise(F.lit("")))
+    df = computed_once(df.withColumn("__out", out), rewritten=F.col("__out") if golden is None else F.when(whitelisted(whole, golden), F.col("__out")).otherwise(whole)).drop("__out")
+    return df.withColumn("changed", F.col("rewritten") != whole)
+
+
+def with_scene_rewrite(df: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
+    """Files rewritten by the scene of each: adds output, scene, scene_confidence, needs_confirmation, guessed_scene, scene_evidence, changed."""
+    keep = df.columns
+    df = with_rewrite(with_guess(df, "__guess", text, path), text)
+    g = F.col("__guess")
+    return df.select(
+        *keep, F.col("rewritten").alias("output"), g["scene"].alias("scene"), F.round(g["confidence"], 3).alias("scene_confidence"), g["needs_confirmation"].alias("needs_confirmation"),
+        F.when(g["needs_confirmation"], g["guessed_scene"]).alias("guessed_scene"), g["evidence"].alias("scene_evidence"), "changed",
+    )
 
 
 # --- single patterns as Columns ---

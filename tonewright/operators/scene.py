@@ -115,8 +115,8 @@ def with_chosen(df: DataFrame, scene: str | Column | None, into: str, text: str
         return with_guess(df, into, text, path).withColumn(into, F.col(into)["scene"])
     keep = df.columns
     asked = F.trim(F.lower(scene))
-    df = with_guess(df.withColumn("__asked", asked).withColumn("__named", resolved(scene)), "__guess", text, path)
-    return df.select(*keep, F.when(F.col("__asked").isin(AUTO), F.col("__guess.scene")).otherwise(F.col("__named")).alias(into))
+    df = with_guess(df.withColumn("__name", asked).withColumn("__named", resolved(scene)), "__guess", text, path)
+    return df.select(*keep, F.when(F.col("__name").isin(AUTO), F.col("__guess.scene")).otherwise(F.col("__named")).alias(into))
 
 
 def canonical(name: Column) -> Column:

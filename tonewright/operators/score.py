@@ -91,24 +91,32 @@ def by_row(scene: Column) -> dict[str, Column]:
     return {name: scene == name for name in V.PROFILES}
 
 
-def with_red_line(df: DataFrame, scene: str | Column = "base", text: str = "text", into: str = "red_line") -> DataFrame:
+def with_conditions(df: DataFrame, scene: str | Column | Scenes | None, text: str) -> tuple[DataFrame, Scenes]:
+    """The frame with each row's scene as __scene, and the scene as scoring takes it: one name, or a condition a name."""
+    if isinstance(scene, dict):
+        return df.withColumn("__scene", F.coalesce(*[F.when(here, F.lit(name)) for name, here in scene.items()])), scene
+    if isinstance(scene, Column) or (scene or "").strip().lower() in AUTO:
+        return with_chosen(df, scene, "__scene", text), by_row(F.col("__scene"))
+    return df.withColumn("__scene", F.lit(known(scene))), known(scene)
+
+
+def with_red_line(df: DataFrame, scene: str | Column | Scenes = "base", text: str = "text", into: str = "red_line") -> DataFrame:
     """Adds whether the text crosses a red line, and nothing else of the score is computed."""
     keep = df.columns
-    df = with_body(with_chosen(df, scene, "__scene", text), text, "__body")
-    which = by_row(F.col("__scene")) if isinstance(scene, Column) or (scene or "").strip().lower() in AUTO else known(scene)
+    df, which = with_conditions(df, scene, text)
+    df = with_body(df, text, "__body")
     whole = F.coalesce(F.col(text), F.lit(""))
     crossed = (F.size(own_compliance(F.col("__body"), which)) > 0) | (F.size(cross_compliance(whole, which)) > 0)
-    return df.select(*keep, crossed.alias(into))
+    return computed_once(df, **{into: crossed}).select(*keep, into)
 
 
-def with_score(df: DataFrame, scene: str | Column | None = "base", text: str = "text") -> DataFrame:
+def with_score(df: DataFrame, scene: str | Column | Scenes | None = "base", text: str = "text") -> DataFrame:
     """Adds scene, body, hits, raw, norm_penalty, score, summary, hit_count, hits_per_1k, char_count, compliance_cross_scene, compliance_hit, action.
 
     scene: a name or alias, `auto` (each text's own), or a Column of these; base for what is unknown.
     """
-    fixed = None if isinstance(scene, Column) or (scene or "").strip().lower() in AUTO else known(scene)
-    df = with_chosen(df, scene, "__scene", text)
-    which: Scenes = fixed or by_row(F.col("__scene"))
+    df, which = with_conditions(df, scene, text)
+    fixed = which if isinstance(which, str) else None
     df = scene_hits(with_body(df, text), which)
     hits, size = F.col("hits"), F.greatest(F.length("body"), F.lit(1))
     df = df.withColumn("raw", raw_penalty(hits)).withColumn("char_count", size)

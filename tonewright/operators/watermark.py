@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonewright.functions.text import computed_once
+
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 #: Full-width letters and digits lie at a fixed distance from their ASCII forms.
 WIDE = "".join(chr(c + 0xFEE0) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x30, 0x3A)))
@@ -30,12 +32,26 @@ def cleaned(text: Column) -> Column:
 
 
 def dominant(text: Column) -> Column:
-    """struct<n, first, ch, total>: the most frequent Chinese character, of equals the one seen first."""
+    """struct<top: struct<n, back, ch>, total>: the most frequent Chinese character, of equals the one seen first.
+
+    Characters are sorted with their places and counted run by run, so a text costs its length, however many kinds it has.
+    """
     han = F.regexp_replace(text, F.lit(r"[^\x{4e00}-\x{9fff}]"), F.lit(""))
-    each = F.filter(F.array_distinct(F.split(han, "")), lambda c: c != "")
-    count = lambda c: F.length(han) - F.length(F.replace(han, c, F.lit("")))
-    ranked = F.transform(each, lambda c: F.struct(count(c).alias("n"), (F.lit(0) - F.position(c, han)).alias("back"), c.alias("ch")))
-    return F.struct(F.array_max(ranked).alias("top"), F.length(han).alias("total"))
+    placed = F.array_sort(F.transform(F.split(han, ""), lambda c, i: F.struct(c.alias("ch"), i.alias("at"))))
+    none = F.expr("named_struct('n', 0, 'back', 0, 'ch', '')")
+    start = F.struct(none.alias("run"), none.alias("top"))
+
+    def step(state: Column, x: Column) -> Column:
+        same = state["run"]["ch"] == x["ch"]
+        run = F.struct(
+            F.when(same, state["run"]["n"] + 1).otherwise(1).alias("n"),
+            F.when(same, state["run"]["back"]).otherwise(F.lit(0) - x["at"]).alias("back"),
+            x["ch"].alias("ch"),
+        )
+        return F.struct(run.alias("run"), F.greatest(state["top"], run).alias("top"))
+
+    top = F.aggregate(F.filter(placed, lambda x: x["ch"] != ""), start, step, lambda state: state["top"])
+    return F.struct(F.when(F.length(han) > 0, top).alias("top"), F.length(han).alias("total"))
 
 
 def with_watermark(df: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
@@ -43,8 +59,7 @@ def with_watermark(df: DataFrame, text: str = "text", clean: bool = False) -> Da
     keep = df.columns
     df = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     t = F.col("__t")
-    df = df.withColumn("zero_width_removed", zero_width_count(t)).withColumn("bom_detected", F.contains(t, F.lit("\ufeff")))
-    df = df.withColumn("__wide", wide_count(t)).withColumn("__compat", compatibility_count(t)).withColumn("__d", dominant(t))
+    df = computed_once(df, zero_width_removed=zero_width_count(t), bom_detected=F.contains(t, F.lit("\ufeff")), __wide=wide_count(t), __compat=compatibility_count(t), __d=dominant(t))
     top = F.col("__d.top")
     share = top["n"] / F.col("__d.total")
     df = df.withColumn("synthid_suspect", F.coalesce((share > DOMINANT_SHARE) & (top["n"] > DOMINANT_COUNT), F.lit(False)))

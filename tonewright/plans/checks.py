@@ -6,7 +6,7 @@ from tonewright.functions import fixed_values as V
 from tonewright.functions.text import sql_text as q
 from tonewright.operators import hits as H
 from tonewright.operators.detect import PREVIEW
-from tonewright.plans.seeds import SEEDED_SQL
+from tonewright.plans.seeds import ALONE_SQL, LONG_SQL, SEEDED_SQL
 
 BAR = "¦"
 #: RE2 has no look-ahead: pattern -> (pattern without it, condition on the text after the match).
@@ -460,19 +460,11 @@ def gate_sql() -> str:
     )
 
 
-def strategy_sql() -> str:
-    return f"SELECT doc_id, (score < 70)::INT AS auto_llm, 0 AS rules, 1 AS rules_llm FROM ({score_sql('base')})"
-
-
-def strict_sql() -> str:
-    return f"WITH {SEEDED_SQL} SELECT doc_id, CASE WHEN len({words('text', V.TIER1_ZH + V.TIER1_EN)}) > 0 THEN 3 ELSE 0 END AS code FROM seeded"
-
-
 def eligible_sql() -> str:
     stripped = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
     return (
-        f"WITH {SEEDED_SQL}, t AS (SELECT doc_id, {stripped} AS t FROM seeded) SELECT doc_id, (length(t) >= 40 AND NOT contains(t, 'MEDIA:') AND NOT contains(t, '[[as_document]]') AND NOT contains(t, '[[audio_as_voice]]') "
-        "AND NOT regexp_matches(t, '(?i)!\\[[^\\]]*\\]\\([^)]*\\)|<img\\s') AND len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) >= greatest(20, trunc(length(t) * 0.01)))::INT AS eligible FROM t"
+        f"WITH {LONG_SQL}, t AS (SELECT doc_id, {stripped} AS t FROM long) SELECT doc_id, (length(t) >= 200 AND NOT contains(t, 'MEDIA:') AND NOT contains(t, '[[as_document]]') AND NOT contains(t, '[[audio_as_voice]]') "
+        "AND NOT regexp_matches(t, '(?i)!\\[[^\\]]*\\]\\([^)]*\\)|<img\\s') AND len(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]')) >= greatest(20, trunc(length(t) * 0.3)))::INT AS eligible FROM t"
     )
 
 
@@ -564,23 +556,61 @@ def counts_sql() -> str:
 
 
 def accessor_sql() -> str:
-    rows = ", ".join(f"({q(s)}, {q(k)}, {v})" for s, p in V.PROFILES.items() for k, v in p.get("penalties", {}).items())
-    off = ", ".join(f"({q(s)}, {q(c)})" for s, p in V.PROFILES.items() for c in p.get("off", []))
-    scenes = ", ".join(f"({q(s)})" for s in V.PROFILES)
-    keys = ", ".join(f"({q(k)})" for k in ACCESSOR_KEYS)
+    """Penalty, switches and exempt words by scene and rule, from one list of rows a kind."""
+    lists = {
+        "base": [(k, v) for k, v in ACCESSOR_COSTS.items()],
+        "price": [(s, k, v) for s, p in V.PROFILES.items() for k, v in p.get("penalties", {}).items()],
+        "off": [(s, c) for s, p in V.PROFILES.items() for c in p.get("off", [])],
+        "red": [(s, c) for s, p in V.PROFILES.items() for c in p.get("compliance", [])],
+        "spare": [(s, k, "|".join(w)) for s, p in V.PROFILES.items() for k, w in p.get("exempt", {}).items()],
+    }
+    value = lambda v: str(v) if isinstance(v, int) else q(v)
+    rows = {name: ", ".join("(" + ", ".join(map(value, row)) + ")" for row in own) for name, own in lists.items()}
     return (
-        f"SELECT s AS scene, k AS key, coalesce(v, 9) AS penalty, (o.c IS NOT NULL)::INT AS off FROM (VALUES {scenes}) a(s) CROSS JOIN (VALUES {keys}) b(k) "
-        f"LEFT JOIN (VALUES {rows}) p(ps, pk, v) ON ps = s AND pk = k LEFT JOIN (VALUES {off}) o(os, c) ON os = s AND c = k"
+        f"SELECT s AS scene, k AS key, coalesce(pv, v) AS penalty, (oc IS NOT NULL)::INT AS off, (rc IS NOT NULL)::INT AS compliance, coalesce(xw, '') AS exempt "
+        f"FROM (VALUES {', '.join(f'({q(s)})' for s in V.PROFILES)}) a(s) CROSS JOIN (VALUES {rows['base']}) b(k, v) LEFT JOIN (VALUES {rows['price']}) p(ps, pk, pv) ON ps = s AND pk = k "
+        f"LEFT JOIN (VALUES {rows['off']}) o(os, oc) ON os = s AND oc = k LEFT JOIN (VALUES {rows['red']}) r(rs, rc) ON rs = s AND rc = k LEFT JOIN (VALUES {rows['spare']}) x(xs, xk, xw) ON xs = s AND xk = k"
     )
 
 
-ACCESSOR_KEYS = ["p27_over_colloquial", "p28_body_reaction", "mechanical_ordering", "symmetry_fillers", "tier1_zh"]
-WHITELIST = ["今天天气不错，我们去河边走了走。", "总之就是这样。总之算了！"]
+#: What a hit of each rule costs in the base scene.
+ACCESSOR_COSTS = {p: v[0] for p, v in V.JUDGED.items()} | {"p27_over_colloquial": 3, "mechanical_ordering": 3, "symmetry_fillers": 4, "redundant_modifiers": 2, "tier1_zh": 5}
+WHITELIST = ["今天天气不错，我们去河边走了走。", "总之就是这样。总之算了！", "\n高效赋能、全面协同、深度转型。\n苹果、梨子、桃子。\n"]
 
 
 def whitelist_sql() -> str:
-    listed = ", ".join(map(q, WHITELIST))
-    return f"WITH {SEEDED_SQL} SELECT doc_id FROM seeded WHERE string_split(text, chr(10))[1] IN ({listed})"
+    listed = ", ".join(q(w.strip()) for w in WHITELIST)
+    return f"WITH {ALONE_SQL} SELECT doc_id FROM alone WHERE regexp_replace(text, '^[\\s\\x{{3000}}\\x{{a0}}]+|[\\s\\x{{3000}}\\x{{a0}}]+$', '', 'g') IN ({listed})"
+
+
+def asked_sql() -> str:
+    """CASE of the scene that the queries on scene choice ask for."""
+    return "CASE doc_id % 6 WHEN 0 THEN 'auto' WHEN 1 THEN 'base' WHEN 2 THEN 'XiaoHongShu' WHEN 3 THEN 'no such scene' WHEN 4 THEN 'pet health' END"
+
+
+def chosen_sql() -> str:
+    return f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN scene WHEN 2 THEN 'social-note' WHEN 4 THEN 'health-content' ELSE 'base' END AS scene FROM ({scene_sql(['scene'])})"
+
+
+def profile_for_text_sql() -> str:
+    rows = ", ".join(f"({q(s)}, {q(p['label'])}, {p['policy'][0]}, {p['policy'][2]})" for s, p in V.PROFILES.items())
+    return f"SELECT doc_id, scene, label, warn_at, block_at FROM ({chosen_sql()}) JOIN (VALUES {rows}) p(s, label, warn_at, block_at) ON s = scene"
+
+
+def score_by_row_sql() -> str:
+    """Each document's score in the scene that is asked for, from the scores of all four scenes."""
+    parts = [f"SELECT x.* FROM ({score_sql(s)}) x JOIN chosen c ON c.doc_id = x.doc_id AND c.scene = {q(s)}" for s in V.PROFILES]
+    return f"WITH chosen AS ({chosen_sql()}) " + " UNION ALL ".join(parts)
+
+
+def keys_sql() -> str:
+    bare = "regexp_replace(line, '^[\\s\\x{3000}\\x{a0}\\x{85}\\x{1c}-\\x{1f}]+|[\\s\\x{3000}\\x{a0}\\x{85}\\x{1c}-\\x{1f}]+$', '', 'g')"
+    side = lambda x: bare.replace("line", x)
+    return (
+        f"WITH {SEEDED_SQL}, b AS (SELECT doc_id, {bare} AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM seeded)), "
+        f"s AS (SELECT doc_id, {side('string_split(b, chr(61))[1]')} AS name, trim(trim({side('substr(b, position(chr(61) IN b) + 1)')}, chr(34)), chr(39)) AS value FROM b WHERE contains(b, '=') AND NOT starts_with(b, '#')) "
+        "SELECT doc_id, name, value, (value <> '' AND NOT contains(value, '${') AND NOT starts_with(value, '$'))::INT AS usable FROM s"
+    )
 
 
 def top_scenes_sql() -> str:

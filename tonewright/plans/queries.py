@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import present
+from tonewright.functions.text import present, stripped
 from tonewright.operators import detect, gate, model, paragraphs, phrases, professional, punctuation, rewrite, scene, score, watermark
 from tonewright.operators import hits as H
 from tonewright.plans import checks as C
-from tonewright.plans.seeds import seeded
+from tonewright.plans.seeds import seeded, seeded_alone, seeded_long
 from tonewright.sources import files
 from tonewright.sources.files import spread
 
@@ -312,7 +312,7 @@ def report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.col("changed").cast("int"), "score_before", F.col("score").alias("score_after"))
 
 
-register("rw12_report", report_query)
+register("sc12_report", report_query)
 
 # --- gates and the model ---
 
@@ -326,19 +326,25 @@ register(
     lambda spark, sf_dir: scored(spark, sf_dir).select("doc_id", gate.exit_code(F.col("action"), F.col("compliance_hit"), True).alias("gated"), gate.exit_code(F.col("action"), F.col("compliance_hit"), False).alias("ungated")),
     C.gate_sql(),
 )
+
+
+def rewritten_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.with_rewrite(seeded(spark, sf_dir)).select("doc_id", "rewritten")
+
+
+# Strategies look at the score, and the strict check at the words, of what the rules have made of a text.
 register(
     "gt02_strategies",
-    lambda spark, sf_dir: scored(spark, sf_dir).select("doc_id", *[gate.needs_model(s, F.col("score")).cast("int").alias(n) for s, n in (("auto", "auto_llm"), ("rules", "rules"), ("rules+llm", "rules_llm"))]),
-    C.strategy_sql(),
+    lambda spark, sf_dir: score.with_score(rewritten_once(spark, sf_dir), text="rewritten").select("doc_id", *[gate.needs_model(s, F.col("score")).cast("int").alias(n) for s, n in (("auto", "auto_llm"), ("rules", "rules"), ("rules+llm", "rules_llm"))]),
 )
-register("gt03_strict", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", gate.strict_code(F.col("text")).alias("code")), C.strict_sql())
+register("gt03_strict", lambda spark, sf_dir: rewritten_once(spark, sf_dir).select("doc_id", gate.strict_code(F.col("rewritten")).alias("code")))
 register("gt07_structured", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", gate.structured(F.col("text")).cast("int").alias("structured")), C.structured_sql())
-register("gt06_eligible", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", gate.eligible(F.col("text"), 40, 0.01).cast("int").alias("eligible")), C.eligible_sql())
+register("gt06_eligible", lambda spark, sf_dir: seeded_long(spark, sf_dir).select("doc_id", gate.eligible(F.col("text")).cast("int").alias("eligible")), C.eligible_sql())
 register("gt08_delivery", lambda spark, sf_dir: gate.with_delivery(seeded(spark, sf_dir)).select("doc_id", "route", "candidate_score", F.md5(F.col("delivered").cast("binary")).alias("md5")))
 register("lm02_strip_thinking", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(model.without_thinking(F.col("text")).cast("binary")).alias("md5")), C.thinking_sql())
 register(
     "lm04_model_rewrite",
-    lambda spark, sf_dir: model.rewrite_with_model(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")), model.mock_transport).select("conv_id", "turn", F.length("model_text").alias("n")),
+    lambda spark, sf_dir: model.rewrite_with_model(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")), model.mock_transport).select("conv_id", "turn", F.length("model_text").cast("long").alias("n"), F.md5(F.col("model_text").cast("binary")).alias("md5")),
 )
 register("io07_json_report", lambda spark, sf_dir: files.json_reports(scored(spark, sf_dir), "score", "action").select("doc_id", "report"), C.report_sql())
 register(
@@ -403,18 +409,25 @@ register("rl15_rl16_counts", counts_query, C.counts_sql())
 
 
 def accessor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(s, k, p.get("penalties", {}).get(k, 9), int(k in p.get("off", []))) for s, p in V.PROFILES.items() for k in C.ACCESSOR_KEYS]
-    return spark.createDataFrame(rows, "scene string, key string, penalty int, off int")
+    """What the profiles say of each rule: its price, whether its category is left out, whether it is a red line, its exempt words."""
+    rules = spark.createDataFrame(list(C.ACCESSOR_COSTS.items()), "key string, cost int")
+    fields = "scene string, penalties map<string,int>, off array<string>, compliance array<string>, exempt map<string,array<string>>"
+    profiles = spark.createDataFrame([(s, p.get("penalties", {}), p.get("off", []), p.get("compliance", []), p.get("exempt", {})) for s, p in V.PROFILES.items()], fields)
+    each = profiles.join(F.broadcast(rules))
+    return each.select(
+        "scene", "key", F.coalesce(F.element_at("penalties", F.col("key")), "cost").alias("penalty"), F.array_contains("off", F.col("key")).cast("int").alias("off"),
+        F.array_contains("compliance", F.col("key")).cast("int").alias("compliance"), F.coalesce(F.array_join(F.element_at("exempt", F.col("key")), "|"), F.lit("")).alias("exempt"),
+    )
 
 
 register("sn13_accessors", accessor_query, C.accessor_sql())
 
 
 def whitelist_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose first line is a golden input: a semi-join with a fixed small table."""
-    golden = F.broadcast(spark.createDataFrame([(w,) for w in C.WHITELIST], "line string"))
-    df = seeded(spark, sf_dir).withColumn("line", F.element_at(F.split("text", "\n"), 1))
-    return df.join(golden, "line", "left_semi").select("doc_id")
+    """Documents that are a golden input but for white space at their ends: a semi-join with a fixed small table."""
+    golden = F.broadcast(spark.createDataFrame([(w.strip(),) for w in C.WHITELIST], "bare string"))
+    df = seeded_alone(spark, sf_dir).withColumn("bare", stripped(F.col("text")))
+    return df.join(golden, "bare", "left_semi").select("doc_id")
 
 
 register("im07_whitelist", whitelist_query, C.whitelist_sql())
@@ -442,11 +455,46 @@ register("gt05_scene_preview", preview_query, C.preview_scene_sql())
 
 def prepared_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is sent at once and whether an edit is to follow (async mode)."""
-    df = seeded(spark, sf_dir)
-    return df.select("doc_id", F.length("text").cast("long").alias("sent_chars"), gate.eligible(F.col("text"), 40, 0.01).cast("int").alias("edit_follows"))
+    df = gate.with_send(seeded_long(spark, sf_dir), {"enabled": True, "mode": "async_edit"})
+    return df.select("doc_id", F.length("send_text").cast("long").alias("sent_chars"), F.col("pending_text").isNotNull().cast("int").alias("edit_follows"))
+
+
+register("gt09_prepare_send", prepared_query, f"WITH {C.LONG_SQL}, e AS ({C.eligible_sql()}) SELECT s.doc_id, length(text) AS sent_chars, eligible AS edit_follows FROM long s JOIN e USING (doc_id)")
+register(
+    "gt10_edits",
+    lambda spark, sf_dir: gate.with_edit(seeded_long(spark, sf_dir), {"enabled": True, "mode": "async_edit"}, model.mock_transport).select("doc_id", F.md5(F.col("edited").cast("binary")).alias("md5")),
+)
+register("gt11_keys", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", gate.settings_lines(F.col("line")).alias("s")).filter("s is not null").select("doc_id", "s.name", "s.value", gate.usable_key(F.col("s.value")).cast("int").alias("usable")), C.keys_sql())
+
+# --- scenes asked for by row ---
 
 
-register("gt09_prepare_send", prepared_query, f"WITH {C.SEEDED_SQL}, e AS ({C.eligible_sql()}) SELECT s.doc_id, length(text) AS sent_chars, eligible AS edit_follows FROM seeded s JOIN e USING (doc_id)")
+def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded(spark, sf_dir).withColumn("asked", F.expr(C.asked_sql()))
+
+
+def profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(s, p["label"], p["policy"][0], p["policy"][2]) for s, p in V.PROFILES.items()]
+    profiles = F.broadcast(spark.createDataFrame(rows, "scene string, label string, warn_at int, block_at int"))
+    return scene.with_chosen(asking(spark, sf_dir), F.col("asked"), "scene").select("doc_id", "scene").join(profiles, "scene").select("doc_id", "scene", "label", "warn_at", "block_at")
+
+
+def score_by_row_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = score.with_score(asking(spark, sf_dir), F.col("asked"))
+    return df.select("doc_id", "scene", "score", "raw", F.col("hit_count").cast("long"), F.col("char_count").cast("long"), F.col("compliance_hit").cast("int"), "action")
+
+
+register("sn09_profile_for_text", profile_query, C.profile_for_text_sql())
+register("gt12_scene_choice", lambda spark, sf_dir: scene.with_chosen(asking(spark, sf_dir), F.col("asked"), "scene").select("doc_id", "scene"), C.chosen_sql())
+register("sc05_score_by_row", score_by_row_query, C.score_by_row_sql())
+register(
+    "rw42_scene_rewrite",
+    lambda spark, sf_dir: rewrite.with_scene_rewrite(seeded(spark, sf_dir).withColumn("path", F.when(F.col("doc_id") % 3 == 0, F.lit("docs/Blog/x.md")))).select("doc_id", "scene", "scene_confidence", F.col("changed").cast("int"), F.md5(F.col("output").cast("binary")).alias("md5")),
+)
+register(
+    "rw41_strict_whitelist",
+    lambda spark, sf_dir: rewrite.with_rewrite(seeded_alone(spark, sf_dir), golden=C.WHITELIST).select("doc_id", F.col("changed").cast("int"), F.length("rewritten").cast("long").alias("n")),
+)
 
 
 def prompt_query(spark: SparkSession, sf_dir: str) -> DataFrame:

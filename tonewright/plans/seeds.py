@@ -72,15 +72,40 @@ SNIPPETS = [
     "的的的的的的的的的的的的的的的的的的的的的的很多。",
     "<think>Let me analyze this draft.</think>\n正文在此。\n✓ 已检查\nLet me re-check the strict rules now.\n正文在此。",
     "全面赋能核心业务，打造数智化新生态，夯实底层基座，为核心业务提供战略支撑，助力业务价值最大化落地。",
+    "API_KEY=abc123\n# 注释=1\nTOKEN=\"${HIDDEN}\"\n NAME = '甲' \nPLAIN=$OTHER\nEMPTY=",
     "所谓“底层逻辑”只是引用；生态/闭环/赋能 也是。|拉齐|颗粒度|\n拉齐颗粒度，会有进一步的提升。",
 ]
 
 
+def snippet():
+    """The snippet of a document's turn."""
+    return F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (F.pmod("doc_id", F.lit(len(SNIPPETS))) + 1).cast("int"))
+
+
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, scene_no and text: the snippet of the id's turn, a line feed, the whole document."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("own")))
-    snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (F.pmod("doc_id", F.lit(len(SNIPPETS))) + 1).cast("int"))
-    return docs.select("doc_id", F.concat(snippet, F.lit("\n"), F.coalesce("own", F.lit(""))).alias("text"))
+    return docs.select("doc_id", F.concat(snippet(), F.lit("\n"), F.coalesce("own", F.lit(""))).alias("text"))
 
 
 SEEDED_SQL = f"seeded AS (SELECT doc_id, ([{', '.join(map(sql_text, SNIPPETS))}])[(doc_id % {len(SNIPPETS)}) + 1] || chr(10) || coalesce(text, '') AS text FROM documents)"
+
+#: Turns of a snippet that make a text long enough for delivery.
+TURNS = 14
+
+
+def seeded_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: the snippet many times over for every other document, else as `seeded`."""
+    docs = seeded(spark, sf_dir)
+    return docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.repeat(snippet(), TURNS)).otherwise(F.col("text")).alias("text"))
+
+
+def seeded_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: for every third document the snippet alone with white space around it, else as `seeded`."""
+    docs = seeded(spark, sf_dir)
+    return docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" \n"), snippet(), F.lit("\n\t "))).otherwise(F.col("text")).alias("text"))
+
+
+_SNIPPET_SQL = f"([{', '.join(map(sql_text, SNIPPETS))}])[(doc_id % {len(SNIPPETS)}) + 1]"
+LONG_SQL = f"{SEEDED_SQL}, long AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN repeat({_SNIPPET_SQL}, {TURNS}) ELSE text END AS text FROM seeded)"
+ALONE_SQL = f"{SEEDED_SQL}, alone AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(10) || {_SNIPPET_SQL} || chr(10) || chr(9) || ' ' ELSE text END AS text FROM seeded)"

@@ -16,13 +16,13 @@ from tonewright.operators import gate
 SCHEMA = "message_id string, text string"
 
 
-def edits(messages: DataFrame, scene: str = "base", min_chars: int = gate.SETTINGS["min_chars"]) -> DataFrame:
+def edits(messages: DataFrame, scene: str = gate.SETTINGS["scene"], min_chars: int = gate.SETTINGS["min_chars"]) -> DataFrame:
     """message_id and edited: only for eligible messages that change and need no model."""
     due = gate.with_delivery(messages.filter(gate.eligible(F.col("text"), min_chars)), scene)
     return due.filter((F.col("route") == "rules") & (F.col("delivered") != F.col("text"))).select("message_id", F.col("delivered").alias("edited"))
 
 
-def write_batch(folder: str, scene: str = "base", min_chars: int = gate.SETTINGS["min_chars"]) -> Callable[[DataFrame, int], None]:
+def write_batch(folder: str, scene: str = gate.SETTINGS["scene"], min_chars: int = gate.SETTINGS["min_chars"]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: phase 1 and phase 2 of a batch, replaced if the batch runs again."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -33,7 +33,7 @@ def write_batch(folder: str, scene: str = "base", min_chars: int = gate.SETTINGS
     return run
 
 
-def deliver(stream: DataFrame, folder: str, checkpoint: str, scene: str = "base", min_chars: int = gate.SETTINGS["min_chars"]):
+def deliver(stream: DataFrame, folder: str, checkpoint: str, scene: str = gate.SETTINGS["scene"], min_chars: int = gate.SETTINGS["min_chars"]):
     """Starts the query over a stream of SCHEMA; it ends when the input is used up."""
     writer = stream.writeStream.foreachBatch(write_batch(folder, scene, min_chars)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -35,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects its garbage; a job of many short rounds would pile them up until then.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unused(name: str, taken: list[str]) -> str:
     """A column name that is not taken, in any case: the name, or it with underscores before it."""
     held = {c.lower() for c in taken}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import cut, read_table, shuffle_partitions, whole_texts, worker_state
+from tonewright.llm.shared import cut, read_table, release, shuffle_partitions, whole_texts, worker_state
 
 SEED = 42
 BITS = 64
@@ -249,18 +249,18 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node reachable) by alternating star contractions over edges (u, v)."""
     oriented = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     now = cut(oriented(edges))
-    mark = None
     while True:
+        # Done when every node has one edge, to a node without one.
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up")).distinct())
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).filter("up > 1 or (up = 1 and n > 1)").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = oriented(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         now = cut(oriented(small))
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(row)
+        release(now.sparkSession)
 
 
 def near_duplicates(docs: DataFrame, words_a_shingle: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, bin_limit: int = BIN_LIMIT) -> DataFrame:
@@ -486,34 +486,39 @@ def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("ru <> rv")
 
 
-def spanning_links(pairs: DataFrame, roots: DataFrame | None, rows: DataFrame, reps: DataFrame, similarity: float, words_a_shingle: int) -> DataFrame | None:
-    """Verified links that unite all that the pairs (u, v, differ) can unite; None if there are no pairs.
+def contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots (node, root) with the components of further links united."""
+    apart = rooted(links, roots)
+    merged = components(apart.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).withColumnsRenamed({"node": "old", "root": "new"})
+    moved = roots.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return cut(moved.unionByName(merged.select(F.col("old").alias("node"), F.col("new").alias("root"))))
+
+
+def united(pairs: DataFrame, roots: DataFrame, rows: DataFrame, reps: DataFrame, similarity: float, words_a_shingle: int) -> DataFrame:
+    """roots (node, root) with all united that verified ones of the pairs (u, v, differ) unite.
 
-    Each round compares the sets of every component's most promising pairs to others, one at first and four times as many
+    Each round compares the sets of every component's most promising pairs to others, one at first and eight times as many
     a round, and unites what passes. A pair is dropped when it fails or when its ends are one component.
     """
-    if pairs.isEmpty():
-        return None
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    left = cut(rooted(pairs, roots).select("u", "v", "differ"))
+    if left.isEmpty():
+        return roots
+    ends = left.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = cut(shingle_sets(rows, reps.join(ends, "node", "left_semi"), words_a_shingle))
-    left = pairs if roots is None else cut(rooted(pairs, roots).select("u", "v", "differ"))
-    links, width = None, 1
+    width = 1
     while not left.isEmpty():
-        known = left.withColumns({"ru": F.col("u"), "rv": F.col("v")}) if roots is None else rooted(left, roots)
+        known = rooted(left, roots)
         if width <= 1000:
             order = [F.col("differ"), F.col("u"), F.col("v")]
             best = [known.withColumn("at", F.row_number().over(Window.partitionBy(r).orderBy(*order))).filter(F.col("at") <= width).select("u", "v") for r in ("ru", "rv")]
             now = cut(best[0].unionByName(best[1]).distinct())
         else:
             now = cut(known.select("u", "v"))
-        passed = alike(now, sets, similarity)
-        links = cut(passed if links is None else links.unionByName(passed))
-        both = links if roots is None else links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        merged = components(both)
-        left = cut(rooted(left.join(now, ["u", "v"], "left_anti"), merged).select("u", "v", "differ"))
-        width *= 4
-        roots = merged
-    return links
+        roots = contracted(alike(now, sets, similarity), roots)
+        left = cut(rooted(left.join(now, ["u", "v"], "left_anti"), roots).select("u", "v", "differ"))
+        width *= 8
+        release(rows.sparkSession)
+    return roots
 
 
 def wide_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, slice_rows: int = SLICE) -> DataFrame:
@@ -600,18 +605,16 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle:
     found = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, size int, parity binary, prefix array<long>")
     base = cut(found)
     met = cut(meeting_nodes(base))
-    # Of nodes that meet no other, nothing but the id is needed on.
-    meeting = base.join(met.select("node").distinct(), "node", "left_semi")
-    reps = meeting.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("size").alias("size"), F.min("parity").alias("parity"))
+    # Copies are brought together where they are read; of nodes that meet no other, nothing but the id is needed on.
+    reps = base.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("size").alias("size"), F.min("parity").alias("parity"))
+    reps = reps.join(met.select("node").distinct(), "node", "left_semi")
     reps = cut(reps.select("node", "row.doc_id", "row.text_hash", "size", "parity"))
+    release(rows.sparkSession)
+    roots = met.sparkSession.createDataFrame([], "node long, root long")
     tried = cut(not_discarded(neighbour_pairs(met, similarity), reps, similarity))
-    links = spanning_links(tried, None, rows, reps, similarity, words_a_shingle)
-    roots = met.sparkSession.createDataFrame([], "node long, root long") if links is None else components(links)
+    roots = united(tried, roots, rows, reps, similarity, words_a_shingle)
     wide = wide_pairs(met, reps, roots, similarity).join(tried, ["u", "v"], "left_anti")
-    rest = cut(not_discarded(wide, reps, similarity))
-    more = spanning_links(rest, roots, rows, reps, similarity, words_a_shingle)
-    if more is not None:
-        roots = components(links.unionByName(more) if links is not None else more)
+    roots = united(cut(not_discarded(wide, reps, similarity)), roots, rows, reps, similarity, words_a_shingle)
     owned = base.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owners = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return owned.join(owners, "root").select("doc_id", "text_hash", "component_id")

@@ -81,28 +81,38 @@ def needed(pattern: str, ignore_case: bool = False) -> tuple[str, ...]:
     return tuple(sorted(literals(parser.parse(plain), folded) or ()))
 
 
+def fixed_array(values: list[str] | list[tuple[str, ...]]) -> Column:
+    """A literal array of strings, or of structs with fields a, b, ... of strings."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    made = [quoted(v) if isinstance(v, str) else "named_struct(" + ", ".join(f"'{name}', {quoted(x)}" for name, x in zip("abc", v, strict=False)) + ")" for v in values]
+    return F.expr(f"array({', '.join(made)})")
+
+
 def holds_one(text: Column, words) -> Column:
     """Does the text hold one of the words, byte by byte?"""
+    words = list(words)
+    if len(words) > 3:
+        return F.exists(fixed_array(words), lambda w: F.contains(text, w))
     return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def can_match(text: Column, pattern: str, ignore_case: bool = False) -> Column | None:
-    """A quick condition that every text with a match meets, if there is one."""
+def can_match(text: Column, pattern: str, ignore_case: bool = False, lowered: Column | None = None) -> Column | None:
+    """A quick condition that every text with a match meets, if there is one. lowered: the text in lower case, if it is at hand."""
     words = needed(pattern, ignore_case)
     if not words:
         return None
     folded = java(pattern, ignore_case) != java(pattern, False)
-    return holds_one(F.lower(text) if folded else text, words)
+    return holds_one((F.lower(text) if lowered is None else lowered) if folded else text, words)
 
 
 NO_TEXTS = "cast(array() as array<string>)"
 NO_SPANS = "cast(array() as array<struct<s:int,e:int,t:string>>)"
 
 
-def find_all(text: Column, pattern: str, ignore_case: bool = False, group: int = 0) -> Column:
+def find_all(text: Column, pattern: str, ignore_case: bool = False, group: int = 0, lowered: Column | None = None) -> Column:
     """All matches, left to right."""
     found = F.regexp_extract_all(text, F.lit(java(pattern, ignore_case)), group)
-    able = can_match(text, pattern, ignore_case)
+    able = can_match(text, pattern, ignore_case, lowered)
     return found if able is None else F.when(able, found).otherwise(F.expr(NO_TEXTS))
 
 
@@ -110,8 +120,8 @@ def count_matches(text: Column, pattern: str, ignore_case: bool = False) -> Colu
     return F.size(find_all(text, pattern, ignore_case))
 
 
-def has(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    able = can_match(text, pattern, ignore_case)
+def has(text: Column, pattern: str, ignore_case: bool = False, lowered: Column | None = None) -> Column:
+    able = can_match(text, pattern, ignore_case, lowered)
     found = F.rlike(text, F.lit(java(pattern, ignore_case)))
     return found if able is None else able & found
 
@@ -128,7 +138,7 @@ def any_of(text: Column, words: list[str]) -> Column:
 
 def present(text: Column, words: list[str]) -> Column:
     """The words that the text holds, in list order."""
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))
+    return F.filter(fixed_array(words), lambda w: F.contains(text, w))
 
 
 def count_word(text: Column, word: str) -> Column:
@@ -149,25 +159,25 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, F.lit(r"(?U)\A\s+"), F.lit("")), F.lit(r"(?U)(?<!\s)\s+\z"), F.lit(""))
 
 
-def spans(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """array<struct<s, e, t>> of all matches: half-open code-point offsets and texts.
+def spans(text: Column, pattern: str, ignore_case: bool = False, lowered: Column | None = None) -> Column:
+    """array<struct<s, e, t>> of all matches: half-open code-point offsets and texts."""
+    # Most texts have no match; one search tells.
+    return F.when(has(text, pattern, ignore_case, lowered), placed(text, F.lit(java(pattern, ignore_case)))).otherwise(F.expr(NO_SPANS))
 
-    Offsets come from the pieces between the matches and the matches themselves, summed up left to right.
-    """
-    regex = java(pattern, ignore_case)
-    pieces, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), 0)
+
+def placed(text: Column, regex: Column) -> Column:
+    """Spans of all matches. Offsets come from the pieces between the matches and the matches themselves, summed up left to right."""
+    pieces, found = F.split(text, regex, -1), F.regexp_extract_all(text, regex, 0)
     start = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
-        first = state["at"] + F.length(pair["p"])
-        last = first + F.length(pair["f"])
-        span = F.struct(first.alias("s"), last.alias("e"), pair["f"].alias("t"))
+        first = state["at"] + F.length(pair["0"])
+        last = first + F.length(pair["1"])
+        span = F.struct(first.alias("s"), last.alias("e"), pair["1"].alias("t"))
         return F.struct(last.alias("at"), F.array_append(state["out"], span).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("f"))
-    pairs = F.transform(pairs, lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f")))
-    # Most texts have no match; one search tells.
-    return F.when(has(text, pattern, ignore_case), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.expr(NO_SPANS))
+    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)), found)
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import NO_SPANS, NO_TEXTS, any_of, computed_once, find_all, holds_one, present, replace_all, spans, without_space
+from tonewright.functions.text import NO_SPANS, NO_TEXTS, any_of, computed_once, find_all, fixed_array, has, holds_one, java, placed, present, replace_all, spans, without_space
 
 HIT = "array<struct<category:string,pattern_id:string,matched:string,penalty:int>>"
 SLANG = "p27_over_colloquial"
@@ -44,19 +44,19 @@ def as_hits(texts: Column, category: str, pattern_id: str | None, penalty: int |
     return F.transform(texts, lambda t: F.struct(F.lit(category).alias("category"), F.lit(pattern_id).cast("string").alias("pattern_id"), t.alias("matched"), F.lit(penalty).alias("penalty")))
 
 
-def every(body: Column, patterns: list[str], ignore_case: bool = True) -> Column:
-    return F.flatten(F.array(*[find_all(body, p, ignore_case) for p in patterns]))
+def every(body: Column, patterns: list[str], ignore_case: bool = True, lowered: Column | None = None) -> Column:
+    return F.flatten(F.array(*[find_all(body, p, ignore_case, lowered=lowered) for p in patterns]))
 
 
 def tier1_zh(body: Column) -> Column:
     return as_hits(present(body, V.TIER1_ZH), "tier1_zh", None, 5)
 
 
-def tier1_en(body: Column) -> Column:
+def tier1_en(body: Column, lowered: Column | None = None) -> Column:
     """Words without their final marks, in any case; the hit carries the listed form."""
-    lowered = F.lower(body)
-    found = F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(w.rstrip(".,;:!?").lower())), F.lit(w)) for w in V.TIER1_EN]))
-    return as_hits(found, "tier1_en", None, 5)
+    lowered = F.lower(body) if lowered is None else lowered
+    listed_words = fixed_array([(w.rstrip(".,;:!?").lower(), w) for w in V.TIER1_EN])
+    return as_hits(F.transform(F.filter(listed_words, lambda x: F.contains(lowered, x["a"])), lambda x: x["b"]), "tier1_en", None, 5)
 
 
 #: Listed patterns: rule id -> (category, penalty, patterns, any case). Every occurrence is a hit.
@@ -71,9 +71,9 @@ LISTED = {
 }
 
 
-def listed(body: Column, rule: str, scene: Scenes = "base") -> Column:
+def listed(body: Column, rule: str, scene: Scenes = "base", lowered: Column | None = None) -> Column:
     category, penalty, patterns, ignore_case = LISTED[rule]
-    return as_hits(every(body, patterns, ignore_case), category, None, each_scene(scene, lambda s: penalties(s).get(category, penalty)))
+    return as_hits(every(body, patterns, ignore_case, lowered), category, None, each_scene(scene, lambda s: penalties(s).get(category, penalty)))
 
 
 def idioms(body: Column, scene: Scenes = "base") -> Column:
@@ -120,8 +120,8 @@ def sentence(body: Column, pattern_id: str) -> Column:
     return as_hits(found, "pattern", pattern_id, 0 if pattern_id == "p23_false_precision" else 2)
 
 
-def undue_caution(body: Column) -> Column:
-    return as_hits(every(body, UNDUE_PATTERNS), "pattern", UNDUE, 2)
+def undue_caution(body: Column, lowered: Column | None = None) -> Column:
+    return as_hits(every(body, UNDUE_PATTERNS, lowered=lowered), "pattern", UNDUE, 2)
 
 
 def unquoted(body: Column) -> Column:
@@ -131,21 +131,18 @@ def unquoted(body: Column) -> Column:
     return F.when(holds_one(body, "`>"), replace_all(masked, r"(?m)^\s*>.*$", " ")).otherwise(body)
 
 
-def word_spans(masked: Column, words: list[str]) -> Column:
+def word_spans(masked: Column, words: list[str], lowered: Column | None = None) -> Column:
     """Spans of listed words by position; words inside a longer listed word are left out."""
-    found = []
-    for w in words:
-        if w.isascii():
-            found.append(spans(masked, f"(?<![A-Za-z]){w}(?![A-Za-z])", True))
-        else:
-            found.append(spans(masked, (f"(?<![{COVERED[w]}])" if w in COVERED else "") + w))
-    return F.array_sort(F.flatten(F.array(*found)))
-
-
-def slang(body: Column, masked: Column) -> Column:
-    """struct<hard, light, density, severity>: counts need a density per hundred visible characters as well."""
-    hard = F.transform(word_spans(masked, V.HARD_SLANG), lambda s: s["t"])
-    light = F.transform(word_spans(masked, V.LIGHT_COLLOQUIAL), lambda s: s["t"])
+    lowered = F.lower(masked) if lowered is None else lowered
+    edged = lambda w: java(f"(?<![A-Za-z]){w}(?![A-Za-z])", True) if w.isascii() else java((f"(?<![{COVERED[w]}])" if w in COVERED else "") + w)
+    # Only the words that a text holds are searched for: their patterns come from a table, and are compiled where they are needed.
+    there = F.filter(fixed_array([(w.lower(), edged(w)) for w in words]), lambda x: F.contains(lowered, x["a"]))
+    return F.array_sort(F.flatten(F.transform(there, lambda x: placed(masked, x["b"]))))
+
+
+def slang(body: Column, masked: Column, lowered: Column | None = None) -> Column:
+    """struct<hard, light, n_chars>: counts need a density per hundred visible characters as well. lowered: the masked body in lower case."""
+    hard, light = (F.transform(word_spans(masked, words, lowered), lambda s: s["t"]) for words in (V.HARD_SLANG, V.LIGHT_COLLOQUIAL))
     n = F.greatest(F.length(without_space(body)), F.lit(1))
     return F.struct(hard.alias("hard"), light.alias("light"), n.alias("n_chars"))
 
@@ -162,10 +159,15 @@ def slang_hits(found: Column, scene: Scenes = "base") -> Column:
     return F.concat(hard, F.when((slang_severity(found) != "pass") & (light_penalty > 0), light).otherwise(F.expr(f"cast(array() as {HIT})")))
 
 
+#: What a text must hold for a pattern to match at all, where that is far quicker to see than the pattern.
+NEEDED = {V.JUDGED["p29_maxim_golden_line"][2][0]: r"的[，,]\s*比"}
+
+
 def judged(body: Column, pattern_id: str, penalty: int | Column | None = None) -> Column:
     """Hits of a judged pattern: distinct spans of its expressions, none below its least number."""
     own, least, patterns = V.JUDGED[pattern_id]
-    found = F.array_distinct(F.array_sort(F.flatten(F.array(*[spans(body, p) for p in patterns]))))
+    guarded = lambda p: F.when(has(body, NEEDED[p]), spans(body, p)).otherwise(F.expr(NO_SPANS)) if p in NEEDED else spans(body, p)
+    found = F.array_distinct(F.array_sort(F.flatten(F.array(*[guarded(p) for p in patterns]))))
     found = F.filter(found, lambda s: F.rlike(s["t"], F.lit(r"(?U)\S")))
     texts = F.transform(found, lambda s: s["t"])
     if least > 1:
@@ -190,10 +192,14 @@ def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
     """
     names = [scene] if isinstance(scene, str) else list(scene)
     b = F.col(body)
-    df = computed_once(df, __slang=slang(b, unquoted(b)))
+    # Lower case costs as much as several searches: each text is lowered once.
+    df = computed_once(df, __low=F.lower(b), __bare=unquoted(b))
+    low = F.col("__low")
+    df = computed_once(df, __bare_low=F.when(F.col("__bare") == b, low).otherwise(F.lower("__bare")))
+    df = computed_once(df, __slang=slang(b, F.col("__bare"), F.col("__bare_low")))
     rules = list(LISTED)
-    parts = [tier1_zh(b), tier1_en(b), *(listed(b, r, scene) for r in rules[:5]), idioms(b, scene), *(listed(b, r, scene) for r in rules[5:]), residual(b)]
-    parts += [sentence(b, p) for p in V.SENTENCES] + [undue_caution(b), slang_hits(F.col("__slang"), scene)]
+    parts = [tier1_zh(b), tier1_en(b, low), *(listed(b, r, scene, low) for r in rules[:5]), idioms(b, scene), *(listed(b, r, scene, low) for r in rules[5:]), residual(b)]
+    parts += [sentence(b, p) for p in V.SENTENCES] + [undue_caution(b, low), slang_hits(F.col("__slang"), scene)]
     for p in dict.fromkeys(p for name in names for p in active(name)):
         cost = each_scene(scene, lambda s, p=p: price(s, p))
         costs = {price(name, p) for name in names}
@@ -208,7 +214,7 @@ def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
             hits = F.filter(hits, counted(V.PROFILES[name]["off"], here))
         for key, words in V.PROFILES[name].get("exempt", {}).items():
             hits = F.filter(hits, spared(key, words, here))
-    return computed_once(df, hits=hits).drop("__slang")
+    return computed_once(df, hits=hits).drop("__slang", "__low", "__bare", "__bare_low")
 
 
 def counted(off: list[str], here: Column):

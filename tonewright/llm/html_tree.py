@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import collections
 import html as entities
 import random
 import re
@@ -36,8 +37,9 @@ from tonewright.llm.shared import read_table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SKIPPED = frozenset("script style template noscript head title textarea select option button input svg math iframe object canvas video audio datalist noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: What shows no text of the page, or is a form.
+SKIPPED = frozenset("script style template head title textarea select option button input iframe video audio datalist noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mi mn mo ms mtext mrow msup msub mfrac msqrt tspan".split())
 P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Start tag -> open tags it ends, and the tags that stop the search for them.
 ENDED_BY = {
@@ -108,6 +110,7 @@ def parse(html: str) -> Page:
     tags = ["html"]
     at, size = 0, len(html)
     gold = [-1]
+    open_tags: collections.Counter = collections.Counter()
 
     def write(raw: str) -> None:
         if raw and not raw.isspace():
@@ -116,6 +119,7 @@ def parse(html: str) -> Page:
             page.add(stack[-1], None, (), " ", gold[-1])
 
     def close(depth: int) -> None:
+        open_tags.subtract(tags[depth:])
         del stack[depth:], tags[depth:], gold[depth:]
 
     while at < size:
@@ -132,9 +136,11 @@ def parse(html: str) -> Page:
             continue
         name = name.lower()
         if found.group(1):
-            if name in tags[1:]:
-                depth = len(tags) - 1 - tags[::-1].index(name)
-                if name not in INLINE or not any(t in P_ENDERS for t in tags[depth + 1 :]):
+            if open_tags[name] > 0:
+                depth = len(tags) - 1
+                while tags[depth] != name and (name not in INLINE or tags[depth] not in P_ENDERS):
+                    depth -= 1
+                if tags[depth] == name:
                     close(depth)
             elif name == "p":
                 page.add(stack[-1], "p")
@@ -145,10 +151,11 @@ def parse(html: str) -> Page:
             if name == "body" and "body" not in tags:
                 stack.append(page.add(stack[-1], "body", name_words(found.group(3))[0]))
                 tags.append("body")
+                open_tags["body"] += 1
                 gold.append(gold[-1])
             continue
         if name in P_ENDERS:
-            for depth in range(len(tags) - 1, 0, -1):
+            for depth in range(len(tags) - 1 if open_tags["p"] > 0 else 0, 0, -1):
                 if tags[depth] == "p":
                     close(depth)
                     break
@@ -170,6 +177,8 @@ def parse(html: str) -> Page:
         node = page.add(stack[-1], name, words, "", label)
         if name in RAW:
             end = re.compile(f"</{name}", re.I).search(html, at)
+            if name == "xmp":  # text as it stands, without markup or references
+                page.add(node, None, (), html[at : end.start() if end else size], gold[-1])
             at = size if not end else end.start()
             if end:
                 closing = html.find(">", at)
@@ -178,9 +187,8 @@ def parse(html: str) -> Page:
         if name not in VOID and not found.group(3).rstrip().endswith("/"):
             stack.append(node)
             tags.append(name)
+            open_tags[name] += 1
             gold.append(label if label >= 0 else gold[-1])
-        elif name not in VOID and name in ("svg", "math"):
-            pass
     return page
 
 

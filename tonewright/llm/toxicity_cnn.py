@@ -10,7 +10,8 @@ rows' languages) and subtracts that language's threshold from the logit, so 0.5
 Labels, languages, sources and ids of the scored rows are no inputs.
 
 The model is fitted on at most `sample` labelled rows of each label (a documented bound), chosen by a hash of
-the id over all labelled rows.
+the id over all labelled rows. Embeddings and filters start from noise; `train(log_odds=True)` starts them from the
+log odds of each bucket, which finds more with few labelled rows but is a list of words before it is a network.
 
 Defined cases: null text counts as empty; texts without words get the score of the pooled biases; where no
 row is labelled every score is 0; null labels are not learned from; a document labelled twice is learned
@@ -143,7 +144,7 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray,
     return float(max(gaps)[1]) if gaps else fallback
 
 
-def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int = 11, epochs: int = 8, log_odds: bool = True) -> ToxicityModel:
+def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int = 11, epochs: int = 12, log_odds: bool = False) -> ToxicityModel:
     """rows: (text, language or None, label) in a fixed order; toxic_share: that of all labelled rows.
 
     log_odds: do embeddings start with the log odds of their buckets in one coordinate, or with noise alone?

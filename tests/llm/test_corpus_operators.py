@@ -237,6 +237,63 @@ def test_language_id(spark):
     assert min((distance[a] != distance[b]).sum() for a in range(4) for b in range(a)) >= 5
 
 
+def test_decoding_is_loss_weighted():
+    """Distances, the nearest codeword, its score and the ambiguity flag, added up bit by bit."""
+    rng = np.random.default_rng(4)
+    code = langid_ecoc.codewords(4)
+    bits = code.shape[1]
+    model = langid_ecoc.LanguageModel(list("abcd"), code, rng.normal(0, 3, (langid_ecoc.FEATURES, bits)).astype(np.float32), rng.normal(size=bits).astype(np.float32), rng.uniform(0.1, 3, bits))
+    texts = ["ka lo mi", "schung ein", "élan voilà", "ter an sol ve ri", "x"]
+    names, scores, unsure = model.predict([*texts, "", None, "12 !?"])
+    for i, text in enumerate(texts):
+        x = langid_ecoc.features(text)
+        margins = [float(x @ model.weights[:, b] + model.bias[b]) for b in range(bits)]
+        away = [sum(model.trust[b] * np.log1p(np.exp(-margins[b] * code[k, b])) for b in range(bits)) / sum(model.trust) for k in range(4)]
+        assert np.allclose(model.distances(x[None])[0], away, rtol=1e-4)
+        near = int(np.argmin(away))
+        energy = [np.exp(-(a - min(away)) * bits / 2) for a in away]
+        assert names[i] == "abcd"[near] and abs(scores[i] - 1 / sum(energy)) < 1e-3
+        assert unsure[i] == (sorted(away)[1] - min(away) < langid_ecoc.AMBIGUOUS_GAP)
+    assert names[5:] == ["und"] * 3 and scores[5:] == [0.0] * 3
+
+
+def test_convolutions_and_pooling():
+    """Logits of the classifier against windows multiplied out one by one."""
+    rng = np.random.default_rng(6)
+    size = len(toxicity_cnn.KERNELS) * toxicity_cnn.FILTERS
+    filters = [rng.normal(size=(k, toxicity_cnn.WIDTH, toxicity_cnn.FILTERS)).astype(np.float32) for k in toxicity_cnn.KERNELS]
+    model = toxicity_cnn.ToxicityModel(rng.normal(size=(toxicity_cnn.BUCKETS, toxicity_cnn.WIDTH)).astype(np.float32), filters, rng.normal(size=size), rng.normal(size=size), 0.3)
+    texts = ["one two three four five", "one", "Two two, two!", "", None, "a b", "one two " * 50]
+    raw, _ = model.logits(texts)
+    for text, got in zip(texts, raw, strict=True):
+        vectors = [sum(model.embedding[b] for b in toxicity_cnn.buckets(w)) for w in toxicity_cnn.WORD.findall((text or "").lower())]
+        pooled = []
+        for k, own in zip(toxicity_cnn.KERNELS, filters, strict=True):
+            padded = vectors + [np.zeros(toxicity_cnn.WIDTH)] * max(0, k - len(vectors))
+            windows = [sum(padded[i + j] @ own[j] for j in range(k)) for i in range(len(padded) - k + 1)]
+            pooled += np.max(windows, axis=0).tolist()
+        assert abs(got - (np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.shift)) < 1e-3
+
+
+def test_training_decides(spark):
+    """From noise, which is where training starts unless asked otherwise, held-out loss falls by training alone."""
+    rng = random.Random(12)
+    clean = "ka lo mi ter an sol ve ri".split()
+    rows = []
+    for _ in range(1500):
+        text, toxic = words(rng, clean, rng.randint(10, 60)).split(), int(rng.random() < 0.4)
+        text.insert(rng.randrange(len(text)), "vilo" + rng.choice(clean) if toxic else "dolu" + rng.choice(clean))
+        rows.append((" ".join(text), "aa", toxic))
+    held, y = rows[1200:], np.array([r[2] for r in rows[1200:]])
+    for log_odds in (True, False):
+        losses = []
+        for epochs in (0, 12):
+            p = np.clip(toxicity_cnn.train(rows[:1200], 0.4, epochs=epochs, log_odds=log_odds).score([t for t, _, _ in held]), 1e-6, 1 - 1e-6)
+            losses.append(float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()))
+        assert losses[1] < 0.2 * losses[0] and np.mean((p >= 0.5) == y) > 0.97
+    assert losses[0] > 0.5  # untrained noise knows nothing
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     clean = "ka lo mi ter an sol ve ri".split()
@@ -252,7 +309,7 @@ def test_toxicity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, predicted string")
     marks = spark.createDataFrame([*labels, (5, 0, None), (None, 0, 1), (99999, 0, 1)], "doc_id long, quality int, toxic int")
     sample, share = toxicity_cnn.training_rows(df, marks, F.col("doc_id") % 5 != 0)
-    model = toxicity_cnn.train(sample, share, epochs=6)
+    model = toxicity_cnn.train(sample, share, epochs=6, log_odds=True)
     out = toxicity_cnn.score_documents(df, model).collect()
     assert len(out) == len(rows)
     by_id = {r.doc_id: r for r in out}
@@ -285,6 +342,44 @@ def test_extraction(spark):
     assert html_tree.extract_pages(df.limit(0)).count() == 0
 
 
+STORY = "This is a paragraph of the story with enough words in it to be read as prose, and it goes on for a while, as paragraphs do."
+#: Pages written by hand, none of them by the grammar the model learns from, and their main texts.
+BY_HAND = [
+    (
+        f"<html><body><header><a href=/>Site</a> <a href=/x>News</a></header><div id=main><article><h2>The title of it</h2><p>{STORY}</p><p>{STORY} <math><mi>x</mi>=<mn>2</mn></math></p>"
+        f"<noscript>Shown without scripts too.</noscript></article><aside class=sidebar><h3>Related</h3><ul><li><a href=1>One link</a></li><li><a href=2>Two link</a></li></ul></aside></div>"
+        f"<section id=comments><h3>Comments</h3><div class=comment><p>Nice story, thanks a lot for it.</p></div></section><footer>Copyright 2020</footer></body></html>",
+        ["The title of it", STORY, STORY + " x=2", "Shown without scripts too."],
+    ),
+    (
+        f"<body><div class='topbar menu'><a href=a>Home</a><a href=b>About</a></div><div class='cookie-notice'>We use cookies. <button>OK</button></div><div class=content><div class=post-body><h1>Another title</h1><p>{STORY}</p>"
+        f"<ul><li>first point of the list here</li><li>second point</li></ul><p>{STORY}</p></div></div><div class='ad-banner'>Buy our great shoes now!</div><form><label>Email</label><input><button>Send</button></form><div class=footer>Imprint | Privacy</div></body>",
+        ["Another title", STORY, "first point of the list here", "second point", STORY],
+    ),
+    (
+        f"<body><nav class=crumbs><a href=1>a</a> / <a href=2>b</a></nav><main><h1>Third title</h1><p>{STORY}</p><blockquote>{STORY}</blockquote><table><tr><td>cell one</td><td>cell two</td></tr></table><pre>code  here</pre></main>"
+        "<div class=share><a href=x>Share</a><a href=y>Tweet</a></div></body>",
+        ["Third title", STORY, STORY, "cell one", "cell two", "code here"],
+    ),
+]
+
+
+@pytest.mark.parametrize("page,blocks", BY_HAND)
+def test_pages_by_hand(page, blocks):
+    (text,) = html_tree.extract([page], html_tree.trained_model())
+    assert text.split("\n\n") == blocks
+
+
+def test_deep_and_unclosed_pages_end():
+    import time
+
+    began = time.perf_counter()
+    deep = ["<div>" * 20_000 + "deep" + "</div>" * 20_000, "<b>" * 20_000 + "x" + "</i>" * 20_000, "<p>" * 30_000 + "y", "<ul>" + "<li><a href='x'>z</a>" * 20_000]
+    for page in deep:
+        assert len(html_tree.parse(page).parent) > 20_000
+    assert time.perf_counter() - began < 20
+
+
 def test_marginals_are_exact():
     """Sum-product against the sum over all labellings of a small tree."""
     page = html_tree.parse("<div class='a'><p>x y</p><span>z</span></div>")
@@ -451,6 +546,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == before
 
 
+def test_pipeline_with_clashing_columns_and_no_rows(spark):
+    """Stages keep columns that are named as the operators name their own, whatever these hold; empty tables stay empty."""
+    import corpus_pipeline
+
+    extra = ["score", "predicted", "lang_pred", "ambiguous", "node", "size", "row", "n_lines", "n_dropped", "text_hash", "component_id", "u", "v", "Score"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in extra if c != "Score"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, want = stage(spark, odd, SF), stage(spark, docs, SF)
+        assert out.columns == odd.columns, name
+        assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in want.collect()), name
+        assert all(r["node"] == f"node {r.doc_id}" and r["n_lines"] == f"n_lines {r.doc_id}" for r in out.collect()), name
+        assert stage(spark, docs.limit(0), SF).columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
 def test_digest_columns(spark):
     rows = line_runs.op6_line_dedup(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import cut, fresh_name, read_table, shuffle_partitions
+from tonewright.llm.shared import cut, fresh_name, read_table, shuffle_partitions, unused
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,9 +124,9 @@ def doomed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BAT
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """The documents with their texts reduced to kept lines, plus n_lines and n_dropped."""
+    """The documents with their texts reduced to kept lines, plus n_lines and n_dropped (underscores before them where docs has such columns)."""
     doomed = doomed_lines(docs, min_chars, batches, fanout)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    names = docs.columns
     held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"))
     held = held.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64(F.col("row.text").cast("string")).alias("mark"))
     lines = split_lines(F.col("row.text").cast("string"))
@@ -136,8 +136,8 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCH
     text = text.otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col("lines"), i + 1)), "\n"))
     return joined.select(
         *[(text if c == "text" else F.col("row")[c]).alias(c) for c in names],
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("doomed"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size("lines").cast("long").alias(unused("n_lines", names)),
+        F.coalesce(F.size("doomed"), F.lit(0)).cast("long").alias(unused("n_dropped", names)),
     )
 
 

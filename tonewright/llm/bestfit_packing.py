@@ -28,9 +28,9 @@ from tonewright.llm.shared import byte_blocks, cut, read_table, shuffle_partitio
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS, CACHE_LETTERS, CACHE_OTHERS = 100_000, 200_000, 40_000
+CACHE_WORDS, CACHE_LETTERS, CACHE_OTHERS = 200_000, 300_000, 40_000
 PIECES_A_CALL = 20_000
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 3_000_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

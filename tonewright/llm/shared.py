@@ -89,11 +89,12 @@ def worker_state(key, make=lambda: None):
     """What an operator keeps in a worker process from task to task. Workers outlive a stage; another operator's state goes first."""
     if key not in _HELD:
         _HELD.clear()
+        made = make()
+        _HELD[key] = made
         gc.collect()
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what was freed goes back to the system
             trim(0)
-        _HELD[key] = make()
     return _HELD[key]
 
 

@@ -171,6 +171,12 @@ def test_model(spark):
     (found,) = one(spark, [reply], model.parse_detections)
     assert found[0].pattern_id == "p08"
     assert model.create_detector(False) is None
+    find = model.create_detector(True, "own", lambda request: '[{"pattern_id":"p01","matched_text":"甲"}]' if "甲" in request[1]["content"] else "what?")
+    assert [len(r.detections) for r in find(files.from_strings(spark, ["甲", "乙"])).orderBy("doc_id").collect()] == [1, 0]
+    given = []
+    model.rewrite_with_model(files.from_strings(spark, ["x"]), model.mock_transport, only=F.lit(False)).collect()
+    kept = model.prepared(files.from_strings(spark, ["值得一提的是，这个功能非常好用。\n\n值得一提的是，这个功能非常好用。"]), "o").first()
+    assert kept.o == "这个功能非常好用。" and not given
     with pytest.raises(ValueError):
         model.create_detector(True, "other")
 
@@ -193,6 +199,81 @@ def test_sources(spark, tmp_path):
     assert files.json_reports(files.from_strings(spark, ["甲"]), "doc_id").first().report == '{"doc_id":0}'
 
 
+def test_settings_files(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("# x\nother:\n  enabled: false\ngateway:\n  port: 80\n  hook:\n    enabled: true  # yes\n    min_chars: 120\n    mode: 'async_edit'\n    pass_score: null\n    odd: 1.5\n    list:\n      - a: 1\nlast: 1\n", encoding="utf-8")
+    read = files.read_settings(spark, str(tmp_path / "c.yaml"), "gateway", "hook")
+    assert read == {"enabled": True, "min_chars": 120, "mode": "async_edit", "pass_score": None, "odd": 1.5}
+    assert gate.settings(read) == gate.SETTINGS | {"enabled": True, "min_chars": 120, "mode": "async_edit"}
+    assert files.read_settings(spark, str(tmp_path / "c.yaml"), "nowhere") == {}
+
+
+def test_keys(spark):
+    lines = spark.createDataFrame([("# KEY=no",), (" KEY = '${X}' ",), ("KEY=\"abc=1\"",), ("KEY=later",), ("none",)], "value string")
+    assert gate.resolve_key({"MINE": "k"}, lines, "MINE", "KEY") == "k"
+    assert gate.resolve_key({"MINE": "${UNSET}"}, lines, "MINE", "KEY") == "abc=1"
+    assert gate.resolve_key({}, lines, "MINE", "OTHER") is None and gate.resolve_key({}, None, "MINE", "KEY") is None
+
+
+def test_strict_whitelist_and_scene_rewrite(spark):
+    df = files.from_strings(spark, [f"  {GOLDEN[4][0]}\n", "值得一提的是，别的。", None])
+    rows = rewrite.with_rewrite(df, golden=[GOLDEN[4][0]]).orderBy("doc_id").collect()
+    assert [r.rewritten for r in rows] == [GOLDEN[4][1], "值得一提的是，别的。", ""] and [r.changed for r in rows] == [True, False, False]
+    assert [r.rewritten for r in rewrite.with_rewrite(df).orderBy("doc_id").collect()][1] == "别的。"
+    files_ = spark.createDataFrame([("a/src/x.py", "```\nx\n```\n用 `a` 和 `b`，P99 延迟，v1.2.3，https://a.b /usr/bin/ 。\n- a\n- b\n- c\n值得一提的是，好。"), ("n", "天晴。")], "path string, text string")
+    tech, plain = rewrite.with_scene_rewrite(files_).orderBy("path").collect()
+    assert tech.scene == "tech-doc" and tech.changed and tech.guessed_scene is None and not tech.needs_confirmation
+    assert plain.scene == "base" and not plain.changed and plain.needs_confirmation and plain.scene_confidence == 0
+
+
+STRATEGY_TEXT = "首先，赋能闭环生态，综上所述，抓手格局态势基石引擎。"
+
+
+def test_strategy_and_strict_follow_the_rules(spark):
+    """What the rules clean needs no model and leaves no first-tier word, however bad it was before."""
+    from tonewright.operators import score
+
+    df = rewrite.with_rewrite(files.from_strings(spark, [STRATEGY_TEXT, "我们打造生态。生态。生态。态势。"]))
+    before, after = (score.with_score(df, text=c).orderBy("doc_id").collect() for c in ("text", "rewritten"))
+    assert before[0].score < 70 <= after[0].score
+    codes = df.select(gate.strict_code(F.col("text")), gate.strict_code(F.col("rewritten"))).collect()
+    assert codes[0][0] == 3 and codes[0][1] == 0
+
+
+def test_delivery_with_a_model(spark):
+    """Sync, async, failures, timeouts, refused rewrites: in doubt the text goes out normalised, or as it came."""
+    import time
+
+    han = "今天我们去河边散步,看到很多鸟。" * 15
+    bad = "首先，赋能闭环生态，综上所述，抓手格局态势基石引擎。" * 12
+    texts = {"clean": han, "bad": bad, "token": bad + "版本 v1.2.3 于 12:30。", "late": bad + "迟到。", "broken": bad + "出错。", "short": bad + "太短。", "red": "这药能根治猫癣,真好。" + bad, "few": "短,的", "code": bad + "`x`", "none": None}
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "name string, text string")
+
+    async def transport(request):
+        given = request[-1]["content"]
+        if "迟到" in given:
+            time.sleep(6)
+        if "出错" in given:
+            raise RuntimeError("down")
+        return "赋能闭环生态格局。" if "太短" in given else "<think>x</think>" + "我们周末在河边走了很久,看到白鹭和野鸭,还遇到一位钓鱼的老人。" * 4
+
+    sync = {"enabled": True, "llm_timeout": 3}
+    sent = {r.name: r for r in gate.with_send(df, sync, transport).collect()}
+    normal = lambda t: t.replace(",", "，")
+    assert sent["clean"].send_text == normal(han) and sent["few"].send_text == "短,的" and sent["none"].send_text == "" and sent["red"].send_text == texts["red"]
+    assert sent["bad"].send_text.startswith("我们周末在河边走了很久，看到")
+    kept = ["token", "late", "broken", "short"]
+    assert [sent[k].send_text for k in kept] == one(spark, [texts[k] for k in kept], punctuation.normalized)
+    assert all(r.pending_text is None for r in sent.values())
+    later = {r.name: r for r in gate.with_send(df, {"enabled": True, "mode": "async_edit"}).collect()}
+    assert later["bad"].send_text == later["bad"].pending_text == bad and later["few"].pending_text is None
+    off = {r.name: r for r in gate.with_send(df).collect()}
+    assert all(r.send_text == (texts[k] or "") and r.pending_text is None for k, r in off.items())
+    edits = {r.name: r.edited for r in gate.with_edit(df, sync, transport).collect()}
+    assert edits["bad"].startswith("我们周末") and edits["clean"] == normal(han)
+    assert all(edits[k] is None for k in ("red", "few", "code", "none"))
+    assert all(r.edited is None for r in gate.with_edit(df).collect())
+
+
 def test_streaming_delivery(spark, tmp_path):
     long = "今天我们去河边散步,看到很多鸟。" * 15
     spark.createDataFrame([("m1", long), ("m2", "短,的"), ("m1", long)], messages.SCHEMA).write.parquet(str(tmp_path / "in"))

@@ -46,7 +46,11 @@ def near(a: str, b: str, threshold: float = THRESHOLD) -> bool:
     if not a or not b:
         return a == b
     short, long = sorted((len(a), len(b)))
-    return short >= SHORTEST and short / long >= LENGTH_RATIO and difflib.SequenceMatcher(None, a, b).ratio() >= threshold
+    if short < SHORTEST or short / long < LENGTH_RATIO or 2 * short / (short + long) < threshold:
+        return False
+    # The quick ratio counts shared characters and is never below the ratio.
+    pair = difflib.SequenceMatcher(None, a, b)
+    return pair.quick_ratio() >= threshold and pair.ratio() >= threshold
 
 
 def kept_numbers(forms: list[str], threshold: float) -> tuple[list[int], int, int]:

@@ -14,6 +14,7 @@ from tonewright.functions import fixed_values as V
 HAN = r"\x{4e00}-\x{9fff}"
 NEAR = rf"[{HAN}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}\x{{2026}}]"
 ALNUM = "[A-Za-z0-9]"
+#: Addresses and tokens that have to stay as they are.
 URL = r"(?:https?://|www\.)[^\s\x{4e00}-\x{9fff}\x{ff0c}\x{3002}\x{ff01}\x{ff1f}\x{ff1b}\x{ff1a}\x{3001}\x{ff08}\x{ff09}\x{3010}\x{3011}\x{300c}\x{300d}\x{300e}\x{300f}]+"
 PARTS = [V.PROTECTED[0], V.PROTECTED[1], URL, V.PROTECTED[5]]
 PROTECTED = "(?U)(?s:```.*?```)|" + "|".join(f"(?:{p})" for p in PARTS[1:])

@@ -143,6 +143,8 @@ def steps() -> list[tuple]:
     return chain
 
 
+# --- fixed values: clean-up patterns that results depend on ---
+
 WORD = "a-zA-Z0-9一-鿿"
 RESIDUE = [
     (re.compile(p), by)
@@ -160,6 +162,9 @@ STAGED = [
 ]
 FINAL = [(re.compile(p), by) for p, by in (("。{2,}", "。"), (r"\.{2,}", "."), (r"^[，,。！？\s]+", ""))]
 BREAKS = [(re.compile(p), by) for p, by in ((rf"\s*{PARAGRAPH}\s*", "\n\n"), (rf"\s*{LINE}\s*", "\n"), (r"([，。！？、：；）」』】…])[ \t]+(?=[^ \t])", r"\1"))]
+
+# --- the chain ---
+
 STEPS = steps()
 
 

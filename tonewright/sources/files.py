@@ -6,6 +6,7 @@ Sources are never overwritten: what the command line calls in-place repair write
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,45 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return raw.filter("test_cases is null").select(*names).unionByName(nested).filter("input is not null")
 
 
+def plain_value(raw: str):
+    """A scalar of a settings file: quoted text, true, false, null, a number, or text as it stands."""
+    raw = raw.strip()
+    if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"":
+        return raw[1:-1]
+    named = {"true": True, "false": False, "null": None, "~": None, "": None}
+    if raw.lower() in named:
+        return named[raw.lower()]
+    for kind in (int, float):
+        try:
+            return kind(raw)
+        except ValueError:
+            continue
+    return raw
+
+
+def read_settings(spark: SparkSession, path: str, *section: str) -> dict:
+    """The scalars of one section of a YAML file of nested mappings, e.g. ("gateway", "hook"); {} if it is not there.
+
+    Only indented `key: value` lines, comments and blank lines are read; lists and other YAML are passed over.
+    """
+    (whole,) = spark.read.text(path, wholetext=True).first() or ("",)
+    found: dict = {}
+    above: list[tuple[int, str]] = []
+    for line in whole.splitlines():
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        key, colon, value = bare.strip().partition(":")
+        if not colon or bare.lstrip().startswith("-"):
+            continue
+        depth = len(bare) - len(bare.lstrip())
+        while above and above[-1][0] >= depth:
+            above.pop()
+        if value.strip() == "":
+            above.append((depth, key.strip()))
+        elif tuple(name for _, name in above) == section:
+            found[key.strip()] = plain_value(value)
+    return found
+
+
 def write_texts(df: DataFrame, folder: str, text: str = "text") -> None:
     """One text a row, as text files."""
     df.select(F.col(text).alias("value")).write.text(folder)

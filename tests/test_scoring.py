@@ -207,3 +207,13 @@ def test_guards_never_hide_a_match(spark):
             for m in re.finditer(written, text, re.I if ignore else 0):
                 words = needed(pattern, ignore)
                 assert not words or any(w in (m[0].lower() if ignore else m[0]) for w in words), (pattern, m[0])
+
+
+def test_acceptance_sets(spark):
+    """Every adversarial sentence is found, every plain one is left alone."""
+    from tonewright.plans import seeds
+
+    rows = run(spark, seeds.ADVERSARIAL + seeds.PLAIN, "social-note")
+    dirty = [r.raw > 0 or r.compliance_hit for r in rows]
+    assert all(dirty[: len(seeds.ADVERSARIAL)]) and not any(dirty[len(seeds.ADVERSARIAL) :])
+    assert all(r.score == 100 for r in rows[len(seeds.ADVERSARIAL) :])

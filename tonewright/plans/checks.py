@@ -6,7 +6,7 @@ from tonewright.functions import fixed_values as V
 from tonewright.functions.text import sql_text as q
 from tonewright.operators import hits as H
 from tonewright.operators.detect import PREVIEW
-from tonewright.plans.seeds import ALONE_SQL, LONG_SQL, SEEDED_SQL
+from tonewright.plans.seeds import ACCEPTANCE_SQL, ALONE_SQL, LONG_SQL, SEEDED_SQL
 
 BAR = "¦"
 #: RE2 has no look-ahead: pattern -> (pattern without it, condition on the text after the match).
@@ -482,8 +482,9 @@ def report_sql() -> str:
 
 
 def acceptance_sql() -> str:
-    scored = score_sql("base")
-    return f"SELECT (doc_id % 70 < 35)::INT AS half, count(*) AS n, count(*) FILTER (WHERE raw > 0 OR compliance_hit = 1) AS dirty, min(score) AS least, max(score) AS most FROM ({scored}) GROUP BY 1"
+    scored = score_sql("social-note").replace(SEEDED_SQL, ACCEPTANCE_SQL)
+    kind = "CASE WHEN doc_id <= -100 THEN 'plain' WHEN doc_id < 0 THEN 'adversarial' ELSE 'corpus' END"
+    return f"SELECT {kind} AS kind, count(*) AS n, count(*) FILTER (WHERE raw > 0 OR compliance_hit = 1) AS dirty, min(score) AS least, max(score) AS most FROM ({scored}) GROUP BY 1"
 
 
 # --- implicit relational operators ---

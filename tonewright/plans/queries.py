@@ -14,7 +14,7 @@ from tonewright.functions.text import present, stripped
 from tonewright.operators import detect, gate, model, paragraphs, phrases, professional, punctuation, rewrite, scene, score, watermark
 from tonewright.operators import hits as H
 from tonewright.plans import checks as C
-from tonewright.plans.seeds import seeded, seeded_alone, seeded_long
+from tonewright.plans.seeds import seeded, seeded_alone, seeded_long, with_acceptance
 from tonewright.sources import files
 from tonewright.sources.files import spread
 
@@ -347,13 +347,17 @@ register(
     lambda spark, sf_dir: model.rewrite_with_model(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")), model.mock_transport).select("conv_id", "turn", F.length("model_text").cast("long").alias("n"), F.md5(F.col("model_text").cast("binary")).alias("md5")),
 )
 register("io07_json_report", lambda spark, sf_dir: files.json_reports(scored(spark, sf_dir), "score", "action").select("doc_id", "report"), C.report_sql())
-register(
-    "ac01_acceptance",
-    lambda spark, sf_dir: scored(spark, sf_dir).groupBy((F.col("doc_id") % 70 < 35).cast("int").alias("half")).agg(
-        F.count("*").alias("n"), F.count_if((F.col("raw") > 0) | F.col("compliance_hit")).alias("dirty"), F.min("score").alias("least"), F.max("score").alias("most")
-    ),
-    C.acceptance_sql(),
-)
+
+
+def acceptance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By set: texts, those found dirty, and the scores' range. All adversarial ones have to be dirty, no plain one may be."""
+    df = score.with_score(with_acceptance(spark, sf_dir), "social-note")
+    kind = F.when(F.col("doc_id") <= -100, "plain").when(F.col("doc_id") < 0, "adversarial").otherwise("corpus")
+    dirty = F.count_if((F.col("raw") > 0) | F.col("compliance_hit"))
+    return df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), dirty.alias("dirty"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+register("ac01_acceptance", acceptance_query, C.acceptance_sql())
 
 # --- implicit relational operators ---
 

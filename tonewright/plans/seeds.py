@@ -109,3 +109,22 @@ def seeded_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SNIPPET_SQL = f"([{', '.join(map(sql_text, SNIPPETS))}])[(doc_id % {len(SNIPPETS)}) + 1]"
 LONG_SQL = f"{SEEDED_SQL}, long AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN repeat({_SNIPPET_SQL}, {TURNS}) ELSE text END AS text FROM seeded)"
 ALONE_SQL = f"{SEEDED_SQL}, alone AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(10) || {_SNIPPET_SQL} || chr(10) || chr(9) || ' ' ELSE text END AS text FROM seeded)"
+
+#: Acceptance sets, of our own sentences: each adversarial one has to be found, each plain one left alone.
+ADVERSARIAL = [
+    "越是着急，越容易把事情做坏。", "不只是累，不只是困，更是难过。", "三件事要记住，少一件都不行。", "这不是运气，而是日复一日的方法。", "他说—你听—我想—她笑。", "这药能根治猫癣，三天见效。",
+    "猫咪这样就不用去医院了。", "这是唯一能用的办法。", "情绪价值满满，值得深思。", "我头皮发麻，后背一凉。", "真是神器，幸福感拉满。", "老实说，不骗你，我也没想到。", "这一年我成长了很多。",
+]
+PLAIN = [
+    "今天天气不错，我们去河边走了走。", "药膏一天抹两次，抹了快一个月。", "它闻了半天才进去，又出来了。", "楼下的面馆换了老板，味道淡了。", "我把照片洗出来，贴在冰箱上。", "公交晚点二十分钟，我走回去的。",
+    "孩子睡了，我在阳台收衣服。", "窗台上的薄荷又长高了一截。", "他借走的书还没还。", "雨停了，路上全是水。",
+]
+ACCEPTANCE = [(-1 - i, t) for i, t in enumerate(ADVERSARIAL)] + [(-101 - i, t) for i, t in enumerate(PLAIN)]
+
+
+def with_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: the acceptance sets under negative ids, and the seeded documents."""
+    return seeded(spark, sf_dir).unionByName(spark.createDataFrame(ACCEPTANCE, "doc_id long, text string"))
+
+
+ACCEPTANCE_SQL = f"{SEEDED_SQL[:-1]} UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {sql_text(t)})' for i, t in ACCEPTANCE)}) v(doc_id, text))"

@@ -28,7 +28,7 @@ from tonewright.llm.shared import byte_blocks, cut, read_table, shuffle_partitio
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS, CACHE_LETTERS, CACHE_OTHERS = 200_000, 300_000, 40_000
+HELD_WORDS = 350_000  # words, and as many pieces of letters, that a worker remembers in each of two generations
 PIECES_A_CALL = 20_000
 BLOCK_BYTES = 3_000_000
 
@@ -116,7 +116,7 @@ class WordIds:
     NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = HELD_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -125,7 +125,7 @@ class WordIds:
         self.check(steps)
         letters = steps | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.merges = Tokenizer.from_str(json.dumps(letters))
-        self.words, self.letters, self.others = Recent(CACHE_WORDS), Recent(CACHE_LETTERS), Recent(CACHE_OTHERS)
+        self.words, self.letters, self.others = Recent(held), Recent(held), Recent(held // 8)
         (self.divider,) = self.tokenizer.encode(self.DIVIDER, add_special_tokens=False).ids
         vocabulary = steps["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -208,18 +208,18 @@ class WordIds:
                 yield raw[a:b]
 
 
-def word_ids(path: str) -> WordIds:
-    return worker_state(("words", path), lambda: WordIds(path))
+def word_ids(path: str, held: int = HELD_WORDS) -> WordIds:
+    return worker_state(("words", path, held), lambda: WordIds(path, held))
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and checksum of every piece of every whole text."""
+def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, held: int = HELD_WORDS) -> DataFrame:
+    """doc_id, piece, start, length and checksum of every piece of every whole text. held: words a worker remembers."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     end, step = END_ID.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
-        words = word_ids(tokenizer_file)
+        words = word_ids(tokenizer_file, held)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for name, own in zip(batch.column(0).to_pylist(), words.of_texts(batch.column(1)), strict=True):
@@ -262,8 +262,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(tokenized_pieces(docs, tokenizer_file, capacity), capacity)
+def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, held: int = HELD_WORDS) -> DataFrame:
+    return pack(tokenized_pieces(docs, tokenizer_file, capacity, held), capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,14 @@ from tonewright.llm import (
     bestfit_packing,
     byte_bpe,
     chat_format,
+    filter_audit,
     html_tree,
     jpeg_dc,
     langid_ecoc,
+    line_quality,
     line_runs,
     simhash_pivot,
+    source_audit,
     toxicity_cnn,
 )
 
@@ -26,6 +29,15 @@ QUERIES = {
     "op8_html": html_tree.op8_html,
     "op9_media": jpeg_dc.op9_media,
     "op10_packing": bestfit_packing.op10_packing,
+    "op11_source_divergence": source_audit.op11_source_divergence,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_line_quality": line_quality.op13_line_quality,
 }
 
-SQL = {"op3_chat_format": chat_format.OP3_SQL, "op6_line_dedup": line_runs.OP6_SQL}
+SQL = {
+    "op3_chat_format": chat_format.OP3_SQL,
+    "op6_line_dedup": line_runs.OP6_SQL,
+    "op11_source_divergence": source_audit.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_line_quality": line_quality.OP13_SQL,
+}

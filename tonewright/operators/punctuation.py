@@ -19,8 +19,6 @@ URL = r"(?:https?://|www\.)[^\s\x{4e00}-\x{9fff}\x{ff0c}\x{3002}\x{ff01}\x{ff1f}
 PARTS = [V.PROTECTED[0], V.PROTECTED[1], URL, V.PROTECTED[5]]
 PROTECTED = "(?U)(?s:```.*?```)|" + "|".join(f"(?:{p})" for p in PARTS[1:])
 HALF, FULL = ",;:!?.", "，；：！？。"
-#: Stand-ins for marks about to be widened: they are not Chinese to their neighbours.
-MARKS = "\ue010\ue011\ue012\ue013\ue014\ue015"
 TOKENS = [r"\bv?\d+(?:\.\d+){1,4}\b", r"\b\d{1,3}(?:,\d{3})+\b", r"\b\d{1,2}:\d{2}(?::\d{2})?\b"]
 
 
@@ -52,11 +50,33 @@ def parens(text: Column) -> Column:
     return text
 
 
+#: A half-width mark next to Chinese; a full stop only without letters or digits beside it. The mark comes first, so that
+#: neighbours are looked at beside marks alone.
+BESIDE = rf"(?:(?<={NEAR}.)|(?={NEAR}))"
+WIDENED = rf"[,;:!?]{BESIDE}|\.(?<!{ALNUM}.)(?!{ALNUM}){BESIDE}"
+
+
+def woven(pieces: Column, found: Column) -> Column:
+    """Pieces of a text and what stood between them, put together again."""
+    pairs = F.arrays_zip(pieces.alias("p"), found.alias("k"))
+    return F.array_join(F.flatten(F.transform(pairs, lambda x: F.array(F.coalesce(x["p"], F.lit("")), F.coalesce(x["k"], F.lit(""))))), "")
+
+
 def widen(text: Column) -> Column:
-    """Half-width marks next to Chinese, a full stop only without letters or digits beside it."""
+    """Marks next to Chinese made full-width; all are found in the text as it came, so none is a neighbour to another."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(WIDENED), 0), lambda m: F.translate(m, HALF, FULL))
+    return woven(F.split(text, WIDENED, -1), found)
+
+
+#: Stand-ins for marks about to be widened: they are not Chinese to their neighbours.
+MARKS = "\ue010\ue011\ue012\ue013\ue014\ue015"
+
+
+def widen_free(text: Column) -> Column:
+    """The same of a text without MARKS, which is looked at once a mark and never twice."""
     for half, mark in zip(HALF, MARKS, strict=True):
-        guard = (rf"(?<!{ALNUM})", rf"(?!{ALNUM})") if half == "." else ("", "")
-        text = swap(text, rf"{guard[0]}(?:(?<={NEAR})\{half}|\{half}(?={NEAR})){guard[1]}", mark)
+        guard = rf"(?<!{ALNUM}.)(?!{ALNUM})" if half == "." else ""
+        text = swap(text, rf"\{half}{guard}{BESIDE}", mark)
     return F.translate(text, MARKS, FULL)
 
 
@@ -74,17 +94,17 @@ def blanks(text: Column) -> Column:
 
 STEPS = {"pn03_ellipsis": ellipses, "pn04_precollapse": collapse_mixed, "pn05_parens": parens, "pn06_widen": widen, "pn07_collapse": collapse, "pn08_spaces": blanks}
 HOLE = "\ue01f"
+#: Characters of the text that look like a hole or a mark are held back themselves.
+HELD_BACK = rf"{PROTECTED}|[{HOLE}{MARKS}]"
 
 
 def normalized(text: Column) -> Column:
     """All steps, protected parts left as they are."""
-    kept = F.regexp_extract_all(text, F.lit(PROTECTED), 0)
-    out = F.regexp_replace(text, F.lit(PROTECTED), F.lit(HOLE))
+    kept = F.regexp_extract_all(text, F.lit(HELD_BACK), 0)
+    out = F.regexp_replace(text, F.lit(HELD_BACK), F.lit(HOLE))
     for step in STEPS.values():
-        out = step(out)
-    pieces = F.split(out, HOLE, -1)
-    zipped = F.arrays_zip(pieces.alias("p"), kept.alias("k"))
-    return F.array_join(F.flatten(F.transform(zipped, lambda x: F.array(F.coalesce(x["p"], F.lit("")), F.coalesce(x["k"], F.lit(""))))), "")
+        out = widen_free(out) if step is widen else step(out)
+    return woven(F.split(out, HOLE, -1), kept)
 
 
 def protected_tokens(text: Column) -> Column:

@@ -1,12 +1,21 @@
 """Rule rewriting in canonical mode: of the matches of one pattern the leftmost, and of those the longest, is taken.
 
 Deletions and fixed replacements are plain Columns (`deleted`, used one by one); the whole rewrite works on
-spans that depend on one another and runs as an Arrow UDF. Line breaks are kept by stand-ins.
+spans that depend on one another and runs as an Arrow UDF. Line breaks are kept by two private-use characters
+that the text itself does not hold.
+
+A rule runs only where a word that all its matches hold is in the text. A pattern that spans from an opening to
+a closing is tried only at openings that have their closing ahead, which is looked up in sorted places: an
+opening without one costs a search in a list, not a scan to the end of the text.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,10 +24,9 @@ from pyspark.sql.types import StringType
 
 from tonewright.functions import fixed_values as V
 from tonewright.functions import rewrite_values as R
-from tonewright.functions.text import computed_once, java, stripped
+from tonewright.functions.text import computed_once, java, needed, stripped
 from tonewright.operators.scene import with_guess
 
-PARAGRAPH, LINE = "\ue000", "\ue001"
 ANY_CASE, WHOLE = re.I, re.I | re.S
 #: A sentence's rest: up to and with its end.
 REST_ZH, REST_EN = r"[^。！？\n]*[。！？\n]?", r"[^.!?\n]*[.!?\n]?"
@@ -88,66 +96,183 @@ def staged(m: re.Match) -> str:
     steps[1:] = [re.sub(r"^(?:We should|We can|We)\s+", "", s, flags=re.I).strip() for s in steps[1:]]
     if steps[-1] and not steps[-1].lower().startswith("then"):
         steps[-1] = "then " + steps[-1]
-    before = m.string[: m.start()].rstrip()
-    return ("" if before.endswith("。") else " ") + ", ".join(steps) + "."
+    at = m.start() - 1
+    while at >= 0 and m.string[at].isspace():
+        at -= 1
+    return ("" if at >= 0 and m.string[at] == "。" else " ") + ", ".join(steps) + "."
+
+
+class Rule:
+    """A pattern and what replaces its matches. Not tried on texts without a word that every match holds."""
 
+    def __init__(self, pattern: str, by: str | Callable[[re.Match], str], flags: int = 0):
+        self.expression, self.by = re.compile(pattern, flags), by
+        fold = bool(flags & re.I)
+        self.folded = fold and java(pattern, True) != java(pattern, False)
+        self.words = needed(pattern, fold)
 
-def removal(patterns: list[str], flags: int = ANY_CASE) -> tuple:
-    return re.compile(longest_first(patterns), flags), ""
+    def possible(self, text: str, lowered: Callable[[], str]) -> bool:
+        held = lowered() if self.folded else text
+        return not self.words or any(w in held for w in self.words)
 
+    def apply(self, text: str) -> str:
+        return self.expression.sub(self.by, text)
 
-def ordered(patterns: list[str], flags: int = 0) -> list[tuple]:
+
+class Spanning(Rule):
+    """A pattern from an opening to a closing. ways: its openings with the closings that have to follow, each the
+
+    first such place after what went before, without a character of `stop` between. Matches are those of the pattern.
+    """
+
+    def __init__(self, pattern: str, by: str | Callable[[re.Match], str], flags: int, ways: list[tuple[str, str, list[str]]]):
+        super().__init__(pattern, by, flags)
+        self.ways = [(re.compile(head, flags), re.compile(f"[{re.escape(stop)}]") if stop else None, [re.compile(c, flags) for c in closings]) for head, stop, closings in ways]
+
+    def starts(self, text: str) -> list[int]:
+        """Openings whose closings are ahead."""
+        found = set()
+        for head, stop, closings in self.ways:
+            heads = [m.span() for m in head.finditer(text)]
+            if not heads:
+                continue
+            stops = [m.start() for m in stop.finditer(text)] if stop else []
+            places = [[m.span() for m in c.finditer(text)] for c in closings]
+            begins = [[a for a, _ in p] for p in places]
+            for start, at in heads:
+                for place, begin in zip(places, begins, strict=True):
+                    n = bisect_left(begin, at)
+                    barred = bisect_left(stops, at)
+                    if n == len(place) or (barred < len(stops) and stops[barred] < begin[n]):
+                        break
+                    at = place[n][1]
+                else:
+                    found.add(start)
+        return sorted(found)
+
+    def apply(self, text: str) -> str:
+        out, end = [], 0
+        for start in self.starts(text):
+            if start >= end and (m := self.expression.match(text, start)):
+                out += [text[end:start], self.by(m) if callable(self.by) else m.expand(self.by)]
+                end = m.end()
+        return "".join([*out, text[end:]]) if out else text
+
+    def cut_out(self, text: str, left: str, right: str) -> tuple[str, list[str]]:
+        """The text with numbers between two marks for its matches, and the matches."""
+        held: list[str] = []
+        out, end = [], 0
+        for start in self.starts(text):
+            if start >= end and (m := self.expression.match(text, start)):
+                out += [text[end:start], f"{left}{len(held)}{right}"]
+                held.append(m[0])
+                end = m.end()
+        return "".join([*out, text[end:]]), held
+
+
+#: A literal, a run up to a closing, the closing: 让我们[^。]*?[，,].
+UP_TO = re.compile(r"(?P<head>[^\[(\\]+?\??[^\[(\\]*)\[\^(?P<stop>[^\]]+)\]\*\??(?P<closing>\[[^\]]+\]|\\\.)")
+
+
+def way(pattern: str) -> tuple[str, str, list[str]]:
+    """How one alternative of a removal spans: plain ones open and need no closing."""
+    found = UP_TO.fullmatch(pattern)
+    return (found["head"], found["stop"], [found["closing"]]) if found else (pattern, "", [])
+
+
+def removal(patterns: list[str], flags: int = ANY_CASE) -> Rule:
+    whole = longest_first(patterns)
+    ways = [way(p) for p in patterns]
+    return Spanning(whole, "", flags, ways) if any(closings for *_, closings in ways) else Rule(whole, "", flags)
+
+
+def ordered(patterns: list[str], flags: int = 0) -> list[Rule]:
     """Removals one after another, where the order of the list matters."""
-    return [(re.compile(p, flags), "") for p in patterns]
+    return [removal([p], flags) for p in patterns]
+
+
+#: Ways of the patterns that span further than a removal: openings, what must not come between, closings.
+CLAUSE = "，,。"
+WAYS = {
+    "reversal_zh": [("不是|并非", CLAUSE, [r"[，,]\s*而是"]), ("不是", CLAUSE, ["而是"])],
+    "reversal_en": [(r"not\s", ",", [r",\s*but\s"]), (r"not\s", ",", [r"(?<=\s)but\s"])],
+    "lists": [
+        ("第[一二三四五]点[是为：:]", "", []), ("第[一二三四五]项[是为：:]", "", []), (r"point\s+\d+[：:]", "", []), ("首先[，,]", "", ["其次[，,]", "最后|第三"]),
+        ("first[ly]?[，,]", "", ["second[ly]?[，,]", "finally|third"]), (r"1[.)]\s", "", [r"2[.)]\s", r"3[.)]\s"]),
+    ],
+    "一方面[^。]*另一方面[^。]*": [("一方面", "。", ["另一方面"])],
+    "既[^。]*又[^。]*": [("既", "。", ["又"])],
+    "不仅[^。]*而且[^。]*": [("不仅", "。", ["而且"])],
+    "虽然[^。]*但[^。]*[^。]*": [("虽然", "。", ["但"])],
+    r"On one hand[\s\S]*?on the other hand[\s\S]*?[。.]": [("On one hand", "", ["on the other hand", "[。.]"])],
+    r"not only[^.]*but also[^.]*": [("not only", ".", ["but also"])],
+    r"both[^.]*and[^.]*": [("both", ".", ["and"])],
+}
+
+
+def symmetric(patterns: list[str], by: Callable[[re.Match], str]) -> list[Rule]:
+    return [Spanning(p, by, re.I, WAYS[p]) if p in WAYS else Rule(p, by, re.I) for p in patterns]
 
 
 def plainer(m: re.Match) -> str:
     return R.PLAIN_ZH.get(m[0]) or R.PLAIN_EN[m[0].lower()]
 
 
-def steps() -> list[tuple]:
-    """(expression, replacement) in the order they apply."""
-    chain: list[tuple] = [
-        (re.compile(f"(?:(?:不是|并非)[^，,。]*?[，,]\\s*而是|不是[^，,。]*?而是){REST_ZH}", re.I), reversal),
-        (re.compile(rf"(?:not\s+(?:just\s+)?[^,]*?,\s*but\s+|not\s+(?!only\s)[^,]*?\s+but\s+(?!also))({REST_EN})", re.I), lambda m: m[1].strip()),
+def steps() -> list[Rule]:
+    """The rules in the order they apply."""
+    second = lambda m: m[1].strip()
+    chain: list[Rule] = [
+        Spanning(f"(?:(?:不是|并非)[^，,。]*?[，,]\\s*而是|不是[^，,。]*?而是){REST_ZH}", reversal, re.I, WAYS["reversal_zh"]),
+        Spanning(rf"(?:not\s+(?:just\s+)?[^,]*?,\s*but\s+|not\s+(?!only\s)[^,]*?\s+but\s+(?!also))({REST_EN})", second, re.I, WAYS["reversal_en"]),
         *(removal(R.DELETED[p]) for p in ("p02", "p03", "p04", "p06")),
-        (re.compile(f"(?:一方面|不仅)[^，,。]*?[，,]\\s*更重要的是({REST_ZH})", re.I), lambda m: m[1].strip()),
-        (re.compile(rf"not (?:only|just)[^,]*?,\s*but more importantly({REST_EN})", re.I), lambda m: m[1].strip()),
+        Spanning(f"(?:一方面|不仅)[^，,。]*?[，,]\\s*更重要的是({REST_ZH})", second, re.I, [("一方面|不仅", CLAUSE, [r"[，,]\s*更重要的是"])]),
+        Spanning(rf"not (?:only|just)[^,]*?,\s*but more importantly({REST_EN})", second, re.I, [("not (?:only|just)", ",", [r",\s*but more importantly"])]),
         removal(R.DELETED["p08"]),
         removal(R.DELETED["p09"]),
         removal(R.ORDINALS_ZH),
-        (re.compile(f"(?:{longest_first(R.ORDINALS_EN)})([,，])?", re.I), lambda m: "," if m[1] else ""),
+        Rule(f"(?:{longest_first(R.ORDINALS_EN)})([,，])?", lambda m: "," if m[1] else "", re.I),
         *(removal(R.DELETED[p]) for p in ("p11", "p12", "p13")),
-        (re.compile("|".join(f"{v}(?=(?:{nouns}))" for v, nouns in R.VERBS.items())), ""),
+        Rule("|".join(f"{v}(?=(?:{nouns}))" for v, nouns in R.VERBS.items()), ""),
         removal(R.NOUN_PHRASES_EN),
         removal(R.DELETED["p15"]),
         removal(R.DELETED["p16"]),
-        (re.compile(longest_first(list(R.PLAIN_ZH)) + r"|\b(?:" + longest_first(list(R.PLAIN_EN)) + r")\b", re.I), plainer),
+        Rule(longest_first(list(R.PLAIN_ZH)) + r"|\b(?:" + longest_first(list(R.PLAIN_EN)) + r")\b", plainer, re.I),
         removal(R.DELETED["p19"]),
-        (re.compile(f"(?=(既|不仅|不但))(?:既[^，,。]*?[，,]\\s*(?:又|而且)|(?:不仅|不但)[^，,。]*?[，,]\\s*(?:而且|也)){REST_ZH}"), both_halves),
-        (re.compile(rf"(?P<only>not only)\s+(?P<first>[^,]+?)\s+but also\s+(?P<second>{REST_EN})|both\s+[^,]+?\s+and\s+(?P<tail>{REST_EN})", re.I), joined_halves),
+        Spanning(
+            f"(?=(既|不仅|不但))(?:既[^，,。]*?[，,]\\s*(?:又|而且)|(?:不仅|不但)[^，,。]*?[，,]\\s*(?:而且|也)){REST_ZH}", both_halves, 0,
+            [("既", CLAUSE, [r"[，,]\s*(?:又|而且)"]), ("不仅|不但", CLAUSE, [r"[，,]\s*(?:而且|也)"])],
+        ),
+        Spanning(
+            rf"(?P<only>not only)\s+(?P<first>[^,]+?)\s+but also\s+(?P<second>{REST_EN})|both\s+[^,]+?\s+and\s+(?P<tail>{REST_EN})", joined_halves, re.I,
+            [(r"not only\s", ",", [r"(?<=\s)but also\s"]), (r"both\s", ",", [r"(?<=\s)and\s"])],
+        ),
         removal(R.DELETED["p21"]),
-        removal(R.DELETED["p22"], WHOLE),
+        Spanning(longest_first(R.DELETED["p22"]), "", WHOLE, WAYS["lists"]),
         removal(R.DELETED["p24"]),
-        (re.compile(rf"(?:{R.ENGLISH_SUBJECTS})\s+([^。]*?[。！])", re.I), r"系统\1"),
+        Spanning(rf"(?:{R.ENGLISH_SUBJECTS})\s+([^。]*?[。！])", r"系统\1", re.I, [(rf"(?:{R.ENGLISH_SUBJECTS})\s", "", ["[。！]"])]),
         *ordered([re.escape(w) for w in V.TIER1_ZH]),
         *ordered([re.escape(w.rstrip(".,;:!?")) for w in V.TIER1_EN], re.I),
         *ordered(V.MECHANICAL),
-        *((re.compile(p, re.I), last_clause) for p in V.SYMMETRY),
-        *((re.compile(p, re.I), english_filler) for p in V.SYMMETRY_EN),
-        (re.compile(r"not only\s+[\s\S]*?\s+but also\s+[\s\S]*?[.!?]", re.I), lambda m: after_last("but also", m[0])),
-        (re.compile(r"not only\s+[\s\S]*?\s+also\s+[\s\S]*?[.!?]", re.I), lambda m: after_last("also", m[0])),
+        *symmetric(V.SYMMETRY, last_clause),
+        *symmetric(V.SYMMETRY_EN, english_filler),
+        Spanning(r"not only\s+[\s\S]*?\s+but also\s+[\s\S]*?[.!?]", lambda m: after_last("but also", m[0]), re.I, [(r"not only\s", "", [r"(?<=\s)but also\s", "[.!?]"])]),
+        Spanning(r"not only\s+[\s\S]*?\s+also\s+[\s\S]*?[.!?]", lambda m: after_last("also", m[0]), re.I, [(r"not only\s", "", [r"(?<=\s)also\s", "[.!?]"])]),
         *ordered(V.CLOSERS + V.CLOSERS_EN + V.ABSTRACT_SUBJECTS + V.ABSTRACT_SUBJECTS_EN + V.CONNECTORS_EN + V.IDIOMS + V.DENSITY + V.MODIFIERS),
-        *((re.compile(p), by) for p, by in R.LEFTOVERS),
+        *(Rule(blank_led(p), by) for p, by in R.LEFTOVERS),
     ]
     return chain
 
 
+def blank_led(pattern: str) -> str:
+    """A pattern led by blanks starts where they begin, not at each of them."""
+    return r"(?:(?<!\s)\s+|(?<!\s))" + pattern.removeprefix(r"\s*") if pattern.startswith(r"\s*") else pattern
+
+
 # --- fixed values: clean-up patterns that results depend on ---
 
 WORD = "a-zA-Z0-9一-鿿"
 RESIDUE = [
-    (re.compile(p), by)
+    Rule(p, by)
     for p, by in (
         ("，{2,}", "，"), ("。{2,}", "。"), ("…{2,}", "…"), (r"\s+", " "), (r"^[，,。！？\s]+", ""),
         (f"(?<![{WORD}])[是的](?![{WORD}])", ""), ("的、", "的"), ("(?<=系统性)的", ""), ("(?<=全面)的", ""),
@@ -157,20 +282,29 @@ RESIDUE = [
 #: After an end mark; after a full stop that is not inside a number, a version or an abbreviation.
 BETWEEN = re.compile(r"(?<=[。！？!?])|(?<=\.)(?= )|(?<=\.)(?<![A-Za-z0-9]\.)(?![A-Za-z0-9 ])|(?<= \.)(?=[A-Za-z0-9])")
 STAGED = [
-    (re.compile(r"\s*\b(We need to .*?)[.]\s*(\w.+?)[.]\s*(.+?)(?:[.]|$)", re.I), staged),
-    (re.compile(r"\s*\b(We need to .*?)[.]\s*(\w.+?)(?:[.]|$)", re.I), staged),
+    Spanning(r"\s*\b(We need to .*?)[.]\s*(\w.+?)[.]\s*(.+?)(?:[.]|$)", staged, re.I, [(r"(?:(?<!\s)\s+|(?<!\s))\bWe need to ", "\n", [r"[.]\s*\w", "[.]"])]),
+    Spanning(r"\s*\b(We need to .*?)[.]\s*(\w.+?)(?:[.]|$)", staged, re.I, [(r"(?:(?<!\s)\s+|(?<!\s))\bWe need to ", "\n", [r"[.]\s*\w"])]),
 ]
-FINAL = [(re.compile(p), by) for p, by in (("。{2,}", "。"), (r"\.{2,}", "."), (r"^[，,。！？\s]+", ""))]
-BREAKS = [(re.compile(p), by) for p, by in ((rf"\s*{PARAGRAPH}\s*", "\n\n"), (rf"\s*{LINE}\s*", "\n"), (r"([，。！？、：；）」』】…])[ \t]+(?=[^ \t])", r"\1"))]
+FINAL = [Rule(p, by) for p, by in (("。{2,}", "。"), (r"\.{2,}", "."), (r"^[，,。！？\s]+", ""))]
+AFTER_MARK = re.compile(r"([，。！？、：；）」』】…])[ \t]+(?=[^ \t])")
 
 # --- the chain ---
 
 STEPS = steps()
 
 
-def applied(text: str, chain: list[tuple]) -> str:
-    for expression, by in chain:
-        text = expression.sub(by, text)
+def applied(text: str, chain: list[Rule]) -> str:
+    folded: list[str] = []
+
+    def lowered() -> str:
+        if not folded:
+            folded.append(text.lower())
+        return folded[0]
+
+    for rule in chain:
+        if rule.possible(text, lowered) and (made := rule.apply(text)) != text:
+            text = made
+            folded.clear()
     return text
 
 
@@ -180,12 +314,30 @@ def merged(text: str) -> str:
     return applied(re.sub(r" ([，。！？.!?])", r"\1", " ".join(p for p in parts if p)), STAGED)
 
 
+#: Breaks with the blanks around them; a run of blanks is looked at once.
+EMPTY_LINES = re.compile(r"(?:(?<![ \t])[ \t]+)?\n[ \t]*\n+[ \t]*")
+LINE_END = re.compile(r"(?:(?<![ \t])[ \t]+)?\n[ \t]*")
+
+
+def stand_ins(text: str, count: int) -> list[str]:
+    """Private-use characters that the text does not hold."""
+    held = set(re.findall("[\ue000-\uf8ff\U000f0000-\U000ffffd]", text))
+    free = (c for c in map(chr, itertools.chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE))) if c not in held)
+    return [next(free) for _ in range(count)]
+
+
+@functools.lru_cache(64)
+def around(mark: str) -> re.Pattern:
+    return re.compile(rf"(?:(?<!\s)\s+)?{re.escape(mark)}\s*")
+
+
 def rewrite(text: str | None) -> str:
     """One text rewritten by all rules; null is empty."""
-    text = re.sub(r"[ \t]*\n[ \t]*\n+[ \t]*", PARAGRAPH, text or "")
-    text = re.sub(r"[ \t]*\n[ \t]*", LINE, text)
+    text = text or ""
+    paragraph, line = stand_ins(text, 2)
+    text = LINE_END.sub(line, EMPTY_LINES.sub(paragraph, text))
     text = applied(merged(applied(applied(text, STEPS), RESIDUE)), FINAL)
-    return applied(text, BREAKS).strip()
+    return AFTER_MARK.sub(r"\1", around(line).sub("\n", around(paragraph).sub("\n\n", text))).strip()
 
 
 @F.pandas_udf(StringType())
@@ -199,7 +351,9 @@ def whitelisted(text: Column, golden: list[str]) -> Column:
 
 
 MARKDOWN_KEPT = re.compile(r"\s*(?:#{1,6}\s|\||!\[[^\]]*\]\([^)]*\)\s*$|(?:[-*_]\s*){3,}$)|\s*$")
-INLINE_KEPT = re.compile(r"`[^`\n]+`|!?\[[^\]]*\]\([^)]*\)|https?://[^\s)]+")
+INLINE_KEPT = Spanning(
+    r"`[^`\n]+`|!?\[[^\]]*\]\([^)]*\)|https?://[^\s)]+", "", 0, [("`", "\n", ["`"]), (r"!?\[", "]", [r"\]\(", r"\)"]), ("https?://", "", [])],
+)
 
 
 def rewrite_markdown(text: str | None) -> str:
@@ -216,10 +370,11 @@ def rewrite_markdown(text: str | None) -> str:
         elif MARKDOWN_KEPT.match(line):
             out.append(line)
         else:
-            held: list[str] = []
-            bare = INLINE_KEPT.sub(lambda m: held.append(m[0]) or f"\ue002{len(held) - 1}\ue003", line)
+            # The first two unused characters are those of line breaks, of which there are none in a line.
+            left, right = stand_ins(line, 4)[2:]
+            bare, held = INLINE_KEPT.cut_out(line, left, right)
             lead = re.match(r"\s*(?:[-*+]\s+|\d+[.)]\s+|>\s*)?", bare)[0]
-            out.append(lead + re.sub("\ue002(\\d+)\ue003", lambda m: held[int(m[1])], rewrite(bare[len(lead) :])))
+            out.append(lead + re.sub(f"{left}([0-9]+){right}", lambda m, held=held: held[int(m[1])], rewrite(bare[len(lead) :])))
     return "\n".join(out)
 
 

@@ -171,14 +171,15 @@ def test_model(spark):
     (found,) = one(spark, [reply], model.parse_detections)
     assert found[0].pattern_id == "p08"
     assert model.create_detector(False) is None
-    find = model.create_detector(True, "own", lambda request: '[{"pattern_id":"p01","matched_text":"甲"}]' if "甲" in request[1]["content"] else "what?")
+    find = model.create_detector(True, " OpenAI ", lambda request: '[{"pattern_id":"p01","matched_text":"甲"}]' if "甲" in request[1]["content"] else "what?")
     assert [len(r.detections) for r in find(files.from_strings(spark, ["甲", "乙"])).orderBy("doc_id").collect()] == [1, 0]
     given = []
     model.rewrite_with_model(files.from_strings(spark, ["x"]), model.mock_transport, only=F.lit(False)).collect()
     kept = model.prepared(files.from_strings(spark, ["值得一提的是，这个功能非常好用。\n\n值得一提的是，这个功能非常好用。"]), "o").first()
     assert kept.o == "这个功能非常好用。" and not given
-    with pytest.raises(ValueError):
-        model.create_detector(True, "other")
+    for enabled, provider, transport in ((True, "other", model.mock_transport), (False, "other", None), (True, "anthropic", None)):
+        with pytest.raises(ValueError):
+            model.create_detector(enabled, provider, transport)
 
 
 def test_sources(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import NO_SPANS, NO_TEXTS, any_of, computed_once, find_all, fixed_array, has, holds_one, java, placed, present, replace_all, spans, without_space
+from tonewright.functions.text import NO_SPANS, NO_TEXTS, any_of, computed_once, find_all, fixed_array, has, holds_one, java, outermost, placed, present, replace_all, spans, without_space
 
 HIT = "array<struct<category:string,pattern_id:string,matched:string,penalty:int>>"
 SLANG = "p27_over_colloquial"
@@ -131,15 +131,26 @@ def unquoted(body: Column) -> Column:
     return F.when(holds_one(body, "`>"), replace_all(masked, r"(?m)^\s*>.*$", " ")).otherwise(body)
 
 
-def word_spans(masked: Column, words: list[str], lowered: Column | None = None) -> Column:
-    """Spans of listed words by position; words inside a longer listed word are left out."""
+def word_pattern(word: str, covered: bool = True) -> str:
+    """A listed word as a pattern: English ones stand alone; others are not looked for inside a longer listed word, if `covered`."""
+    if word.isascii():
+        return java(f"(?<![A-Za-z]){word}(?![A-Za-z])", True)
+    return java((f"(?<![{COVERED[word]}])" if covered and word in COVERED else "") + word)
+
+
+def word_spans(masked: Column, words: list[str], lowered: Column | None = None, covered: bool = True) -> Column:
+    """Spans of listed words by position; words inside a longer listed word are left out, if `covered`."""
     lowered = F.lower(masked) if lowered is None else lowered
-    edged = lambda w: java(f"(?<![A-Za-z]){w}(?![A-Za-z])", True) if w.isascii() else java((f"(?<![{COVERED[w]}])" if w in COVERED else "") + w)
     # Only the words that a text holds are searched for: their patterns come from a table, and are compiled where they are needed.
-    there = F.filter(fixed_array([(w.lower(), edged(w)) for w in words]), lambda x: F.contains(lowered, x["a"]))
+    there = F.filter(fixed_array([(w.lower(), word_pattern(w, covered)) for w in words]), lambda x: F.contains(lowered, x["a"]))
     return F.array_sort(F.flatten(F.transform(there, lambda x: placed(masked, x["b"]))))
 
 
+def outermost_words(masked: Column, words: list[str]) -> Column:
+    """Spans of listed words that no span of another listed word covers."""
+    return outermost(word_spans(masked, words, covered=False))
+
+
 def slang(body: Column, masked: Column, lowered: Column | None = None) -> Column:
     """struct<hard, light, n_chars>: counts need a density per hundred visible characters as well. lowered: the masked body in lower case."""
     hard, light = (F.transform(word_spans(masked, words, lowered), lambda s: s["t"]) for words in (V.HARD_SLANG, V.LIGHT_COLLOQUIAL))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,23 +50,94 @@ def near(a: str, b: str, threshold: float = THRESHOLD) -> bool:
     short, long = sorted((len(a), len(b)))
     if short < SHORTEST or short / long < LENGTH_RATIO or 2 * short / (short + long) < threshold:
         return False
-    # The quick ratio counts shared characters and is never below the ratio.
-    pair = difflib.SequenceMatcher(None, a, b)
-    return pair.quick_ratio() >= threshold and pair.ratio() >= threshold
+    # What the ratio counts as shared is a common subsequence, and no longer than the longest one.
+    return 2 * common_length(a, b) >= threshold * (short + long) - 1e-9 and difflib.SequenceMatcher(None, a, b).ratio() >= threshold
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a row of the usual table is the bits of one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        held = row & places.get(c, 0)
+        row = ((row + held) | (row - held)) & full
+    return len(a) - row.bit_count()
+
+
+PAIR_BINS = 256
+#: Forms of one band differ in length by less than this factor.
+BAND = 1.1
+
+
+def pair_counts(form: str) -> np.ndarray:
+    """How often pairs of neighbouring characters come, by a hash of the pair."""
+    codes = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount((codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(2246822519)) >> np.uint32(24), minlength=PAIR_BINS).astype(np.int32)
+
+
+def pairs_needed(lengths: np.ndarray | int, length: int, threshold: float) -> np.ndarray | float:
+    """Fewest pairs of neighbours that two forms of these lengths share if they are alike.
+
+    A common subsequence of L characters leaves n - L and m - L out. Of the n - 1 pairs of the one, each character left
+    out of it breaks two at most, and each left out of the other parts one: n - 1 - 2 (n - L) - (m - L) are left.
+    """
+    both = lengths + length
+    return 1.5 * threshold * both - both - 1 - 1e-6
+
+
+class KeptForms:
+    """The forms kept so far in bands of lengths, each with its counts of pairs; those that can be alike are compared."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.bands: dict[int, tuple[list[str], np.ndarray, np.ndarray]] = {}
+
+    def reach(self) -> int:
+        """Bands on either side whose lengths can be close enough."""
+        ratio = max(LENGTH_RATIO, self.threshold / (2 - self.threshold), 1e-3)
+        return int(math.log(1 / ratio, BAND)) + 1
+
+    def alike(self, form: str, counts: np.ndarray) -> bool:
+        band = int(math.log(len(form), BAND))
+        for k in range(band - self.reach(), band + self.reach() + 1):
+            if k in self.bands:
+                forms, held, lengths = self.bands[k]
+                n = len(forms)
+                shared = np.minimum(held[:n], counts).sum(1)
+                for i in np.flatnonzero(shared >= pairs_needed(lengths[:n], len(form), self.threshold)).tolist():
+                    if near(form, forms[i], self.threshold):
+                        return True
+        return False
+
+    def add(self, form: str, counts: np.ndarray) -> None:
+        band = int(math.log(len(form), BAND))
+        forms, held, lengths = self.bands.get(band) or ([], np.zeros((8, PAIR_BINS), np.int32), np.zeros(8, np.int64))
+        n = len(forms)
+        if n == len(held):
+            held, lengths = np.concatenate([held, np.zeros_like(held)]), np.concatenate([lengths, np.zeros_like(lengths)])
+        forms.append(form)
+        held[n], lengths[n] = counts, len(form)
+        self.bands[band] = forms, held, lengths
 
 
 def kept_numbers(forms: list[str], threshold: float) -> tuple[list[int], int, int]:
     """Numbers of the paragraphs to keep (first come), and how many went as exact and near copies."""
-    chosen, norms, seen, exact, similar = [], [], set(), 0, 0
+    chosen, kept, seen, exact, similar = [], KeptForms(threshold), set(), 0, 0
     for i, form in enumerate(forms):
         if form in seen:
             exact += 1
-        elif len(form) >= SHORTEST and any(near(form, other, threshold) for other in norms):
-            similar += 1
-        else:
-            seen.add(form)
-            norms.append(form)
-            chosen.append(i)
+            continue
+        if len(form) >= SHORTEST:
+            counts = pair_counts(form)
+            if kept.alike(form, counts):
+                similar += 1
+                continue
+            kept.add(form, counts)
+        seen.add(form)
+        chosen.append(i)
     return chosen, exact, similar
 
 

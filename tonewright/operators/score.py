@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
@@ -138,3 +138,19 @@ def with_score(df: DataFrame, scene: str | Column | Scenes | None = "base", text
 def hit_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row a hit, numbered in order."""
     return df.select(key, F.posexplode("hits").alias("hit_no", "h")).select(key, "hit_no", "h.category", "h.pattern_id", "h.matched", "h.penalty")
+
+
+def hit_report(df: DataFrame) -> DataFrame:
+    """Hits, penalties and documents by scene and category, with totals of each and of all (null: all)."""
+    each = df.select("scene", "doc_id", F.explode("hits").alias("h")).select("scene", "doc_id", "h.category", "h.penalty")
+    # A row a document and category first: distinct documents are then counted without a set of ids a total.
+    small = each.groupBy("doc_id", "scene", "category").agg(F.count("*").alias("n"), F.sum("penalty").alias("cost"))
+    return small.cube("scene", "category").agg(F.sum("n").alias("hits"), F.sum("cost").cast("long").alias("penalty"), F.count_distinct("doc_id").alias("docs"))
+
+
+def version_report(df: DataFrame, scene: str = "base", keys: tuple[str, str] = ("doc_id", "version")) -> DataFrame:
+    """Scores of versions of texts, in order: score, the score before, and whether it fell. A first version has no score before."""
+    document, version = keys
+    scored = with_score(df, scene).select(document, version, "score")
+    before = F.lag("score").over(Window.partitionBy(document).orderBy(version))
+    return scored.withColumn("before", before).withColumn("fell", F.coalesce(F.col("score") < F.col("before"), F.lit(False)))

@@ -92,12 +92,12 @@ def sentence_list(expression: str, pattern_id: str) -> str:
 MASKED_SQL = r", masked AS (SELECT doc_id, body, regexp_replace(regexp_replace(regexp_replace(body, '(?s)```.*?```', ' ', 'g'), '`[^`\n]+`', ' ', 'g'), '(?m)^\s*>.*$', ' ', 'g') AS x FROM bodies)"
 
 
-def slang_rows(listed: list[str]) -> str:
+def slang_rows(listed: list[str], covered: bool = True) -> str:
     parts = []
     for w in listed:
         if w.isascii():
             inner = span_rows("masked", "x", f"(?i){w}").replace("WHERE true", "WHERE NOT regexp_matches(rest, '^[A-Za-z]') AND (s = 0 OR NOT regexp_matches(prior, '[A-Za-z]'))")
-        elif w in H.COVERED:
+        elif covered and w in H.COVERED:
             inner = span_rows("masked", "x", w).replace("WHERE true", f"WHERE s = 0 OR NOT contains({q(H.COVERED[w])}, prior)")
         else:
             inner = span_rows("masked", "x", w)
@@ -360,6 +360,24 @@ def alias_values() -> str:
     return ", ".join(f"({q(a)}, {q(s)})" for a, s in rows)
 
 
+def name_of_row() -> str:
+    """The scene name that the queries on names ask for in a document."""
+    return f"[{', '.join(map(q, NAMES))}][1 + doc_id % {len(NAMES)}]"
+
+
+def by_name(sql: str) -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, r.* FROM (SELECT doc_id, {name_of_row()} AS asked FROM seeded) JOIN ({sql}) r ON r.name = asked"
+
+
+def with_scene_counts(sql: str) -> str:
+    """A table of scenes with the number of documents that ask for each."""
+    return f"SELECT t.*, docs FROM ({sql}) t JOIN (SELECT scene, count(*) AS docs FROM ({chosen_sql()}) GROUP BY 1) n ON n.scene = t.scene"
+
+
+def with_word_counts(listed: list[str]) -> str:
+    return f"WITH {SEEDED_SQL} SELECT w AS word, count(*) AS docs FROM (SELECT unnest({words('text', listed)}) AS w FROM seeded) GROUP BY 1"
+
+
 def resolve_cte() -> str:
     return (
         f"WITH names(name) AS (VALUES {', '.join(f'({q(n)})' for n in NAMES)}), alias(a, scene) AS (VALUES {alias_values()}), keyed AS (SELECT name, replace(trim(lower(name)), ' ', '-') AS k FROM names), "
@@ -390,11 +408,6 @@ def profiles_sql() -> str:
 # --- phrases, punctuation, paragraphs ---
 
 
-def residual_sql() -> str:
-    rows = ", ".join(f"({i}, {q(w)})" for i, w in enumerate(V.RESIDUAL_WORDS))
-    return f"SELECT * FROM (VALUES {rows}) t(ord, word)"
-
-
 def chain(expression: str, steps: list[tuple[str, str]]) -> str:
     for pattern, by in steps:
         expression = f"regexp_replace({expression}, {q(pattern)}, {q(by)}, 'g')"
@@ -490,11 +503,6 @@ def acceptance_sql() -> str:
 # --- implicit relational operators ---
 
 
-def anti_sql() -> str:
-    a, b = ", ".join(f"({q(w)})" for w in V.RESIDUAL_WORDS), ", ".join(f"({q(w)})" for w in V.TIER1_ZH)
-    return f"SELECT w FROM (VALUES {a}) r(w) ANTI JOIN (VALUES {b}) t(w) USING (w)"
-
-
 def domain_sql() -> str:
     rows = ", ".join(f"({q(s)}, {q(w)})" for s, p in V.PROFILES.items() for w in p.get("domain", []))
     return f"WITH {SEEDED_SQL} SELECT profile, word, count(*) AS docs FROM seeded JOIN (VALUES {rows}) d(profile, word) ON contains(text, word) GROUP BY 1, 2"
@@ -509,6 +517,38 @@ def covered_sql() -> str:
     return f"{WITH}{MASKED_SQL} SELECT doc_id, t AS word, count(*) AS n FROM ({slang_rows(V.HARD_SLANG)}) GROUP BY 1, 2"
 
 
+def outermost_sql() -> str:
+    """Spans of all slang words that no other span covers: the furthest end of those before, by start and then longest first."""
+    uncovered = slang_rows(V.HARD_SLANG + V.LIGHT_COLLOQUIAL, covered=False)
+    return (
+        f"{WITH}{MASKED_SQL}, spans AS (SELECT DISTINCT * FROM ({uncovered})), "
+        "swept AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM spans) "
+        "SELECT doc_id, t AS word, count(*) AS n FROM swept WHERE furthest IS NULL OR e > furthest GROUP BY 1, 2"
+    )
+
+
+#: Versions of a document: as it is, with phrases replaced, and then without first-tier words.
+def versions_sql() -> str:
+    plain = chain("text", V.PHRASES)
+    bare = plain
+    for w in V.TIER1_ZH:
+        bare = f"replace({bare}, {q(w)}, '')"
+    made = f"{SEEDED_SQL.replace('seeded AS', 'given AS', 1)}, seeded AS (SELECT doc_id * 10 + v AS doc_id, t AS text FROM (SELECT doc_id, unnest([1, 2, 3]) AS v, unnest([text, {plain}, {bare}]) AS t FROM given))"
+    scored = score_sql("base").replace(SEEDED_SQL, made)
+    before = "lag(score) OVER (PARTITION BY doc_id // 10 ORDER BY doc_id)"
+    return f"SELECT doc_id // 10 AS doc_id, (doc_id % 10)::INT AS version, score, coalesce({before}, -1) AS before, coalesce(score < {before}, false)::INT AS fell FROM ({scored})"
+
+
+def cube_sql() -> str:
+    """Hits by scene and category, each document scored in the scene that is asked for."""
+    heads = {s: score_sql(s) for s in V.PROFILES}
+    parts = [f"SELECT x.*, {q(s)} AS scene FROM ({h[: h.index(', crossed AS')]} SELECT doc_id, category, penalty FROM found) x JOIN chosen c ON c.doc_id = x.doc_id AND c.scene = {q(s)}" for s, h in heads.items()]
+    return (
+        f"WITH chosen AS ({chosen_sql()}), rows AS ({' UNION ALL '.join(parts)}) SELECT coalesce(scene, '*') AS scene, coalesce(category, '*') AS category, "
+        "count(*) AS hits, sum(penalty)::BIGINT AS penalty, count(DISTINCT doc_id) AS docs FROM rows GROUP BY CUBE (scene, category)"
+    )
+
+
 def distinct_sql() -> str:
     return f"WITH {SEEDED_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z]{{2,}}'))), '|') AS acronyms FROM seeded"
 
@@ -632,9 +672,11 @@ def preview_scene_sql() -> str:
 
 
 def prompt_sql() -> str:
-    from tonewright.operators.model import INSTRUCTIONS
+    from tonewright.operators.model import system_prompt
 
-    return f"WITH {SEEDED_SQL} SELECT doc_id, {q(INSTRUCTIONS)} AS system, md5('---' || chr(10) || text || chr(10) || '---') AS user_md5 FROM seeded"
+    system = " ".join(f"WHEN {q(name)} THEN {q(system_prompt(name))}" for name in V.PROFILES)
+    user = "'---' || chr(10) || text || chr(10) || '---'"
+    return f"WITH {SEEDED_SQL} SELECT doc_id, md5(CASE scene {system} END) AS system_md5, md5({user}) AS user_md5 FROM seeded JOIN ({chosen_sql()}) USING (doc_id)"
 
 
 def item_length_sql() -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from tonewright.functions import fixed_values as V
 from tonewright.functions.text import present, stripped
@@ -247,18 +247,46 @@ register("sn06_scene", scene_query(*_ALL), C.scene_sql(_ALL))
 register("sn07_recognize", scene_query("scene"), C.scene_sql(["scene"]))
 
 
-def names_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in C.NAMES], "name string")
+def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that ask for a scene: by name, by alias, by themselves, or for one that isn't there."""
+    return seeded(spark, sf_dir).withColumn("asked", F.expr(C.asked_sql()))
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene.with_chosen(asking(spark, sf_dir), F.col("asked"), "scene").select("doc_id", "scene")
+
+
+def names_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a name of a scene each, some of them unknown or written otherwise."""
+    return seeded(spark, sf_dir).select("doc_id", F.get(F.array(*map(F.lit, C.NAMES)), (F.col("doc_id") % len(C.NAMES)).cast("int")).alias("name"))
+
+
+def by_scene(table: Callable[[SparkSession], DataFrame]) -> Query:
+    """A small table of scenes with the number of documents that ask for each."""
+    return lambda spark, sf_dir: chosen(spark, sf_dir).groupBy("scene").agg(F.count("*").alias("docs")).join(F.broadcast(table(spark)), "scene")
 
 
-register("sn08_resolve_profile", lambda spark, sf_dir: names_frame(spark).select("name", scene.resolved(F.col("name")).alias("profile"), scene.canonical(F.col("name")).isNull().cast("int").alias("fell_back")), C.resolve_sql())
-register("sn12_canonical", lambda spark, sf_dir: names_frame(spark).select("name", F.coalesce(scene.canonical(F.col("name")), F.lit("?")).alias("canonical")), C.canonical_sql())
-register("sn10_active_patterns", lambda spark, sf_dir: spark.createDataFrame([(s, p) for s in V.PROFILES for p in H.active(s)], "scene string, pattern_id string"), C.active_sql())
-register("sn11_profiles", lambda spark, sf_dir: spark.createDataFrame([(s, p["label"], *p["policy"]) for s, p in V.PROFILES.items()], "scene string, label string, warn_at int, rewrite_at int, block_at int"), C.profiles_sql())
+register("sn08_resolve_profile", lambda spark, sf_dir: names_frame(spark, sf_dir).select("doc_id", "name", scene.resolved(F.col("name")).alias("profile"), scene.canonical(F.col("name")).isNull().cast("int").alias("fell_back")), C.by_name(C.resolve_sql()))
+register("sn12_canonical", lambda spark, sf_dir: names_frame(spark, sf_dir).select("doc_id", "name", F.coalesce(scene.canonical(F.col("name")), F.lit("?")).alias("canonical")), C.by_name(C.canonical_sql()))
+register("sn10_active_patterns", by_scene(lambda spark: spark.createDataFrame([(s, p) for s in V.PROFILES for p in H.active(s)], "scene string, pattern_id string")), C.with_scene_counts(C.active_sql()))
+register("sn11_profiles", by_scene(lambda spark: spark.createDataFrame([(s, p["label"], *p["policy"]) for s, p in V.PROFILES.items()], "scene string, label string, warn_at int, rewrite_at int, block_at int")), C.with_scene_counts(C.profiles_sql()))
 
 # --- phrases, punctuation, paragraphs ---
 
-register("ph05_residual_words", lambda spark, sf_dir: spark.createDataFrame([(i, w) for i, w in enumerate(V.RESIDUAL_WORDS)], "ord int, word string"), C.residual_sql())
+
+
+def word_query(listed: list[str]) -> Query:
+    """Documents that hold each of the listed words."""
+    return lambda spark, sf_dir: seeded(spark, sf_dir).select(F.explode(present(F.col("text"), listed)).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
+
+
+def unlisted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by leftover word that is no first-tier word: an anti-join with a fixed small table."""
+    tier1 = spark.createDataFrame([(w,) for w in V.TIER1_ZH], "word string")
+    return word_query(V.RESIDUAL_WORDS)(spark, sf_dir).join(F.broadcast(tier1), "word", "left_anti")
+
+
+register("ph05_residual_words", word_query(V.RESIDUAL_WORDS), C.with_word_counts(V.RESIDUAL_WORDS))
 register("ph02_replacements", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(phrases.replaced(F.col("text")).cast("binary")).alias("md5")), C.replacements_sql())
 register("ph04_phrase_rewrite", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", phrases.rewritten(F.col("text")).alias("out")).select("doc_id", F.length("out").cast("long").alias("n"), F.md5(F.col("out").cast("binary")).alias("md5")))
 register("ph03_cleanup", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(phrases.tidy(F.col("text")).cast("binary")).alias("md5")), C.tidy_sql())
@@ -359,11 +387,26 @@ def acceptance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("ac01_acceptance", acceptance_query, C.acceptance_sql())
 
-# --- implicit relational operators ---
 
+def versions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as it is, with phrases replaced, and without first-tier words too: no version may score less than the one before."""
+    plain = phrases.replaced(F.col("text"))
+    made = seeded(spark, sf_dir).select("doc_id", F.posexplode(F.array(F.col("text"), plain, without_tier1(plain))).alias("no", "text"))
+    report = score.version_report(made.select("doc_id", (F.col("no") + 1).alias("version"), "text"))
+    return report.select("doc_id", "version", "score", F.coalesce("before", F.lit(-1)).alias("before"), F.col("fell").cast("int"))
 
-def words_frame(spark: SparkSession, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "w string")
+
+register("ac01_versions", versions_query, C.versions_sql())
+
+
+def report_cube_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = score.hit_report(score.with_score(asking(spark, sf_dir), F.col("asked")))
+    return df.select(F.coalesce("scene", F.lit("*")).alias("scene"), F.coalesce("category", F.lit("*")).alias("category"), "hits", "penalty", "docs")
+
+
+register("rp01_scene_category_cube", report_cube_query, C.cube_sql())
+
+# --- implicit relational operators ---
 
 
 def domain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,9 +416,10 @@ def domain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(spark, sf_dir).join(domain, F.contains("text", "word")).groupBy("profile", "word").agg(F.count("*").alias("docs"))
 
 
-register("im01_anti_join", lambda spark, sf_dir: words_frame(spark, V.RESIDUAL_WORDS).join(words_frame(spark, V.TIER1_ZH), "w", "left_anti"), C.anti_sql())
+register("im01_anti_join", unlisted_query, C.with_word_counts([w for w in V.RESIDUAL_WORDS if w not in V.TIER1_ZH]))
 register("im02_domain_join", domain_query, C.domain_sql())
 register("im03_span_cover", lambda spark, sf_dir: score.with_body(seeded(spark, sf_dir)).select("doc_id", F.explode(H.word_spans(H.unquoted(F.col("body")), V.HARD_SLANG)).alias("s")).groupBy("doc_id", F.col("s.t").alias("word")).agg(F.count("*").alias("n")), C.covered_sql())
+register("im03_outermost", lambda spark, sf_dir: score.with_body(seeded(spark, sf_dir)).select("doc_id", F.explode(H.outermost_words(H.unquoted(F.col("body")), V.HARD_SLANG + V.LIGHT_COLLOQUIAL)).alias("s")).groupBy("doc_id", F.col("s.t").alias("word")).agg(F.count("*").alias("n")), C.outermost_sql())
 register("im04_having", lambda spark, sf_dir: score.hit_rows(scored(spark, sf_dir)).groupBy("doc_id", "category").agg(F.count("*").alias("n")).filter("n >= 2"), C.having_sql())
 register("im06_ordered_distinct", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z]{2,}"), 0))), "|").alias("acronyms")), C.distinct_sql())
 register("im09_preview", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.substring("text", 1, 50).alias("preview")), C.preview_sql())
@@ -412,7 +456,7 @@ def counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("rl15_rl16_counts", counts_query, C.counts_sql())
 
 
-def accessor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def accessors(spark: SparkSession) -> DataFrame:
     """What the profiles say of each rule: its price, whether its category is left out, whether it is a red line, its exempt words."""
     rules = spark.createDataFrame(list(C.ACCESSOR_COSTS.items()), "key string, cost int")
     fields = "scene string, penalties map<string,int>, off array<string>, compliance array<string>, exempt map<string,array<string>>"
@@ -424,7 +468,7 @@ def accessor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-register("sn13_accessors", accessor_query, C.accessor_sql())
+register("sn13_accessors", by_scene(accessors), C.with_scene_counts(C.accessor_sql()))
 
 
 def whitelist_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,14 +517,10 @@ register("gt11_keys", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id
 # --- scenes asked for by row ---
 
 
-def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(spark, sf_dir).withColumn("asked", F.expr(C.asked_sql()))
-
-
 def profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(s, p["label"], p["policy"][0], p["policy"][2]) for s, p in V.PROFILES.items()]
     profiles = F.broadcast(spark.createDataFrame(rows, "scene string, label string, warn_at int, block_at int"))
-    return scene.with_chosen(asking(spark, sf_dir), F.col("asked"), "scene").select("doc_id", "scene").join(profiles, "scene").select("doc_id", "scene", "label", "warn_at", "block_at")
+    return chosen(spark, sf_dir).join(profiles, "scene").select("doc_id", "scene", "label", "warn_at", "block_at")
 
 
 def score_by_row_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,7 +529,7 @@ def score_by_row_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("sn09_profile_for_text", profile_query, C.profile_for_text_sql())
-register("gt12_scene_choice", lambda spark, sf_dir: scene.with_chosen(asking(spark, sf_dir), F.col("asked"), "scene").select("doc_id", "scene"), C.chosen_sql())
+register("gt12_scene_choice", chosen, C.chosen_sql())
 register("sc05_score_by_row", score_by_row_query, C.score_by_row_sql())
 register(
     "rw42_scene_rewrite",
@@ -502,19 +542,14 @@ register(
 
 
 def prompt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System prompt by the scene asked for, user prompt by the text."""
+    df = scene.with_chosen(asking(spark, sf_dir), F.col("asked"), "scene")
     user = F.concat(F.lit("---\n"), F.col("text"), F.lit("\n---"))
-    return seeded(spark, sf_dir).select("doc_id", F.lit(model.INSTRUCTIONS).alias("system"), F.md5(user.cast("binary")).alias("user_md5"))
+    return df.select("doc_id", F.md5(model.system_of(F.col("scene")).cast("binary")).alias("system_md5"), F.md5(user.cast("binary")).alias("user_md5"))
 
 
 register("lm03_prompts", prompt_query, C.prompt_sql())
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def chunked(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: model.chunks(t or ""))
-
-
-register("lm01_chunks", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.posexplode(chunked("text")).alias("no", "chunk")).select("doc_id", "no", F.length("chunk").alias("n")))
+register("lm01_chunks", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.posexplode(model.in_chunks("text", F.lit(model.MAX_CHARS))).alias("no", "chunk")).select("doc_id", "no", F.length("chunk").alias("n")))
 register("rw43_markdown", digest(lambda t: markdown_column(t)))
 
 

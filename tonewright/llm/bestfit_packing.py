@@ -28,7 +28,7 @@ from tonewright.llm.shared import byte_blocks, cut, read_table, shuffle_partitio
 
 CAPACITY = 2048
 END_ID = 0
-HELD_WORDS = 350_000  # words, and as many pieces of letters, that a worker remembers in each of two generations
+HELD_WORDS = 200_000  # words, and as many pieces of letters, that a worker remembers in each of two generations
 PIECES_A_CALL = 20_000
 BLOCK_BYTES = 4_000_000
 

@@ -4,13 +4,14 @@ import collections
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tonewright.llm import byte_scan, filter_audit, line_quality, source_audit
+from tonewright.llm import byte_scan, filter_audit, html_tree, line_quality, source_audit
 from tonewright.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -228,3 +229,25 @@ def test_queries_agree_with_their_sql(spark, name):
     names = sorted(frame.columns)
     want = connection.sql(f"SELECT {', '.join(names)} FROM ({SQL[name]})").fetchall()
     assert collections.Counter(map(tuple, frame.select(*names).collect())) == collections.Counter(want)
+
+
+HOSTILE = {
+    "quotes": "<a b=\"'", "pairs": '<a "x ', "open": "<a ", "no end": "<aaaa", "buttons": "<p><button><div>", "cells": "<div><td>", "items": "<li><div>", "ends": "<b><div></b>",
+    "comments": "<!-- ", "bare": "<", "attributes": "<a xx xx", "bodies": "<div><body>",
+}
+
+
+@pytest.mark.parametrize("bit", HOSTILE.values(), ids=HOSTILE)
+def test_pages_without_closings_take_linear_time(bit):
+    times = []
+    for size in (50_000, 500_000):
+        began = time.process_time()
+        html_tree.parse("<p>text</p>" + bit * (size // len(bit)) + ("y=z>" if bit.endswith("xx") else ""))
+        times.append(time.process_time() - began)
+    assert times[1] < 20 * max(times[0], 0.1)
+
+
+def test_tags_end_outside_quotes():
+    page = html_tree.parse("<p title=\"a>b\">one<a href='>'>two</a></p><div class='x'>three<img src=\"unclosed>four</div>")
+    assert [t for t in page.text if t] == ["one", "two", 'three<img src="unclosed>four']
+    assert page.names[page.tag.index("div")] == ("x",)

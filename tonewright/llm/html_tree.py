@@ -26,6 +26,7 @@ import html as entities
 import random
 import re
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,10 +53,13 @@ ENDED_BY = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 P_STOPS = frozenset("table td th caption button object html".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: Where a token may begin: a comment, a tag, a declaration.
+OPENING = re.compile(r"<(?:(!--)|(/?)(?=[a-zA-Z])|[!?])")
+NAME_END = re.compile(r"[\s/>]")
+SPECIAL = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-UNFINISHED = re.compile(r"<[/!a-zA-Z][^>]*\Z", re.S)
+UNFINISHED = re.compile(r"<[/!a-zA-Z]")
 SPACES = re.compile(r"\s+")
 BUCKETS = 4096
 KINDS = ("text", "inline", "para", "heading", "list", "table", "box", "frame", "root")
@@ -103,6 +107,64 @@ def name_words(attributes: str) -> tuple[tuple[str, ...], int]:
     return tuple(words), label
 
 
+class Tokens:
+    """Tags, comments and declarations of a page, in order. What was found out at one place is kept for the next ones,
+
+    so that openings which never close cost a look, not a scan to the end each.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.next: dict[re.Pattern, tuple[int, int]] = {}  # from where to where there is none
+        self.ends: dict[int, int] = {}  # of a quote outside quotes: the tag's end, or -1
+
+    def first(self, pattern: re.Pattern, at: int) -> int:
+        """Place of the pattern's first match from a place on, or the page's end."""
+        since, place = self.next.get(pattern, (0, -1))
+        if not since <= at <= place:
+            found = pattern.search(self.html, at)
+            place = found.start() if found else len(self.html)
+            self.next[pattern] = (at, place)
+        return place
+
+    def tag_end(self, at: int) -> int:
+        """After the > that ends a tag, quoted parts left out; -1 if a quote or the tag isn't closed."""
+        path, end = [], -1
+        while True:
+            at = self.first(SPECIAL, at)
+            if at == len(self.html):
+                break
+            if self.html[at] == ">":
+                end = at + 1
+                break
+            if at in self.ends:
+                end = self.ends[at]
+                break
+            path.append(at)
+            at = self.html.find(self.html[at], at + 1) + 1
+            if not at:
+                break
+        self.ends.update(dict.fromkeys(path, end))
+        return end
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Begin, end, slash, name and attributes of the next token; comments and declarations have no name."""
+        html = self.html
+        while found := OPENING.search(html, at):
+            start = found.start()
+            if found[1]:
+                end = html.find("-->", start + 4)
+                return start, len(html) if end < 0 else end + 3, "", "", ""
+            if found[2] is None:
+                end = html.find(">", start)
+                return start, len(html) if end < 0 else end + 1, "", "", ""
+            named = self.first(NAME_END, found.end())
+            if (end := self.tag_end(named)) > 0:
+                return start, end, found[2], html[found.end() : named].lower(), html[named : end - 1]
+            at = start + 1
+        return None
+
+
 def parse(html: str) -> Page:
     """A forgiving tree builder: enough of HTML's implied end tags for block structure."""
     page = Page()
@@ -110,7 +172,10 @@ def parse(html: str) -> Page:
     tags = ["html"]
     at, size = 0, len(html)
     gold = [-1]
-    open_tags: collections.Counter = collections.Counter()
+    tokens = Tokens(html)
+    depths: collections.defaultdict[str, list[int]] = collections.defaultdict(list)  # of open tags, by name
+    paragraphs: list[int] = []  # depths of open p and of what stops the search for it
+    blocks: list[int] = []  # depths of open tags that end a p
 
     def write(raw: str) -> None:
         if raw and not raw.isspace():
@@ -118,29 +183,38 @@ def parse(html: str) -> Page:
         elif raw:
             page.add(stack[-1], None, (), " ", gold[-1])
 
+    def enter(name: str, node: int, label: int) -> None:
+        for kept, held in ((depths[name], True), (paragraphs, name == "p" or name in P_STOPS), (blocks, name in P_ENDERS)):
+            if held:
+                kept.append(len(tags))
+        stack.append(node)
+        tags.append(name)
+        gold.append(label)
+
     def close(depth: int) -> None:
-        open_tags.subtract(tags[depth:])
+        for name in tags[depth:]:
+            depths[name].pop()
+        for kept in (paragraphs, blocks):
+            while kept and kept[-1] >= depth:
+                kept.pop()
         del stack[depth:], tags[depth:], gold[depth:]
 
     while at < size:
-        found = TOKEN.search(html, at)
+        found = tokens.after(at)
         if not found:
             rest = html[at:]
-            cut = UNFINISHED.search(rest)
+            cut = UNFINISHED.search(rest, rest.rfind(">") + 1)
             write(rest[: cut.start()] if cut else rest)
             break
-        write(html[at : found.start()])
-        at = found.end()
-        name = found.group(2)
+        start, end, slash, name, attributes = found
+        write(html[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
-        if found.group(1):
-            if open_tags[name] > 0:
-                depth = len(tags) - 1
-                while tags[depth] != name and (name not in INLINE or tags[depth] not in P_ENDERS):
-                    depth -= 1
-                if tags[depth] == name:
+        if slash:
+            if depths[name]:
+                depth = depths[name][-1]
+                if name not in INLINE or not blocks or blocks[-1] < depth:
                     close(depth)
             elif name == "p":
                 page.add(stack[-1], "p")
@@ -148,32 +222,21 @@ def parse(html: str) -> Page:
                 page.add(stack[-1], "br")
             continue
         if name in ("html", "body"):
-            if name == "body" and "body" not in tags:
-                stack.append(page.add(stack[-1], "body", name_words(found.group(3))[0]))
-                tags.append("body")
-                open_tags["body"] += 1
-                gold.append(gold[-1])
+            if name == "body" and not depths["body"]:
+                enter("body", page.add(stack[-1], "body", name_words(attributes)[0]), gold[-1])
             continue
         if name in P_ENDERS:
-            for depth in range(len(tags) - 1 if open_tags["p"] > 0 else 0, 0, -1):
-                if tags[depth] == "p":
-                    close(depth)
-                    break
-                if tags[depth] in P_STOPS:
-                    break
+            if paragraphs and tags[paragraphs[-1]] == "p":
+                close(paragraphs[-1])
             if name[0] == "h" and name[1:].isdigit() and tags[-1][0] == "h" and tags[-1][1:].isdigit():
                 close(len(tags) - 1)
         if name in ENDED_BY:
             ends, stops = ENDED_BY[name]
-            last = None
-            for depth in range(len(tags) - 1, 0, -1):
-                if tags[depth] in stops:
-                    break
-                if tags[depth] in ends:
-                    last = depth
-            if last is not None:
-                close(last)
-        words, label = name_words(found.group(3))
+            stop = max((depths[t][-1] for t in stops if depths[t]), default=0)
+            inner = [depths[t][k] for t in ends if (k := bisect_right(depths[t], stop)) < len(depths[t])]
+            if inner:
+                close(min(inner))
+        words, label = name_words(attributes)
         node = page.add(stack[-1], name, words, "", label)
         if name in RAW:
             end = re.compile(f"</{name}", re.I).search(html, at)
@@ -184,11 +247,8 @@ def parse(html: str) -> Page:
                 closing = html.find(">", at)
                 at = size if closing < 0 else closing + 1
             continue
-        if name not in VOID and not found.group(3).rstrip().endswith("/"):
-            stack.append(node)
-            tags.append(name)
-            open_tags[name] += 1
-            gold.append(label if label >= 0 else gold[-1])
+        if name not in VOID and not attributes.rstrip().endswith("/"):
+            enter(name, node, label if label >= 0 else gold[-1])
     return page
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from tonewright.functions import fixed_values as V
 from tonewright.functions.text import present, stripped
-from tonewright.operators import detect, gate, model, paragraphs, phrases, professional, punctuation, rewrite, scene, score, watermark
+from tonewright.operators import detect, gate, model, near_copies, paragraphs, phrases, professional, punctuation, rewrite, scene, score, watermark
 from tonewright.operators import hits as H
 from tonewright.plans import checks as C
 from tonewright.plans.seeds import seeded, seeded_alone, seeded_long, with_acceptance
@@ -307,6 +307,12 @@ register(
 )
 register("dd06_exact_copies", lambda spark, sf_dir: paragraphs.exact_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")), C.exact_copies_sql())
 
+register("dd06_near_copies", lambda spark, sf_dir: near_copies.near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.col("first").alias("first_id"), "copies", "group_rows"))
+register(
+    "dd03_near_pairs",
+    lambda spark, sf_dir: near_copies.links(near_copies.corpus_nodes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("node", "form")),
+)
+
 # --- rule rewriting ---
 
 

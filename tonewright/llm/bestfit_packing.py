@@ -28,7 +28,9 @@ from tonewright.llm.shared import byte_blocks, cut, read_table, shuffle_partitio
 
 CAPACITY = 2048
 END_ID = 0
-HELD_WORDS = 200_000  # words, and as many pieces of letters, that a worker remembers in each of two generations
+HELD_WORDS = 350_000  # pieces of letters that a worker remembers in each of two generations
+#: Whole words that it remembers, at most: a forgotten one is only put together from its pieces again.
+WHOLE_WORDS = 100_000
 PIECES_A_CALL = 20_000
 BLOCK_BYTES = 4_000_000
 
@@ -125,7 +127,7 @@ class WordIds:
         self.check(steps)
         letters = steps | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.merges = Tokenizer.from_str(json.dumps(letters))
-        self.words, self.letters, self.others = Recent(held), Recent(held), Recent(held // 8)
+        self.words, self.letters, self.others = Recent(min(held, WHOLE_WORDS)), Recent(held), Recent(held // 8)
         (self.divider,) = self.tokenizer.encode(self.DIVIDER, add_special_tokens=False).ids
         vocabulary = steps["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -213,7 +215,7 @@ def word_ids(path: str, held: int = HELD_WORDS) -> WordIds:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, held: int = HELD_WORDS) -> DataFrame:
-    """doc_id, piece, start, length and checksum of every piece of every whole text. held: words a worker remembers."""
+    """doc_id, piece, start, length and checksum of every piece of every whole text. held: pieces of words a worker remembers."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     end, step = END_ID.to_bytes(4, "little"), 4 * capacity

@@ -42,6 +42,7 @@ TARGET = 0.94  # of the sample's neighbours to be found, when the share of rows
 PROBES = 96
 FAN_IN = 64  # lists of a query that are merged at once
 HELD_VECTORS = 50_000  # distinct vectors brought together before they are sent on
+VISIT_BYTES = 16_000_000  # of query vectors in a batch of visits
 HELD_FLOORS = 200_000  # queries of which a task remembers how good its hits have to be
 SLICE_ROWS = 4096
 TIE = 1e-12  # products this near may be equal
@@ -292,10 +293,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, *, trees: int = TR
                 continue
             own = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
             held_, slices_ = shared.value
-            found = [(t, leaf, s, i) for i, point in enumerate(forest.value.lift(own, query=True)) for t, leaf in forest.value.visit(point, held_, wanted) for s in range(slices_[t][leaf])]
-            at = pa.array([f[3] for f in found], pa.int64())
-            columns = [*(pa.array([f[j] for f in found], pa.int32()) for j in range(3)), *(batch.column(j).take(at) for j in (0, 1, 2))]
-            yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "q1", "q2", "q"])
+            most = max(1, VISIT_BYTES // len(raw[0]))
+            found: list[tuple[int, int, int, int]] = []
+
+            def visits(batch=batch, found=found, most=most):
+                """What was found, `most` visits a batch: each carries its query's vector."""
+                for a in range(0, len(found), most):
+                    part = found[a : a + most]
+                    at = pa.array([f[3] for f in part], pa.int64())
+                    columns = [*(pa.array([f[j] for f in part], pa.int32()) for j in range(3)), *(batch.column(j).take(at) for j in (0, 1, 2))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "slice", "q1", "q2", "q"])
+                found.clear()
+
+            for i, point in enumerate(forest.value.lift(own, query=True)):
+                found += [(t, leaf, s, i) for t, leaf in forest.value.visit(point, held_, wanted) for s in range(slices_[t][leaf])]
+                if len(found) >= most:
+                    yield from visits()
+            yield from visits()
 
     queries = cut(gathered(rows.filter(is_query), None))
     asking = queries.select("k1", "k2", "v").distinct()

@@ -423,9 +423,54 @@ def tidy_sql() -> str:
     return f"WITH {SEEDED_SQL} SELECT doc_id, md5({chain('text', steps)}) AS md5 FROM seeded"
 
 
+HAN_CLASS = r"\x{4e00}-\x{9fff}"
+#: Chinese neighbours but the ellipsis, which the steps below look at apart.
+NEAR_CLASS = rf"{HAN_CLASS}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}"
+
+
+def ellipsis_sql() -> str:
+    """Runs of dots, and of ellipses, beside Chinese; what has been replaced is one character of its own until the end."""
+    dots = [(rf"([{NEAR_CLASS}…])\.{{3,}}", r"\1……"), (rf"\.{{3,}}([{NEAR_CLASS}…])", r"……\1")]
+    # A run of ellipses is a neighbour to its own last one.
+    runs = [(rf"([{NEAR_CLASS}])…+", "\\1\ue0ff"), (rf"…+([{NEAR_CLASS}])", "\ue0ff\\1"), ("…{2,}", "………"), ("\ue0ff", "……")]
+    return chain("text", dots + runs)
+
+
+def parens_sql() -> str:
+    """Innermost pairs with Chinese in them or beside them, twice; within a pass, replaced ones are not Chinese to others."""
+    inner = "[^()\\n\ue0f1\ue0f2]*"
+    once = [(rf"\(({inner}[{HAN_CLASS}]{inner})\)", "\ue0f1\\1\ue0f2"), (rf"([{NEAR_CLASS}…])\(({inner})\)", "\\1\ue0f1\\2\ue0f2"), (rf"\(({inner})\)([{NEAR_CLASS}…])", "\ue0f1\\1\ue0f2\\2"), ("\ue0f1", "（"), ("\ue0f2", "）")]
+    return chain("text", once * 2)
+
+
+def widen_sql() -> str:
+    """Character by character, with both neighbours."""
+    near = f"[{NEAR_CLASS}…]"
+    beside = lambda cls: f"(regexp_matches(coalesce(c[i - 1], ''), {q(cls)}) OR regexp_matches(coalesce(c[i + 1], ''), {q(cls)}))"
+    alone = f"NOT {beside('[A-Za-z0-9]')}"
+    made = f"CASE WHEN contains(',;:!?', c[i]) AND {beside(near)} THEN translate(c[i], ',;:!?', '，；：！？') WHEN c[i] = '.' AND {alone} AND {beside(near)} THEN '。' ELSE c[i] END"
+    return f"array_to_string(list_transform(range(1, len(c) + 1), lambda i: {made}), '')"
+
+
+def blanks_sql() -> str:
+    between = (rf"([{HAN_CLASS}])[ \t]+([{HAN_CLASS}])", r"\1\2")
+    # Twice, as a character that ends one match can't begin the next.
+    return chain("text", [between, between, (r"[ \t]+([，。！？；：、）】」』…])", r"\1"), (r"([（【「『])[ \t]+", r"\1")])
+
+
+def digest_of(expression: str, source: str = "seeded") -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, md5({expression}) AS md5 FROM {source}"
+
+
 PUNCTUATION_SQL = {
-    "pn07_collapse": f"WITH {SEEDED_SQL} SELECT doc_id, md5({chain('text', [(m + '{2,}', m) for m in '，；：！？。'] + [('……+', '……')])}) AS md5 FROM seeded",
+    "pn03_ellipsis": digest_of(ellipsis_sql()),
+    "pn05_parens": digest_of(parens_sql()),
+    "pn06_widen": digest_of(widen_sql(), "(SELECT doc_id, string_split(text, '') AS c FROM seeded)"),
+    "pn07_collapse": digest_of(chain("text", [(m + "{2,}", m) for m in "，；：！？。"] + [("……+", "……")])),
+    "pn08_spaces": digest_of(blanks_sql()),
 }
+
+
 def normal_form_sql() -> str:
     return f"WITH {SEEDED_SQL} SELECT doc_id, md5({chain('lower(text)', [('[#*`>-]', ''), (chr(92) + 's', ''), ('[、，,/|·:：;；()（）\\[\\]【】.\"' + chr(39) + ']', '')])}) AS md5 FROM seeded"
 

@@ -458,17 +458,74 @@ def blanks_sql() -> str:
     return chain("text", [between, between, (r"[ \t]+([，。！？；：、）】」』…])", r"\1"), (r"([（【「『])[ \t]+", r"\1")])
 
 
-def digest_of(expression: str, source: str = "seeded") -> str:
-    return f"WITH {SEEDED_SQL} SELECT doc_id, md5({expression}) AS md5 FROM {source}"
+#: Characters of a text, and its runs of one mark with what stands between them.
+CHARACTERS = "string_split(text, '') AS c"
+MIXED_MARKS = [("!", "!！"), ("?", "?？"), (".", "."), (",", ",，"), (";", ";；"), (":", ":：")]
 
 
-PUNCTUATION_SQL = {
-    "pn03_ellipsis": digest_of(ellipsis_sql()),
-    "pn05_parens": digest_of(parens_sql()),
-    "pn06_widen": digest_of(widen_sql(), "(SELECT doc_id, string_split(text, '') AS c FROM seeded)"),
-    "pn07_collapse": digest_of(chain("text", [(m + "{2,}", m) for m in "，；：！？。"] + [("……+", "……")])),
-    "pn08_spaces": digest_of(blanks_sql()),
-}
+def mixed_sql(half: str, run: str) -> str:
+    """One mark's runs of two or more, next to Chinese and not to letters or digits, made one half-width mark."""
+    side = lambda cls: f"(regexp_matches(right(coalesce(m[i - 1], ''), 1), {q(cls)}) OR regexp_matches(left(coalesce(m[i + 1], ''), 1), {q(cls)}))"
+    whole = f"regexp_matches(m[i], {q(f'^[{run}]{{2,}}$')}) AND NOT {side('[A-Za-z0-9]')} AND {side(f'[{NEAR_CLASS}…]')}"
+    return f"array_to_string(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN {whole} THEN {q(half)} ELSE m[i] END), '')"
+
+
+def punctuation_steps(names: list[str], source: str) -> tuple[str, str]:
+    """CTEs that apply steps to doc_id, text of a source (other columns stay), and the name of the last."""
+    mixed = [(mixed_sql(half, run), f"regexp_extract_all(text, {q(f'(?s)[{run}]+|[^{run}]+')}) AS m") for half, run in MIXED_MARKS]
+    of = {
+        "pn03_ellipsis": [(ellipsis_sql(), "0 AS x")], "pn04_precollapse": mixed, "pn05_parens": [(parens_sql(), "0 AS x")], "pn06_widen": [(widen_sql(), CHARACTERS)],
+        "pn07_collapse": [(chain("text", [(m + "{2,}", m) for m in "，；：！？。"] + [("……+", "……")]), "0 AS x")], "pn08_spaces": [(blanks_sql(), "0 AS x")],
+    }
+    made, last = [], source
+    for expression, helper in (step for name in names for step in of[name]):
+        made.append(f"step{len(made)} AS (SELECT * EXCLUDE ({helper.split()[-1]}) REPLACE ({expression} AS text) FROM (SELECT *, {helper} FROM {last}))")
+        last = f"step{len(made) - 1}"
+    return ", ".join(made), last
+
+
+def step_sql(name: str) -> str:
+    made, last = punctuation_steps([name], "seeded")
+    return f"WITH {SEEDED_SQL}, {made} SELECT doc_id, md5(text) AS md5 FROM {last}"
+
+
+def normalized_cte(source: str = "seeded") -> str:
+    """CTEs up to `normal` (doc_id, text): protected parts out, all steps, and the parts back."""
+    from tonewright.operators.punctuation import HELD_BACK, HOLE
+
+    held = q("(?:" + HELD_BACK.removeprefix("(?U)") + ")")
+    made, last = punctuation_steps(["pn03_ellipsis", "pn04_precollapse", "pn05_parens", "pn06_widen", "pn07_collapse", "pn08_spaces"], "holed")
+    back = f"array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(kept[i], '')), '')"
+    return (
+        f"holed AS (SELECT doc_id, regexp_extract_all(text, {held}) AS kept, regexp_replace(text, {held}, {q(HOLE)}, 'g') AS text FROM {source}), {made}, "
+        f"normal AS (SELECT doc_id, {back} AS text FROM (SELECT doc_id, kept, string_split(text, {q(HOLE)}) AS g FROM {last}))"
+    )
+
+
+def normalized_sql() -> str:
+    return f"WITH {SEEDED_SQL}, {normalized_cte()} SELECT doc_id, length(text) AS n, md5(text) AS md5 FROM normal"
+
+
+def tokens_list(x: str) -> str:
+    """Protected tokens by kind, each once, in order of their first place."""
+    from tonewright.operators.punctuation import PARTS, TOKENS
+
+    # Word edges are those of ASCII in DuckDB: letters beyond it become one of its own, where numbers are looked for.
+    plain = f"regexp_replace({x}, '[À-ÖØ-öø-ɏͰ-῿\\p{{Han}}]', 'x', 'g')"
+    kinds = [(x, "(?s:```.*?```)"), *((x, k) for k in PARTS[1:]), *((plain, k) for k in TOKENS)]
+    every = "flatten([" + ", ".join(f"regexp_extract_all({text}, {q(k)})" for text, k in kinds) + "])"
+    return f"list_filter({every}, lambda t, i: list_position({every}, t) = i)"
+
+
+def protected_tokens_sql() -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, array_to_string({tokens_list('text')}, '|') AS tokens FROM seeded"
+
+
+def tokens_preserved_sql() -> str:
+    return f"WITH {SEEDED_SQL} SELECT doc_id, (len(list_filter({tokens_list('text')}, lambda t: NOT contains(replace(text, 'v1.', 'v 1.'), t))) = 0)::INT AS kept FROM seeded"
+
+
+PUNCTUATION_SQL = {name: step_sql(name) for name in ("pn03_ellipsis", "pn04_precollapse", "pn05_parens", "pn06_widen", "pn07_collapse", "pn08_spaces")}
 
 
 def normal_form_sql() -> str:

@@ -290,13 +290,14 @@ register("ph05_residual_words", word_query(V.RESIDUAL_WORDS), C.with_word_counts
 register("ph02_replacements", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(phrases.replaced(F.col("text")).cast("binary")).alias("md5")), C.replacements_sql())
 register("ph04_phrase_rewrite", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", phrases.rewritten(F.col("text")).alias("out")).select("doc_id", F.length("out").cast("long").alias("n"), F.md5(F.col("out").cast("binary")).alias("md5")))
 register("ph03_cleanup", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(phrases.tidy(F.col("text")).cast("binary")).alias("md5")), C.tidy_sql())
-register("pn01_normalized", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", punctuation.normalized(F.col("text")).alias("out")).select("doc_id", F.length("out").cast("long").alias("n"), F.md5(F.col("out").cast("binary")).alias("md5")))
+register("pn01_normalized", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", punctuation.normalized(F.col("text")).alias("out")).select("doc_id", F.length("out").cast("long").alias("n"), F.md5(F.col("out").cast("binary")).alias("md5")), C.normalized_sql())
 for _name, _step in punctuation.STEPS.items():
     register(_name, lambda spark, sf_dir, f=_step: seeded(spark, sf_dir).select("doc_id", F.md5(f(F.col("text")).cast("binary")).alias("md5")), C.PUNCTUATION_SQL.get(_name))
-register("pn09_protected_tokens", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.array_join(punctuation.protected_tokens(F.col("text")), "|").alias("tokens")))
+register("pn09_protected_tokens", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.array_join(punctuation.protected_tokens(F.col("text")), "|").alias("tokens")), C.protected_tokens_sql())
 register(
     "pn10_tokens_preserved",
     lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", punctuation.tokens_preserved(F.col("text"), F.replace(F.col("text"), F.lit("v1."), F.lit("v 1."))).cast("int").alias("kept")),
+    C.tokens_preserved_sql(),
 )
 register("dd01_normal_form", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(paragraphs.normal_form(F.col("text")).cast("binary")).alias("md5")), C.normal_form_sql())
 register("dd02_paragraphs", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.size(paragraphs.paragraphs(F.col("text"))).cast("long").alias("n")), C.paragraphs_sql())

@@ -418,9 +418,23 @@ def replacements_sql() -> str:
     return f"WITH {SEEDED_SQL} SELECT doc_id, md5({chain('text', V.PHRASES)}) AS md5 FROM seeded"
 
 
+TIDY_STEPS = [("[,，]{2,}", "，"), (r"[ \t]{2,}", " "), ("(全方位|多维度|深度|全面)的", r"\1"), (r"\s+([，。！？；：）】」])", r"\1"), (r"^\s+", ""), (r"\s+$", "")]
+
+
 def tidy_sql() -> str:
-    steps = [("[,，]{2,}", "，"), (r"[ \t]{2,}", " "), ("(全方位|多维度|深度|全面)的", r"\1"), (r"\s+([，。！？；：）】」])", r"\1"), (r"^\s+", ""), (r"\s+$", "")]
-    return f"WITH {SEEDED_SQL} SELECT doc_id, md5({chain('text', steps)}) AS md5 FROM seeded"
+    return f"WITH {SEEDED_SQL} SELECT doc_id, md5({chain('text', TIDY_STEPS)}) AS md5 FROM seeded"
+
+
+def phrases_sql() -> str:
+    """What lies between protected parts replaced, then the whole tidied, if anything changed."""
+    from tonewright.operators.phrases import PROTECTED
+
+    changed = f"array_to_string(list_transform(range(1, len(g) + 1), lambda i: {chain('g[i]', V.PHRASES)} || coalesce(kept[i], '')), '')"
+    return (
+        f"WITH {SEEDED_SQL}, parted AS (SELECT doc_id, text, string_split_regex(text, {q(PROTECTED)}) AS g, regexp_extract_all(text, {q(PROTECTED)}) AS kept FROM seeded), "
+        f"woven AS (SELECT doc_id, text AS given, {changed} AS text FROM parted), tidied AS (SELECT doc_id, CASE WHEN text = given THEN text ELSE {chain('text', TIDY_STEPS)} END AS o FROM woven) "
+        "SELECT doc_id, length(o) AS n, md5(o) AS md5 FROM tidied"
+    )
 
 
 HAN_CLASS = r"\x{4e00}-\x{9fff}"

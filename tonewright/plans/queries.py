@@ -288,7 +288,7 @@ def unlisted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("ph05_residual_words", word_query(V.RESIDUAL_WORDS), C.with_word_counts(V.RESIDUAL_WORDS))
 register("ph02_replacements", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(phrases.replaced(F.col("text")).cast("binary")).alias("md5")), C.replacements_sql())
-register("ph04_phrase_rewrite", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", phrases.rewritten(F.col("text")).alias("out")).select("doc_id", F.length("out").cast("long").alias("n"), F.md5(F.col("out").cast("binary")).alias("md5")))
+register("ph04_phrase_rewrite", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", phrases.rewritten(F.col("text")).alias("out")).select("doc_id", F.length("out").cast("long").alias("n"), F.md5(F.col("out").cast("binary")).alias("md5")), C.phrases_sql())
 register("ph03_cleanup", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", F.md5(phrases.tidy(F.col("text")).cast("binary")).alias("md5")), C.tidy_sql())
 register("pn01_normalized", lambda spark, sf_dir: seeded(spark, sf_dir).select("doc_id", punctuation.normalized(F.col("text")).alias("out")).select("doc_id", F.length("out").cast("long").alias("n"), F.md5(F.col("out").cast("binary")).alias("md5")), C.normalized_sql())
 for _name, _step in punctuation.STEPS.items():

@@ -14,25 +14,22 @@ rows are packed like any others; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import byte_blocks, cut, read_table, shuffle_partitions, whole_texts, worker_state
+from tonewright.llm.byte_scan import CAPITALS, WORD_BYTES, byte_class, runs, text_bytes
+from tonewright.llm.shared import cut, read_table, shuffle_partitions, whole_texts, worker_state
 
 CAPACITY = 2048
 END_ID = 0
 HELD_WORDS = 350_000  # pieces of letters that a worker remembers in each of two generations
-#: Whole words that it remembers, at most: a forgotten one is only put together from its pieces again.
-WHOLE_WORDS = 100_000
 PIECES_A_CALL = 20_000
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -99,20 +96,58 @@ class Recent:
         return found
 
 
+#: ASCII letters; ASCII marks but the apostrophe; second bytes of the letters that begin with 0xC3, and of their capitals.
+LETTERS = byte_class(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]))
+MARKS = byte_class(bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"))
+SECOND = byte_class(bytes([*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]))
+SECOND_CAPITALS = byte_class(bytes([*range(0x80, 0x97), *range(0x98, 0x9F)]))
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Pieces of the words of a block, in order: a number each, the pieces by number, which of these are letters, and pieces before each text.
+
+    A word of ASCII and Latin-1 letters before ASCII marks is two pieces, its letters lowered; any other is one as it stands.
+    """
+    inside = WORD_BYTES[data]
+    begins, ends, before = runs(inside, offsets)
+    letters = LETTERS[data]
+    lead = np.zeros(len(data), bool)
+    lead[:-1] = (data[:-1] == 0xC3) & SECOND[data[1:]]
+    letters |= lead
+    letters[1:] |= lead[:-1]
+    count = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
+    in_letters, in_marks = count(letters), count(MARKS[data])
+    cut = begins + (in_letters[ends] - in_letters[begins])  # where the marks begin, if letters come first
+    plain = (in_letters[cut] - in_letters[begins] == cut - begins) & (in_marks[ends] - in_marks[cut] == ends - cut)
+    # Two places a word; the second is empty where there is but one piece.
+    cut[~plain] = ends[~plain]
+    full = np.stack([cut > begins, ends > cut], 1).reshape(-1)
+    lowered = data + np.uint8(32) * CAPITALS[data]
+    lowered[1:] += np.uint8(32) * (lead[:-1] & SECOND_CAPITALS[data[1:]])
+    own = np.repeat(plain, ends - begins)
+    held = np.where(own, lowered[inside], data[inside])
+    sizes = np.stack([cut - begins, ends - cut], 1).reshape(-1)[full]
+    starts = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=starts[1:])
+    coded = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(starts), pa.py_buffer(held)).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    spelled = np.zeros(len(coded.dictionary), bool)
+    spelled[codes] = (np.stack([plain, np.zeros_like(plain)], 1).reshape(-1))[full]
+    return codes, coded.dictionary, spelled, count(full)[2 * before]
+
+
 class WordIds:
-    """Token ids of white-space separated words, as little-endian bytes, each word encoded once while remembered.
+    """Token ids of white-space separated words, as little-endian bytes, each piece of a word encoded once while remembered.
 
     The tokenizer drops white space, and no token, normal form or case rule reaches across it. Words of ASCII and
     Latin-1 letters that end in ASCII marks other than an apostrophe are two pieces for it, letters (lowered) and
-    marks, so they share what is known of their pieces. Letters go to the tokenizer's merges alone, many words in one
-    text: they have their normal form, and a word's last token, and no other, holds the end of a word. What is not
-    plain goes through the whole tokenizer, a divider between pieces, whose id no piece without that character has.
+    marks. Letters go to the tokenizer's merges alone, many words in one text: they have their normal form, and a
+    word's last token, and no other, holds the end of a word. What is not plain goes through the whole tokenizer, a
+    divider between pieces, whose id no piece without that character has.
 
     This leans on how the file lowers and splits; a file that does so otherwise is refused.
     """
 
-    #: A line: letters and marks of a plain word, or whatever else it is.
-    PLAIN = re.compile(rb"^(?:((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-&(-/:-@\[-`{-~]*+)$|(.+)$)", re.M)
     DIVIDER, WORD_END = "|", "</w>"
     #: What a file must say of its steps (fixed values).
     NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -127,7 +162,7 @@ class WordIds:
         self.check(steps)
         letters = steps | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.merges = Tokenizer.from_str(json.dumps(letters))
-        self.words, self.letters, self.others = Recent(min(held, WHOLE_WORDS)), Recent(held), Recent(held // 8)
+        self.letters, self.others = Recent(held), Recent(held // 8)
         (self.divider,) = self.tokenizer.encode(self.DIVIDER, add_special_tokens=False).ids
         vocabulary = steps["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -175,37 +210,24 @@ class WordIds:
                 out[i] = ids
         return out
 
-    def of_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words without white space."""
-        parts = self.PLAIN.sub(rb"\1\n\2\n\3", b"\n".join(words)).split(b"\n")
-        letters = b"\n".join(parts[::3]).decode("utf-8").lower().encode("utf-8").split(b"\n")
-        of: dict[bytes, bytes] = {b"": b""}
-        for kept, make, pieces in ((self.letters, self.of_letters, letters), (self.others, self.of_others, [*parts[1::3], *parts[2::3]])):
-            distinct = list({*pieces} - {b""})
-            of.update(zip(distinct, kept.of(distinct, make), strict=True))
-        known = of.__getitem__
-        return [a + b + c for a, b, c in zip(map(known, letters), map(known, parts[1::3]), map(known, parts[2::3]), strict=True)]
-
     def of_texts(self, texts: pa.StringArray):
         """Ids of each text, as little-endian bytes."""
-        for start, end in byte_blocks(texts, BLOCK_BYTES):
-            # Words are told apart and numbered by Arrow; only distinct ones become Python's.
-            lists = pc.ascii_split_whitespace(texts.slice(start, end - start).fill_null(""))
-            numbered = lists.flatten().dictionary_encode()
-            words = numbered.dictionary.cast(pa.binary()).to_pylist()
-            empty = words.index(b"") if b"" in words else None  # white space at an end of a text
-            asked = [w for w in words if w]
-            ids = self.words.of(asked, self.of_words)
-            if empty is not None:
-                ids.insert(empty, b"")
+        for _, _, data, offsets in text_bytes(texts, BLOCK_BYTES):
+            # Pieces are told apart and numbered by Arrow; only distinct ones become Python's.
+            codes, names, spelled, before = pieces_of(data, offsets)
+            pieces = names.cast(pa.binary())
+            ids: list = [b""] * len(names)
+            for kept, make, which in ((self.letters, self.of_letters, spelled), (self.others, self.of_others, ~spelled)):
+                at = np.flatnonzero(which)
+                for i, own in zip(at.tolist(), kept.of(pieces.take(pa.array(at)).to_pylist(), make), strict=True):
+                    ids[i] = own
             held, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            codes = numbered.indices.to_numpy(zero_copy_only=False)
             own = sizes[codes]
             ends = np.cumsum(own)
             places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - own), own)
             places += np.arange(len(places))
-            raw = memoryview(held[places]).cast("B")
-            edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+            raw = memoryview(held[places]).cast("B") if len(places) else memoryview(b"")
+            edges = np.concatenate([[0], ends])[before] * 4
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 yield raw[a:b]
 

@@ -16,10 +16,15 @@ from tonewright.functions.text import java
 PROTECTED = "|".join(f"({p[:4]}:{p[4:]})".replace("((?s):", "(?s:").replace("((?m):", "(?m:") if p[:4] in ("(?s)", "(?m)") else f"(?:{p})" for p in V.PROTECTED)
 
 
+def parted(text: Column) -> tuple[Column, Column]:
+    """What lies between protected parts, and the parts, as arrays; the first is one longer."""
+    regex = java(PROTECTED)
+    return F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), 0)
+
+
 def gaps(text: Column, change) -> Column:
     """The text with `change` applied to what lies between protected parts."""
-    regex = java(PROTECTED)
-    pieces, kept = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), 0)
+    pieces, kept = parted(text)
     changed = F.transform(pieces, change)
     return F.array_join(F.flatten(F.transform(F.arrays_zip(changed.alias("c"), kept.alias("k")), lambda x: F.array(F.coalesce(x["c"], F.lit("")), F.coalesce(x["k"], F.lit(""))))), "")
 

@@ -24,7 +24,7 @@ from pyspark.sql.types import StringType
 
 from tonewright.functions import fixed_values as V
 from tonewright.functions import rewrite_values as R
-from tonewright.functions.text import computed_once, java, needed, stripped
+from tonewright.functions.text import computed_once, has, java, needed, stripped
 from tonewright.operators.scene import with_guess
 
 ANY_CASE, WHOLE = re.I, re.I | re.S
@@ -191,6 +191,15 @@ def ordered(patterns: list[str], flags: int = 0) -> list[Rule]:
     return [removal([p], flags) for p in patterns]
 
 
+#: Patterns of which something stays, in the chain and alone.
+REVERSAL_ZH = f"(?:(?:不是|并非)[^，,。]*?[，,]\\s*而是|不是[^，,。]*?而是){REST_ZH}"
+REVERSAL_EN = rf"(?:not\s+(?:just\s+)?[^,]*?,\s*but\s+|not\s+(?!only\s)[^,]*?\s+but\s+(?!also))({REST_EN})"
+IMBALANCE_ZH = f"(?:一方面|不仅)[^，,。]*?[，,]\\s*更重要的是({REST_ZH})"
+IMBALANCE_EN = rf"not (?:only|just)[^,]*?,\s*but more importantly({REST_EN})"
+COORDINATION_ZH = f"(?:既[^，,。]*?[，,]\\s*(?:又|而且)|(?:不仅|不但)[^，,。]*?[，,]\\s*(?:而且|也)){REST_ZH}"
+COORDINATION_EN = rf"(not only)\s+([^,]+?)\s+but also\s+({REST_EN})|both\s+[^,]+?\s+and\s+({REST_EN})"
+CROSS_SENTENCE = {"but also": r"not only\s+[\s\S]*?\s+but also\s+[\s\S]*?[.!?]", "also": r"not only\s+[\s\S]*?\s+also\s+[\s\S]*?[.!?]"}
+
 #: Ways of the patterns that span further than a removal: openings, what must not come between, closings.
 CLAUSE = "，,。"
 WAYS = {
@@ -222,11 +231,11 @@ def steps() -> list[Rule]:
     """The rules in the order they apply."""
     second = lambda m: m[1].strip()
     chain: list[Rule] = [
-        Spanning(f"(?:(?:不是|并非)[^，,。]*?[，,]\\s*而是|不是[^，,。]*?而是){REST_ZH}", reversal, re.I, WAYS["reversal_zh"]),
-        Spanning(rf"(?:not\s+(?:just\s+)?[^,]*?,\s*but\s+|not\s+(?!only\s)[^,]*?\s+but\s+(?!also))({REST_EN})", second, re.I, WAYS["reversal_en"]),
+        Spanning(REVERSAL_ZH, reversal, re.I, WAYS["reversal_zh"]),
+        Spanning(REVERSAL_EN, second, re.I, WAYS["reversal_en"]),
         *(removal(R.DELETED[p]) for p in ("p02", "p03", "p04", "p06")),
-        Spanning(f"(?:一方面|不仅)[^，,。]*?[，,]\\s*更重要的是({REST_ZH})", second, re.I, [("一方面|不仅", CLAUSE, [r"[，,]\s*更重要的是"])]),
-        Spanning(rf"not (?:only|just)[^,]*?,\s*but more importantly({REST_EN})", second, re.I, [("not (?:only|just)", ",", [r",\s*but more importantly"])]),
+        Spanning(IMBALANCE_ZH, second, re.I, [("一方面|不仅", CLAUSE, [r"[，,]\s*更重要的是"])]),
+        Spanning(IMBALANCE_EN, second, re.I, [("not (?:only|just)", ",", [r",\s*but more importantly"])]),
         removal(R.DELETED["p08"]),
         removal(R.DELETED["p09"]),
         removal(R.ORDINALS_ZH),
@@ -255,8 +264,8 @@ def steps() -> list[Rule]:
         *ordered(V.MECHANICAL),
         *symmetric(V.SYMMETRY, last_clause),
         *symmetric(V.SYMMETRY_EN, english_filler),
-        Spanning(r"not only\s+[\s\S]*?\s+but also\s+[\s\S]*?[.!?]", lambda m: after_last("but also", m[0]), re.I, [(r"not only\s", "", [r"(?<=\s)but also\s", "[.!?]"])]),
-        Spanning(r"not only\s+[\s\S]*?\s+also\s+[\s\S]*?[.!?]", lambda m: after_last("also", m[0]), re.I, [(r"not only\s", "", [r"(?<=\s)also\s", "[.!?]"])]),
+        Spanning(CROSS_SENTENCE["but also"], lambda m: after_last("but also", m[0]), re.I, [(r"not only\s", "", [r"(?<=\s)but also\s", "[.!?]"])]),
+        Spanning(CROSS_SENTENCE["also"], lambda m: after_last("also", m[0]), re.I, [(r"not only\s", "", [r"(?<=\s)also\s", "[.!?]"])]),
         *ordered(V.CLOSERS + V.CLOSERS_EN + V.ABSTRACT_SUBJECTS + V.ABSTRACT_SUBJECTS_EN + V.CONNECTORS_EN + V.IDIOMS + V.DENSITY + V.MODIFIERS),
         *(Rule(blank_led(p), by) for p, by in R.LEFTOVERS),
     ]
@@ -453,3 +462,118 @@ def finally_cleaned(text: Column) -> Column:
     for pattern, by in (("。{2,}", "。"), (r"\.{2,}", "."), (r"\A[，,。！？\s]+", "")):
         text = F.regexp_replace(text, F.lit(java(pattern)), F.lit(by))
     return text
+
+
+# --- patterns whose replacement follows from the match, as Columns ---
+
+
+def each_replaced(text: Column, pattern: str, change: Callable[[Column], Column], ignore_case: bool = False) -> Column:
+    """The text with every match of a pattern changed. Texts without a word that every match holds are not searched."""
+    regex = F.lit(java(pattern, ignore_case))
+    pairs = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
+    woven = F.flatten(F.transform(pairs, lambda x: F.array(F.coalesce(x["gap"], F.lit("")), F.coalesce(change(x["hit"]), F.lit("")))))
+    return F.when(has(text, pattern, ignore_case), F.array_join(woven, "")).otherwise(text)
+
+
+def group_kept(pattern: str, group: int, ignore_case: bool = False) -> Callable[[Column], Column]:
+    """Of a match one group, trimmed."""
+    return lambda m: stripped(F.regexp_extract(m, java(pattern, ignore_case), group))
+
+
+def dropped_up_to(match: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """What stands after the first place of a pattern."""
+    return F.regexp_replace(match, F.lit(java(rf"(?s)\A.*?(?:{pattern})", ignore_case)), F.lit(""))
+
+
+def filled(parts: list[Column], between: str) -> Column:
+    """The parts that are not empty, joined."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), between)
+
+
+
+def reversals_zh(text: Column) -> Column:
+    """p01 in Chinese: what the thing is stays."""
+    return each_replaced(text, REVERSAL_ZH, lambda m: stripped(F.concat(F.lit("是"), dropped_up_to(m, "而是"))), True)
+
+
+def reversals_en(text: Column) -> Column:
+    """p01 in English: what stands after but stays."""
+    return each_replaced(text, REVERSAL_EN, group_kept(REVERSAL_EN, 1, True), True)
+
+
+def imbalances(text: Column) -> Column:
+    """p07: what is said to matter more stays."""
+    for pattern in (IMBALANCE_ZH, IMBALANCE_EN):
+        text = each_replaced(text, pattern, group_kept(pattern, 1, True), True)
+    return text
+
+
+def coordinations_zh(text: Column) -> Column:
+    """p20 in Chinese: both halves without their connectors."""
+    def change(m: Column) -> Column:
+        bare = F.regexp_replace(m, F.lit(r"\A(?:既|不仅|不但)"), F.lit(""))
+        return F.btrim(F.regexp_replace(bare, F.lit(r"(?s)\A(.*?)(?:也|而且|又)"), F.lit("$1")), F.lit("，, "))
+    return each_replaced(text, COORDINATION_ZH, change)
+
+
+def coordinations_en(text: Column) -> Column:
+    """p20 in English: not only X but also Y becomes X and Y; of both X and Y the tail stays."""
+    def change(m: Column) -> Column:
+        first, second, tail = (group_kept(COORDINATION_EN, n, True)(m) for n in (2, 3, 4))
+        only = F.startswith(F.lower(m), F.lit("not only"))
+        return F.when(only, filled([first, second], " and ")).otherwise(tail)
+    return each_replaced(text, COORDINATION_EN, change, True)
+
+
+def symmetry_collapsed(text: Column) -> Column:
+    """Chinese symmetric fillers: the last clause without connectors; nothing of one without clauses."""
+    def change(m: Column) -> Column:
+        clause = F.substring_index(m, "，", -1)
+        for word in R.CONNECTORS:
+            clause = stripped(F.replace(clause, F.lit(word), F.lit("")))
+        return F.when(F.contains(m, F.lit("，")), stripped(F.btrim(clause, F.lit("，。")))).otherwise(F.lit(""))
+    for pattern in V.SYMMETRY:
+        text = each_replaced(text, pattern, change, True)
+    return text
+
+
+def symmetry_collapsed_en(text: Column) -> Column:
+    """English symmetric fillers: both hands without their frames, else what stands after but also, or after and."""
+    bare = lambda c: stripped(F.regexp_replace(c, F.lit(java(r"\A[，,。.\s]+")), F.lit("")))
+    also, conjunction = r"but\s+also", r"\band\b"
+
+    def change(m: Column) -> Column:
+        hands = F.split(m, F.lit(java(r"on\s+the\s+other\s+hand", True)), 2)
+        first = F.regexp_replace(stripped(F.get(hands, F.lit(0))), F.lit(java(r"\Aon\s+one\s+hand\s*[,.]?\s*", True)), F.lit(""))
+        framed = F.contains(F.lower(m), F.lit("on the other hand"))
+        tail = F.when(has(m, also, True), bare(dropped_up_to(m, also, True))).when(has(m, conjunction, True), bare(dropped_up_to(m, conjunction, True)))
+        return F.when(framed, filled([bare(first), bare(F.get(hands, F.lit(1)))], " ")).otherwise(tail)
+    for pattern in V.SYMMETRY_EN:
+        text = each_replaced(text, pattern, change, True)
+    return text
+
+
+def cross_sentences(text: Column) -> Column:
+    """not only ... but also, or also, over sentences: what stands after the last also stays."""
+    for word, pattern in CROSS_SENTENCE.items():
+        text = each_replaced(text, pattern, lambda m, w=word: stripped(F.substring_index(m, w, -1)), True)
+    return text
+
+
+def laid_out(text: Column) -> Column:
+    """The layout that rewriting keeps: paragraphs parted by one empty line, lines without blanks at their ends."""
+    lines = lambda p: stripped(F.regexp_replace(p, F.lit(LINE_END.pattern), F.lit("\n")))
+    return stripped(F.array_join(F.transform(F.split(text, F.lit(EMPTY_LINES.pattern), -1), lines), "\n\n"))
+
+
+def residue_cleaned(text: Column) -> Column:
+    """Doubled marks, runs of white space and particles that deletions left alone."""
+    for rule in RESIDUE:
+        text = F.regexp_replace(text, F.lit(java(rule.expression.pattern)), F.lit(rule.by))
+    return text
+
+
+def sentences_joined(text: Column) -> Column:
+    """Sentences trimmed, without a comma before them, joined by one blank; none before an end mark."""
+    parts = F.transform(F.split(text, F.lit(java(BETWEEN.pattern)), -1), lambda p: stripped(F.regexp_replace(stripped(p), F.lit(java(r"\A[，,]\s*")), F.lit(""))))
+    return F.regexp_replace(F.array_join(F.filter(parts, lambda p: p != ""), " "), F.lit(" ([，。！？.!?])"), F.lit("$1"))

@@ -6,7 +6,7 @@ from tonewright.functions import fixed_values as V
 from tonewright.functions.text import sql_text as q
 from tonewright.operators import hits as H
 from tonewright.operators.detect import PREVIEW
-from tonewright.plans.seeds import ACCEPTANCE_SQL, ALONE_SQL, LONG_SQL, SEEDED_SQL
+from tonewright.plans.seeds import ACCEPTANCE_SQL, ALONE_SQL, LONG_SQL, SEEDED_SQL, SPANS_SQL
 
 BAR = "¦"
 #: RE2 has no look-ahead: pattern -> (pattern without it, condition on the text after the match).
@@ -702,6 +702,62 @@ def rewriting_sql() -> dict[str, str]:
     }
 
 
+def trimmed(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def each_replaced_sql(steps: list[tuple[str, str]]) -> str:
+    """Digest of the texts after steps of a pattern and what a match m becomes."""
+    ctes = [SPANS_SQL]
+    for n, (pattern, change) in enumerate(steps, 1):
+        source = "spans" if n == 1 else f"s{n - 1}"
+        woven = f"array_to_string(list_transform(list_zip(g, h), lambda z: coalesce(z[1], '') || coalesce(list_transform([z[2]], lambda m: {change})[1], '')), '')"
+        ctes.append(f"s{n} AS (SELECT doc_id, {woven} AS text FROM (SELECT doc_id, string_split_regex(text, {q(pattern)}) AS g, regexp_extract_all(text, {q(pattern)}) AS h FROM {source}))")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, length(text) AS n, md5(text) AS md5 FROM s{len(steps)}"
+
+
+def span_sql() -> dict[str, str]:
+    """Patterns of which a part stays, and the layout. RE2 has no look-around, so p01 in English, left-overs and sentence joining have tests only."""
+    from tonewright.functions import rewrite_values as R
+    from tonewright.operators import rewrite as W
+
+    group = lambda p, n: trimmed(f"regexp_extract(m, {q(p)}, {n})")
+    any_case = lambda p: f"(?i){p}"
+    pair = lambda a, b, between: f"array_to_string(list_filter([{a}, {b}], lambda p: p <> ''), '{between}')"
+    bare = lambda x: trimmed(rf"regexp_replace({x}, '^[，,。.\s]+', '')")
+    clause = "string_split(m, '，')[-1]"
+    for word in R.CONNECTORS:
+        clause = trimmed(f"replace({clause}, '{word}', '')")
+    hands = r"string_split_regex(m, '(?i)on\s+the\s+other\s+hand')"
+    first = rf"regexp_replace({trimmed(hands + '[1]')}, '(?i)^on\s+one\s+hand\s*[,.]?\s*', '')"
+    rest = r"regexp_extract(m, '(?is)^.*?on\s+the\s+other\s+hand(.*)$', 1)"
+    filler = (
+        f"CASE WHEN contains(lower(m), 'on the other hand') THEN {pair(bare(first), bare(rest), ' ')} "
+        rf"WHEN regexp_matches(m, '(?i)but\s+also') THEN {bare(r"regexp_replace(m, '(?is)^.*?but\s+also', '')")} "
+        rf"WHEN regexp_matches(m, '(?i)\band\b') THEN {bare(r"regexp_replace(m, '(?is)^.*?\band\b', '')")} ELSE '' END"
+    )
+    both = any_case(W.COORDINATION_EN)
+    line, gap = r"[ \t]*\n[ \t]*", r"[ \t]*\n[ \t]*\n+[ \t]*"
+    parts = f"list_transform(string_split_regex(text, {q(gap)}), lambda p: {trimmed(f'regexp_replace(p, {q(line)}, chr(10), {q("g")})')})"
+    laid = trimmed(f"array_to_string({parts}, chr(10) || chr(10))")
+    from tonewright.operators.phrases import PROTECTED
+
+    return {
+        "rw02_layout": f"WITH {SPANS_SQL} SELECT doc_id, length(o) AS n, md5(o) AS md5 FROM (SELECT doc_id, {laid} AS o FROM spans)",
+        "rw03_reversals_zh": each_replaced_sql([(any_case(W.REVERSAL_ZH), trimmed("'是' || regexp_replace(m, '(?s)^.*?而是', '')"))]),
+        "rw09_imbalances": each_replaced_sql([(any_case(p), group(any_case(p), 1)) for p in (W.IMBALANCE_ZH, W.IMBALANCE_EN)]),
+        "rw22_coordinations_zh": each_replaced_sql([(W.COORDINATION_ZH, r"trim(regexp_replace(regexp_replace(m, '^(?:既|不仅|不但)', ''), '(?s)^(.*?)(?:也|而且|又)', '\1'), '，, ')")]),
+        "rw22_coordinations_en": each_replaced_sql([(both, f"CASE WHEN starts_with(lower(m), 'not only') THEN {pair(group(both, 2), group(both, 3), ' and ')} ELSE {group(both, 4)} END")]),
+        "rw32_symmetry_zh": each_replaced_sql([(any_case(p), f"CASE WHEN contains(m, '，') THEN {trimmed(f"trim({clause}, '，。')")} ELSE '' END") for p in V.SYMMETRY]),
+        "rw33_symmetry_en": each_replaced_sql([(any_case(p), filler) for p in V.SYMMETRY_EN]),
+        "rw34_cross_sentence": each_replaced_sql([(any_case(p), trimmed(f"string_split(m, '{w}')[-1]")) for w, p in W.CROSS_SENTENCE.items()]),
+        "ph01_protected_parts": (
+            f"WITH {SPANS_SQL}, parted AS (SELECT doc_id, string_split_regex(text, {q(PROTECTED)}) AS g, regexp_extract_all(text, {q(PROTECTED)}) AS k FROM spans) "
+            f"SELECT doc_id, len(k)::BIGINT AS parts, md5(array_to_string(k, '{BAR}')) AS parts_md5, md5(array_to_string(g, '{BAR}')) AS gaps_md5 FROM parted"
+        ),
+    }
+
+
 def keyword_sql(listed: list[str]) -> str:
     return f"WITH {SEEDED_SQL} SELECT doc_id, array_to_string({words('text', listed)}, '|') AS found FROM seeded"
 

@@ -14,7 +14,7 @@ from tonewright.functions.text import present, stripped
 from tonewright.operators import detect, gate, model, near_copies, paragraphs, phrases, professional, punctuation, rewrite, scene, score, watermark
 from tonewright.operators import hits as H
 from tonewright.plans import checks as C
-from tonewright.plans.seeds import seeded, seeded_alone, seeded_long, with_acceptance
+from tonewright.plans.seeds import seeded, seeded_alone, seeded_long, seeded_spans, with_acceptance
 from tonewright.sources import files
 from tonewright.sources.files import spread
 
@@ -442,6 +442,34 @@ for _name, _make in _REWRITING.items():
     register(_name, digest(_make), C.rewriting_sql()[_name])
 
 
+def span_digest(make: Callable[[Column], Column]) -> Query:
+    """As `digest`, over documents led by openings and closings."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = seeded_spans(spark, sf_dir).select("doc_id", make(F.col("text")).alias("o"))
+        return df.select("doc_id", F.length("o").cast("long").alias("n"), F.md5(F.col("o").cast("binary")).alias("md5"))
+    return run
+
+
+_SPANNING = {
+    "rw02_layout": rewrite.laid_out, "rw03_reversals_zh": rewrite.reversals_zh, "rw03_reversals_en": rewrite.reversals_en, "rw09_imbalances": rewrite.imbalances,
+    "rw22_coordinations_zh": rewrite.coordinations_zh, "rw22_coordinations_en": rewrite.coordinations_en, "rw32_symmetry_zh": rewrite.symmetry_collapsed,
+    "rw33_symmetry_en": rewrite.symmetry_collapsed_en, "rw34_cross_sentence": rewrite.cross_sentences, "rw37_residue": rewrite.residue_cleaned, "rw38_sentences": rewrite.sentences_joined,
+}
+for _name, _make in _SPANNING.items():
+    register(_name, span_digest(_make), C.span_sql().get(_name))
+
+
+def protected_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each document that no phrase may touch, and what lies between them."""
+    pieces, kept = phrases.parted(F.col("text"))
+    df = seeded_spans(spark, sf_dir).select("doc_id", pieces.alias("g"), kept.alias("k"))
+    joined = lambda c: F.md5(F.array_join(c, C.BAR).cast("binary"))
+    return df.select("doc_id", F.size("k").cast("long").alias("parts"), joined("k").alias("parts_md5"), joined("g").alias("gaps_md5"))
+
+
+register("ph01_protected_parts", protected_query, C.span_sql()["ph01_protected_parts"])
+
+
 @F.pandas_udf(StringType())
 def markdown_column(texts: pd.Series) -> pd.Series:
     return texts.map(rewrite.rewrite_markdown)

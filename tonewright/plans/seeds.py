@@ -128,3 +128,30 @@ def with_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ACCEPTANCE_SQL = f"{SEEDED_SQL[:-1]} UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {sql_text(t)})' for i, t in ACCEPTANCE)}) v(doc_id, text))"
+
+#: Openings with and without their closings, for rewriting that keeps a part of each match.
+SPAN_SNIPPETS = [
+    "这不是运气，而是方法。并非偶然, 而是必然！不是猫而是狗。不是这样，也不是那样。",
+    "It is not luck, but work. It was not just fast but small. It is not only fast but also small. Not a word.",
+    "一方面便宜，更重要的是耐用。不仅快，更重要的是 稳！不仅如此。",
+    "It is not only cheap, but more importantly it lasts. Not just now, but more importantly later!",
+    "既便宜，又好用。不仅快，而且也稳。不但新，也好看，还轻！既然来了。",
+    "It is not only fast but also small. Both red paint and blue paint came. Both left.",
+    "一方面成本在降，另一方面质量在升。虽然难，但值得。虽然但是。不仅累而且困。",
+    "On one hand, it is cheap, on the other hand, it breaks. Both cats and dogs. Not only A but also B.",
+    "Not only is it new.\nIt is seen but also known widely. Not only is it old. It also works!",
+    "首行 \n 次行\n\n\n 新段 \t\n \n再段\n",
+    "，，好的。。的、行，！ 是 。系统性的，、全面的做法……",
+    "甲。 ，乙！丙? 版本 v1.2 好. Then go.Now stop. 见 e.g.x 。",
+    "`a` 与 https://a.b/c 间，“引文”外；甲/乙/丙。\n| 表 | 行 |\n尾。",
+]
+
+
+def seeded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: a snippet of openings and closings, a line feed, the whole document."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("own")))
+    turn = F.get(F.array(*map(F.lit, SPAN_SNIPPETS)), F.pmod("doc_id", F.lit(len(SPAN_SNIPPETS))).cast("int"))
+    return docs.select("doc_id", F.concat(turn, F.lit("\n"), F.coalesce("own", F.lit(""))).alias("text"))
+
+
+SPANS_SQL = f"spans AS (SELECT doc_id, ([{', '.join(map(sql_text, SPAN_SNIPPETS))}])[(doc_id % {len(SPAN_SNIPPETS)}) + 1] || chr(10) || coalesce(text, '') AS text FROM documents)"

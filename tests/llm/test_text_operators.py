@@ -272,3 +272,11 @@ def test_loss_digest_follows_the_mask(spark):
     for df, loss in ((out, rows[1][3] + "second"), (wrong, rows[1][3])):
         (r,) = chat_format.digests(df).collect()
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_a_lost_round_trip_ends_the_job(spark):
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "answer")]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chat_format.digests(out).count() == 1
+    with pytest.raises(Exception, match="does not parse back to its source: 1"):
+        chat_format.digests(out.withColumn("round_trip", F.lit(False))).collect()

@@ -6,7 +6,7 @@ control string, and undoes escapes (a backslash stands for the character after i
 written as it is and parsed; if what is recovered differs from the source, its control strings and
 backslashes are escaped and it is parsed again; if it still differs, every character that can start a
 control string is escaped, after which the parser always recovers it. The whole output is parsed once more
-and compared to the source turn by turn (`round_trip`).
+and compared to the source turn by turn (`round_trip`); digests of one that differs raise an error.
 
 The loss mask is the list of turns of the masked role, and its code-point spans in the output.
 
@@ -106,12 +106,14 @@ def loss_spans(cuts: Column, role: str = ASSISTANT) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
+    """Digests of what is read back. A conversation that does not read back as its source ends the job instead of going out wrong."""
+    lost = F.raise_error(F.concat(F.lit("conversation does not parse back to its source: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("long")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = F.transform("loss_spans", lambda s: unescaped(F.substr("formatted", (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int"))))
     loss = F.array_join(masked, "")
     return formatted.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
+        F.when(F.col("round_trip"), F.size("turns").cast("long")).otherwise(lost).alias("n_turns"),
         F.sha2(every.cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),

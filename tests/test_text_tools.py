@@ -285,3 +285,22 @@ def test_streaming_delivery(spark, tmp_path):
     assert sent.count() == 2 and [r.message_id for r in edited.collect()] == ["m1"]
     final = {r.message_id: r.text for r in messages.latest(sent, edited).collect()}
     assert final["m2"] == "短,的" and "，" in final["m1"]
+
+
+def test_replies_in_fences(spark):
+    item = '{"pattern_id":"p01","matched_text":"甲"}'
+    replies = [f"```json\n[{item}]\n```", f"\n\n```\n{{\"results\":[{item}]}}\n```\n", f"  [{item}]  ", "```json\n[]\n```", "```", "", f"```json\n{item}"]
+    found = one(spark, replies, model.parse_detections)
+    assert [[(d.pattern_id, d.matched_text) for d in f] for f in found] == [[("p01", "甲")]] * 3 + [[]] * 4
+    rows = model.create_detector(True, "openai", model.mock_detector_transport)(files.from_strings(spark, [f"这里{model.MOCK_WORD}有", "没有", None])).orderBy("doc_id").collect()
+    assert [[d.matched_text for d in r.detections] for r in rows] == [[model.MOCK_WORD], [], []]
+
+
+def test_sync_send_is_the_delivered_text(spark):
+    texts = ["首先,团队要赋能一线;其次,形成闭环." * 20, "短", None]
+    df = files.from_strings(spark, texts)
+    sent = gate.with_send(df, {"enabled": True, "mode": "sync"}).orderBy("doc_id").collect()
+    delivered = gate.with_delivery(df).orderBy("doc_id").collect()
+    assert [r.pending_text for r in sent] == [None] * 3
+    assert sent[0].send_text == delivered[0].delivered != texts[0]
+    assert [r.send_text for r in sent[1:]] == ["短", ""]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+import json
 import queue
 import re
 import threading
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from tonewright.functions.text import stripped
 from tonewright.operators import paragraphs, rewrite
 from tonewright.operators import scene as scenes
 
@@ -246,7 +248,7 @@ def mock_transport(request: list[dict]) -> str:
 def parse_detections(reply: Column) -> Column:
     """Detections of a model's reply: a JSON list, or an object with detections, results or items; fences are dropped."""
     item = "array<struct<pattern_id:string,pattern_name:string,confidence:double,matched_text:string,suggestion:string>>"
-    bare = F.trim(F.regexp_replace(reply, F.lit(r"(?m)^```\w*\s*$"), F.lit("")))
+    bare = stripped(F.regexp_replace(reply, F.lit(r"(?m)^```\w*\s*$"), F.lit("")))
     nested = F.from_json(bare, f"struct<detections:{item},results:{item},items:{item}>")
     # An object read as a list would be one item without fields.
     listed = F.when(F.startswith(bare, F.lit("[")), F.from_json(bare, item))
@@ -260,6 +262,12 @@ def mock_detections(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MOCK_WORD)), F.array(F.lit(MOCK_WORD))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def mock_detector_transport(request: list[dict]) -> str:
+    """Answers like a service: a fenced list of one detection for a text with the mock's word, else an empty one."""
+    found = [{"pattern_id": "p08", "pattern_name": "meta", "confidence": 0.9, "matched_text": MOCK_WORD, "suggestion": ""}] if MOCK_WORD in request[-1]["content"] else []
+    return f"```json\n{json.dumps(found, ensure_ascii=False)}\n```"
+
+
 DETECT = (
     "Check the text for formulaic writing; change nothing. Answer with a JSON list of objects with pattern_id, pattern_name, confidence (0 to 1), "
     "matched_text (word by word from the text) and suggestion, or with [] if there is none."

@@ -231,6 +231,39 @@ def hit_rows_sql() -> str:
     return f"{head} SELECT category, coalesce(pattern_id, '-') AS pattern_id, count(*) AS n, sum(penalty)::BIGINT AS penalty, count(DISTINCT doc_id) AS docs FROM found GROUP BY 1, 2"
 
 
+def ordered_hits(scene: str = "base") -> str:
+    """UNION ALL of doc_id, part, n, category, pattern_id, t: hits in the order in which a score lists them."""
+    each = lambda lst, category, pid: f"doc_id, unnest({lst}) AS t, generate_subscripts({lst}, 1) AS n, '{category}' AS category, {q(pid) if pid else 'NULL'} AS pattern_id FROM bodies"
+    placed = lambda rows, pid: f"doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) AS n, 'pattern' AS category, '{pid}' AS pattern_id FROM ({rows})"
+    listed = [each(matches("body", patterns, any_case), category, None) for category, _, patterns, any_case in H.LISTED.values()]
+    parts = [each(words("body", V.TIER1_ZH), "tier1_zh", None), each(tier1_en_list("body"), "tier1_en", None), *listed[:5], each(words("body", V.IDIOMS), "idiom_fillers", None), *listed[5:]]
+    parts.append(each(words("body", [w for w in V.RESIDUAL_WORDS if w not in V.TIER1_ZH]), "lexicon_residual", None))
+    parts += [each(sentence_list("body", p), "pattern", p) for p in V.SENTENCES] + [each(matches("body", H.UNDUE_PATTERNS, True), "pattern", H.UNDUE)]
+    light = f"string_split(light_hits, '{BAR}')"
+    parts += [placed(slang_rows(V.HARD_SLANG), H.SLANG), each(light, "pattern", H.SLANG).replace("FROM bodies", "FROM graded WHERE severity <> 'pass' AND light_hits <> ''")]
+    parts += [placed(judged_rows(p), p) for p in H.active(scene) if V.JUDGED[p][0] > 0]
+    return " UNION ALL ".join(f"SELECT {no} AS part, {p}" for no, p in enumerate(parts))
+
+
+def categories_sql() -> str:
+    """Last matched text of each category among the first twenty hits of a document."""
+    scored = score_sql("base")
+    head = scored[: scored.index(", found AS")]
+    spared = [f"NOT (coalesce(pattern_id, category) = {q(key)} AND regexp_matches(t, {q('|'.join(listed))}))" for key, listed in V.PROFILES["base"].get("exempt", {}).items()]
+    return (
+        f"{head}, numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, n) AS no FROM ({ordered_hits()}) WHERE {' AND '.join(spared or ['true'])}), "
+        "lasting AS (SELECT doc_id, category, arg_max(t, no) AS t FROM numbered WHERE no <= 20 GROUP BY 1, 2), "
+        "joined AS (SELECT doc_id, string_agg(category || '=' || t, '|' ORDER BY category) AS c FROM lasting GROUP BY 1) "
+        "SELECT b.doc_id, coalesce(c, '') AS categories FROM bodies b LEFT JOIN joined USING (doc_id)"
+    )
+
+
+def detector_transport_sql() -> str:
+    from tonewright.operators.model import MOCK_WORD
+
+    return f"WITH {SEEDED_SQL} SELECT doc_id, contains(text, '{MOCK_WORD}')::BIGINT AS found, CASE WHEN contains(text, '{MOCK_WORD}') THEN 'p08:{MOCK_WORD}:0.9' ELSE '' END AS listed FROM seeded"
+
+
 # --- density ---
 
 

@@ -128,7 +128,7 @@ def details_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("sc08_details", details_query, f"SELECT doc_id, round(raw * 1000.0 / greatest(char_count, 1), 6) AS norm_penalty, round(hit_count * 1000.0 / greatest(char_count, 1), 6) AS hits_per_1k FROM ({C.score_sql('base')})")
-register("sc08_categories", lambda spark, sf_dir: score.with_score(seeded(spark, sf_dir)).select("doc_id", score.categories_of(F.col("hits")).alias("categories")))
+register("sc08_categories", lambda spark, sf_dir: score.with_score(seeded(spark, sf_dir)).select("doc_id", score.categories_of(F.col("hits")).alias("categories")), C.categories_sql())
 
 
 def cross_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,17 @@ register(
     f"WITH {C.SEEDED_SQL} SELECT doc_id, 'p08' AS pattern_id FROM seeded WHERE contains(text, '值得注意的是')",
 )
 
+
+
+def model_detector_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model's replies list of each document, by a transport that answers as a service would."""
+    detector = model.create_detector(True, "openai", model.mock_detector_transport)
+    each = lambda d: F.concat_ws(":", d["pattern_id"], d["matched_text"], d["confidence"].cast("string"))
+    return detector(seeded(spark, sf_dir)).select("doc_id", F.size("detections").cast("long").alias("found"), F.array_join(F.transform("detections", each), "|").alias("listed"))
+
+
+register("dt13_model_detector", model_detector_query, C.detector_transport_sql())
+
 # --- professionalism ---
 
 
@@ -543,6 +554,10 @@ def prepared_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("gt09_prepare_send", prepared_query, f"WITH {C.LONG_SQL}, e AS ({C.eligible_sql()}) SELECT s.doc_id, length(text) AS sent_chars, eligible AS edit_follows FROM long s JOIN e USING (doc_id)")
+register(
+    "gt09_send_sync",
+    lambda spark, sf_dir: gate.with_send(seeded_long(spark, sf_dir), {"enabled": True, "mode": "sync"}).select("doc_id", F.length("send_text").cast("long").alias("sent_chars"), F.md5(F.col("send_text").cast("binary")).alias("md5")),
+)
 register(
     "gt10_edits",
     lambda spark, sf_dir: gate.with_edit(seeded_long(spark, sf_dir), {"enabled": True, "mode": "async_edit"}, model.mock_transport).select("doc_id", F.md5(F.col("edited").cast("binary")).alias("md5")),

@@ -217,3 +217,22 @@ def test_acceptance_sets(spark):
     dirty = [r.raw > 0 or r.compliance_hit for r in rows]
     assert all(dirty[: len(seeds.ADVERSARIAL)]) and not any(dirty[len(seeds.ADVERSARIAL) :])
     assert all(r.score == 100 for r in rows[len(seeds.ADVERSARIAL) :])
+
+
+def test_words_are_found_in_short_runs(spark):
+    """What a Latin text holds of wide characters is short, and every hit is found as in the whole text."""
+    from tonewright.functions.text import wide_runs, with_held
+
+    texts = ["赋能与闭环。" + "the tion of and, " * 500, "\u212aey: 栓Q 芭比Q EMO yyds，此外，robust。", "\u0130n summary, DELVE \u0130t. This is \u017feen。", "！全面、深度、广度。\n？赋能，协同，引领！", "。", None, "既快，又稳。" * 30]
+    df = from_strings(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    b = F.col("body")
+    assert df.select(F.length(wide_runs(b))).first()[0] < 20
+    df, held = with_held(df, "h", b)
+    pairs = {p: (H.sentence(b, p), H.sentence(b, p, held, H.up_to_last_mark(b))) for p in V.SENTENCES} | {p: (H.judged(b, p), H.judged(b, p, held=held)) for p in V.JUDGED}
+    pairs |= {r: (H.listed(b, r), H.listed(b, r, "base", held)) for r in H.LISTED} | {"en": (H.tier1_en(b), H.tier1_en(b, held)), "zh": (H.tier1_zh(b), H.tier1_zh(b, held)), "undue": (H.undue_caution(b), H.undue_caution(b, held))}
+    pairs["slang"] = (H.slang(b, b)["hard"], H.slang(b, b, (held.wide, held.lowered))["hard"])
+    row = df.select(*[F.collect_list(x).alias(f"{k}{i}") for k, two in pairs.items() for i, x in enumerate(two)]).first()
+    for k in pairs:
+        assert row[f"{k}0"] == row[f"{k}1"], k
+    assert row["slang1"][1] == ["栓Q", "芭比Q", "EMO", "yyds"]
+    assert len(row["en1"][2]) == 1 and row["p05_forced_triads1"][3]

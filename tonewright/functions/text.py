@@ -13,6 +13,7 @@ import functools
 import re
 import re._constants as kinds
 import re._parser as parser
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,23 +97,67 @@ def holds_one(text: Column, words) -> Column:
     return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def can_match(text: Column, pattern: str, ignore_case: bool = False, lowered: Column | None = None) -> Column | None:
-    """A quick condition that every text with a match meets, if there is one. lowered: the text in lower case, if it is at hand."""
+#: Words of characters from here on are looked for in what is left of a text without all others.
+FIRST_WIDE = 0x2000
+
+
+def wide(word: str) -> bool:
+    return all(ord(c) >= FIRST_WIDE for c in word)
+
+
+def wide_runs(text: Column) -> Column:
+    """Runs of wide characters, parted by line feeds: a wide word is in them if it is in the text."""
+    return F.regexp_replace(text, F.lit(rf"[\x00-\x{{{FIRST_WIDE - 1:x}}}]+"), F.lit("\n"))
+
+
+class Held(NamedTuple):
+    """Where words are looked for instead of in a whole text: its wide runs, and its ASCII as it stands and in lower case."""
+
+    wide: Column
+    narrow: Column
+    lowered: Column
+
+    def holds(self, text: Column, words, folded: bool = False) -> Column:
+        """As `holds_one` of the text, or of the text in lower case if `folded`."""
+        words = list(words)
+        kinds = [(self.wide, [w for w in words if wide(w)]), (self.lowered if folded else self.narrow, [w for w in words if w.isascii()])]
+        kinds.append((F.lower(text) if folded else text, [w for w in words if not wide(w) and not w.isascii()]))
+        return functools.reduce(lambda a, b: a | b, [holds_one(where, own) for where, own in kinds if own])
+
+
+def with_held(df: DataFrame, into: str, text: Column) -> tuple[DataFrame, Held]:
+    """Adds what words are looked for in. A text that is ASCII but for some words is short in wide characters, and cheap to lower."""
+    df = computed_once(df, **{f"{into}_wide": wide_runs(text), f"{into}_narrow": F.regexp_replace(text, F.lit(r"[^\x00-\x7f]+"), F.lit("\n"))})
+    # The only other characters of which ASCII letters are the lower case.
+    folding = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    df = computed_once(df, **{f"{into}_low": F.when(folding, F.lower(text)).otherwise(F.lower(f"{into}_narrow"))})
+    return df, Held(F.col(f"{into}_wide"), F.col(f"{into}_narrow"), F.col(f"{into}_low"))
+
+
+def can_match(text: Column, pattern: str, ignore_case: bool = False, held: Held | None = None) -> Column | None:
+    """A quick condition that every text with a match meets, if there is one. held: what the text holds, if it is at hand."""
     words = needed(pattern, ignore_case)
     if not words:
         return None
     folded = java(pattern, ignore_case) != java(pattern, False)
-    return holds_one((F.lower(text) if lowered is None else lowered) if folded else text, words)
+    if held:
+        return held.holds(text, words, folded)
+    return holds_one(F.lower(text) if folded else text, words)
+
+
+def fitting(text: Column, parts: list[tuple[str, list[str]]], flags: str = "", always: str = "(?!)") -> Column:
+    """One pattern of the parts that the text can hold, in order, and `always`. parts: patterns, and words of which every match holds one."""
+    return F.concat(F.lit(flags), F.concat_ws("|", *[F.when(holds_one(text, words), F.lit(p)) for p, words in parts], F.lit(always)))
 
 
 NO_TEXTS = "cast(array() as array<string>)"
 NO_SPANS = "cast(array() as array<struct<s:int,e:int,t:string>>)"
 
 
-def find_all(text: Column, pattern: str, ignore_case: bool = False, group: int = 0, lowered: Column | None = None) -> Column:
+def find_all(text: Column, pattern: str, ignore_case: bool = False, group: int = 0, held: Held | None = None) -> Column:
     """All matches, left to right."""
     found = F.regexp_extract_all(text, F.lit(java(pattern, ignore_case)), group)
-    able = can_match(text, pattern, ignore_case, lowered)
+    able = can_match(text, pattern, ignore_case, held)
     return found if able is None else F.when(able, found).otherwise(F.expr(NO_TEXTS))
 
 
@@ -120,8 +165,8 @@ def count_matches(text: Column, pattern: str, ignore_case: bool = False) -> Colu
     return F.size(find_all(text, pattern, ignore_case))
 
 
-def has(text: Column, pattern: str, ignore_case: bool = False, lowered: Column | None = None) -> Column:
-    able = can_match(text, pattern, ignore_case, lowered)
+def has(text: Column, pattern: str, ignore_case: bool = False, held: Held | None = None) -> Column:
+    able = can_match(text, pattern, ignore_case, held)
     found = F.rlike(text, F.lit(java(pattern, ignore_case)))
     return found if able is None else able & found
 
@@ -136,6 +181,11 @@ def any_of(text: Column, words: list[str]) -> Column:
     return holds_one(text, [w for w in words if not any(v != w and v in w for v in words)])
 
 
+def any_wide(text: Column, words: list[str]) -> Column:
+    """As `any_of`, for wide words: they are looked for in the wide runs, which as the only element of an array are made once."""
+    return F.transform(F.array(wide_runs(text)), lambda runs: any_of(runs, words))[0]
+
+
 def present(text: Column, words: list[str]) -> Column:
     """The words that the text holds, in list order."""
     return F.filter(fixed_array(words), lambda w: F.contains(text, w))
@@ -159,10 +209,10 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, F.lit(r"(?U)\A\s+"), F.lit("")), F.lit(r"(?U)(?<!\s)\s+\z"), F.lit(""))
 
 
-def spans(text: Column, pattern: str, ignore_case: bool = False, lowered: Column | None = None) -> Column:
+def spans(text: Column, pattern: str, ignore_case: bool = False, held: Held | None = None) -> Column:
     """array<struct<s, e, t>> of all matches: half-open code-point offsets and texts."""
     # Most texts have no match; one search tells.
-    return F.when(has(text, pattern, ignore_case, lowered), placed(text, F.lit(java(pattern, ignore_case)))).otherwise(F.expr(NO_SPANS))
+    return F.when(has(text, pattern, ignore_case, held), placed(text, F.lit(java(pattern, ignore_case)))).otherwise(F.expr(NO_SPANS))
 
 
 #: Spans of pairs x of a piece and the match after it: offsets are summed up left to right within blocks of 256, as what a fold
@@ -179,8 +229,8 @@ SUMMED = f"""x -> aggregate(
 def placed(text: Column, regex: Column) -> Column:
     """Spans of all matches, in time that grows with their number. Offsets come from the pieces between the matches and the matches."""
     pieces, found = F.split(text, regex, -1), F.regexp_extract_all(text, regex, 0)
-    # As the only element of an array the pairs are made once, not once a block.
-    pairs = F.array(F.arrays_zip(F.slice(pieces, 1, F.size(found)), found))
+    # As the only element of an array the matches and the pairs are made once, not once a use.
+    pairs = F.transform(F.array(found), lambda x: F.arrays_zip(F.slice(pieces, 1, F.size(x)).alias("0"), x.alias("1")))
     return F.call_function("transform", pairs, F.expr(SUMMED))[0]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import NO_SPANS, NO_TEXTS, any_of, computed_once, find_all, fixed_array, has, holds_one, java, outermost, placed, present, replace_all, spans, without_space
+from tonewright.functions.text import Held, NO_SPANS, NO_TEXTS, any_of, computed_once, find_all, fixed_array, has, holds_one, java, outermost, placed, present, replace_all, spans, wide, wide_runs, with_held, without_space
 
 HIT = "array<struct<category:string,pattern_id:string,matched:string,penalty:int>>"
 SLANG = "p27_over_colloquial"
@@ -44,17 +44,22 @@ def as_hits(texts: Column, category: str, pattern_id: str | None, penalty: int |
     return F.transform(texts, lambda t: F.struct(F.lit(category).alias("category"), F.lit(pattern_id).cast("string").alias("pattern_id"), t.alias("matched"), F.lit(penalty).alias("penalty")))
 
 
-def every(body: Column, patterns: list[str], ignore_case: bool = True, lowered: Column | None = None) -> Column:
-    return F.flatten(F.array(*[find_all(body, p, ignore_case, lowered=lowered) for p in patterns]))
+def every(body: Column, patterns: list[str], ignore_case: bool = True, held: Held | None = None) -> Column:
+    return F.flatten(F.array(*[find_all(body, p, ignore_case, held=held) for p in patterns]))
 
 
-def tier1_zh(body: Column) -> Column:
-    return as_hits(present(body, V.TIER1_ZH), "tier1_zh", None, 5)
+def within(body: Column, held: Held | None) -> Column:
+    """Where wide words are looked for: in what the body holds, if that is at hand."""
+    return body if held is None else held.wide
 
 
-def tier1_en(body: Column, lowered: Column | None = None) -> Column:
+def tier1_zh(body: Column, held: Held | None = None) -> Column:
+    return as_hits(present(within(body, held), V.TIER1_ZH), "tier1_zh", None, 5)
+
+
+def tier1_en(body: Column, held: Held | None = None) -> Column:
     """Words without their final marks, in any case; the hit carries the listed form."""
-    lowered = F.lower(body) if lowered is None else lowered
+    lowered = F.lower(body) if held is None else held.lowered
     listed_words = fixed_array([(w.rstrip(".,;:!?").lower(), w) for w in V.TIER1_EN])
     return as_hits(F.transform(F.filter(listed_words, lambda x: F.contains(lowered, x["a"])), lambda x: x["b"]), "tier1_en", None, 5)
 
@@ -71,57 +76,77 @@ LISTED = {
 }
 
 
-def listed(body: Column, rule: str, scene: Scenes = "base", lowered: Column | None = None) -> Column:
+def listed(body: Column, rule: str, scene: Scenes = "base", held: Held | None = None) -> Column:
     category, penalty, patterns, ignore_case = LISTED[rule]
-    return as_hits(every(body, patterns, ignore_case, lowered), category, None, each_scene(scene, lambda s: penalties(s).get(category, penalty)))
+    return as_hits(every(body, patterns, ignore_case, held), category, None, each_scene(scene, lambda s: penalties(s).get(category, penalty)))
 
 
-def idioms(body: Column, scene: Scenes = "base") -> Column:
-    return as_hits(present(body, V.IDIOMS), "idiom_fillers", None, each_scene(scene, lambda s: penalties(s).get("idiom_fillers", 3)))
+def idioms(body: Column, scene: Scenes = "base", held: Held | None = None) -> Column:
+    return as_hits(present(within(body, held), V.IDIOMS), "idiom_fillers", None, each_scene(scene, lambda s: penalties(s).get("idiom_fillers", 3)))
 
 
 def penalties(scene: str) -> dict[str, int]:
     return V.PROFILES[scene].get("penalties", {})
 
 
-def residual(body: Column) -> Column:
+def residual(body: Column, held: Held | None = None) -> Column:
     """Jargon nouns that the first tier does not already count."""
-    return as_hits(present(body, [w for w in V.RESIDUAL_WORDS if w not in V.TIER1_ZH]), "lexicon_residual", None, 4)
+    return as_hits(present(within(body, held), [w for w in V.RESIDUAL_WORDS if w not in V.TIER1_ZH]), "lexicon_residual", None, 4)
+
 
+def parallel_items(body: Column, pattern: str, items: int, some: Column) -> Column:
+    """Texts of enumerations whose items are short and hollow: one strong keyword, or a keyword in every item.
 
-def parallel_items(body: Column, pattern: str, items: int) -> Column:
-    """Texts of enumerations whose items are short and hollow: one strong keyword, or a keyword in every item."""
+    The text is searched once; items are taken from what was found, of which one alone may begin with the text.
+    """
     wrapped = f"(?U)^{V.WRAPPERS}+|{V.WRAPPERS}+$"
-    found = [find_all(body, pattern, group=g) for g in range(items + 1)]
-    rows = F.arrays_zip(*[f.alias(f"g{i}") for i, f in enumerate(found)])
+    led = pattern.removeprefix(r"(?:^|[。！？\n])")
+    known = V.STRONG_KEYWORDS + V.WEAK_KEYWORDS
 
-    def hollow(row: Column) -> Column:
-        parts = [row[f"g{i}"] for i in range(1, items + 1)]
+    def hollow(found: Column, no: Column) -> Column:
+        first = (no == 0) & F.startswith(body, found)
+        item = lambda i: F.when(first, F.regexp_extract(found, java(rf"\A(?:|[。！？\n]){led}"), i)).otherwise(F.regexp_extract(found, java(rf"\A[。！？\n]{led}"), i))
+        parts = [item(i) for i in range(1, items + 1)]
         short, strong, all_known = F.lit(True), F.lit(False), F.lit(True)
         for part in parts:
             short = short & (F.length(F.regexp_replace(part, F.lit(wrapped), F.lit(""))) <= V.LONGEST_ITEM)
             strong = strong | any_of(part, V.STRONG_KEYWORDS)
-            all_known = all_known & any_of(part, V.STRONG_KEYWORDS + V.WEAK_KEYWORDS)
-        return short & (strong | all_known)
+            all_known = all_known & any_of(part, known)
+        return any_of(found, known) & short & (strong | all_known)
+
+    # Whatever its items, an enumeration without a keyword in it is none. some: does the body hold one?
+    return F.when(some, F.filter(find_all(body, pattern), hollow)).otherwise(F.expr(NO_TEXTS))
+
 
-    # Whatever its items, an enumeration without a keyword in it is none.
-    some = any_of(body, V.STRONG_KEYWORDS + V.WEAK_KEYWORDS)
-    return F.when(some, F.transform(F.filter(rows, hollow), lambda r: r["g0"])).otherwise(F.expr(NO_TEXTS))
+#: Last characters of sentence patterns that no match goes beyond.
+CLOSED = ("[。！]", "[。？]")
 
 
-def sentence(body: Column, pattern_id: str) -> Column:
+def up_to_last_mark(body: Column) -> Column:
+    """The body up to its last Chinese end mark: patterns that end in one are searched there, as no match reaches further."""
+    return F.regexp_extract(body, r"(?s)\A.*[。！？]", 0)
+
+
+def some_keyword(body: Column, held: Held | None = None) -> Column:
+    known = V.STRONG_KEYWORDS + V.WEAK_KEYWORDS
+    return any_of(body, known) if held is None else held.holds(body, known)
+
+
+def sentence(body: Column, pattern_id: str, held: Held | None = None, closed: Column | None = None, some: Column | None = None) -> Column:
+    """closed: the body up to its last mark; some: does it hold a keyword; if they are at hand."""
     pattern = V.SENTENCES[pattern_id]
+    some = some_keyword(body, held) if some is None else some
     if pattern == V.TRIAD:
-        found = parallel_items(body, pattern, 3)
+        found = parallel_items(body, pattern, 3, some)
     elif pattern == V.FOURFOLD:
-        found = parallel_items(body, pattern, 4)
+        found = parallel_items(body, pattern, 4, some)
     else:
-        found = find_all(body, pattern)
+        found = find_all(closed if closed is not None and pattern.endswith(CLOSED) else body, pattern, held=held)
     return as_hits(found, "pattern", pattern_id, 0 if pattern_id == "p23_false_precision" else 2)
 
 
-def undue_caution(body: Column, lowered: Column | None = None) -> Column:
-    return as_hits(every(body, UNDUE_PATTERNS, lowered=lowered), "pattern", UNDUE, 2)
+def undue_caution(body: Column, held: Held | None = None) -> Column:
+    return as_hits(every(body, UNDUE_PATTERNS, held=held), "pattern", UNDUE, 2)
 
 
 def unquoted(body: Column) -> Column:
@@ -138,11 +163,15 @@ def word_pattern(word: str, covered: bool = True) -> str:
     return java((f"(?<![{COVERED[word]}])" if covered and word in COVERED else "") + word)
 
 
-def word_spans(masked: Column, words: list[str], lowered: Column | None = None, covered: bool = True) -> Column:
-    """Spans of listed words by position; words inside a longer listed word are left out, if `covered`."""
-    lowered = F.lower(masked) if lowered is None else lowered
+def word_spans(masked: Column, words: list[str], held: tuple[Column, Column] | None = None, covered: bool = True) -> Column:
+    """Spans of listed words by position; words inside a longer listed word are left out, if `covered`. held: where wide and other words are looked for."""
+    wide_in, lowered = (masked, F.lower(masked)) if held is None else held
     # Only the words that a text holds are searched for: their patterns come from a table, and are compiled where they are needed.
-    there = F.filter(fixed_array([(w.lower(), word_pattern(w, covered)) for w in words]), lambda x: F.contains(lowered, x["a"]))
+    # A word of both kinds is looked for by what is wide in it.
+    sought = [("".join(c for c in w if wide(c)) or w.lower(), word_pattern(w, covered)) for w in words]
+    kinds = [(wide_in, [x for x in sought if wide(x[0])]), (lowered, [x for x in sought if not wide(x[0])])]
+    inside = lambda where: lambda x: F.contains(where, x["a"])
+    there = F.concat(*[F.filter(fixed_array(own), inside(where)) for where, own in kinds if own])
     return F.array_sort(F.flatten(F.transform(there, lambda x: placed(masked, x["b"]))))
 
 
@@ -151,10 +180,15 @@ def outermost_words(masked: Column, words: list[str]) -> Column:
     return outermost(word_spans(masked, words, covered=False))
 
 
-def slang(body: Column, masked: Column, lowered: Column | None = None) -> Column:
-    """struct<hard, light, n_chars>: counts need a density per hundred visible characters as well. lowered: the masked body in lower case."""
-    hard, light = (F.transform(word_spans(masked, words, lowered), lambda s: s["t"]) for words in (V.HARD_SLANG, V.LIGHT_COLLOQUIAL))
+def slang(body: Column, masked: Column, held: tuple[Column, Column] | None = None, always: bool = True) -> Column:
+    """struct<hard, light, n_chars>: counts need a density per hundred visible characters as well.
+
+    held: where wide and other words are looked for. Unless `always`, n_chars is 1 where no light word needs it.
+    """
+    hard, light = (F.transform(word_spans(masked, words, held), lambda s: s["t"]) for words in (V.HARD_SLANG, V.LIGHT_COLLOQUIAL))
     n = F.greatest(F.length(without_space(body)), F.lit(1))
+    if not always:
+        n = F.when(F.size(light) > 0, n).otherwise(F.lit(1))
     return F.struct(hard.alias("hard"), light.alias("light"), n.alias("n_chars"))
 
 
@@ -170,14 +204,14 @@ def slang_hits(found: Column, scene: Scenes = "base") -> Column:
     return F.concat(hard, F.when((slang_severity(found) != "pass") & (light_penalty > 0), light).otherwise(F.expr(f"cast(array() as {HIT})")))
 
 
-#: What a text must hold for a pattern to match at all, where that is far quicker to see than the pattern.
-NEEDED = {V.JUDGED["p29_maxim_golden_line"][2][0]: r"的[，,]\s*比"}
+#: What a text must hold for a pattern to match at all, where that is far quicker to see than the pattern, and as far as a match can reach.
+NEEDED = {V.JUDGED["p29_maxim_golden_line"][2][0]: (r"的[，,]\s*比", r"(?s)\A.*比.{0,40}")}
 
 
-def judged(body: Column, pattern_id: str, penalty: int | Column | None = None) -> Column:
+def judged(body: Column, pattern_id: str, penalty: int | Column | None = None, held: Held | None = None) -> Column:
     """Hits of a judged pattern: distinct spans of its expressions, none below its least number."""
     own, least, patterns = V.JUDGED[pattern_id]
-    guarded = lambda p: F.when(has(body, NEEDED[p]), spans(body, p)).otherwise(F.expr(NO_SPANS)) if p in NEEDED else spans(body, p)
+    guarded = lambda p: F.when(has(body, NEEDED[p][0], held=held), spans(F.regexp_extract(body, NEEDED[p][1], 0), p, held=held)).otherwise(F.expr(NO_SPANS)) if p in NEEDED else spans(body, p, held=held)
     found = F.array_distinct(F.array_sort(F.flatten(F.array(*[guarded(p) for p in patterns]))))
     found = F.filter(found, lambda s: F.rlike(s["t"], F.lit(r"(?U)\S")))
     texts = F.transform(found, lambda s: s["t"])
@@ -203,20 +237,20 @@ def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
     """
     names = [scene] if isinstance(scene, str) else list(scene)
     b = F.col(body)
-    # Lower case costs as much as several searches: each text is lowered once.
-    df = computed_once(df, __low=F.lower(b), __bare=unquoted(b))
-    low = F.col("__low")
-    df = computed_once(df, __bare_low=F.when(F.col("__bare") == b, low).otherwise(F.lower("__bare")))
-    df = computed_once(df, __slang=slang(b, F.col("__bare"), F.col("__bare_low")))
+    df, held = with_held(df, "__held", b)
+    df = computed_once(df, __bare=unquoted(b), __closed=up_to_last_mark(b), __some=some_keyword(b, held))
+    same = F.col("__bare") == b
+    df = computed_once(df, __bare_wide=F.when(same, held.wide).otherwise(wide_runs("__bare")), __bare_low=F.when(same, held.lowered).otherwise(F.lower("__bare")))
+    df = computed_once(df, __slang=slang(b, F.col("__bare"), (F.col("__bare_wide"), F.col("__bare_low")), always=False))
     rules = list(LISTED)
-    parts = [tier1_zh(b), tier1_en(b, low), *(listed(b, r, scene, low) for r in rules[:5]), idioms(b, scene), *(listed(b, r, scene, low) for r in rules[5:]), residual(b)]
-    parts += [sentence(b, p) for p in V.SENTENCES] + [undue_caution(b, low), slang_hits(F.col("__slang"), scene)]
+    parts = [tier1_zh(b, held), tier1_en(b, held), *(listed(b, r, scene, held) for r in rules[:5]), idioms(b, scene, held), *(listed(b, r, scene, held) for r in rules[5:]), residual(b, held)]
+    parts += [sentence(b, p, held, F.col("__closed"), F.col("__some")) for p in V.SENTENCES] + [undue_caution(b, held), slang_hits(F.col("__slang"), scene)]
     for p in dict.fromkeys(p for name in names for p in active(name)):
         cost = each_scene(scene, lambda s, p=p: price(s, p))
         costs = {price(name, p) for name in names}
         if costs == {0}:
             continue
-        found = judged(b, p, cost)
+        found = judged(b, p, cost, held)
         parts.append(F.when(cost > 0, found).otherwise(F.expr(f"cast(array() as {HIT})")) if 0 in costs else found)
     hits = F.flatten(F.array(*parts))
     for name in names:
@@ -225,7 +259,7 @@ def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
             hits = F.filter(hits, counted(V.PROFILES[name]["off"], here))
         for key, words in V.PROFILES[name].get("exempt", {}).items():
             hits = F.filter(hits, spared(key, words, here))
-    return computed_once(df, hits=hits).drop("__slang", "__low", "__bare", "__bare_low")
+    return computed_once(df, hits=hits).drop("__slang", "__held_wide", "__held_narrow", "__held_low", "__bare", "__bare_wide", "__bare_low", "__closed", "__some")
 
 
 def counted(off: list[str], here: Column):

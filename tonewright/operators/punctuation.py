@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
+from tonewright.functions.text import fitting
 
 HAN = r"\x{4e00}-\x{9fff}"
 NEAR = rf"[{HAN}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}\x{{2026}}]"
@@ -18,6 +19,8 @@ ALNUM = "[A-Za-z0-9]"
 URL = r"(?:https?://|www\.)[^\s\x{4e00}-\x{9fff}\x{ff0c}\x{3002}\x{ff01}\x{ff1f}\x{ff1b}\x{ff1a}\x{3001}\x{ff08}\x{ff09}\x{3010}\x{3011}\x{300c}\x{300d}\x{300e}\x{300f}]+"
 PARTS = [V.PROTECTED[0], V.PROTECTED[1], URL, V.PROTECTED[5]]
 PROTECTED = "(?U)(?s:```.*?```)|" + "|".join(f"(?:{p})" for p in PARTS[1:])
+#: The same one by one, with what each match holds.
+MARKED = [("(?s:```.*?```)", ["```"]), *((f"(?:{p})", words) for p, words in zip(PARTS[1:], (["`"], ["http", "www."], ["@"]), strict=True))]
 HALF, FULL = ",;:!?.", "，；：！？。"
 TOKENS = [r"\bv?\d+(?:\.\d+){1,4}\b", r"\b\d{1,3}(?:,\d{3})+\b", r"\b\d{1,2}:\d{2}(?::\d{2})?\b"]
 
@@ -98,10 +101,15 @@ HOLE = "\ue01f"
 HELD_BACK = rf"{PROTECTED}|[{HOLE}{MARKS}]"
 
 
+def held_back(text: Column) -> Column:
+    """`HELD_BACK` without the parts that the text can't hold."""
+    return fitting(text, MARKED, "(?U)", f"[{HOLE}{MARKS}]")
+
+
 def normalized(text: Column) -> Column:
     """All steps, protected parts left as they are."""
-    kept = F.regexp_extract_all(text, F.lit(HELD_BACK), 0)
-    out = F.regexp_replace(text, F.lit(HELD_BACK), F.lit(HOLE))
+    kept = F.regexp_extract_all(text, held_back(text), F.lit(0))
+    out = F.regexp_replace(text, held_back(text), F.lit(HOLE))
     for step in STEPS.values():
         out = widen_free(out) if step is widen else step(out)
     return woven(F.split(out, HOLE, -1), kept)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import NO_TEXTS, any_of, computed_once, replace_all, stripped
+from tonewright.functions.text import NO_TEXTS, any_of, any_wide, computed_once, replace_all, stripped
 from tonewright.operators.hits import Scenes, each_scene, judged, scene_hits
 from tonewright.operators.scene import AUTO, known, with_chosen
 
@@ -23,7 +23,7 @@ def with_body(df: DataFrame, text: str = "text", body: str = "body") -> DataFram
     """The text that is judged: without code, unless hardly anything else is left. Null text is empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
     df = computed_once(df, __cut=without_code(whole))
-    mostly_code = (F.length(stripped(F.col("__cut"))) < LEAST_BODY) & (F.length(whole) > LEAST_BODY)
+    mostly_code = F.contains(whole, F.lit("`")) & (F.length(whole) > LEAST_BODY) & (F.length(stripped(F.col("__cut"))) < LEAST_BODY)
     return computed_once(df, **{body: F.when(mostly_code, whole).otherwise(F.col("__cut"))}).drop("__cut")
 
 
@@ -70,7 +70,7 @@ def cross_compliance(text: Column, scene: Scenes) -> Column:
     found = []
     for name, profile in V.PROFILES.items():
         if name != scene and profile.get("compliance"):
-            inside = any_of(text, profile["domain"])
+            inside = any_wide(text, profile["domain"])
             found += red_lines(text, profile["compliance"], inside if isinstance(scene, str) or name not in scene else inside & ~scene[name])
     return F.array_compact(F.array(*found)) if found else F.expr(f"{NO_TEXTS}")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import present, stripped
+from tonewright.functions.text import computed_once, present, stripped
 from tonewright.operators import detect, gate, model, near_copies, paragraphs, phrases, professional, punctuation, rewrite, scene, score, watermark
 from tonewright.operators import hits as H
 from tonewright.plans import checks as C
@@ -408,8 +408,8 @@ register("ac01_acceptance", acceptance_query, C.acceptance_sql())
 
 def versions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as it is, with phrases replaced, and without first-tier words too: no version may score less than the one before."""
-    plain = phrases.replaced(F.col("text"))
-    made = seeded(spark, sf_dir).select("doc_id", F.posexplode(F.array(F.col("text"), plain, without_tier1(plain))).alias("no", "text"))
+    df = computed_once(seeded(spark, sf_dir), plain=phrases.replaced(F.col("text")))
+    made = df.select("doc_id", F.posexplode(F.array(F.col("text"), F.col("plain"), without_tier1(F.col("plain")))).alias("no", "text"))
     report = score.version_report(made.select("doc_id", (F.col("no") + 1).alias("version"), "text"))
     return report.select("doc_id", "version", "score", F.coalesce("before", F.lit(-1)).alias("before"), F.col("fell").cast("int"))
 

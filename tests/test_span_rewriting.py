@@ -89,3 +89,20 @@ def test_protected_parts_come_back(spark):
     woven = ["".join(a + b for a, b in zip(g, [*k, ""], strict=True)) for g, k in zip(pieces, kept, strict=True)]
     assert woven == TEXTS
     assert "`a`" in sum(kept, []) and "https://a.b/c" in sum(kept, [])
+
+
+def test_alternatives_are_tried_by_their_words():
+    """A removal gives what its whole alternation gives, and tries no alternative without its word in the text."""
+    from tonewright.operators import rewrite as R
+    from tonewright.plans.seeds import SNIPPETS, SPAN_SNIPPETS
+
+    rules = [r for r in R.STEPS if isinstance(r, R.Alternatives)]
+    assert len(rules) > 10
+    for rule in rules:
+        shown = [w for _, words in rule.branches for w in words]
+        for text in [*SNIPPETS, *SPAN_SNIPPETS, *(p for p, _ in rule.branches), *(p.upper() for p, _ in rule.branches), " ".join(shown)]:
+            assert rule.apply(text) == rule.expression.sub("", text)
+    plain = R.Alternatives(["alpha beta", "gamma delta"], R.ANY_CASE)
+    R.alternation.cache_clear()
+    assert plain.apply("It is GAMMA delta.") == "It is ." and plain.apply("nothing") == "nothing"
+    assert R.alternation.cache_info().currsize == 1

@@ -180,10 +180,29 @@ def way(pattern: str) -> tuple[str, str, list[str]]:
     return (found["head"], found["stop"], [found["closing"]]) if found else (pattern, "", [])
 
 
+@functools.lru_cache(4096)
+def alternation(patterns: tuple[str, ...], flags: int) -> re.Pattern:
+    return re.compile("|".join(patterns), flags)
+
+
+class Alternatives(Rule):
+    """Removals in one alternation. On a text only those are tried of which it holds a word that all their matches hold."""
+
+    def __init__(self, patterns: list[str], flags: int):
+        super().__init__(longest_first(patterns), "", flags)
+        self.flags = flags
+        self.branches = [(p, needed(p, bool(flags & re.I))) for p in sorted(patterns, key=len, reverse=True)]
+        self.words = tuple({w for _, words in self.branches for w in words}) if all(words for _, words in self.branches) else ()
+
+    def apply(self, text: str) -> str:
+        held = text.lower() if self.folded else text
+        tried = tuple(p for p, words in self.branches if not words or any(w in held for w in words))
+        return alternation(tried, self.flags).sub("", text) if tried else text
+
+
 def removal(patterns: list[str], flags: int = ANY_CASE) -> Rule:
-    whole = longest_first(patterns)
     ways = [way(p) for p in patterns]
-    return Spanning(whole, "", flags, ways) if any(closings for *_, closings in ways) else Rule(whole, "", flags)
+    return Spanning(longest_first(patterns), "", flags, ways) if any(closings for *_, closings in ways) else Alternatives(patterns, flags)
 
 
 def ordered(patterns: list[str], flags: int = 0) -> list[Rule]:

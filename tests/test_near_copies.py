@@ -1,6 +1,8 @@
 """Near copies over a corpus against all pairs, and their groups against brute force."""
 
+import difflib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,35 @@ def test_string_keys(spark):
     df = spark.createDataFrame([("b", text), ("a", text + "s"), ("c", "something else entirely, in other words")], "name string, body string")
     assert {r["name"]: r["first"] for r in near_copies.near_copies(df, "name", "body").collect()} == {"a": "a", "b": "a", "c": "c"}
     assert df.select(F.lit(1)).count() == 3
+
+
+def test_the_predicate_is_the_librarys_ratio():
+    rng = random.Random(4)
+    alphabets = ["abc", "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4F90))), "ab" * 40 + "qxzjk"]
+    passed = 0
+    for size in [12, 60, 199, 200, 201, 400, 900] * 40:
+        letters = rng.choice(alphabets)
+        a = "".join(rng.choices(letters, k=size))
+        b = list(a)
+        for _ in range(rng.randrange(1 + size // 8)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(3)] = rng.choices(letters, k=rng.randrange(4)) or [letters[0]]
+        b = "".join(b)
+        for threshold in (0.6, 0.8, 0.9, 0.95, 1.0):
+            short, long = sorted((len(a), len(b)))
+            want = short >= 12 and short / long >= 0.6 and difflib.SequenceMatcher(None, a, b).ratio() >= threshold
+            assert near(a, b, threshold) == want
+            passed += want
+    assert 100 < passed < 1300
+
+
+def test_long_texts_that_the_ratio_tears_apart_are_told_quickly():
+    """Nearly all characters are frequent, so the library meets few and far blocks; it visits every character for each."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("etaoinshrdlucmfwygpb" * 30 + "vkjxqz", k=6))
+    words = [word() for _ in range(8000)]
+    edited = [word() if rng.random() < 0.04 else w for w in words]
+    began = time.process_time()
+    for _ in range(3):
+        near("".join(words), "".join(edited))
+    assert time.process_time() - began < 1.5

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
+import heapq
 import math
+from bisect import bisect_left
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,8 +53,125 @@ def near(a: str, b: str, threshold: float = THRESHOLD) -> bool:
     short, long = sorted((len(a), len(b)))
     if short < SHORTEST or short / long < LENGTH_RATIO or 2 * short / (short + long) < threshold:
         return False
-    # What the ratio counts as shared is a common subsequence, and no longer than the longest one.
-    return 2 * common_length(a, b) >= threshold * (short + long) - 1e-9 and difflib.SequenceMatcher(None, a, b).ratio() >= threshold
+    return a == b and threshold <= 1 or matching_text(b).alike(a, threshold)
+
+
+CHARACTER_BINS = 256
+
+
+def character_counts(form: str) -> np.ndarray:
+    codes = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(codes % CHARACTER_BINS, minlength=CHARACTER_BINS)
+
+
+def all_places(text: str, character: str) -> list[int]:
+    found, at = [], text.find(character)
+    while at >= 0:
+        found.append(at)
+        at = text.find(character, at + 1)
+    return found
+
+
+class MatchingText:
+    """Is difflib's ratio to this text, its second one, at least a threshold? The answer is the library's.
+
+    From 200 characters on, the library starts a match only at characters that make up a hundredth of this text at most.
+    Only their places are visited, and blocks are looked for, longest stretch first, until what is matched is enough or
+    what is left can't be.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.counts = character_counts(text)
+        held = Counter(text)
+        rare = [c for c, n in held.items() if n <= len(text) // 100 + 1] if len(text) >= 200 else held
+        self.places = {c: all_places(text, c) for c in rare}
+
+    def alike(self, other: str, threshold: float) -> bool:
+        both = len(other) + len(self.text)
+        if 2.0 * int(np.minimum(self.counts, character_counts(other)).sum()) / both < threshold:
+            return False
+        spots = sorted(i for c in self.places for i in all_places(other, c))
+        steps = sum(len(self.places[other[i]]) for i in spots)
+        # Blocks are a common subsequence. Where its table of bits is the smaller work, it comes first.
+        if steps > len(other) * (4 + len(self.text) // 256) and 2 * common_length(other, self.text) < threshold * both - 1e-9:
+            return False
+        matched, left = 0, min(len(other), len(self.text))
+        stretches = [(-left, 0, len(other), 0, len(self.text))]
+        while stretches:
+            if 2.0 * (matched + left) / both < threshold:
+                return False
+            size, low, high, own_low, own_high = heapq.heappop(stretches)
+            left += size
+            i, j, n = self.longest(other, spots, low, high, own_low, own_high)
+            if not n:
+                continue
+            matched += n
+            if 2.0 * matched / both >= threshold:
+                return True
+            for part in ((low, i, own_low, j), (i + n, high, j + n, own_high)):
+                if (size := min(part[1] - part[0], part[3] - part[2])) > 0:
+                    left += size
+                    heapq.heappush(stretches, (-size, *part))
+        return 2.0 * matched / both >= threshold
+
+    def longest(self, other: str, spots: list[int], low: int, high: int, own_low: int, own_high: int) -> tuple[int, int, int]:
+        """Start, start here and length of the block that the library takes: the first longest run at rare characters, extended on both sides."""
+        best_i, best_j, best = low, own_low, 0
+        runs: dict[int, int] = {}
+        before, end = -2, bisect_left(spots, high)
+        for at in range(bisect_left(spots, low), end):
+            i = spots[at]
+            ended, runs, before = runs if i == before + 1 else {}, {}, i
+            goes_on = at + 1 < end and spots[at + 1] == i + 1
+            if best and not ended and not goes_on:
+                continue  # a run of one character, and not the first
+            own = self.places[other[i]]
+            own = own[bisect_left(own, own_low) : bisect_left(own, own_high)]
+            if ended:
+                for j in own:
+                    n = runs[j] = ended.get(j - 1, 0) + 1
+                    if n > best:
+                        best_i, best_j, best = i - n + 1, j - n + 1, n
+            elif own:
+                runs = dict.fromkeys(own, 1)
+                if not best:
+                    best_i, best_j, best = i, own[0], 1
+        back = common_end(other, best_i, self.text, best_j, min(best_i - low, best_j - own_low))
+        best_i, best_j, best = best_i - back, best_j - back, best + back
+        return best_i, best_j, best + common_start(other, best_i + best, self.text, best_j + best, min(high - best_i, own_high - best_j) - best)
+
+
+def common_start(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many characters from these places on are equal, `most` at most."""
+    done, step = 0, 8
+    while done < most:
+        step = min(step, most - done)
+        if a[i + done : i + done + step] == b[j + done : j + done + step]:
+            done, step = done + step, 2 * step
+        elif step == 1:
+            break
+        else:
+            step //= 2
+    return done
+
+
+def common_end(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many characters up to these places are equal, `most` at most."""
+    done, step = 0, 8
+    while done < most:
+        step = min(step, most - done)
+        if a[i - done - step : i - done] == b[j - done - step : j - done]:
+            done, step = done + step, 2 * step
+        elif step == 1:
+            break
+        else:
+            step //= 2
+    return done
+
+
+#: Pairs come in order of one of their texts, so that its places are worked out once.
+matching_text = lru_cache(maxsize=2)(MatchingText)
 
 
 def common_length(a: str, b: str) -> int:

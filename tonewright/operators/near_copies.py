@@ -92,7 +92,8 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: candidate pairs that are alike; the later form is held against the earlier, as within a text."""
     pairs = candidate_pairs(nodes)
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("form").alias(f"form_{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Sorted by the earlier form, whose characters are then placed once.
+    joined = pairs.join(side("b"), "b").join(side("a"), "a")
 
     @F.pandas_udf("boolean")
     def alike(later: pd.Series, earlier: pd.Series) -> pd.Series:

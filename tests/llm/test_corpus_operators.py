@@ -501,6 +501,27 @@ def test_first_members_are_enough(size, rare):
     assert simhash_pivot.prefix_length(20000, 20000, 0.8) < 30
 
 
+def test_similar_documents_are_found_through_their_simhash(spark, monkeypatch):
+    """Without any shared rare shingle to meet under, what the pivot table links is there."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(6):
+        text = " ".join("w%d" % rng.randrange(30000) for _ in range(3000))
+        rows += [(i, text), (100 + i, edited(rng, text, 1))]
+    near = [i for i in range(6) if bin(simhash_pivot.majority(simhash_pivot.shingle_hashes(rows[2 * i][1].encode(), 5)) ^ simhash_pivot.majority(simhash_pivot.shingle_hashes(rows[2 * i + 1][1].encode(), 5))).count("1") <= simhash_pivot.RADIUS]
+    assert near
+    meeting = simhash_pivot.meeting_nodes
+    monkeypatch.setattr(simhash_pivot, "meeting_nodes", lambda base: meeting(base).limit(0))
+    found = {r.doc_id: r.component_id for r in simhash_pivot.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {**{i: i for i in range(6)}, **{100 + i: i if i in near else 100 + i for i in range(6)}}
+
+
+def test_a_trained_model_holds_no_words():
+    model = toxicity_cnn.train([(f"bad vile nasty {i}" if i % 2 else f"river bird mill {i}", "en", i % 2) for i in range(60)], 0.5, epochs=2)
+    assert not model.rows and not len(model.table) and model.table.base is None
+    assert len(model.score(["bad vile", "river bird", None])) == 3
+
+
 def test_near_dedup_of_repeated_ids(spark):
     import corpus_pipeline
 

@@ -102,13 +102,18 @@ def worker_state(key, make=lambda: None):
         _HELD.clear()
         made = make()
         _HELD[key] = made
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what was freed goes back to the system
-            trim(0)
+        give_back()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_blocks(texts: list, limit: int = 2_000_000):
     """Ranges of a list that hold about `limit` characters each, to bound a worker's memory."""
     start, held = 0, 0

@@ -12,9 +12,10 @@ by the same table: the blocks that their key leaves free are cut into blocks in
 finer keys, until groups are small or no bits are left to cut. Components come from alternating star
 contractions, cut by checkpoints.
 
-`similar_documents` links by similarity of shingle sets instead. A set's fingerprint holds the parity of its members
-in each of many classes, so fingerprints differ in no more bits than sets differ in members. Sets meet under their
-rarest shingles; distances of the fingerprints to pivots, the fingerprints, and at last the sets themselves decide.
+`similar_documents` links by similarity of shingle sets. The links of the sets' SimHash fingerprints, found as above,
+are held against the sets themselves. As sets that are alike enough can be further apart than the radius, what is still
+apart meets under its rarest shingles too, which completes the links. There, a parity fingerprint discards pairs: it holds
+the parity of a set's members in each of many classes, so it differs in no more bits than sets differ in members.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other; rows with a null
 doc_id get a fingerprint and a null component; repeated rows and ids are repeated in the result; an empty
@@ -55,6 +56,11 @@ def fingerprint(text: bytes, words_a_shingle: int) -> int:
     stops = (ends[words_a_shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(BITS, np.int64)
     raw = hashes.view(np.uint8).reshape(-1, 8)
     for k in range(0, len(raw), 255):  # a byte holds a sum of 255 bits
@@ -397,6 +403,16 @@ def meeting_nodes(base: DataFrame) -> DataFrame:
     return met.select("key", "node", "size", "place")
 
 
+def simhash_pairs(base: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that span the links of their SimHash fingerprints, and those of one fingerprint. base: node, fp, a node in any number of rows."""
+    heads = cut(base.groupBy("fp").agg(F.min("node").alias("head")))
+    ends = [heads.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}")) for n in "uv"]
+    across = links(heads.select("fp")).join(ends[0], "u").join(ends[1], "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
+    inside = base.select("node", "fp").join(heads, "fp").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    both = across.unionByName(inside)
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def neighbour_pairs(met: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u, v) of each key's members that can be alike: the next one by size, and the first one."""
     by_size = Window.partitionBy("key").orderBy("size", "node")
@@ -580,9 +596,9 @@ def wide_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: f
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle: int = 5) -> DataFrame:
     """doc_id, text_hash and component_id of documents linked by a Jaccard similarity of `similarity` or more of their shingle sets.
 
-    A node is a shingle set; a document is a doc_id with a text. Nodes meet under the rarest shingles of theirs, as many
-    as `prefix_length` says. Neighbours under a key are compared and united first; then all pairs under a key whose ends
-    are still apart are. Rows with a null doc_id are left out; texts without words are alike; an empty table gives an
+    A node is a shingle set; a document is a doc_id with a text. Nodes that SimHash links are compared and united first. Nodes
+    also meet under the rarest shingles of theirs, as many as `prefix_length` says: neighbours under a key are compared with
+    the former; then all pairs under a key whose ends are still apart are. Rows with a null doc_id are left out; texts without words are alike; an empty table gives an
     empty result; other columns are ignored.
     """
     rows = whole_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null")
@@ -592,26 +608,29 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words_a_shingle:
     def run(batches):
         worker_state("shingles")
         for batch in batches:
-            nodes, sizes, parity, prefixes = [], [], [], []
+            nodes, sizes, fps, parity, prefixes = [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 hashes = shingle_hashes(text or b"", words_a_shingle)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
+                fps.append(majority(hashes))
                 parity.append(parities(hashes))
                 prefixes.append(rarest(hashes, similarity, common.value).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "parity", "prefix"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parity, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "fp", "parity", "prefix"])
 
-    found = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, size int, parity binary, prefix array<long>")
+    found = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, size int, fp long, parity binary, prefix array<long>")
     base = cut(found)
+    hashed = cut(simhash_pairs(base))
     met = cut(meeting_nodes(base))
     # Copies are brought together where they are read; of nodes that meet no other, nothing but the id is needed on.
     reps = base.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("size").alias("size"), F.min("parity").alias("parity"))
-    reps = reps.join(met.select("node").distinct(), "node", "left_semi")
+    meeting = met.select("node").unionByName(hashed.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    reps = reps.join(meeting, "node", "left_semi")
     reps = cut(reps.select("node", "row.doc_id", "row.text_hash", "size", "parity"))
     release(rows.sparkSession)
     roots = met.sparkSession.createDataFrame([], "node long, root long")
-    tried = cut(not_discarded(neighbour_pairs(met, similarity), reps, similarity))
+    tried = cut(not_discarded(hashed.unionByName(neighbour_pairs(met, similarity)).distinct(), reps, similarity))
     roots = united(tried, roots, rows, reps, similarity, words_a_shingle)
     wide = wide_pairs(met, reps, roots, similarity).join(tried, ["u", "v"], "left_anti")
     roots = united(cut(not_discarded(wide, reps, similarity)), roots, rows, reps, similarity, words_a_shingle)

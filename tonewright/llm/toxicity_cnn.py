@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.shared import crc32_mod, read_table, text_blocks, unused, whole_texts, worker_state
+from tonewright.llm.shared import crc32_mod, give_back, read_table, text_blocks, unused, whole_texts, worker_state
 
 BUCKETS = 1 << 15
 WIDTH = 12  # of embeddings
@@ -40,6 +40,7 @@ SAMPLE = 2500
 WORD = re.compile(r"[^\W_]+")
 CACHE_WORDS = 150_000
 LEAN = 40
+WORDS_AT_ONCE = 8192  # whose projections are worked out at once in training, to bound the driver's memory
 
 
 def buckets(word: str) -> tuple[int, int, int]:
@@ -78,6 +79,10 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def forget(self) -> None:
+        self.rows = {}
+        self.table = self.table[:0].copy()
+
     def learn_words(self, words: set[str]) -> None:
         """Projections (and language votes) of words not met before."""
         new = list(words)
@@ -109,8 +114,7 @@ class ToxicityModel:
             split = [WORD.findall(t.lower()) if t else [] for t in texts[start:end]]
             new = set().union(*split)
             if len(self.rows) + len(new) > CACHE_WORDS:
-                self.rows.clear()
-                self.table = self.table[:0]
+                self.forget()
             new -= self.rows.keys()
             if new:
                 self.learn_words(new)
@@ -180,13 +184,17 @@ def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int
     # Adam over all of them; gradients of embeddings touch the buckets of winning windows only.
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, *weights, bias, out, np.zeros(1))]
     turn = 0
+    # Written over a turn: large arrays that come and go would leave the driver's memory in pieces.
+    vectors, projected = np.zeros((len(ids), WIDTH)), np.zeros((len(ids), FILTERS * sum(KERNELS)), np.float32)
     balance = np.where(labels == 1, 0.5 / per_label[1], 0.5 / per_label[0]) * len(learned)
     for epoch in range(epochs):
         for batch in np.array_split(rng.permutation(learned), max(1, len(learned) // 200)):
             turn += 1
-            vectors = embedding[ids].sum(1)
             flat = np.concatenate([w.transpose(1, 0, 2).reshape(WIDTH, -1) for w in weights], axis=1)
-            projected = (vectors @ flat).astype(np.float32)
+            for start in range(0, len(ids), WORDS_AT_ONCE):
+                some = slice(start, start + WORDS_AT_ONCE)
+                vectors[some] = embedding[ids[some]].sum(1)
+                projected[some] = vectors[some] @ flat
             grad_e = np.zeros_like(embedding)
             grad_w = [np.zeros_like(w) for w in weights]
             grad_b, grad_o, grad_s = np.zeros_like(bias), np.zeros_like(out), 0.0
@@ -231,6 +239,8 @@ def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int
                 value -= rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-6)
             shift = float(values[-1][0])
 
+    del vectors, projected, state
+    give_back()
     languages = sorted({name for _, name, _ in rows if name is not None})
     votes = None
     if languages:
@@ -255,6 +265,9 @@ def train(rows: list[tuple[str, str | None, int]], toxic_share: float, seed: int
         # A language with few toxic rows leans on the threshold of all.
         thresholds.append((toxic * best_threshold(raw[own], labels[own], natural[own], whole) + LEAN * whole) / (toxic + LEAN))
     model.thresholds = np.array([*thresholds, whole])
+    model.forget()
+    del sequences, ids, embedding, weights
+    give_back()
     return model
 
 

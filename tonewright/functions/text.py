@@ -44,9 +44,9 @@ def java(pattern: str, ignore_case: bool = False) -> str:
 
 
 def best(choices: list[set[str] | None]) -> set[str] | None:
-    """The set whose words are longest, few words counting as long ones."""
+    """The set whose words are longest, few words counting as long ones; of equal ones one without marks that every text holds."""
     known = [c for c in choices if c and all(c) and len(c) <= MOST_LITERALS]
-    return max(known, key=lambda c: min(len(w.encode()) for w in c) - 0.1 * len(c), default=None)
+    return max(known, key=lambda c: (min(len(w.encode()) for w in c) - 0.1 * len(c), not c & {".", ","}), default=None)
 
 
 def literals(items, folded: bool) -> set[str] | None:
@@ -74,12 +74,15 @@ def literals(items, folded: bool) -> set[str] | None:
     return best(choices)
 
 
+def parsed(pattern: str):
+    return parser.parse(re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern))
+
+
 @functools.cache
 def needed(pattern: str, ignore_case: bool = False) -> tuple[str, ...]:
     """Words of which every match holds one, in lower case if case is ignored; none if there are no such words."""
-    plain = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)
     folded = "i" in java(pattern, ignore_case).partition(")")[0] if java(pattern, ignore_case).startswith("(?") else False
-    return tuple(sorted(literals(parser.parse(plain), folded) or ()))
+    return tuple(sorted(literals(parsed(pattern), folded) or ()))
 
 
 def fixed_array(values: list[str] | list[tuple[str, ...]]) -> Column:
@@ -110,28 +113,129 @@ def wide_runs(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(rf"[\x00-\x{{{FIRST_WIDE - 1:x}}}]+"), F.lit("\n"))
 
 
+#: Letters of English text from the most to the least frequent.
+FREQUENT = " etaoinshrdlcumwfgypbvk"
+
+
+def rare_end(word: str) -> str:
+    """The word in lower case from its least frequent character on, three characters at least: a search for it stops at few places."""
+    low = word.lower()
+    return low[max(range(max(len(low) - 2, 1)), key=lambda i: FREQUENT.find(low[i]) % (len(FREQUENT) + 1)) :]
+
+
 class Held(NamedTuple):
-    """Where words are looked for instead of in a whole text: its wide runs, and its ASCII as it stands and in lower case."""
+    """Where words are looked for instead of in a whole text: listed wide words that it holds, and its ASCII as it stands and in lower case.
+
+    ends: rare ends of listed ASCII words that it holds in lower case. near: the text as far as a match can reach that holds a wide word
+    and is no longer than `REACH`.
+    """
 
     wide: Column
     narrow: Column
     lowered: Column
+    ends: Column
+    near: Column
+    listed: frozenset[str]
 
     def holds(self, text: Column, words, folded: bool = False) -> Column:
         """As `holds_one` of the text, or of the text in lower case if `folded`."""
-        words = list(words)
-        kinds = [(self.wide, [w for w in words if wide(w)]), (self.lowered if folded else self.narrow, [w for w in words if w.isascii()])]
-        kinds.append((F.lower(text) if folded else text, [w for w in words if not wide(w) and not w.isascii()]))
-        return functools.reduce(lambda a, b: a | b, [holds_one(where, own) for where, own in kinds if own])
+        narrow, whole = (self.lowered, F.lower(text)) if folded else (self.narrow, text)
+        listed = [w for w in words if w in self.listed]
+        others = [w for w in words if w not in self.listed]
+        ascii_ = [(rare_end(w), w) for w in listed if w.isascii()]
+        found = [F.exists(fixed_array(ascii_), lambda w: F.contains(self.ends, w["a"]) & F.contains(narrow, w["b"]))] if ascii_ else []
+        kinds = [(self.wide, [w for w in listed if not w.isascii()]), (narrow, [w for w in others if w.isascii()]), (whole, [w for w in others if not w.isascii()])]
+        return functools.reduce(lambda a, b: a | b, found + [holds_one(where, own) for where, own in kinds if own])
+
+
+def trie(words: list[str]) -> str:
+    """A pattern of the longest of the words at a place. Many first characters are tried by groups of a range of characters."""
+    after: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            after.setdefault(w[0], []).append(w[1:])
+    branches = [(c, re.escape(c) + trie(after[c])) for c in sorted(after)]
+    if not branches:
+        return ""
+    groups = [branches[i : i + 12] for i in range(0, len(branches), 12)]
+    alone = lambda g: "|".join(b for _, b in g)
+    made = "|".join(f"(?=[{re.escape(g[0][0])}-{re.escape(g[-1][0])}])(?:{alone(g)})" for g in groups) if len(groups) > 2 else alone(branches)
+    return f"(?:{made})" + ("?" if "" in words else "")
+
+
+def held_words(text: Column, words) -> Column:
+    """What the text holds of the words, parted by line feeds: at each place the longest, of which shorter ones there are the beginning."""
+    words = sorted(words)
+    # Three classes pass few places of a long text of ASCII on to the words.
+    ahead = "".join("[" + "".join(sorted({re.escape(w[i]) for w in words})) + "]" for i in range(3)) if all(w.isascii() for w in words) else ""
+    return F.array_join(F.regexp_extract_all(text, F.lit((f"(?={ahead})" if ahead else "") + f"(?=({trie(words)}))"), 1), "\n")
+
+
+def with_held(df: DataFrame, into: str, text: Column, words) -> tuple[DataFrame, Held]:
+    """Adds what words are looked for in. One pass over what is wide, and one over ASCII, find which of the words may be there."""
+    wide_words = {w for w in words if w and wide(w)}
+    ascii_words = {w for w in words if w.isascii() and len(w) > 2}
+    df = computed_once(df, **{f"{into}_near": up_to_last_wide(text), f"{into}_narrow": F.regexp_replace(text, F.lit(r"[^\x00-\x7f]+"), F.lit("\n"))})
+    near = F.col(f"{into}_near")
+    # The only other characters of which ASCII letters are the lower case.
+    folding = F.contains(near, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    df = computed_once(df, **{f"{into}_wide": held_words(wide_runs(near), wide_words), f"{into}_low": F.when(folding, F.lower(text)).otherwise(F.lower(f"{into}_narrow"))})
+    df = computed_once(df, **{f"{into}_ends": held_words(F.col(f"{into}_low"), set(map(rare_end, ascii_words)))})
+    return df, Held(*[F.col(f"{into}_{part}") for part in ("wide", "narrow", "low", "ends", "near")], frozenset(wide_words | ascii_words))
 
 
-def with_held(df: DataFrame, into: str, text: Column) -> tuple[DataFrame, Held]:
-    """Adds what words are looked for in. A text that is ASCII but for some words is short in wide characters, and cheap to lower."""
-    df = computed_once(df, **{f"{into}_wide": wide_runs(text), f"{into}_narrow": F.regexp_replace(text, F.lit(r"[^\x00-\x7f]+"), F.lit("\n"))})
-    # The only other characters of which ASCII letters are the lower case.
-    folding = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
-    df = computed_once(df, **{f"{into}_low": F.when(folding, F.lower(text)).otherwise(F.lower(f"{into}_narrow"))})
-    return df, Held(F.col(f"{into}_wide"), F.col(f"{into}_narrow"), F.col(f"{into}_low"))
+#: Characters other than white space that a pattern searched up to the last wide word may look at, from where it starts.
+REACH = 160
+
+
+def up_to_last_wide(text: Column) -> Column:
+    """The text up to its last wide character and `REACH` visible ones more: no pattern of a shorter reach that needs a wide word looks further."""
+    return F.regexp_extract(text, rf"(?Us)\A.*[\x{{{FIRST_WIDE:x}}}-\x{{10ffff}}](?:\s*+\S){{0,{REACH}}}+\s*+", 0)
+
+
+def reach(items) -> int | None:
+    """How many characters a parsed pattern can look at, white space repeated without end not counted; None if there is no bound."""
+    total = 0
+    for kind, value in items:
+        if kind in (kinds.LITERAL, kinds.NOT_LITERAL, kinds.ANY, kinds.IN):
+            own = 1
+        elif kind is kinds.SUBPATTERN:
+            own = reach(value[3])
+        elif kind is kinds.BRANCH:
+            each = [reach(x) for x in value[1]]
+            own = None if None in each else max(each)
+        elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT):
+            one = reach(value[2])
+            alone = value[2][0] if len(value[2]) == 1 else (None, None)
+            if value[1] is kinds.MAXREPEAT:
+                # Wide characters end before the cut; white space is passed over by it.
+                ends = alone[0] is kinds.LITERAL and alone[1] >= FIRST_WIDE or alone == (kinds.IN, [(kinds.CATEGORY, kinds.CATEGORY_SPACE)])
+                own = 0 if ends else None
+            else:
+                own = None if one is None else one * value[1]
+        elif kind in (kinds.ASSERT, kinds.ASSERT_NOT) and value[0] == 1:
+            own = reach(value[1])
+        elif kind is kinds.AT and value in (kinds.AT_BEGINNING, kinds.AT_BEGINNING_STRING):
+            own = 0
+        else:
+            own = None
+        if own is None:
+            return None
+        total += own
+    return total
+
+
+@functools.cache
+def near_wide(pattern: str, ignore_case: bool = False) -> bool:
+    """Does every match hold a wide word, and is a match's end near enough for `up_to_last_wide`?"""
+    words = needed(pattern, ignore_case)
+    return bool(words) and all(map(wide, words)) and bounded(pattern)
+
+
+def bounded(pattern: str) -> bool:
+    """Is a match that begins before the last wide character over before the cut of `up_to_last_wide`?"""
+    far = reach(parsed(pattern))
+    return far is not None and far < REACH
 
 
 def can_match(text: Column, pattern: str, ignore_case: bool = False, held: Held | None = None) -> Column | None:
@@ -154,9 +258,14 @@ NO_TEXTS = "cast(array() as array<string>)"
 NO_SPANS = "cast(array() as array<struct<s:int,e:int,t:string>>)"
 
 
+def reached(text: Column, pattern: str, ignore_case: bool, held: Held | None) -> Column:
+    """The text, or as much of it as the pattern can reach, if that is at hand."""
+    return text if held is None or not near_wide(pattern, ignore_case) else held.near
+
+
 def find_all(text: Column, pattern: str, ignore_case: bool = False, group: int = 0, held: Held | None = None) -> Column:
     """All matches, left to right."""
-    found = F.regexp_extract_all(text, F.lit(java(pattern, ignore_case)), group)
+    found = F.regexp_extract_all(reached(text, pattern, ignore_case, held), F.lit(java(pattern, ignore_case)), group)
     able = can_match(text, pattern, ignore_case, held)
     return found if able is None else F.when(able, found).otherwise(F.expr(NO_TEXTS))
 
@@ -167,7 +276,7 @@ def count_matches(text: Column, pattern: str, ignore_case: bool = False) -> Colu
 
 def has(text: Column, pattern: str, ignore_case: bool = False, held: Held | None = None) -> Column:
     able = can_match(text, pattern, ignore_case, held)
-    found = F.rlike(text, F.lit(java(pattern, ignore_case)))
+    found = F.rlike(reached(text, pattern, ignore_case, held), F.lit(java(pattern, ignore_case)))
     return found if able is None else able & found
 
 
@@ -212,7 +321,7 @@ def stripped(text: Column) -> Column:
 def spans(text: Column, pattern: str, ignore_case: bool = False, held: Held | None = None) -> Column:
     """array<struct<s, e, t>> of all matches: half-open code-point offsets and texts."""
     # Most texts have no match; one search tells.
-    return F.when(has(text, pattern, ignore_case, held), placed(text, F.lit(java(pattern, ignore_case)))).otherwise(F.expr(NO_SPANS))
+    return F.when(has(text, pattern, ignore_case, held), placed(reached(text, pattern, ignore_case, held), F.lit(java(pattern, ignore_case)))).otherwise(F.expr(NO_SPANS))
 
 
 #: Spans of pairs x of a piece and the match after it: offsets are summed up left to right within blocks of 256, as what a fold

@@ -6,11 +6,13 @@ exploded until a caller wants rows, so scoring needs no shuffle.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import Held, NO_SPANS, NO_TEXTS, any_of, computed_once, find_all, fixed_array, has, holds_one, java, outermost, placed, present, replace_all, spans, wide, wide_runs, with_held, without_space
+from tonewright.functions.text import Held, NO_SPANS, NO_TEXTS, any_of, bounded, computed_once, find_all, fixed_array, has, holds_one, java, needed, outermost, placed, present, rare_end, reached, replace_all, spans, wide, wide_runs, with_held, without_space
 
 HIT = "array<struct<category:string,pattern_id:string,matched:string,penalty:int>>"
 SLANG = "p27_over_colloquial"
@@ -48,20 +50,33 @@ def every(body: Column, patterns: list[str], ignore_case: bool = True, held: Hel
     return F.flatten(F.array(*[find_all(body, p, ignore_case, held=held) for p in patterns]))
 
 
-def within(body: Column, held: Held | None) -> Column:
-    """Where wide words are looked for: in what the body holds, if that is at hand."""
-    return body if held is None else held.wide
+def found_in(body: Column, words: list[str], held: Held | None) -> Column:
+    """The wide words that the body holds: of what it holds of all listed ones, if that is at hand."""
+    return present(body if held is None or not held.listed.issuperset(words) else held.wide, words)
+
+
+@functools.cache
+def vocabulary() -> frozenset[str]:
+    """Words that scoring looks for in whole texts, whatever the scene."""
+    words = {*V.TIER1_ZH, *V.IDIOMS, *V.RESIDUAL_WORDS, *V.STRONG_KEYWORDS, *V.WEAK_KEYWORDS, *map(sought, V.HARD_SLANG + V.LIGHT_COLLOQUIAL)}
+    words.update(w.rstrip(".,;:!?").lower() for w in V.TIER1_EN)
+    patterns = [(p, any_case) for _, _, own, any_case in LISTED.values() for p in own] + [(p, True) for p in UNDUE_PATTERNS]
+    patterns += [(p, False) for p in V.SENTENCES.values() if not p.endswith(CLOSED)] + [(p, False) for _, _, own in V.JUDGED.values() for p in own]
+    # Of patterns up to the last mark, words of ASCII are looked for up to there.
+    words.update(w for p in V.SENTENCES.values() if p.endswith(CLOSED) for w in needed(p) if wide(w))
+    return frozenset(words.union(*(needed(p, any_case) for p, any_case in patterns)))
 
 
 def tier1_zh(body: Column, held: Held | None = None) -> Column:
-    return as_hits(present(within(body, held), V.TIER1_ZH), "tier1_zh", None, 5)
+    return as_hits(found_in(body, V.TIER1_ZH, held), "tier1_zh", None, 5)
 
 
 def tier1_en(body: Column, held: Held | None = None) -> Column:
     """Words without their final marks, in any case; the hit carries the listed form."""
-    lowered = F.lower(body) if held is None else held.lowered
-    listed_words = fixed_array([(w.rstrip(".,;:!?").lower(), w) for w in V.TIER1_EN])
-    return as_hits(F.transform(F.filter(listed_words, lambda x: F.contains(lowered, x["a"])), lambda x: x["b"]), "tier1_en", None, 5)
+    lowered, ends = (F.lower(body),) * 2 if held is None else (held.lowered, held.ends)
+    bare = lambda w: w.rstrip(".,;:!?").lower()
+    listed_words = fixed_array([(rare_end(bare(w)), bare(w), w) for w in V.TIER1_EN])
+    return as_hits(F.transform(F.filter(listed_words, lambda x: F.contains(ends, x["a"]) & F.contains(lowered, x["b"])), lambda x: x["c"]), "tier1_en", None, 5)
 
 
 #: Listed patterns: rule id -> (category, penalty, patterns, any case). Every occurrence is a hit.
@@ -82,7 +97,7 @@ def listed(body: Column, rule: str, scene: Scenes = "base", held: Held | None =
 
 
 def idioms(body: Column, scene: Scenes = "base", held: Held | None = None) -> Column:
-    return as_hits(present(within(body, held), V.IDIOMS), "idiom_fillers", None, each_scene(scene, lambda s: penalties(s).get("idiom_fillers", 3)))
+    return as_hits(found_in(body, V.IDIOMS, held), "idiom_fillers", None, each_scene(scene, lambda s: penalties(s).get("idiom_fillers", 3)))
 
 
 def penalties(scene: str) -> dict[str, int]:
@@ -91,13 +106,14 @@ def penalties(scene: str) -> dict[str, int]:
 
 def residual(body: Column, held: Held | None = None) -> Column:
     """Jargon nouns that the first tier does not already count."""
-    return as_hits(present(within(body, held), [w for w in V.RESIDUAL_WORDS if w not in V.TIER1_ZH]), "lexicon_residual", None, 4)
+    return as_hits(found_in(body, [w for w in V.RESIDUAL_WORDS if w not in V.TIER1_ZH], held), "lexicon_residual", None, 4)
 
 
-def parallel_items(body: Column, pattern: str, items: int, some: Column) -> Column:
+def parallel_items(body: Column, pattern: str, items: int, some: Column, near: Column | None = None) -> Column:
     """Texts of enumerations whose items are short and hollow: one strong keyword, or a keyword in every item.
 
     The text is searched once; items are taken from what was found, of which one alone may begin with the text.
+    near: the text as far as one with a keyword can reach, if that is at hand.
     """
     wrapped = f"(?U)^{V.WRAPPERS}+|{V.WRAPPERS}+$"
     led = pattern.removeprefix(r"(?:^|[。！？\n])")
@@ -115,7 +131,8 @@ def parallel_items(body: Column, pattern: str, items: int, some: Column) -> Colu
         return any_of(found, known) & short & (strong | all_known)
 
     # Whatever its items, an enumeration without a keyword in it is none. some: does the body hold one?
-    return F.when(some, F.filter(find_all(body, pattern), hollow)).otherwise(F.expr(NO_TEXTS))
+    within = body if near is None or not bounded(pattern) else near
+    return F.when(some, F.filter(find_all(within, pattern), hollow)).otherwise(F.expr(NO_TEXTS))
 
 
 #: Last characters of sentence patterns that no match goes beyond.
@@ -127,21 +144,32 @@ def up_to_last_mark(body: Column) -> Column:
     return F.regexp_extract(body, r"(?s)\A.*[。！？]", 0)
 
 
+def near_keywords(body: Column, held: Held) -> Column:
+    """The body as far as a bounded match with a keyword in it can reach."""
+    return F.when(held.holds(body, [w for w in V.STRONG_KEYWORDS + V.WEAK_KEYWORDS if not wide(w)]), body).otherwise(held.near)
+
+
+def in_closed(held: Held | None, closed: Column) -> Held | None:
+    """Where the words of patterns up to the last mark are looked for: wide ones in what the whole body holds, others up to the mark."""
+    return None if held is None else held._replace(narrow=closed, listed=frozenset(w for w in held.listed if wide(w)))
+
+
 def some_keyword(body: Column, held: Held | None = None) -> Column:
     known = V.STRONG_KEYWORDS + V.WEAK_KEYWORDS
     return any_of(body, known) if held is None else held.holds(body, known)
 
 
-def sentence(body: Column, pattern_id: str, held: Held | None = None, closed: Column | None = None, some: Column | None = None) -> Column:
-    """closed: the body up to its last mark; some: does it hold a keyword; if they are at hand."""
+def sentence(body: Column, pattern_id: str, held: Held | None = None, closed: Column | None = None, some: Column | None = None, near: Column | None = None) -> Column:
+    """closed: the body up to its last mark; some: does it hold a keyword; near: how far one with a keyword can reach; if they are at hand."""
     pattern = V.SENTENCES[pattern_id]
     some = some_keyword(body, held) if some is None else some
     if pattern == V.TRIAD:
-        found = parallel_items(body, pattern, 3, some)
+        found = parallel_items(body, pattern, 3, some, near)
     elif pattern == V.FOURFOLD:
-        found = parallel_items(body, pattern, 4, some)
+        found = parallel_items(body, pattern, 4, some, near)
     else:
-        found = find_all(closed if closed is not None and pattern.endswith(CLOSED) else body, pattern, held=held)
+        up_to_mark = closed is not None and pattern.endswith(CLOSED)
+        found = find_all(closed if up_to_mark else body, pattern, held=in_closed(held, closed) if up_to_mark else held)
     return as_hits(found, "pattern", pattern_id, 0 if pattern_id == "p23_false_precision" else 2)
 
 
@@ -163,13 +191,17 @@ def word_pattern(word: str, covered: bool = True) -> str:
     return java((f"(?<![{COVERED[word]}])" if covered and word in COVERED else "") + word)
 
 
+def sought(word: str) -> str:
+    """What a listed word is looked for by: what is wide in it, if anything is."""
+    return "".join(c for c in word if wide(c)) or word.lower()
+
+
 def word_spans(masked: Column, words: list[str], held: tuple[Column, Column] | None = None, covered: bool = True) -> Column:
     """Spans of listed words by position; words inside a longer listed word are left out, if `covered`. held: where wide and other words are looked for."""
     wide_in, lowered = (masked, F.lower(masked)) if held is None else held
     # Only the words that a text holds are searched for: their patterns come from a table, and are compiled where they are needed.
-    # A word of both kinds is looked for by what is wide in it.
-    sought = [("".join(c for c in w if wide(c)) or w.lower(), word_pattern(w, covered)) for w in words]
-    kinds = [(wide_in, [x for x in sought if wide(x[0])]), (lowered, [x for x in sought if not wide(x[0])])]
+    pairs = [(sought(w), word_pattern(w, covered)) for w in words]
+    kinds = [(wide_in, [x for x in pairs if wide(x[0])]), (lowered, [x for x in pairs if not wide(x[0])])]
     inside = lambda where: lambda x: F.contains(where, x["a"])
     there = F.concat(*[F.filter(fixed_array(own), inside(where)) for where, own in kinds if own])
     return F.array_sort(F.flatten(F.transform(there, lambda x: placed(masked, x["b"]))))
@@ -211,7 +243,7 @@ NEEDED = {V.JUDGED["p29_maxim_golden_line"][2][0]: (r"的[，,]\s*比", r"(?s)\A
 def judged(body: Column, pattern_id: str, penalty: int | Column | None = None, held: Held | None = None) -> Column:
     """Hits of a judged pattern: distinct spans of its expressions, none below its least number."""
     own, least, patterns = V.JUDGED[pattern_id]
-    guarded = lambda p: F.when(has(body, NEEDED[p][0], held=held), spans(F.regexp_extract(body, NEEDED[p][1], 0), p, held=held)).otherwise(F.expr(NO_SPANS)) if p in NEEDED else spans(body, p, held=held)
+    guarded = lambda p: F.when(has(body, NEEDED[p][0], held=held), spans(F.regexp_extract(reached(body, p, False, held), NEEDED[p][1], 0), p)).otherwise(F.expr(NO_SPANS)) if p in NEEDED else spans(body, p, held=held)
     found = F.array_distinct(F.array_sort(F.flatten(F.array(*[guarded(p) for p in patterns]))))
     found = F.filter(found, lambda s: F.rlike(s["t"], F.lit(r"(?U)\S")))
     texts = F.transform(found, lambda s: s["t"])
@@ -237,14 +269,15 @@ def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
     """
     names = [scene] if isinstance(scene, str) else list(scene)
     b = F.col(body)
-    df, held = with_held(df, "__held", b)
-    df = computed_once(df, __bare=unquoted(b), __closed=up_to_last_mark(b), __some=some_keyword(b, held))
+    df, held = with_held(df, "__held", b, vocabulary())
+    df = computed_once(df, __bare=unquoted(b), __closed=up_to_last_mark(held.near), __some=some_keyword(b, held))
+    df = computed_once(df, __few=F.when(F.col("__some"), near_keywords(b, held)))
     same = F.col("__bare") == b
     df = computed_once(df, __bare_wide=F.when(same, held.wide).otherwise(wide_runs("__bare")), __bare_low=F.when(same, held.lowered).otherwise(F.lower("__bare")))
     df = computed_once(df, __slang=slang(b, F.col("__bare"), (F.col("__bare_wide"), F.col("__bare_low")), always=False))
     rules = list(LISTED)
     parts = [tier1_zh(b, held), tier1_en(b, held), *(listed(b, r, scene, held) for r in rules[:5]), idioms(b, scene, held), *(listed(b, r, scene, held) for r in rules[5:]), residual(b, held)]
-    parts += [sentence(b, p, held, F.col("__closed"), F.col("__some")) for p in V.SENTENCES] + [undue_caution(b, held), slang_hits(F.col("__slang"), scene)]
+    parts += [sentence(b, p, held, F.col("__closed"), F.col("__some"), F.col("__few")) for p in V.SENTENCES] + [undue_caution(b, held), slang_hits(F.col("__slang"), scene)]
     for p in dict.fromkeys(p for name in names for p in active(name)):
         cost = each_scene(scene, lambda s, p=p: price(s, p))
         costs = {price(name, p) for name in names}
@@ -259,7 +292,7 @@ def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
             hits = F.filter(hits, counted(V.PROFILES[name]["off"], here))
         for key, words in V.PROFILES[name].get("exempt", {}).items():
             hits = F.filter(hits, spared(key, words, here))
-    return computed_once(df, hits=hits).drop("__slang", "__held_wide", "__held_narrow", "__held_low", "__bare", "__bare_wide", "__bare_low", "__closed", "__some")
+    return computed_once(df, hits=hits).drop("__slang", "__held_wide", "__held_narrow", "__held_low", "__held_ends", "__held_near", "__bare", "__bare_wide", "__bare_low", "__closed", "__some", "__few")
 
 
 def counted(off: list[str], here: Column):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import NO_TEXTS, any_of, any_wide, computed_once, replace_all, stripped
+from tonewright.functions.text import NO_TEXTS, any_of, computed_once, near_wide, replace_all, stripped, up_to_last_wide
 from tonewright.operators.hits import Scenes, each_scene, judged, scene_hits
 from tonewright.operators.scene import AUTO, known, with_chosen
 
@@ -70,9 +72,17 @@ def cross_compliance(text: Column, scene: Scenes) -> Column:
     found = []
     for name, profile in V.PROFILES.items():
         if name != scene and profile.get("compliance"):
-            inside = any_wide(text, profile["domain"])
-            found += red_lines(text, profile["compliance"], inside if isinstance(scene, str) or name not in scene else inside & ~scene[name])
-    return F.array_compact(F.array(*found)) if found else F.expr(f"{NO_TEXTS}")
+            inside = touched(text, profile["domain"], profile["compliance"])
+            found.append(inside if isinstance(scene, str) or name not in scene else F.when(~scene[name], inside))
+    return F.flatten(F.array_compact(F.array(*found))) if found else F.expr(f"{NO_TEXTS}")
+
+
+def touched(text: Column, domain: list[str], patterns: list[str]) -> Column:
+    """The ids of the patterns that a text of the domain matches; null for other texts."""
+    near = all(near_wide(p) for own in patterns for p in V.JUDGED[own][2])
+    lines = lambda t: F.array_compact(F.array(*red_lines(t if near else text, patterns, F.lit(True))))
+    # As the only element of an array, the part of the text that holds what is wide in it is cut once.
+    return F.transform(F.array(up_to_last_wide(text)), lambda t: F.when(any_of(t, domain), lines(t)))[0]
 
 
 def own_compliance(body: Column, scene: Scenes) -> Column:
@@ -87,6 +97,13 @@ def of_patterns(ids: list[str]):
     return lambda h: F.coalesce(h["pattern_id"].isin(ids), F.lit(False))
 
 
+def own_line(hits: Column, scene: Scenes) -> Column:
+    """Is one of the hits a red line of the row's own scene?"""
+    names = [scene] if isinstance(scene, str) else list(scene)
+    crossed = [(F.lit(True) if isinstance(scene, str) else scene[n]) & F.exists(hits, of_patterns(red)) for n in names if (red := V.PROFILES[n].get("compliance"))]
+    return functools.reduce(lambda a, b: a | b, crossed, F.lit(False))
+
+
 def by_row(scene: Column) -> dict[str, Column]:
     return {name: scene == name for name in V.PROFILES}
 
@@ -116,21 +133,16 @@ def with_score(df: DataFrame, scene: str | Column | Scenes | None = "base", text
     scene: a name or alias, `auto` (each text's own), or a Column of these; base for what is unknown.
     """
     df, which = with_conditions(df, scene, text)
-    fixed = which if isinstance(which, str) else None
     df = scene_hits(with_body(df, text), which)
     hits, size = F.col("hits"), F.greatest(F.length("body"), F.lit(1))
-    df = df.withColumn("raw", raw_penalty(hits)).withColumn("char_count", size)
+    # Both are read by several of the columns below.
+    df = computed_once(df, raw=raw_penalty(hits), __own=own_line(hits, which))
+    df = df.withColumn("char_count", size)
     df = df.withColumn("norm_penalty", norm_penalty(F.col("raw"), F.col("char_count")))
     df = df.withColumn("score", score_of(F.col("raw"), F.col("norm_penalty")))
     df = df.withColumn("hit_count", F.size(hits)).withColumn("hits_per_1k", F.col("hit_count") * 1000.0 / F.col("char_count"))
-    own = F.lit(False)
-    for name in [fixed] if fixed else list(which):
-        if red := V.PROFILES[name].get("compliance"):
-            here = F.lit(True) if fixed else which[name]
-            own = own | (here & F.exists(hits, of_patterns(red)))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("compliance_cross_scene", F.when(~own, cross_compliance(whole, which)))
-    df = df.withColumn("compliance_hit", own | F.coalesce(F.size("compliance_cross_scene") > 0, F.lit(False)))
+    df = computed_once(df, compliance_cross_scene=F.when(~F.col("__own"), cross_compliance(F.coalesce(F.col(text), F.lit("")), which)))
+    df = df.withColumn("compliance_hit", F.col("__own") | F.coalesce(F.size("compliance_cross_scene") > 0, F.lit(False))).drop("__own")
     df = df.withColumn("summary", summary_of(hits)).withColumn("action", action_of(F.col("score"), F.col("compliance_hit"), which))
     return df.withColumn("scene", F.col("__scene")).drop("__scene")
 

@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Least number of splits a core of a table whose rows are costly.
+SPLITS = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows to all cores where the input has fewer splits than that; many files stay as they are."""
+    """Deals rows to all cores where the input has few splits a core, so that no core waits for the longest; many files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(SPLITS * cores) if df.rdd.getNumPartitions() < SPLITS * cores else df
 
 
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:

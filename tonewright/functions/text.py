@@ -15,6 +15,9 @@ import re._constants as kinds
 import re._parser as parser
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +52,12 @@ def best(choices: list[set[str] | None]) -> set[str] | None:
     return max(known, key=lambda c: (min(len(w.encode()) for w in c) - 0.1 * len(c), not c & {".", ","}), default=None)
 
 
-def literals(items, folded: bool) -> set[str] | None:
-    """Words of which every match of a parsed pattern holds one; None if there are no such words."""
+#: Characters beyond ASCII that patterns in any case take for ASCII letters (s, i, i, k).
+FOLDING = "\u017f\u0131\u0130\u212a"
+
+
+def literals(items, folded: bool, plain: bool = False) -> set[str] | None:
+    """Words of which every match of a parsed pattern holds one; None if there are no such words. plain: in texts without `FOLDING`."""
     choices: list[set[str] | None] = []
     run = ""
     for kind, value in [*items, (None, None)]:
@@ -59,16 +66,16 @@ def literals(items, folded: bool) -> set[str] | None:
             continue
         if run:
             # Letters that more than one other character folds to are no part of a folded word.
-            parts = re.split("[iksIKS]", run) if folded else [run]
+            parts = re.split("[iksIKS]", run) if folded and not plain else [run]
             choices.append({max(parts, key=len).lower() if folded else run})
             run = ""
         if kind is kinds.SUBPATTERN:
-            choices.append(literals(value[3], folded))
+            choices.append(literals(value[3], folded, plain))
         elif kind is kinds.BRANCH:
-            each = [literals(x, folded) for x in value[1]]
+            each = [literals(x, folded, plain) for x in value[1]]
             choices.append(None if None in each else set().union(*each))
         elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT, kinds.POSSESSIVE_REPEAT) and value[0]:
-            choices.append(literals(value[2], folded))
+            choices.append(literals(value[2], folded, plain))
         elif kind is kinds.IN and not folded and all(k is kinds.LITERAL for k, _ in value):
             choices.append({chr(c) for _, c in value})
     return best(choices)
@@ -79,10 +86,10 @@ def parsed(pattern: str):
 
 
 @functools.cache
-def needed(pattern: str, ignore_case: bool = False) -> tuple[str, ...]:
-    """Words of which every match holds one, in lower case if case is ignored; none if there are no such words."""
+def needed(pattern: str, ignore_case: bool = False, plain: bool = False) -> tuple[str, ...]:
+    """Words of which every match holds one, in lower case if case is ignored; none if there are no such words. plain: in texts without `FOLDING`."""
     folded = "i" in java(pattern, ignore_case).partition(")")[0] if java(pattern, ignore_case).startswith("(?") else False
-    return tuple(sorted(literals(parsed(pattern), folded) or ()))
+    return tuple(sorted(literals(parsed(pattern), folded, plain) or ()))
 
 
 def fixed_array(values: list[str] | list[tuple[str, ...]]) -> Column:
@@ -102,6 +109,7 @@ def holds_one(text: Column, words) -> Column:
 
 #: Words of characters from here on are looked for in what is left of a text without all others.
 FIRST_WIDE = 0x2000
+FIRST_WIDE_BYTE = chr(FIRST_WIDE).encode()[0]
 
 
 def wide(word: str) -> bool:
@@ -124,28 +132,30 @@ def rare_end(word: str) -> str:
 
 
 class Held(NamedTuple):
-    """Where words are looked for instead of in a whole text: listed wide words that it holds, and its ASCII as it stands and in lower case.
+    """Where words are looked for instead of in a whole text: listed wide words that it holds, and the text as it stands and in lower case.
 
-    ends: rare ends of listed ASCII words that it holds in lower case. near: the text as far as a match can reach that holds a wide word
-    and is no longer than `REACH`.
+    lowered: unless `odd`, only the listed ASCII words that the text holds in any case. odd: does it hold a character that only folding takes
+    for an ASCII letter? near: the text as far as a match can reach that holds a wide word and is no longer than `REACH`.
     """
 
     wide: Column
     narrow: Column
     lowered: Column
-    ends: Column
+    odd: Column
     near: Column
     listed: frozenset[str]
 
     def holds(self, text: Column, words, folded: bool = False) -> Column:
-        """As `holds_one` of the text, or of the text in lower case if `folded`."""
-        narrow, whole = (self.lowered, F.lower(text)) if folded else (self.narrow, text)
+        """As `holds_one` of the text; if `folded`, of the text in lower case, and every text that is odd."""
         listed = [w for w in words if w in self.listed]
         others = [w for w in words if w not in self.listed]
-        ascii_ = [(rare_end(w), w) for w in listed if w.isascii()]
-        found = [F.exists(fixed_array(ascii_), lambda w: F.contains(self.ends, w["a"]) & F.contains(narrow, w["b"]))] if ascii_ else []
-        kinds = [(self.wide, [w for w in listed if not w.isascii()]), (narrow, [w for w in others if w.isascii()]), (whole, [w for w in others if not w.isascii()])]
-        return functools.reduce(lambda a, b: a | b, found + [holds_one(where, own) for where, own in kinds if own])
+        ascii_ = [(w.lower(), w) for w in listed if w.isascii()]
+        inside = lambda w: F.contains(self.lowered, w["a"]) & (F.lit(True) if folded else F.contains(self.narrow, w["b"]))
+        found = [F.exists(fixed_array(ascii_), inside)] if ascii_ else []
+        kinds = [(self.wide, [w for w in listed if not w.isascii()])]
+        kinds += [(F.lower(text), others)] if folded else [(self.narrow, [w for w in others if w.isascii()]), (text, [w for w in others if not w.isascii()])]
+        found += [holds_one(where, own) for where, own in kinds if own]
+        return functools.reduce(lambda a, b: a | b, ([self.odd] if folded else []) + found)
 
 
 def trie(words: list[str]) -> str:
@@ -165,23 +175,64 @@ def trie(words: list[str]) -> str:
 
 def held_words(text: Column, words) -> Column:
     """What the text holds of the words, parted by line feeds: at each place the longest, of which shorter ones there are the beginning."""
-    words = sorted(words)
-    # Three classes pass few places of a long text of ASCII on to the words.
-    ahead = "".join("[" + "".join(sorted({re.escape(w[i]) for w in words})) + "]" for i in range(3)) if all(w.isascii() for w in words) else ""
-    return F.array_join(F.regexp_extract_all(text, F.lit((f"(?={ahead})" if ahead else "") + f"(?=({trie(words)}))"), 1), "\n")
-
-
-def with_held(df: DataFrame, into: str, text: Column, words) -> tuple[DataFrame, Held]:
-    """Adds what words are looked for in. One pass over what is wide, and one over ASCII, find which of the words may be there."""
-    wide_words = {w for w in words if w and wide(w)}
-    ascii_words = {w for w in words if w.isascii() and len(w) > 2}
-    df = computed_once(df, **{f"{into}_near": up_to_last_wide(text), f"{into}_narrow": F.regexp_replace(text, F.lit(r"[^\x00-\x7f]+"), F.lit("\n"))})
-    near = F.col(f"{into}_near")
-    # The only other characters of which ASCII letters are the lower case.
-    folding = F.contains(near, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
-    df = computed_once(df, **{f"{into}_wide": held_words(wide_runs(near), wide_words), f"{into}_low": F.when(folding, F.lower(text)).otherwise(F.lower(f"{into}_narrow"))})
-    df = computed_once(df, **{f"{into}_ends": held_words(F.col(f"{into}_low"), set(map(rare_end, ascii_words)))})
-    return df, Held(*[F.col(f"{into}_{part}") for part in ("wide", "narrow", "low", "ends", "near")], frozenset(wide_words | ascii_words))
+    return F.array_join(F.regexp_extract_all(text, F.lit(f"(?=({trie(sorted(words))}))"), 1), "\n")
+
+
+class Scan:
+    """Of a batch of texts: what of the listed words each holds, in one search of the batch's bytes for all of them."""
+
+    #: As `REACH`; white space of Python is that of Java and four marks more, so this reaches as far at least.
+    AFTER = r"(?:\s*+\S){0,%d}+\s*+"
+    FIELDS = "wide string, ascii string, odd boolean, near string"
+
+    def __init__(self, words) -> None:
+        self.wide: dict[str, list[str]] = {}
+        for w in sorted(words):
+            if w and wide(w):
+                self.wide.setdefault(w[0], []).append(w)
+        self.ascii = [w.encode() for w in sorted({w.lower() for w in words if w.isascii() and len(w) > 2})]
+        self.any = "|".join(re.escape(w.decode()) for w in self.ascii)
+        self.after = re.compile(self.AFTER % REACH)
+
+    def up_to_last_wide(self, text: bytes, last: int) -> str:
+        tail = text[last:].decode()
+        return text[:last].decode() + tail[: self.after.match(tail, 1).end()]
+
+    def wide_in(self, text: str) -> str:
+        return "\n".join([w for c in self.wide.keys() & set(text) for w in self.wide[c] if w in text])
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], pa.struct([("wide", pa.string()), ("ascii", pa.string()), ("odd", pa.bool_()), ("near", pa.string())]))
+        odd = pc.match_substring_regex(texts, f"[{FOLDING}]")
+        texts = texts.cast(pa.large_binary())
+        places, data = (np.frombuffer(b or b"", kind) for b, kind in zip(texts.buffers()[1:], (np.int64, np.uint8), strict=True))
+        places = places[texts.offset : texts.offset + len(texts) + 1]
+        # Only characters from `FIRST_WIDE` on begin with such a byte.
+        begun = np.flatnonzero(data[places[0] : places[-1]] >= FIRST_WIDE_BYTE) + places[0]
+        before = np.searchsorted(begun, places)
+        some = pc.match_substring_regex(texts, self.any, ignore_case=True).to_pylist() if self.any else [False] * len(texts)
+        out: list[tuple[str, str, str]] = []
+        for i, text in enumerate(texts.to_pylist()):
+            near = self.up_to_last_wide(text, int(begun[before[i + 1] - 1] - places[i])) if before[i + 1] > before[i] else ""
+            low = text.lower() if some[i] else b""
+            out.append((self.wide_in(near), b"\n".join([w for w in self.ascii if w in low]).decode(), near))
+        wide_, ascii_, near_ = (pa.array(own, pa.string()) for own in zip(*out, strict=True))
+        return pa.StructArray.from_arrays([wide_, ascii_, odd, near_], [f.split()[0] for f in self.FIELDS.split(", ")])
+
+
+def with_held(df: DataFrame, into: str, text: Column, words=()) -> tuple[DataFrame, Held]:
+    """Adds what words are looked for in. One pass of the bytes of Arrow batches finds which of the words are there.
+
+    Without words, these are all wide runs and the whole text in lower case.
+    """
+    scan = Scan(words)
+    df = df.withColumn(into, F.arrow_udf(lambda texts: scan(texts), Scan.FIELDS)(F.coalesce(text, F.lit(""))))
+    part = F.col(into)
+    found, low = (part["wide"], part["ascii"]) if words else (wide_runs(part["near"]), F.lower(text))
+    df = computed_once(df, **{f"{into}_wide": found, f"{into}_low": F.when(part["odd"], F.lower(text)).otherwise(low), f"{into}_odd": part["odd"], f"{into}_near": part["near"]})
+    listed = frozenset({*(w for own in scan.wide.values() for w in own), *(w for w in words if w.isascii() and len(w) > 2)})
+    return df.drop(into), Held(F.col(f"{into}_wide"), text, F.col(f"{into}_low"), F.col(f"{into}_odd"), F.col(f"{into}_near"), listed)
 
 
 #: Characters other than white space that a pattern searched up to the last wide word may look at, from where it starts.
@@ -190,7 +241,7 @@ REACH = 160
 
 def up_to_last_wide(text: Column) -> Column:
     """The text up to its last wide character and `REACH` visible ones more: no pattern of a shorter reach that needs a wide word looks further."""
-    return F.regexp_extract(text, rf"(?Us)\A.*[\x{{{FIRST_WIDE:x}}}-\x{{10ffff}}](?:\s*+\S){{0,{REACH}}}+\s*+", 0)
+    return F.regexp_extract(text, rf"(?U)\A(?:[\x00-\x{{{FIRST_WIDE - 1:x}}}]*+[\x{{{FIRST_WIDE:x}}}-\x{{10ffff}}]++)++(?:\s*+\S){{0,{REACH}}}+\s*+", 0)
 
 
 def reach(items) -> int | None:
@@ -240,7 +291,7 @@ def bounded(pattern: str) -> bool:
 
 def can_match(text: Column, pattern: str, ignore_case: bool = False, held: Held | None = None) -> Column | None:
     """A quick condition that every text with a match meets, if there is one. held: what the text holds, if it is at hand."""
-    words = needed(pattern, ignore_case)
+    words = needed(pattern, ignore_case, held is not None)
     if not words:
         return None
     folded = java(pattern, ignore_case) != java(pattern, False)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.functions import fixed_values as V
-from tonewright.functions.text import Held, NO_SPANS, NO_TEXTS, any_of, bounded, computed_once, find_all, fixed_array, has, holds_one, java, needed, outermost, placed, present, rare_end, reached, replace_all, spans, wide, wide_runs, with_held, without_space
+from tonewright.functions.text import Held, NO_SPANS, NO_TEXTS, any_of, bounded, computed_once, find_all, fixed_array, has, holds_one, java, needed, outermost, placed, present, reached, replace_all, spans, wide, wide_runs, with_held, without_space
 
 HIT = "array<struct<category:string,pattern_id:string,matched:string,penalty:int>>"
 SLANG = "p27_over_colloquial"
@@ -64,7 +64,7 @@ def vocabulary() -> frozenset[str]:
     patterns += [(p, False) for p in V.SENTENCES.values() if not p.endswith(CLOSED)] + [(p, False) for _, _, own in V.JUDGED.values() for p in own]
     # Of patterns up to the last mark, words of ASCII are looked for up to there.
     words.update(w for p in V.SENTENCES.values() if p.endswith(CLOSED) for w in needed(p) if wide(w))
-    return frozenset(words.union(*(needed(p, any_case) for p, any_case in patterns)))
+    return frozenset(words.union(*(needed(p, any_case, True) for p, any_case in patterns)))
 
 
 def tier1_zh(body: Column, held: Held | None = None) -> Column:
@@ -73,10 +73,9 @@ def tier1_zh(body: Column, held: Held | None = None) -> Column:
 
 def tier1_en(body: Column, held: Held | None = None) -> Column:
     """Words without their final marks, in any case; the hit carries the listed form."""
-    lowered, ends = (F.lower(body),) * 2 if held is None else (held.lowered, held.ends)
-    bare = lambda w: w.rstrip(".,;:!?").lower()
-    listed_words = fixed_array([(rare_end(bare(w)), bare(w), w) for w in V.TIER1_EN])
-    return as_hits(F.transform(F.filter(listed_words, lambda x: F.contains(ends, x["a"]) & F.contains(lowered, x["b"])), lambda x: x["c"]), "tier1_en", None, 5)
+    lowered = F.lower(body) if held is None else held.lowered
+    listed_words = fixed_array([(w.rstrip(".,;:!?").lower(), w) for w in V.TIER1_EN])
+    return as_hits(F.transform(F.filter(listed_words, lambda x: F.contains(lowered, x["a"])), lambda x: x["b"]), "tier1_en", None, 5)
 
 
 #: Listed patterns: rule id -> (category, penalty, patterns, any case). Every occurrence is a hit.
@@ -122,13 +121,11 @@ def parallel_items(body: Column, pattern: str, items: int, some: Column, near: C
     def hollow(found: Column, no: Column) -> Column:
         first = (no == 0) & F.startswith(body, found)
         item = lambda i: F.when(first, F.regexp_extract(found, java(rf"\A(?:|[。！？\n]){led}"), i)).otherwise(F.regexp_extract(found, java(rf"\A[。！？\n]{led}"), i))
-        parts = [item(i) for i in range(1, items + 1)]
-        short, strong, all_known = F.lit(True), F.lit(False), F.lit(True)
-        for part in parts:
-            short = short & (F.length(F.regexp_replace(part, F.lit(wrapped), F.lit(""))) <= V.LONGEST_ITEM)
-            strong = strong | any_of(part, V.STRONG_KEYWORDS)
-            all_known = all_known & any_of(part, known)
-        return any_of(found, known) & short & (strong | all_known)
+        bare = lambda part: F.regexp_replace(part, F.lit(wrapped), F.lit(""))
+        some_strong = lambda parts: F.exists(parts, lambda part: any_of(part, V.STRONG_KEYWORDS))
+        judge = lambda parts: F.forall(parts, lambda part: F.length(bare(part)) <= V.LONGEST_ITEM) & (some_strong(parts) | F.forall(parts, lambda part: any_of(part, known)))
+        # As the only element of an array, the items are made once, not once a word that is looked for in them.
+        return any_of(found, known) & F.transform(F.array(F.array(*[item(i) for i in range(1, items + 1)])), judge)[0]
 
     # Whatever its items, an enumeration without a keyword in it is none. some: does the body hold one?
     within = body if near is None or not bounded(pattern) else near
@@ -262,8 +259,8 @@ def price(scene: str, pattern_id: str) -> int:
     return penalties(scene).get(pattern_id, V.JUDGED[pattern_id][0]) if pattern_id in active(scene) else 0
 
 
-def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
-    """Adds `hits`: all hits of a scene, its penalties, exemptions and closed categories applied.
+def scene_hits(df: DataFrame, scene: Scenes, body: str = "body", near: str | None = None) -> DataFrame:
+    """Adds `hits`: all hits of a scene, its penalties, exemptions and closed categories applied; and the body up to its last wide word as `near`, if named.
 
     The patterns run once, whatever the number of scenes; only prices and exemptions differ by row.
     """
@@ -292,7 +289,8 @@ def scene_hits(df: DataFrame, scene: Scenes, body: str = "body") -> DataFrame:
             hits = F.filter(hits, counted(V.PROFILES[name]["off"], here))
         for key, words in V.PROFILES[name].get("exempt", {}).items():
             hits = F.filter(hits, spared(key, words, here))
-    return computed_once(df, hits=hits).drop("__slang", "__held_wide", "__held_narrow", "__held_low", "__held_ends", "__held_near", "__bare", "__bare_wide", "__bare_low", "__closed", "__some", "__few")
+    df = computed_once(df, hits=hits)
+    return (df.withColumn(near, held.near) if near else df).drop("__slang", "__held_wide", "__held_low", "__held_odd", "__held_near", "__bare", "__bare_wide", "__bare_low", "__closed", "__some", "__few")
 
 
 def counted(off: list[str], here: Column):

@@ -67,22 +67,22 @@ def red_lines(text: Column, patterns: list[str], asked: Column) -> list[Column]:
     return [F.when(asked & (F.size(judged(text, p)) > 0), F.lit(p)) for p in patterns]
 
 
-def cross_compliance(text: Column, scene: Scenes) -> Column:
-    """Red-line patterns of other scenes whose domain the whole text touches, as an array of ids."""
+def cross_compliance(text: Column, scene: Scenes, near: Column | None = None) -> Column:
+    """Red-line patterns of other scenes whose domain the whole text touches, as an array of ids. near: the text up to its last wide word, if it is at hand."""
     found = []
     for name, profile in V.PROFILES.items():
         if name != scene and profile.get("compliance"):
-            inside = touched(text, profile["domain"], profile["compliance"])
+            inside = touched(text, profile["domain"], profile["compliance"], near)
             found.append(inside if isinstance(scene, str) or name not in scene else F.when(~scene[name], inside))
     return F.flatten(F.array_compact(F.array(*found))) if found else F.expr(f"{NO_TEXTS}")
 
 
-def touched(text: Column, domain: list[str], patterns: list[str]) -> Column:
+def touched(text: Column, domain: list[str], patterns: list[str], near: Column | None = None) -> Column:
     """The ids of the patterns that a text of the domain matches; null for other texts."""
-    near = all(near_wide(p) for own in patterns for p in V.JUDGED[own][2])
-    lines = lambda t: F.array_compact(F.array(*red_lines(t if near else text, patterns, F.lit(True))))
+    within = all(near_wide(p) for own in patterns for p in V.JUDGED[own][2])
+    lines = lambda t: F.array_compact(F.array(*red_lines(t if within else text, patterns, F.lit(True))))
     # As the only element of an array, the part of the text that holds what is wide in it is cut once.
-    return F.transform(F.array(up_to_last_wide(text)), lambda t: F.when(any_of(t, domain), lines(t)))[0]
+    return F.transform(F.array(up_to_last_wide(text) if near is None else near), lambda t: F.when(any_of(t, domain), lines(t)))[0]
 
 
 def own_compliance(body: Column, scene: Scenes) -> Column:
@@ -133,15 +133,17 @@ def with_score(df: DataFrame, scene: str | Column | Scenes | None = "base", text
     scene: a name or alias, `auto` (each text's own), or a Column of these; base for what is unknown.
     """
     df, which = with_conditions(df, scene, text)
-    df = scene_hits(with_body(df, text), which)
+    df = scene_hits(with_body(df, text), which, near="__near")
     hits, size = F.col("hits"), F.greatest(F.length("body"), F.lit(1))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    near = F.when(F.col("body") == whole, F.col("__near")).otherwise(up_to_last_wide(whole))
     # Both are read by several of the columns below.
     df = computed_once(df, raw=raw_penalty(hits), __own=own_line(hits, which))
     df = df.withColumn("char_count", size)
     df = df.withColumn("norm_penalty", norm_penalty(F.col("raw"), F.col("char_count")))
     df = df.withColumn("score", score_of(F.col("raw"), F.col("norm_penalty")))
     df = df.withColumn("hit_count", F.size(hits)).withColumn("hits_per_1k", F.col("hit_count") * 1000.0 / F.col("char_count"))
-    df = computed_once(df, compliance_cross_scene=F.when(~F.col("__own"), cross_compliance(F.coalesce(F.col(text), F.lit("")), which)))
+    df = computed_once(df, compliance_cross_scene=F.when(~F.col("__own"), cross_compliance(whole, which, near))).drop("__near")
     df = df.withColumn("compliance_hit", F.col("__own") | F.coalesce(F.size("compliance_cross_scene") > 0, F.lit(False))).drop("__own")
     df = df.withColumn("summary", summary_of(hits)).withColumn("action", action_of(F.col("score"), F.col("compliance_hit"), which))
     return df.withColumn("scene", F.col("__scene")).drop("__scene")

@@ -126,3 +126,72 @@ def test_long_texts_that_the_ratio_tears_apart_are_told_quickly():
     for _ in range(3):
         near("".join(words), "".join(edited))
     assert time.process_time() - began < 1.5
+
+
+def strewn(rng, base, step):
+    """A copy with every `step`-th character another one."""
+    return "".join(rng.choice("龙凤虎豹") if i % step == 0 else c for i, c in enumerate(base))
+
+
+def test_links_are_all_pairs_whatever_the_changes(spark):
+    """Characters changed evenly over a text leave no long n-gram; a group of 40 has all its links."""
+    rng = random.Random(11)
+    letters = "".join(map(chr, range(0x4E00, 0x4F90)))
+    forms = []
+    for size in (30, 120, 190, 215, 240, 900):
+        base = "".join(rng.choices(letters, k=size))
+        forms += [base, strewn(rng, base, 11), strewn(rng, base, 12), strewn(rng, base, 25), base[: -size // 8], base + base[: size // 6]]
+    shared = "".join(rng.choices("abcdefghij", k=400))
+    forms += [shared + "".join(rng.choices("klmnopqrst", k=30)) for _ in range(40)]
+    forms += ["ab" * 100 + "".join(rng.choices("abc", k=9)) for _ in range(8)] + ["".join(rng.choices("abc", k=rng.randrange(12, 30))) for _ in range(80)]
+    rng.shuffle(forms)
+    forms = list(enumerate(dict.fromkeys(forms)))
+    nodes = spark.createDataFrame(forms, "node long, form string")
+    want = all_links(forms)
+    found = near_copies.links(nodes).collect()
+    assert {(r.a, r.b) for r in found} == want and len(found) == len(want) > 40 * 39 // 2
+    roots = {i: i for i, _ in forms} | {r.node: r.root for r in near_copies.groups(nodes).collect()}
+    assert roots == roots_of([i for i, _ in forms], want)
+
+
+def test_cells_of_many_slices_hold_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SLICE_BYTES", 4096)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijkl的是河边鸟", k=rng.randrange(2, 8)))
+    forms = []
+    for base in range(12):
+        words = [word() for _ in range(30 + 3 * base)]
+        for _ in range(6):
+            forms.append("".join(w if rng.random() > 0.03 else word() for w in words))
+    forms = [(f"k{i}", f) for i, f in enumerate(dict.fromkeys(forms))]
+    nodes = spark.createDataFrame(forms, "node string, form string")
+    for threshold in (0.8, 0.9):
+        ordered = sorted(forms)
+        want = {(a, b) for i, (a, x) in enumerate(ordered) for b, y in ordered[i + 1 :] if near(y, x, threshold)}
+        pairs = [(r.a, r.b) for r in near_copies.candidate_pairs(nodes, threshold).collect()]
+        assert len(pairs) == len(set(pairs)) and want <= set(pairs) and want
+        assert {(r.a, r.b) for r in near_copies.links(nodes, threshold).collect()} == want
+
+
+def test_alike_forms_never_lie_further_apart_than_most():
+    """The bound on n-grams holds for every pair that the predicate passes, with the parities of equal forms equal."""
+    rng = random.Random(13)
+    alphabets = ["ab", "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4F90))), "ab" * 40 + "qxzjk"]
+    passed = 0
+    for size in [12, 15, 60, 199, 200, 230, 400, 900, 2500] * 60:
+        letters = rng.choice(alphabets)
+        a = "".join(rng.choices(letters, k=size))
+        b = list(a)
+        for _ in range(rng.randrange(1 + size // 7)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(3)] = rng.choices(letters, k=rng.randrange(3)) or [letters[0]]
+        b = "".join(b)
+        for threshold in (0.7, 0.9):
+            if near(a, b, threshold):
+                one, two = near_copies.parities(a), near_copies.parities(b)
+                words = min(len(one), len(two))
+                apart = int(near_copies.np.bitwise_count(near_copies.folded(one, words) ^ near_copies.folded(two, words)).sum())
+                most = near_copies.most_apart(near_copies.np.array([len(a) + len(b)]), near_copies.np.array([near_copies.starts(b)]), near_copies.GRAM, threshold)
+                assert apart <= most[0] and near_copies.np.array_equal(one, near_copies.parities(a))
+                passed += 1
+    assert passed > 300

@@ -333,7 +333,7 @@ def corpus_nodes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, first (smallest key of its group), copies (rows with its normal form), group_rows (rows of its group)."""
     nodes = corpus_nodes(df, key, text)
-    roots = components(links(nodes.select("node", "form"), threshold))
+    roots = groups(nodes.select("node", "form"), threshold)
     classes = nodes.select("mark", "node", "copies").join(roots, "node", "left").select("mark", "copies", F.coalesce("root", "node").alias("first"))
     sizes = classes.groupBy("first").agg(F.sum("copies").alias("group_rows"))
     whole = materialised(classes.join(sizes, "first"))

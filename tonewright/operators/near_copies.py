@@ -34,7 +34,7 @@ GRAM = 4  # characters of an n-gram that parities are counted of
 SHORT = 200  # below as many characters, the library starts a block at any character
 LEAST_BITS, MOST_BITS = 4096, 1 << 17  # of parities: 2 to 4 a character
 SLICE_BYTES = 8 << 20
-PAIRS_AT_ONCE = 1 << 15
+PAIRS_AT_ONCE, AT_A_TIME = 1 << 15, 2048
 #: The quick look.
 BANDS, WINDOW = 32, 16
 #: From which length: characters of an n-gram, least hashes of a key.
@@ -161,22 +161,30 @@ def cell_pairs(one: Side, two: Side, threshold: float) -> Iterator[tuple[np.ndar
     words = min(min(map(len, one.bits)), min(map(len, two.bits)))
     left = one.matrix(words)
     right = left if one is two else two.matrix(words)
-    ratio, half = least_ratio(threshold) - 1e-9, words // 2
+    # Folded to fewer classes, parities differ in no more bits; classes lie along rows for the sums.
+    levels = [words >> k for k in (3, 2, 1, 0)]
+    lefts = [np.bitwise_xor.reduce(left.reshape(len(left), -1, w), axis=1) for w in levels]
+    rights = [np.ascontiguousarray(np.bitwise_xor.reduce(right.reshape(len(right), -1, w), axis=1).T) for w in levels]
+    ratio = least_ratio(threshold) - 1e-9
     low = np.searchsorted(two.size, one.size * ratio, side="left")
     high = np.searchsorted(two.size, one.size / ratio, side="right")
     for i in range(len(one.size)):
-        first = i + 1 if one is two else low[i]
-        for at in range(first, high[i], PAIRS_AT_ONCE):
-            places = slice(at, min(high[i], at + PAIRS_AT_ONCE))
+        first = i + 1 if one is two else int(low[i])
+        for at in range(first, int(high[i]), AT_A_TIME):
+            places = slice(at, min(int(high[i]), at + AT_A_TIME))
             limits = most_apart(one.size[i] + two.size[places], np.maximum(one.begun[i], two.begun[places]), GRAM, threshold)
-            # Half the classes settle most pairs.
-            apart = np.bitwise_count(right[places, :half] ^ left[i, :half]).sum(axis=1, dtype=np.int32)
-            near_by = apart <= limits
+            # The fewest classes that tell unlike forms apart; what they leave is held against all.
+            both, usual = float(one.size[i] + two.size[at]), float(limits[:: max(1, len(limits) >> 5)].mean())
+            told = [32 * w * (1 - np.exp(-1.3 * both / (64 * w))) * 0.9 > usual for w in levels]
+            level = told.index(True) if any(told) else len(levels) - 1
+            apart = np.bitwise_count(rights[level][:, places] ^ lefts[level][i][:, None]).sum(axis=0, dtype=np.int32)
+            good = apart <= limits
             if one.group is not None:
-                near_by &= two.group[places] != one.group[i]
-            found = np.flatnonzero(near_by)
-            apart = apart[found] + np.bitwise_count(right[at + found, half:] ^ left[i, half:]).sum(axis=1, dtype=np.int32)
-            found = found[apart <= limits[found]]
+                good &= two.group[places] != one.group[i]
+            found = np.flatnonzero(good)
+            if len(found) and levels[level] < words:
+                apart = np.bitwise_count(right[at + found] ^ left[i]).sum(axis=1, dtype=np.int32)
+                found = found[apart <= limits[found]]
             if len(found):
                 yield np.full(len(found), i), at + found
 

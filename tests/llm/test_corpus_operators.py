@@ -589,3 +589,25 @@ def test_digest_columns(spark):
     want = {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in brute_lines([(r.doc_id, r.text) for r in docs])}
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in rows} == want
     assert zlib.crc32(b"7") % 5 in range(5)
+
+
+def test_near_dedup_does_not_depend_on_the_sample_that_orders_shingles(spark, monkeypatch):
+    """Whether nothing, a part or all is counted as common, components are those of all pairs."""
+    rng = random.Random(17)
+    head, rows = " ".join("h%d" % i for i in range(120)), []
+    for _ in range(6):
+        text = head + " " + " ".join("w%d" % rng.randrange(30000) for _ in range(184))
+        rows += [(len(rows) + k, edited(rng, text, rng.choice([3, 4, 5]))) for k in range(8)]
+    sets = [shingle_set(t) for _, t in rows]
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if want[a] != want[b] and jaccard(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert 6 < len(set(want)) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sampled, common, least in ((1, 1, 10**6), (4, 5, 1), (10**9, 10**6, 1)):
+        for name, value in (("SAMPLED_ROWS", sampled), ("COMMON", common), ("COMMON_LEAST", least)):
+            monkeypatch.setattr(simhash_pivot, name, value)
+        assert {r.doc_id: r.component_id for r in simhash_pivot.similar_documents(df).collect()} == dict(enumerate(want))

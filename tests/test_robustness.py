@@ -203,3 +203,20 @@ def test_messages_that_come_again_are_replaced(spark, tmp_path):
     assert sorted((r.message_id, r.text) for r in messages.latest(*read("small")).collect()) == seen
     write(spark.createDataFrame(batches[2], messages.SCHEMA), 2)
     assert {r.message_id: r.text for r in messages.latest(*read("out")).collect()}["m1"] == "撤回了"
+
+
+def test_normalizing_looks_no_further_than_it_can_reach(spark):
+    """The same as steps that look everywhere, on lines with and without Chinese; a long ASCII tail costs next to nothing."""
+    rng = random.Random(21)
+    bits = ["汉字", "，", "。", "……", "...", "....", "!", "!!", "?", ",", ";", ":", "(", ")", "(a", "b)", "（", "）", " ", "  ", "\t", "\n", "\n", "\n\n", "x", "ab 1", "`c,汉`", "`", "```", "www.a.b/c", "http://x,y", "m@n.op", "", "", "「", "！", "é", "😀", "\r", " "]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 40))) for _ in range(1500)] + ["", "\n", "汉,\n(a)汉", "汉(a\nb)", "(汉)(b), c\n, d", "```汉,\n```,汉\n, a"]
+    assert column(spark, texts, punctuation.normalized) == column(spark, texts, punctuation.normalized_whole)
+    df = spark.createDataFrame([("汉字,汉字\n" + "word, (word) ... and so on! " * 2000,)] * 40 + [(None,)], "text string").repartition(1)
+    times = []
+    for make in (punctuation.normalized_whole, punctuation.normalized):
+        made = df.select(F.xxhash64(make(F.col("text"))).alias("h"))
+        assert made.filter("h is not null").count() == 41
+        began = time.perf_counter()
+        found = sorted(made.collect())
+        times.append((time.perf_counter() - began, found))
+    assert times[0][1] == times[1][1] and times[1][0] < times[0][0]

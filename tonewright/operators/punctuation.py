@@ -106,8 +106,22 @@ def held_back(text: Column) -> Column:
     return fitting(text, MARKED, "(?U)", f"[{HOLE}{MARKS}]")
 
 
-def normalized(text: Column) -> Column:
-    """All steps, protected parts left as they are."""
+#: Up to the end of the line of the last Chinese character or full-width mark.
+REACHED = rf"(?s)\A.*{NEAR}[^\n]*"
+
+
+def reached(text: Column) -> Column:
+    """As much of a text as the steps can change.
+
+    All that a step matches lies on a line with a character of NEAR, before or after other steps. Of protected parts only
+    fenced code goes over lines, so a text with fences is taken whole, as is one whose bytes are no characters.
+    """
+    whole = F.contains(text, F.lit("```")) | ~F.is_valid_utf8(text)
+    return F.when(whole, text).otherwise(F.regexp_extract(text, REACHED, 0))
+
+
+def normalized_whole(text: Column) -> Column:
+    """All steps, looked for everywhere."""
     kept = F.regexp_extract_all(text, held_back(text), F.lit(0))
     out = F.regexp_replace(text, held_back(text), F.lit(HOLE))
     for step in STEPS.values():
@@ -115,6 +129,12 @@ def normalized(text: Column) -> Column:
     return woven(F.split(out, HOLE, -1), kept)
 
 
+def normalized(text: Column) -> Column:
+    """All steps, protected parts left as they are. They are looked for as far as they can reach; the rest stays as it is."""
+    head = reached(text)
+    return F.concat(normalized_whole(head), F.substring(text, F.length(head) + F.lit(1), F.length(text)))
+
+
 def protected_tokens(text: Column) -> Column:
     """Code, addresses, mail, versions, grouped numbers and times, each once, by kind and then by place."""
     kinds = ["(?U)(?s:```.*?```)", *(f"(?U){p}" for p in PARTS[1:]), *(f"(?U){p}" for p in TOKENS)]
